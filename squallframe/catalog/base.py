@@ -60,3 +60,7 @@ def money(col) -> Column:
 
 def MONEY(expr: str) -> str:
     return f"CAST(sum(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1)).alias("n")

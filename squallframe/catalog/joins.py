@@ -1 +1,378 @@
+"""Joins (J rows of the inventory)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import external, keyed, quality, spatial, windows
+from ..operators.matching import prepare_records
+from ..operators.panel import dense_panel, fill_panel
+from ..operators.raster import stack_layers
+from ..operators.ranges import distance_join, overlap_join
+from . import frames as fr
+from .base import R, big, money, MONEY, n_rows, query, rounded
+
+
+@query("j1_lookup_join", f"""WITH {fr.PANEL}
+SELECT n_name, CAST(p."year" AS BIGINT) AS "year", {R('gdp', 2)} AS gdp FROM nation LEFT JOIN panel p ON p.nation = n_nationkey""")
+def _(t):
+    joined = t.nation.withColumn("nation", big("n_nationkey")).join(fr.panel(t), "nation", "left")
+    return joined.select("n_name", big("year").alias("year"), rounded("gdp", 2).alias("gdp"))
+
+
+@query("j2_dense_panel", f"""WITH {fr.PANEL}
+SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(y AS BIGINT) AS "year", {R('coalesce(gdp, 0)', 2)} AS gdp, CAST(gdp IS NULL AS BIGINT) AS is_missing
+FROM nation CROSS JOIN range(1993, 2004) AS r(y) LEFT JOIN panel p ON p.nation = n_nationkey AND p."year" = y""")
+def _(t):
+    spine = dense_panel(t.nation.select(big("n_nationkey").alias("nation")), 1993, 2003)
+    full = fill_panel(spine, fr.panel(t), ["nation", "year"], "gdp")
+    return full.select("nation", big("year").alias("year"), rounded("gdp", 2).alias("gdp"), big("is_missing").alias("is_missing"))
+
+
+@query("j3_unmatched_keys", """
+SELECT o_orderkey AS order_key, 'left' AS only_in FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT DISTINCT l_orderkey, 'right' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def _(t):
+    return keyed.unmatched_keys(t.orders.select(F.col("o_orderkey").alias("order_key")),
+                                t.lineitem.select(F.col("l_orderkey").alias("order_key")), ["order_key"])
+
+
+@query("j4_one_to_one_join", """
+SELECT p_partkey, p_name, n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
+def _(t):
+    counts = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(n_rows())
+    return keyed.validated_lookup(t.part.select("p_partkey", "p_name"), counts, ["p_partkey"])
+
+
+@query("j5_window_extract", f"""WITH {fr.ANCHORS}, {fr.GRID},
+cells AS (SELECT a.event_id, 4 - dr // 4 AS wi, dc // 4 AS wj, g."value" FROM anchors a, range(20) AS x(dr), range(20) AS y(dc), grid g
+          WHERE g."row" = a."row" - 10 + dr AND g."col" = a."col" - 10 + dc),
+sums AS (SELECT event_id, wi, wj, sum("value") AS "value" FROM cells GROUP BY ALL)
+SELECT event_id, CAST(wi AS BIGINT) AS wi, CAST(wj AS BIGINT) AS wj, {R('"value"', 4)} AS "value"
+FROM (SELECT event_id, wi, wj FROM events, range(5) AS p(wi), range(5) AS q(wj)) LEFT JOIN sums USING (event_id, wi, wj)""")
+def _(t):
+    cut = windows.extract_windows(fr.anchors(t), fr.grid(t).select("row", "col", "value"), size=5, factor=4)
+    return cut.select("event_id", big("wi").alias("wi"), big("wj").alias("wj"), rounded("value", 4).alias("value"))
+
+
+@query("j6_nearest_grid_lookup", f"""WITH {fr.DAILY}
+SELECT p.event_id, {R('d."value"')} AS "value" FROM points p LEFT JOIN daily d ON d.var = 'view' AND d."day" = p.obs_date
+ AND d.lat_idx = CAST(least(greatest(round_even((90 - center_lat) / 0.5::DOUBLE, 0), 0), 360) AS BIGINT) - 80
+ AND d.lon_idx = CAST(least(round_even(center_lon / 0.5::DOUBLE, 0), 719) AS BIGINT) - 200""")
+def _(t):
+    grid = fr.daily(t).filter("var = 'view'").select(
+        "day", (F.col("lat_idx") + 80).alias("lat_idx"), (F.col("lon_idx") + 200).alias("lon_idx"), "value")
+    got = windows.nearest_lookup(fr.points(t), grid, "center_lat", "center_lon", "obs_date", res=0.5, rows=361, cols=720)
+    return got.select("event_id", rounded("value").alias("value"))
+
+
+@query("j7_coordinate_window", f"""WITH {fr.DAILY}, v AS (SELECT * FROM daily WHERE var = 'view')
+SELECT p.event_id, v.lat_idx - CAST(greatest(ceil((center_lat - 1.2::DOUBLE - 5) / 0.5::DOUBLE), 0) AS BIGINT) AS wi,
+       v.lon_idx - CAST(greatest(ceil(center_lon - 1.2::DOUBLE - 100), 0) AS BIGINT) AS wj, {R('v."value"')} AS "value"
+FROM points p JOIN v ON v."day" = p.obs_date
+ AND v.lat_idx BETWEEN ceil((center_lat - 1.2::DOUBLE - 5) / 0.5::DOUBLE) AND floor((center_lat + 1.2::DOUBLE - 5) / 0.5::DOUBLE)
+ AND v.lon_idx BETWEEN ceil(center_lon - 1.2::DOUBLE - 100) AND floor(center_lon + 1.2::DOUBLE - 100)""")
+def _(t):
+    grid = fr.daily(t).filter("var = 'view'").drop("var")
+    pts = fr.points(t).withColumn("day", F.col("obs_date"))
+    got = windows.coordinate_window(pts, grid, "center_lat", "center_lon", 1.2, (fr.LAT0, 0.5, 90), (fr.LON0, 1.0, 80), ["day"])
+    return got.select("event_id", "wi", "wj", rounded("value").alias("value"))
+
+
+@query("j8_day_offset_join", f"""WITH {fr.DAILY},
+v AS (SELECT * FROM daily WHERE var = 'purchase')
+SELECT p.event_id, k AS day_offset, {R('v."value"')} AS "value" FROM points p CROSS JOIN range(-7, 8) AS r(k)
+LEFT JOIN v ON v."day" = p.obs_date + CAST(k AS INTEGER) AND v.lat_idx = CAST(floor((center_lat - 5) / 0.5::DOUBLE) AS BIGINT)
+ AND v.lon_idx = CAST(floor(center_lon - 100) AS BIGINT)""")
+def _(t):
+    grid = fr.daily(t).filter("var = 'purchase'").drop("var")
+    pts = (windows.day_offsets(fr.points(t), "obs_date")
+           .withColumn("lat_idx", F.floor((F.col("center_lat") - fr.LAT0) / 0.5)).withColumn("lon_idx", F.floor(F.col("center_lon") - fr.LON0)))
+    return pts.join(grid, ["day", "lat_idx", "lon_idx"], "left").select(
+        "event_id", big("day_offset").alias("day_offset"), rounded("value").alias("value"))
+
+
+@query("j9_packed_year_slots", """
+WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'view'),
+p AS (SELECT event_id, CAST(ts AS DATE) AS obs FROM events)
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY d) - 1 AS slot, d AS "day" FROM p JOIN days
+ON d >= obs - 7 AND d < obs + 7 AND year(d) = year(obs)""")
+def _(t):
+    days = t.events.filter("event_type = 'view'").select(F.col("ts").cast("date").alias("day"))
+    pts = t.events.select("event_id", F.col("ts").cast("date").alias("obs_date"))
+    return windows.packed_year_slots(pts, days, "obs_date").select("event_id", big("slot").alias("slot"), "day")
+
+
+@query("j10_interval_overlap", f"""WITH {fr.RECORDS}, {fr.LIVES}
+SELECT rec_id, count(*) AS n_storms, CAST(sum(least(pad_end, last_day) - greatest(pad_start, first_day) + 1) AS BIGINT) AS overlap_sum,
+       CAST(max(least(pad_end, last_day) - greatest(pad_start, first_day) + 1) AS BIGINT) AS overlap_max
+FROM prepared JOIN lives ON pad_start <= last_day AND pad_end >= first_day GROUP BY rec_id""")
+def _(t):
+    pairs = overlap_join(prepare_records(fr.records(t)), fr.lives(t), ("pad_start", "pad_end"), ("first_day", "last_day"))
+    return pairs.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_storms"), big(F.sum("overlap")).alias("overlap_sum"),
+                                       big(F.max("overlap")).alias("overlap_max"))
+
+
+FLOODS = """floods AS (
+  SELECT l_orderkey AS flood_id, min(CAST(l_shipdate AS DATE)) AS began, max(CAST(l_shipdate AS DATE)) AS ended,
+         min(s_nationkey) AS n0, max(s_nationkey) AS n1,
+         CASE min(l_returnflag) WHEN 'A' THEN ' Tropical Cyclone' WHEN 'N' THEN 'Heavy  Rain' ELSE 'Dam break' END AS main_cause
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 45 GROUP BY 1)"""
+
+SHIP_EVENTS = """evts AS (SELECT p_partkey AS event_key, p_size % 25 AS iso, min(CAST(l_shipdate AS DATE)) AS pad_start,
+         min(CAST(l_shipdate AS DATE)) + 20 AS pad_end, min(year(l_shipdate)) AS "year"
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+
+def floods(t):
+    """Large shipments of an order as flood spans touching two nations."""
+    ship = F.col("l_shipdate").cast("date")
+    cause = (F.when(F.min("l_returnflag") == "A", " Tropical Cyclone").when(F.min("l_returnflag") == "N", "Heavy  Rain")
+             .otherwise("Dam break"))
+    return (t.lineitem.filter("l_quantity >= 45").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy(F.col("l_orderkey").alias("flood_id")).agg(
+                F.min(ship).alias("began"), F.max(ship).alias("ended"),
+                F.array_distinct(F.array(F.min("s_nationkey"), F.max("s_nationkey"))).alias("iso_set"), cause.alias("main_cause")))
+
+
+def ship_events(t):
+    ship = F.col("l_shipdate").cast("date")
+    return (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("p_partkey").alias("event_key"), (F.col("p_size") % 25).alias("iso"))
+            .agg(F.min(ship).alias("pad_start"), F.date_add(F.min(ship), 20).alias("pad_end"), F.min(F.year(ship)).alias("year")))
+
+
+LINKED = """SELECT event_key, flood_id, least(pad_end, ended) - greatest(pad_start, began) + 1 AS overlap,
+         abs(began - pad_start) AS gap_days, main_cause
+  FROM evts JOIN floods ON (iso = n0 OR iso = n1) AND pad_start <= ended AND pad_end >= began"""
+
+
+@query("j11_overlap_in_set", f"""WITH {FLOODS}, {SHIP_EVENTS}
+SELECT event_key, count(*) AS n_floods, CAST(sum(overlap) AS BIGINT) AS overlap_sum FROM ({LINKED})
+WHERE main_cause <> 'Dam break' GROUP BY 1""")
+def _(t):
+    accepted = floods(t).filter("main_cause <> 'Dam break'").withColumn("iso", F.explode("iso_set"))
+    pairs = overlap_join(ship_events(t), accepted, ("pad_start", "pad_end"), ("began", "ended"), ["iso"])
+    return pairs.groupBy("event_key").agg(F.count(F.lit(1)).alias("n_floods"), big(F.sum("overlap")).alias("overlap_sum"))
+
+
+@query("j12_best_link", f"""WITH {FLOODS}, {SHIP_EVENTS}
+SELECT event_key, flood_id, CAST(overlap AS BIGINT) AS overlap, CAST(gap_days AS BIGINT) AS gap_days FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY overlap DESC, gap_days, flood_id) AS rn FROM ({LINKED})
+  WHERE main_cause <> 'Dam break') WHERE rn = 1""")
+def _(t):
+    best = external.link_floods(ship_events(t), floods(t), external.HYDROMET_CAUSES)
+    return best.select("event_key", "flood_id", big("overlap").alias("overlap"), big("gap_days").alias("gap_days"))
+
+
+INSIDE = """inside AS (SELECT event_id, unit_id FROM points JOIN outlines
+  ON (y1 > center_lat) <> (y2 > center_lat) AND center_lon < (x2 - x1) * (center_lat - y1) / nullif(y2 - y1, 0) + x1
+  GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+
+
+@query("j13_points_in_outlines", f"""WITH {fr.POINTS}, {fr.OUTLINES}, {INSIDE}
+SELECT event_id, unit_id FROM inside""")
+def _(t):
+    p = fr.points(t)
+    inside = spatial.points_in_units(p, fr.outlines(t), "center_lon", "center_lat")
+    return p.join(inside, ["center_lon", "center_lat"]).select("event_id", "unit_id")
+
+
+@query("j13_record_mask", f"""WITH {fr.POINTS}, {fr.OUTLINES}, {INSIDE}
+SELECT p.event_id, CAST(max(CASE WHEN i.unit_id % 5 = p.storm_id % 5 THEN 1 ELSE 0 END) AS BIGINT) AS inside
+FROM points p LEFT JOIN inside i ON i.event_id = p.event_id GROUP BY 1""")
+def _(t):
+    p = fr.points(t)
+    storms = p.select("storm_id").distinct().withColumn("g", F.col("storm_id") % 5)
+    units = fr.outlines(t).select("unit_id").distinct().withColumn("g", F.col("unit_id") % 5)
+    masked = spatial.mask_points(p, storms.join(units, "g").select("storm_id", "unit_id"), fr.outlines(t), "storm_id", "center_lon", "center_lat")
+    return masked.select("event_id", big("inside").alias("inside"))
+
+
+def admin_units(t):
+    """Nations as level-1 units, suppliers as level-2 units below them."""
+    top = t.nation.select(
+        big("n_nationkey").alias("unit_id"), F.lit(1).alias("level"),
+        F.when(F.col("n_nationkey") == 5, "CHN").otherwise(F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))).alias("gid0"),
+        F.when(F.col("n_nationkey") == 5, "CHN.HKG").otherwise(F.concat(F.lit("CTY."), F.col("n_nationkey").cast("string"), F.lit("_1"))).alias("gid"),
+        F.col("n_name").alias("name"))
+    low = t.supplier.select(
+        (1000 + F.col("s_suppkey")).alias("unit_id"), F.lit(2).alias("level"),
+        F.concat(F.lit("C"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("gid0"),
+        F.concat(F.lit("CTY."), F.col("s_nationkey").cast("string"), F.lit("."), F.col("s_suppkey").cast("string"), F.lit("_1")).alias("gid"),
+        F.col("s_name").alias("name"))
+    return top.unionByName(low)
+
+
+def located_records(t):
+    """Customers as records that name their place in one of five ways."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    iso = (F.when(k % 6 == 2, "HKG").when(k % 6 == 4, "XXX").otherwise(F.concat(F.lit("C"), F.lpad(nation, 2, "0"))))
+    gadm = (F.when(k % 6 == 0, F.concat(F.lit('[{"gid_1": "CTY.'), nation, F.lit('_1"}]')))
+            .when(k % 6 == 5, F.concat(F.lit("see CTY."), nation, F.lit("_1 and more"))))
+    admin = F.when(k % 6 == 1, F.concat(F.lit('[{"adm1_name": " nation_'), nation, F.lit('"}, {"adm2_name": "Administrative unit not available"}]')))
+    return t.customer.select(k.alias("rec_id"), iso.alias("iso"), gadm.alias("gadm_units"), admin.alias("admin_units"))
+
+
+RESOLVED = """SELECT c_custkey AS rec_id,
+  CASE c_custkey % 6 WHEN 0 THEN CASE WHEN c_nationkey = 5 THEN 'country_id' ELSE 'gadm_units' END
+       WHEN 1 THEN CASE WHEN c_nationkey = 5 THEN 'country_id' ELSE 'admin_names' END WHEN 2 THEN 'special_iso'
+       WHEN 3 THEN 'country_id' WHEN 4 THEN 'none' ELSE CASE WHEN c_nationkey = 5 THEN 'country_id' ELSE 'gadm_units' END END AS source,
+  c_nationkey FROM customer"""
+
+
+@query("j14_place_resolution", f"""
+SELECT rec_id, source, CASE WHEN source = 'country_id' THEN CAST(c_nationkey AS BIGINT) END AS country_id,
+       CASE WHEN source IN ('gadm_units', 'admin_names') THEN CAST(c_nationkey AS BIGINT) WHEN source = 'special_iso' THEN 5 END AS unit_id
+FROM ({RESOLVED})""")
+def _(t):
+    lookup = t.nation.select(F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3_final"),
+                             big("n_nationkey").alias("country_id"))
+    source, units = spatial.resolve_units(located_records(t), admin_units(t), lookup)
+    return source.join(units, "rec_id", "left").select("rec_id", "source", "country_id", "unit_id")
+
+
+@query("j15_pair_or_single", f"""
+WITH pairs AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS place FROM customer WHERE c_acctbal > 9000 GROUP BY 1, 2),
+single AS (SELECT c_nationkey, min(c_custkey) AS place FROM customer WHERE c_acctbal > 9000 AND c_nationkey % 4 <> 0 GROUP BY 1)
+SELECT c.c_custkey, coalesce(p.place, s.place) AS place,
+       CASE WHEN p.place IS NOT NULL THEN 'pair' WHEN s.place IS NOT NULL THEN 'single' ELSE 'none' END AS matched_by
+FROM customer c LEFT JOIN pairs p ON c.c_nationkey = p.c_nationkey AND c.c_mktsegment = p.c_mktsegment LEFT JOIN single s ON c.c_nationkey = s.c_nationkey""")
+def _(t):
+    rich = t.customer.filter("c_acctbal > 9000")
+    pair = rich.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("place"))
+    single = rich.filter("c_nationkey % 4 <> 0").groupBy("c_nationkey").agg(F.min("c_custkey").alias("place"))
+    got = spatial.with_fallback(t.customer, pair, single, ["c_nationkey", "c_mktsegment"], ["c_nationkey"], "place")
+    return got.select("c_custkey", "place", "matched_by")
+
+
+@query("j16_key_membership", f"""
+WITH f AS (SELECT DISTINCT l_orderkey AS disno, l_suppkey % 25 AS iso FROM lineitem WHERE l_quantity > 40),
+e AS (SELECT o_orderkey AS disno, o_custkey % 25 AS iso, year(o_orderdate) AS y FROM orders)
+SELECT CASE WHEN grouping(y) = 1 THEN 'ALL' ELSE CAST(y AS VARCHAR) END AS year_label, count(*) AS n_events,
+       count(*) FILTER (i) AS n_id, count(*) FILTER (p) AS n_pair, {R('count(*) FILTER (i) / count(*)')} AS id_rate, {R('count(*) FILTER (p) / count(*)')} AS pair_rate
+FROM (SELECT y, disno IN (SELECT disno FROM f) AS i, EXISTS (SELECT 1 FROM f WHERE f.disno = e.disno AND f.iso = e.iso) AS p FROM e) GROUP BY ROLLUP (y)""")
+def _(t):
+    prints = t.lineitem.filter("l_quantity > 40").select(F.col("l_orderkey").alias("disno"), (F.col("l_suppkey") % 25).alias("iso"))
+    events = t.orders.select(F.col("o_orderkey").alias("disno"), (F.col("o_custkey") % 25).alias("iso"), F.year("o_orderdate").alias("year"))
+    got = external.footprint_matches(events, prints)
+    return got.withColumn("id_rate", rounded("id_rate")).withColumn("pair_rate", rounded("pair_rate"))
+
+
+@query("j17_event_metrics_join", f"""WITH {fr.WEIGHTS}
+SELECT CAST(year(o_orderdate) AS BIGINT) AS "year", o_orderkey, {R('o_totalprice', 2)} AS loss_usd, {R('m', 2)} AS peak
+FROM orders JOIN (SELECT rec_id, max(hazard * asset) AS m FROM weights GROUP BY 1) ON rec_id = o_orderkey""")
+def _(t):
+    metrics = fr.weights(t).groupBy(F.col("rec_id").alias("o_orderkey")).agg(F.max(F.col("hazard") * F.col("asset")).alias("m"))
+    return t.orders.join(metrics, "o_orderkey").select(
+        big(F.year("o_orderdate")).alias("year"), "o_orderkey", rounded("o_totalprice", 2).alias("loss_usd"), rounded("m", 2).alias("peak"))
+
+
+@query("j18_event_summary", f"""
+SELECT c_custkey, coalesce({R('t', 2)}, {R('c_acctbal', 2)}) AS loss_usd, coalesce(g, '') AS priorities FROM customer LEFT JOIN
+  (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS t, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS g
+   FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def _(t):
+    from ..functions.text import joined_set
+    per = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(money("o_totalprice").alias("t"), joined_set(F.col("o_orderpriority")).alias("g"))
+    return t.customer.join(per, "c_custkey", "left").select(
+        "c_custkey", F.coalesce(rounded("t", 2), rounded("c_acctbal", 2)).alias("loss_usd"), F.coalesce("g", F.lit("")).alias("priorities"))
+
+
+@query("j19_paired_stages", f"""
+SELECT o_orderstatus, count(*) AS n, {R('avg(b - a)', 2)} AS bias, {R('avg(abs(b - a))', 2)} AS mae, {R('sqrt(avg((b - a) * (b - a)))', 2)} AS rmse,
+       {R('max(abs(b - a))', 2)} AS max_abs, {R('corr(b, a)')} AS corr
+FROM (SELECT o_orderstatus, o_totalprice AS a, s AS b FROM orders JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey) GROUP BY 1""")
+def _(t):
+    base = t.orders.select("o_orderstatus", F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("v"))
+    final = (t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(money("l_extendedprice").alias("v"))
+             .join(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+             .select("o_orderstatus", F.col("o_orderkey").alias("key"), "v"))
+    got = quality.compare_stages(base, final, ["o_orderstatus", "key"], "v", ["o_orderstatus"])
+    return got.select("o_orderstatus", "n", *[rounded(c, 2).alias(c) for c in ("bias", "mae", "rmse", "max_abs")], rounded("corr").alias("corr"))
+
+
+@query("j20_layer_stack", f"""WITH {fr.GRID}
+SELECT a."row" + 18 AS "row", a."col", {R('a."value"')} AS "value", {R('b."value"')} AS pop, c.zone
+FROM grid a LEFT JOIN grid b ON b."row" = a."row" + 18 AND b."col" = a."col" LEFT JOIN grid c ON c."row" = a."row" + 18 AND c."col" = a."col" """)
+def _(t):
+    g = fr.grid(t)
+    stacked = stack_layers(g.select("row", "col", "value"), {
+        "pop": g.select("row", "col", "value"), "zone": g.select("row", "col", F.col("zone").alias("value"))}, row_offset=18)
+    return stacked.select("row", "col", rounded("value").alias("value"), rounded("pop").alias("pop"), "zone")
+
+
+@query("j21_distance_join", f"""WITH {fr.POINTS},
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_date, basin ORDER BY wind_kt DESC, event_id) AS rn FROM points WHERE basin IN ('purchase', 'error')) WHERE rn <= 10),
+pairs AS (SELECT a.obs_date, a.event_id, asin(sqrt(sin(radians(b.center_lat - a.center_lat) / 2) ** 2
+     + cos(radians(a.center_lat)) * cos(radians(b.center_lat)) * sin(radians(b.center_lon - a.center_lon) / 2) ** 2)) * 2 * 6371.0088 AS km
+   FROM tops a JOIN tops b ON a.obs_date = b.obs_date AND a.basin = 'purchase' AND b.basin = 'error'),
+sizes AS (SELECT obs_date, count(*) FILTER (basin = 'purchase') AS n_left, count(*) FILTER (basin = 'error') AS n_right FROM tops GROUP BY 1),
+hits AS (SELECT obs_date, count(DISTINCT event_id) AS n_hit FROM pairs WHERE km <= 300 GROUP BY 1)
+SELECT obs_date, n_left, n_right, coalesce(n_hit, 0) AS n_hit, {R('coalesce(n_hit, 0) / (n_left + n_right - coalesce(n_hit, 0))')} AS iou, {R('coalesce(n_hit, 0) / n_left')} AS recall
+FROM sizes LEFT JOIN hits USING (obs_date) WHERE n_left > 0 AND n_right > 0""")
+def _(t):
+    p = fr.points(t)
+
+    def top(kind):
+        best = keyed.first_per_key(p.filter(F.col("basin") == kind), ["obs_date"], [F.col("wind_kt").desc(), F.col("event_id")], 10)
+        return best.select("obs_date", F.col("event_id").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+    got = external.point_set_hits(top("purchase"), top("error"), "obs_date", within=300.0)
+    return got.select("obs_date", "n_left", "n_right", "n_hit", rounded("iou").alias("iou"), rounded("recall").alias("recall"))
+
+
+@query("j21_pairs_within_distance", f"""WITH {fr.POINTS}
+SELECT a.event_id, count(*) AS n_near FROM (SELECT * FROM points WHERE basin = 'click') a JOIN (SELECT * FROM points WHERE basin = 'view') b
+  ON a.obs_date = b.obs_date AND 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(b.center_lat - a.center_lat) / 2), 2)
+   + cos(radians(a.center_lat)) * cos(radians(b.center_lat)) * pow(sin(radians(b.center_lon - a.center_lon) / 2), 2))) <= 250.0 GROUP BY 1""")
+def _(t):
+    p = fr.points(t)
+    right = p.filter("basin = 'view'").select("obs_date", F.col("center_lat").alias("lat2"), F.col("center_lon").alias("lon2"))
+    near = distance_join(p.filter("basin = 'click'"), right, ("center_lat", "center_lon"), ("lat2", "lon2"), 250.0, ["obs_date"])
+    return near.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_near"))
+
+
+@query("j22_outline_distance", f"""WITH {fr.TRACKS}, {fr.OUTLINES},
+sides AS (SELECT unit_id, x1, y1, x2, y2, x2 - x1 AS dx, y2 - y1 AS dy FROM outlines),
+near AS (SELECT event_id, storm_id % 25 AS u, center_lon AS x, center_lat AS y FROM points),
+proj AS (SELECT event_id, x, y, x1, y1, x2, y2, dx, dy, least(greatest(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0), 1) AS s
+         FROM near JOIN sides ON unit_id = u),
+dist AS (SELECT event_id, min(sqrt(pow(x - (x1 + s * dx), 2) + pow(y - (y1 + s * dy), 2))) AS d,
+                count(*) FILTER ((y1 > y) <> (y2 > y) AND x < dx * (y - y1) / nullif(dy, 0) + x1) % 2 = 1 AS inside FROM proj GROUP BY 1)
+SELECT event_id, {R('CASE WHEN inside THEN 0 ELSE d END')} AS distance FROM dist""")
+def _(t):
+    p = fr.points(t).select("event_id", (F.col("storm_id") % 25).alias("unit_id"), F.col("center_lon").alias("x1"), F.col("center_lat").alias("y1"))
+    dots = p.select("event_id", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    sides = p.select("event_id", "unit_id").join(fr.outlines(t), "unit_id").drop("unit_id")
+    return spatial.set_distance(dots, sides, "event_id", cell=2.0).withColumn("distance", rounded("distance"))
+
+
+@query("j22_track_outline_km")
+def _(t):
+    tr = fr.tracks(t)
+    numbered = tr.select("storm_id", (F.col("step") + 1).alias("n"), "center_lon", "center_lat")
+    lines = spatial.project_segments(spatial.track_segments(numbered, "storm_id", "n", "center_lon", "center_lat"))
+    storms = tr.select("storm_id").distinct().withColumn("unit_id", F.col("storm_id") % 25)
+    outline = spatial.project_segments(storms.join(fr.outlines(t), "unit_id").drop("unit_id"))
+    return spatial.set_distance(lines, outline, "storm_id").select("storm_id", rounded(F.col("distance") / 1000.0).alias("km"))
+
+
+@query("j23_stage_membership", """
+WITH a AS (SELECT DISTINCT l_suppkey AS grp, year(l_shipdate) AS y FROM lineitem WHERE l_quantity > 48),
+b AS (SELECT DISTINCT l_suppkey AS grp, year(l_shipdate) AS y FROM lineitem WHERE l_discount > 0.09)
+SELECT grp, CAST(y AS BIGINT) AS y, 'left' AS only_in FROM (FROM a EXCEPT FROM b) UNION ALL SELECT grp, CAST(y AS BIGINT), 'right' FROM (FROM b EXCEPT FROM a)""")
+def _(t):
+    groups = [F.col("l_suppkey").alias("grp"), big(F.year("l_shipdate")).alias("y")]
+    return keyed.unmatched_keys(t.lineitem.filter("l_quantity > 48").select(*groups),
+                                t.lineitem.filter("l_discount > 0.09").select(*groups), ["grp", "y"])
+
+
+@query("j24_snapshot_diff", """
+SELECT p_name || '/' || p_partkey AS path, CASE WHEN p_size % 10 = 0 THEN 'missing_in_after' WHEN p_size % 10 = 1 THEN 'extra_in_after' ELSE 'changed' END AS issue
+FROM part WHERE p_size % 10 IN (0, 1, 2)""")
+def _(t):
+    files = t.part.select(F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("path"),
+                          F.col("p_size").alias("length"), F.md5("p_type").alias("digest"))
+    before = files.filter("length % 10 <> 1")
+    after = files.filter("length % 10 <> 0").withColumn("digest", F.when(F.col("length") % 10 == 2, F.lit(None)).otherwise(F.col("digest")))
+    return quality.snapshot_diff(before, after).select("path", "issue")

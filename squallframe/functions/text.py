@@ -83,7 +83,7 @@ def iso_tokens(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
