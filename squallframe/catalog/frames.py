@@ -172,16 +172,16 @@ OUTLINES = """outlines AS (
 
 
 def monthly(t: Tables) -> DataFrame:
-    """Parts by shipping month as monthly composites with a weight."""
+    """Parts by shipping month as monthly composites (in whole cents) with a weight."""
     ship = F.col("l_shipdate")
     return (t.lineitem.groupBy(F.col("l_partkey").alias("cell"), F.year(ship).alias("year"), F.month(ship).alias("month"))
-            .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("avg_rad"),
+            .agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")) * 100).cast("double").alias("avg_rad"),
                  F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("cf_cvg")))
 
 
 MONTHLY = """monthly AS (
   SELECT l_partkey AS cell, year(l_shipdate) AS "year", month(l_shipdate) AS "month",
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS avg_rad,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) * 100 AS DOUBLE) AS avg_rad,
          CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS cf_cvg
   FROM lineitem GROUP BY 1, 2, 3)"""
 

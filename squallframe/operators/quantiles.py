@@ -23,22 +23,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[
     """For groups of any size, in three passes and without gathering a group.
 
     A mergeable sketch gives, for each wanted rank, two values that must enclose it (its rank
-    error is at most n / ACCURACY). The rows below the lower one are counted, the few distinct
+    error is at most n / ACCURACY; a group no larger than ACCURACY is taken whole). The rows below the lower one are counted, the few distinct
     values in between are counted and ranked, and the exact value is read off.
     """
     keys = list(keys)
     probs = list(names.values())
-    slack = 2.0 / ACCURACY
+    slack = 4.0 / ACCURACY
     lows = [max(p - slack, 0.0) for p in probs]
     highs = [min(p + slack, 1.0) for p in probs]
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("__v", lows + highs, ACCURACY).alias("__s"),
         F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n"))
+    small = F.col("__n") <= ACCURACY
     brackets = F.array(*[
         F.struct(F.lit(i).alias("i"),
-                 (F.col("__min") if lows[i] == 0.0 else F.col("__s")[i]).alias("lo"),
-                 (F.col("__max") if highs[i] == 1.0 else F.col("__s")[len(probs) + i]).alias("hi"))
+                 F.when(small | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__s")[i]).alias("lo"),
+                 F.when(small | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__s")[len(probs) + i]).alias("hi"))
         for i in range(len(probs))])
     sketch = sketch.select(*keys, "__n", brackets.alias("__b"))
     paired = join_keys(rows, sketch, keys) if keys else with_scalars(rows, sketch)
