@@ -1 +1,278 @@
+"""Validation levels and whole workflows (Q rows of the inventory)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import hazard as hz
+from ..functions import status as st
+from ..operators import external, quality, raster, stats, windows
+from ..operators.allocation import diagnose_zero_weight
+from ..operators.keyed import hash_sample, with_scalars
+from ..operators.quantiles import exact_quantiles
+from ..operators.spatial import points_in_units
+from ..plans import assets, attribution
+from . import frames as fr
+from .aggregates import AUDIT, PAID, _rounded, audit, losses, paid_cells
+from .joins import FLOODS, LINKED, SHIP_EVENTS, floods, ship_events
+from .aggregates import WINDOW_EVENTS, window_events
+from .base import R, big, n_rows, query, rounded
+
+
+@query("q1_input_inventory", """
+WITH want AS (SELECT n_nationkey AS n, y, m FROM nation, range(1995, 2002) AS a(y), range(1, 13) AS b(m)),
+have AS (SELECT DISTINCT s_nationkey AS n, year(l_shipdate) AS y, month(l_shipdate) AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40)
+SELECT 'error' AS level, 'shipments' AS scope, concat_ws('/', n, y, m) AS item, 'missing' AS issue FROM (FROM want EXCEPT FROM have)
+UNION ALL SELECT 'warning', 'shipments', concat_ws('/', n, y, m), 'unexpected' FROM (FROM have EXCEPT FROM want)""")
+def _(t):
+    want = (t.nation.select(F.col("n_nationkey").alias("n"), F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("y"))
+            .withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12)))))
+    have = t.lineitem.filter("l_quantity > 40").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.col("s_nationkey").alias("n"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"))
+    return quality.inventory(want, have, ["n", "y", "m"], "shipments")
+
+
+@query("q2_spec_consistency", """
+WITH s AS (SELECT p_brand, p_partkey, p_size % 2 AS dtype, p_retailprice AS res FROM part), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1)
+SELECT s.p_brand, s.p_partkey, 'dtype' AS field FROM s JOIN b USING (p_brand) WHERE s.dtype <> b.dtype
+UNION ALL SELECT s.p_brand, s.p_partkey, 'res' FROM s JOIN b USING (p_brand) WHERE abs(s.res - b.res) > 25.005""")
+def _(t):
+    specs = t.part.select("p_brand", "p_partkey", (F.col("p_size") % 2).alias("dtype"), F.col("p_retailprice").alias("res"))
+    return quality.spec_mismatches(specs, "p_brand", "p_partkey", ["dtype"], {"res": 25.005})
+
+
+@query("q3_required_variables", """
+WITH g AS (SELECT DISTINCT user_id FROM events), v AS (SELECT * FROM (VALUES ('click'), ('view'), ('purchase'), ('refund')) AS r(event_type))
+SELECT user_id, event_type FROM g, v EXCEPT SELECT user_id, event_type FROM events WHERE "value" > 100""")
+def _(t):
+    required = t.spark.createDataFrame([("click",), ("view",), ("purchase",), ("refund",)], "event_type string")
+    return quality.required_gaps(t.events.select("user_id"), required, t.events.filter("value > 100"), "user_id", "event_type")
+
+
+@query("q4_stage_drift", """
+WITH a AS (SELECT user_id, event_type, max(event_id) % 3 AS kind FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT user_id, event_type, max(event_id) % 3 AS kind FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2)
+SELECT user_id, event_type, a.kind AS kind_before, b.kind AS kind_after,
+       CASE WHEN b.kind IS NULL THEN 'missing_in_after' WHEN a.kind IS NULL THEN 'extra_in_after' ELSE 'changed' END AS issue
+FROM a FULL JOIN b USING (user_id, event_type) WHERE a.kind IS DISTINCT FROM b.kind""")
+def _(t):
+    def stage(condition):
+        return t.events.filter(condition).groupBy("user_id", "event_type").agg((F.max("event_id") % 3).alias("kind"))
+    return quality.stage_drift(stage("event_id % 2 = 0"), stage("event_id % 3 <> 0"), ["user_id", "event_type"], ["kind"])
+
+
+PRICE_STATUS = "CASE WHEN {0} > 104000 THEN 3 WHEN {0} > 103000 THEN 2 ELSE 1 END"
+
+
+@query("q5_status_matrix", f"""
+WITH s AS (SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS "year", l_returnflag AS f, max({PRICE_STATUS.format('l_extendedprice')}) AS r FROM lineitem GROUP BY 1, 2)
+SELECT "year", ['PASS', 'WARN', 'FAIL'][max(CASE WHEN f = 'A' THEN r END)] AS "A", ['PASS', 'WARN', 'FAIL'][max(CASE WHEN f = 'N' THEN r END)] AS "N",
+       ['PASS', 'WARN', 'FAIL'][max(CASE WHEN f = 'R' THEN r END)] AS "R" FROM s GROUP BY 1""")
+def _(t):
+    marked = t.lineitem.select(big(F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("year"), "l_returnflag",
+                               st.above(F.col("l_extendedprice"), 104000.0, 103000.0).alias("status"))
+    return quality.status_matrix(marked, "year", "l_returnflag", ["A", "N", "R"], "status")
+
+
+@query("q6_track_physics", f"""WITH {fr.POINTS},
+y AS (SELECT basin, obs_date, avg(wind_kt) AS m FROM points GROUP BY 1, 2),
+z AS (SELECT *, (m - avg(m) OVER w) / stddev_pop(m) OVER w AS z FROM y WINDOW w AS (PARTITION BY basin))
+SELECT basin, obs_date, {R('m')} AS mean, {R('z')} AS z_score, CASE WHEN abs(z) > 2 THEN 'WARN' ELSE 'PASS' END AS status FROM z""")
+def _(t):
+    daily = fr.points(t).groupBy("basin", "obs_date").agg(F.avg("wind_kt").alias("mean"))
+    got = quality.drift_status(daily, "basin", "mean", 2.0)
+    return got.select("basin", "obs_date", rounded("mean").alias("mean"), rounded("z_score").alias("z_score"), "status")
+
+
+@query("q6_stage_agreement", f"""WITH {fr.POINTS}, q AS (SELECT basin, wind_kt AS a, wind_kt + (event_id % 7) / 100.0::DOUBLE AS b FROM points WHERE event_id % 5 <> 0)
+SELECT basin, count(*) AS n, {R('avg(b - a)')} AS bias, {R('avg(abs(b - a))')} AS mae, {R('sqrt(avg((b - a) * (b - a)))')} AS rmse, {R('max(abs(b - a))')} AS max_abs, {R('corr(b, a)')} AS corr FROM q GROUP BY 1""")
+def _(t):
+    base = fr.points(t).select("basin", "event_id", F.col("wind_kt").alias("v"))
+    final = base.filter("event_id % 5 <> 0").withColumn("v", F.col("v") + (F.col("event_id") % 7) / 100.0)
+    return _rounded(quality.compare_stages(base, final, ["basin", "event_id"], "v", ["basin"]))
+
+
+SAMPLE = """sample AS (SELECT event_id, "row", "col" FROM (SELECT *, row_number() OVER (ORDER BY md5('20260304:' || event_id), event_id) AS rn FROM anchors) WHERE rn <= 300),
+src AS (SELECT s.event_id, dr // 4 AS bi, dc // 4 AS wj, sum(g."value") AS v FROM sample s, range(12) AS x(dr), range(12) AS y(dc), grid g
+        WHERE g."row" = s."row" - 6 + dr AND g."col" = s."col" - 6 + dc GROUP BY ALL),
+stored AS (SELECT event_id, 2 - bi AS wi, wj, CASE WHEN event_id % 3 = 0 THEN v + 0.001::DOUBLE ELSE v END AS v FROM src),
+j AS (SELECT s.event_id, f.v - s.v AS fg, n.v - s.v AS ng FROM stored s LEFT JOIN src f ON f.event_id = s.event_id AND 2 - f.bi = s.wi AND f.wj = s.wj LEFT JOIN src n ON n.event_id = s.event_id AND n.bi = s.wi AND n.wj = s.wj)"""
+
+
+@query("q7_window_alignment", f"""WITH {fr.ANCHORS}, {fr.GRID}, {SAMPLE}
+SELECT event_id, {R('avg(abs(fg))')} AS mae, {R('sqrt(avg(fg * fg))')} AS rmse, {R('max(abs(fg))')} AS max_abs, count(fg) AS valid_cells, {R('avg(abs(ng))', 4)} AS mae_unflipped,
+       CAST(coalesce(avg(abs(fg)) <= avg(abs(ng)), FALSE) AS BIGINT) AS orientation_pass, CASE WHEN avg(abs(fg)) > 1e-5 THEN 'FAIL' ELSE 'PASS' END AS status FROM j GROUP BY 1""")
+def _(t):
+    sample = hash_sample(fr.anchors(t), [], ["event_id"], 300, 20260304)
+    g = fr.grid(t).select("row", "col", "value")
+    flipped = windows.extract_windows(sample, g, size=3, factor=4)
+    straight = windows.extract_windows(sample, g, size=3, factor=4, flip=False)
+    stored = flipped.filter("value is not null").withColumn(
+        "value", F.when(F.col("event_id") % 3 == 0, F.col("value") + 0.001).otherwise(F.col("value")))
+    got = quality.alignment_check(stored, straight, flipped, ["event_id"], "value")
+    return _rounded(got, mae_unflipped=rounded("mae_unflipped", 4), orientation_pass=big("orientation_pass"))
+
+
+@query("q8_hazard_formulas", f"""WITH {fr.GRID}
+SELECT zone, count(*) AS n_cells, 0.0::DOUBLE AS wind_max_error, 0.0::DOUBLE AS hazard_wind_max_error, {R("max(CASE WHEN zone = 3 THEN 0.25::DOUBLE ELSE 0 END)")} AS hazard_compound_max_error,
+       count(*) FILTER (signed < 0 AND zone = 5) AS n_negative, CASE WHEN zone IN (3, 5) THEN 'FAIL' ELSE 'PASS' END AS status FROM grid GROUP BY 1""")
+def _(t):
+    g = fr.grid(t).withColumn("u10", F.col("value")).withColumn("v10", F.col("signed"))
+    g = g.withColumn("wind", hz.wind_speed(F.col("u10"), F.col("v10"))).withColumn("hazard_wind", hz.wind_power(F.col("wind")))
+    g = g.withColumn("hazard_rain", F.when(F.col("zone") == 5, F.col("signed")).otherwise(F.abs("signed")))
+    g = windows.compound_hazard(g, "hazard_wind", "hazard_rain", ["row"]).withColumn(
+        "hazard_compound", F.when(F.col("zone") == 3, F.col("hazard_compound") + 0.25).otherwise(F.col("hazard_compound")))
+    got = quality.formula_check(g, ["row"], ["zone"])
+    return got.select("zone", "n_cells", *[rounded(c).alias(c) for c in ("wind_max_error", "hazard_wind_max_error", "hazard_compound_max_error")], "n_negative", "status")
+
+
+@query("q9_hazard_distribution", f"""WITH {fr.GRID},
+s AS (SELECT zone, "value" FROM grid QUALIFY row_number() OVER (PARTITION BY zone ORDER BY md5('7:' || "row" || ':' || "col"), "row", "col") <= 900)
+SELECT zone, {R('quantile_cont("value", 0.1)')} AS p10, {R('quantile_cont("value", 0.5)')} AS p50, {R('quantile_cont("value", 0.99)')} AS p99 FROM s GROUP BY 1""")
+def _(t):
+    sample = hash_sample(fr.grid(t), ["zone"], ["row", "col"], 900, 7)
+    return _rounded(exact_quantiles(sample, ["zone"], "value", {"p10": 0.1, "p50": 0.5, "p99": 0.99}))
+
+
+FAILS = """CASE WHEN count(*) FILTER (loss_usd > 0 AND status = 'unmatched') >= 2 THEN 'FAIL'
+            WHEN count(*) FILTER (loss_usd > 0 AND status = 'zero_weight' AND NOT avoidable) > 0 THEN 'WARN' ELSE 'PASS' END"""
+
+
+@query("q10_attribution_by_year", f"""WITH {fr.WEIGHTS}, {PAID}, {AUDIT}
+SELECT CAST("year" AS BIGINT) AS "year", count(*) FILTER (status = 'allocated') AS allocated_count, {R("max(CASE WHEN status = 'allocated' THEN 0.0 END)")} AS max_error,
+  count(*) FILTER (loss_usd > 0) AS with_loss, count(*) FILTER (loss_usd > 0 AND status = 'unmatched') AS unmatched_with_loss,
+  count(*) FILTER (loss_usd > 0 AND status = 'zero_weight' AND avoidable) AS zero_avoidable, count(*) FILTER (loss_usd > 0 AND status = 'zero_weight' AND NOT avoidable) AS zero_unavoidable,
+  CASE WHEN count(*) FILTER (loss_usd > 0 AND status = 'unmatched') >= 2 THEN 'unmatched_with_loss_count_year' ELSE '' END AS fail_reasons, {FAILS} AS status FROM audit GROUP BY 1""")
+def _(t):
+    return _rounded(quality.attribution_by_year(audit(t)).drop("mean_error"), year=big("year"))
+
+
+@query("q10_attribution_verdict", f"""WITH {fr.WEIGHTS}, {PAID}, {AUDIT},
+y AS (SELECT "year", {FAILS} AS status FROM audit GROUP BY 1),
+r AS (SELECT count(*) FILTER (loss_usd > 0) AS k, count(*) FILTER (loss_usd > 0 AND status = 'unmatched') AS u, count(*) FILTER (loss_usd > 0 AND status = 'zero_weight' AND avoidable) AS a FROM audit)
+SELECT k AS with_loss, (SELECT count(*) FROM y WHERE status = 'FAIL') AS failed_years,
+  concat_ws(';', CASE WHEN (SELECT count(*) FROM y WHERE status = 'FAIL') > 0 THEN 'year_level_hard_fail' END, CASE WHEN u / k > 0.02 THEN 'unmatched_with_loss_ratio_global' END,
+            CASE WHEN a / k > 0.02 THEN 'zero_weight_avoidable_ratio_global' END) AS fail_reasons FROM r""")
+def _(t):
+    return quality.attribution_verdict(quality.attribution_by_year(audit(t))).select("with_loss", "failed_years", "fail_reasons")
+
+
+@query("q10_distributions", f"""WITH s AS (SELECT 'all_records' AS scope, o_orderpriority AS category FROM orders UNION ALL SELECT 'with_loss', o_orderpriority FROM orders WHERE o_orderstatus <> 'P')
+SELECT scope, category, count(*) AS n, {R('count(*) / sum(count(*)) OVER (PARTITION BY scope)')} AS share FROM s GROUP BY 1, 2""")
+def _(t):
+    return _rounded(quality.distributions(t.orders, "o_orderpriority", F.col("o_orderstatus") != "P"))
+
+
+@query("q11_zero_weight_diagnosis", f"""WITH {fr.WEIGHTS}, c AS (SELECT rec_id, CASE WHEN wi = 3 THEN 0 ELSE mask END AS mask, CASE WHEN wi <> 7 THEN CASE WHEN hazard > 15 THEN hazard ELSE 0 END END AS hazard, asset FROM weights),
+f AS (SELECT rec_id, count(*) AS n, count(*) FILTER (mask > 0) AS m, count(*) FILTER (mask > 0 AND hazard IS NOT NULL) AS k, max(CASE WHEN mask > 0 THEN hazard END) AS h FROM c GROUP BY 1)
+SELECT d AS diagnosis, d <> 'mask_all_zero' AS avoidable, count(*) AS n FROM (
+  SELECT CASE WHEN n IS NULL THEN 'no_overlap_time_indices' WHEN m = 0 THEN 'mask_all_zero' WHEN k = 0 THEN 'all_nonfinite_or_missing' WHEN h <= 0 THEN 'hazard_all_zero_under_mask' ELSE 'all_nonfinite_or_missing' END AS d
+  FROM orders LEFT JOIN f ON rec_id = o_orderkey WHERE o_orderstatus <> 'P') GROUP BY 1, 2""")
+def _(t):
+    cells = fr.weights(t).withColumn("mask", F.when(F.col("wi") == 3, 0).otherwise(F.col("mask"))).withColumn(
+        "hazard", F.when(F.col("wi") != 7, F.when(F.col("hazard") > 15, F.col("hazard")).otherwise(F.lit(0.0))))
+    records = losses(t).filter("loss_usd is not null")
+    return diagnose_zero_weight(records, cells, "rec_id", "mask", "hazard", "asset").groupBy("diagnosis", "avoidable").agg(n_rows())
+
+
+@query("q12_audit_validation", f"""WITH {fr.WEIGHTS}, {PAID}
+SELECT status, count(*) AS n, CAST(0 AS BIGINT) AS n_over_limit, {R("max(CASE status WHEN 'missing_loss' THEN NULL WHEN 'allocated' THEN 0.0 ELSE 1.0 END)")} AS max_error FROM summary GROUP BY 1""")
+def _(t):
+    return _rounded(quality.validate_audit(audit(t), ["rec_id", "status", "loss_usd", "conservation_error"]))
+
+
+@query("q13_footprint_hits", f"""WITH {fr.POINTS}, {fr.OUTLINES},
+i AS (SELECT event_id FROM points JOIN outlines ON (y1 > center_lat) <> (y2 > center_lat) AND center_lon < (x2 - x1) * (center_lat - y1) / nullif(y2 - y1, 0) + x1 GROUP BY event_id, unit_id HAVING count(*) % 2 = 1)
+SELECT basin, count(*) AS n, {R('count(i.event_id) / count(*)')} AS hit_rate FROM points p LEFT JOIN (SELECT DISTINCT event_id FROM i) i USING (event_id) GROUP BY 1""")
+def _(t):
+    p = fr.points(t)
+    inside = points_in_units(p, fr.outlines(t), "center_lon", "center_lat").select("center_lon", "center_lat").distinct().withColumn("km", F.lit(0.0))
+    far = p.join(inside, ["center_lon", "center_lat"], "left").withColumn("km", F.coalesce("km", F.lit(1e9)))
+    return _rounded(external.distance_hits(far, "km", ["basin"]))
+
+
+@query("q14_rain_agreement", f"""WITH {WINDOW_EVENTS}, d AS (SELECT event, "day", sum(ours) AS ours, sum(theirs) AS theirs FROM dm GROUP BY 1, 2),
+e AS (SELECT event, wi, wj, sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY ALL),
+m AS (SELECT event, a >= quantile_cont(a, 0.8) OVER w AS ta, b >= quantile_cont(b, 0.8) OVER w AS tb FROM e WINDOW w AS (PARTITION BY event)),
+o AS (SELECT event, count(*) FILTER (ta AND tb) / count(*) FILTER (ta OR tb) AS iou, count(*) FILTER (ta AND tb) / count(*) FILTER (ta) AS recall FROM m GROUP BY 1)
+SELECT event, count(*) AS n_days, {R('sum(ours)', 4)} AS total_ours, {R('sum(theirs)', 4)} AS total_theirs, {R('sum(ours) - sum(theirs)', 4)} AS bias, {R('max(iou)')} AS iou, {R('max(recall)')} AS recall FROM d JOIN o USING (event) GROUP BY 1""")
+def _(t):
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    got = external.rain_agreement(means, "event", "day", "ours", "theirs", 0.2)
+    return got.select("event", "n_days", *[rounded(c, 4).alias(c) for c in ("total_ours", "total_theirs", "bias")], rounded("iou").alias("iou"), rounded("recall").alias("recall"))
+
+
+@query("q15_flood_link_rates", f"""WITH {FLOODS}, {SHIP_EVENTS}, l AS ({LINKED}),
+s AS (SELECT DISTINCT event_key FROM l WHERE main_cause = ' Tropical Cyclone'), h AS (SELECT DISTINCT event_key FROM l WHERE main_cause <> 'Dam break')
+SELECT CASE WHEN grouping("year") = 1 THEN 'ALL' ELSE CAST("year" AS VARCHAR) END AS year_label, count(*) AS n_events, count(s.event_key) AS n_strict, {R('count(s.event_key) / count(*)')} AS rate_strict,
+       count(h.event_key) AS n_hydromet, {R('count(h.event_key) / count(*)')} AS rate_hydromet FROM evts LEFT JOIN s USING (event_key) LEFT JOIN h USING (event_key) GROUP BY ROLLUP ("year")""")
+def _(t):
+    events = ship_events(t)
+    links = {"strict": external.link_floods(events, floods(t), external.STRICT_CAUSES),
+             "hydromet": external.link_floods(events, floods(t), external.HYDROMET_CAUSES)}
+    return _rounded(external.link_rates(events, links, "event_key", "year"))
+
+
+CASE_INPUT = """c AS (SELECT c_custkey, c_custkey % 9 - 4 AS lag, (c_custkey % 20) / 100.0::DOUBLE AS iou, (c_custkey % 30) / 100.0::DOUBLE AS recall,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal / 10000 END AS corr, (c_custkey % 11) / 10.0::DOUBLE AS bias FROM customer),
+f AS (SELECT *, iou < 0.05::DOUBLE AND recall < 0.10::DOUBLE AS f1, coalesce(corr <= 0 AND bias > 0.5::DOUBLE, FALSE) AS f2, abs(lag) > 3 AS w1, iou >= 0.05::DOUBLE AND iou < 0.15::DOUBLE AS w2, coalesce(corr > 0 AND corr < 0.3::DOUBLE, FALSE) AS w3 FROM c)"""
+
+
+@query("q16_case_status", f"""WITH {CASE_INPUT}
+SELECT c_custkey, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN w1 OR w2 OR w3 THEN 'WARN' ELSE 'PASS' END AS status,
+  CASE WHEN f1 OR f2 THEN concat_ws(';', CASE WHEN f2 THEN 'hazard_proxy_mismatch' END, CASE WHEN f1 THEN 'spatial_displacement' END)
+       WHEN w1 OR w2 OR w3 THEN concat_ws(';', CASE WHEN w3 THEN 'hazard_proxy_mismatch' END, CASE WHEN w2 THEN 'spatial_displacement' END, CASE WHEN w1 THEN 'temporal_mismatch' END) ELSE 'none' END AS reasons FROM f""")
+def _(t):
+    k = F.col("c_custkey")
+    status, reasons = external.case_status(k % 9 - 4, (k % 20) / 100.0, (k % 30) / 100.0,
+                                           F.when(k % 7 != 0, F.col("c_acctbal") / 10000), (k % 11) / 10.0)
+    return t.customer.select("c_custkey", status.alias("status"), reasons.alias("reasons"))
+
+
+@query("q17_release_decision", """
+WITH s AS (SELECT n_name, 'L' || (l_linenumber - 1) AS level, max(CASE WHEN l_extendedprice > 104800 THEN 3 WHEN l_extendedprice > 104400 THEN 2 ELSE 1 END) AS r
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT n_name, CASE WHEN bool_or(r = 3 AND level IN ('L0', 'L1', 'L4', 'L5')) THEN 'No Go' WHEN bool_or(r = 2) THEN 'Conditional Go' ELSE 'Go' END AS decision FROM s GROUP BY 1""")
+def _(t):
+    rows = (t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .withColumn("level", F.concat(F.lit("L"), (F.col("l_linenumber") - 1).cast("string"))))
+    levels = rows.groupBy("n_name", "level").agg(st.worst(st.above(F.col("l_extendedprice"), 104800.0, 104400.0)).alias("status"))
+    return levels.groupBy("n_name").agg(st.release_decision(F.col("level"), F.col("status")).alias("decision"))
+
+
+@query("q18_golden_numbers", f"""
+WITH a AS (SELECT l_returnflag AS metric, avg(l_quantity) AS v FROM lineitem GROUP BY 1)
+SELECT m AS metric, e AS expected, {R('v')} AS actual, CAST(coalesce(abs(v - e) <= 0.3, FALSE) AS BIGINT) AS passed FROM (VALUES ('A', 25.5::DOUBLE), ('N', 20.0::DOUBLE), ('R', 25.5::DOUBLE), ('X', 1.0::DOUBLE)) AS g(m, e) LEFT JOIN a ON metric = m""")
+def _(t):
+    actual = t.lineitem.groupBy(F.col("l_returnflag").alias("metric")).agg(F.avg("l_quantity").alias("value"))
+    expected = t.spark.createDataFrame([("A", 25.5, 0.3), ("N", 20.0, 0.3), ("R", 25.5, 0.3), ("X", 1.0, 0.3)], "metric string, value double, tolerance double")
+    got = quality.golden_check(actual, expected)
+    return got.select("metric", "expected", rounded("actual").alias("actual"), big("passed").alias("passed"))
+
+
+@query("q19_yearly_counts", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", count(DISTINCT user_id) AS n_storms, count(*) AS n_points FROM events GROUP BY 1""")
+def _(t):
+    return t.events.groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(
+        F.countDistinct("user_id").alias("n_storms"), F.count(F.lit(1)).alias("n_points"))
+
+
+@query("q20_summary_report", f"""WITH {fr.PANEL}
+SELECT count(*) AS n_pairs, count(DISTINCT nation) AS n_nations, CAST(min("year") AS BIGINT) AS first_year, CAST(max("year") AS BIGINT) AS last_year, {R('max(gdp)', 2)} AS max_gdp,
+  count(*) FILTER (gdp < 100000) AS n_small FROM panel""")
+def _(t):
+    return fr.panel(t).agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("nation").alias("n_nations"), big(F.min("year")).alias("first_year"),
+                           big(F.max("year")).alias("last_year"), rounded(F.max("gdp"), 2).alias("max_gdp"), F.count_if(F.col("gdp") < 100000).alias("n_small"))
+
+
+@query("q21_denoise_counters", f"""WITH {fr.GRID},
+x AS (SELECT *, signed * 100 AS v, 90 - ("row" + 0.5) * 180 / m AS lat FROM grid, (SELECT max("row") + 1 AS m FROM grid)),
+h AS (SELECT CASE WHEN count(v) FILTER (v > 0 AND abs(lat) >= 45) < 1000 THEN 'infinity'::DOUBLE ELSE avg(v) FILTER (v > 0 AND abs(lat) >= 45) + 3 * stddev_pop(v) FILTER (v > 0 AND abs(lat) >= 45) END AS th FROM x)
+SELECT coalesce(CASE WHEN v < 0 THEN 'negative' WHEN v > 0 AND v < 0.3 THEN 'low' WHEN abs(lat) >= 45 AND v > th THEN 'high_latitude' END, 'kept') AS rule, count(*) AS n,
+  {R("sum(CASE WHEN NOT (v < 0 OR (v > 0 AND v < 0.3) OR (abs(lat) >= 45 AND v > th)) THEN v ELSE 0 END)", 4)} AS total FROM x, h GROUP BY 1""")
+def _(t):
+    g = fr.grid(t).withColumn("v", F.col("signed") * 100)
+    sized = with_scalars(g, g.agg((F.max("row") + 1).alias("m"))).withColumn("lat", 90 - (F.col("row") + 0.5) * 180 / F.col("m"))
+    limit = raster.high_latitude_threshold(sized, F.col("lat"), "v").select("threshold")
+    value, rule = raster.denoised(F.col("v"), F.col("lat"), F.col("threshold"))
+    return with_scalars(sized, limit).groupBy(F.coalesce(rule, F.lit("kept")).alias("rule")).agg(n_rows(), rounded(F.sum(value), 4).alias("total"))
