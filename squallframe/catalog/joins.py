@@ -344,7 +344,7 @@ def _(t):
     p = fr.points(t).select("event_id", (F.col("storm_id") % 25).alias("unit_id"), F.col("center_lon").alias("x1"), F.col("center_lat").alias("y1"))
     dots = p.select("event_id", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
     sides = p.select("event_id", "unit_id").join(fr.outlines(t), "unit_id").drop("unit_id")
-    return spatial.set_distance(dots, sides, "event_id", cell=2.0).withColumn("distance", rounded("distance"))
+    return spatial.set_distance(dots, sides, "event_id", cells=(16.0, 2.0)).withColumn("distance", rounded("distance"))
 
 
 @query("j22_track_outline_km")

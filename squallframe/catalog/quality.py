@@ -45,8 +45,7 @@ def _(t):
 WITH g AS (SELECT DISTINCT user_id FROM events), v AS (SELECT * FROM (VALUES ('click'), ('view'), ('purchase'), ('refund')) AS r(event_type))
 SELECT user_id, event_type FROM g, v EXCEPT SELECT user_id, event_type FROM events WHERE "value" > 100""")
 def _(t):
-    required = t.spark.createDataFrame([("click",), ("view",), ("purchase",), ("refund",)], "event_type string")
-    return quality.required_gaps(t.events.select("user_id"), required, t.events.filter("value > 100"), "user_id", "event_type")
+    return quality.required_gaps(t.events.filter("value > 100"), ["click", "view", "purchase", "refund"], "user_id", "event_type", t.events)
 
 
 @query("q4_stage_drift", """

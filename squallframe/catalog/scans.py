@@ -250,15 +250,15 @@ def _(t):
 
 
 @query("k6_replace_variables", f"""
-SELECT p_partkey, p_brand, {R('price', 4)} AS p_retailprice FROM part LEFT JOIN
-  (SELECT l_partkey, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
+SELECT p_partkey, p_brand, {R('price')} AS p_retailprice FROM part LEFT JOIN
+  (SELECT l_partkey, {MONEY('l_extendedprice')} / sum(l_quantity) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
 WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE 'Brand#1%' ORDER BY 1 LIMIT 4)""")
 def _(t):
     fresh = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("p_retailprice"))
+        (money("l_extendedprice") / F.sum("l_quantity")).alias("p_retailprice"))
     stage = sinks.limit_groups(t.part.select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "^Brand#1", 4)
     return sinks.replace_variables(stage, ["p_retailprice"], fresh, ["p_partkey"]).withColumn(
-        "p_retailprice", rounded("p_retailprice", 4))
+        "p_retailprice", rounded("p_retailprice"))
 
 
 @query("k7_plot_table", f"""

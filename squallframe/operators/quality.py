@@ -61,9 +61,11 @@ def schema_rows(df: DataFrame, **labels: str) -> DataFrame:
     return rows.select(*[F.lit(v).alias(k) for k, v in labels.items()], "*")
 
 
-def required_gaps(groups: DataFrame, required: DataFrame, present: DataFrame, group: str, variable: str) -> DataFrame:
-    """Required variables a group lacks."""
-    wanted = groups.select(group).distinct().join(F.broadcast(required.select(variable).distinct()))
+def required_gaps(present: DataFrame, required: Sequence[str], group: str, variable: str,
+                  groups: DataFrame | None = None) -> DataFrame:
+    """Required variables a group lacks; ``groups`` names groups that may have none at all."""
+    wanted = (present if groups is None else groups).select(group).distinct().withColumn(
+        variable, F.explode(F.array(*[F.lit(r) for r in required])))
     return wanted.join(present.select(group, variable).distinct(), [group, variable], "left_anti")
 
 

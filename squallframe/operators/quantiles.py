@@ -12,13 +12,6 @@ from .keyed import join_keys, with_scalars
 ACCURACY = 10_000
 
 
-def window_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
-    """For groups of bounded size, such as the cells of one window: one aggregate."""
-    probs = list(names.values())
-    got = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("__q"))
-    return got.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-
-
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
     """For groups of any size, in three passes and without gathering a group.
 
@@ -36,18 +29,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[
         F.percentile_approx("__v", lows + highs, ACCURACY).alias("__s"),
         F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n"))
     small = F.col("__n") <= ACCURACY
-    brackets = F.array(*[
-        F.struct(F.lit(i).alias("i"),
-                 F.when(small | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__s")[i]).alias("lo"),
-                 F.when(small | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__s")[len(probs) + i]).alias("hi"))
-        for i in range(len(probs))])
-    sketch = sketch.select(*keys, "__n", brackets.alias("__b"))
+    bounds = []
+    for i in range(len(probs)):
+        low = F.when(small | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__s")[i])
+        high = F.when(small | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__s")[len(probs) + i])
+        bounds += [low.alias(f"__lo{i}"), high.alias(f"__hi{i}")]
+    sketch = sketch.select(*keys, "__n", *bounds)
     paired = join_keys(rows, sketch, keys) if keys else with_scalars(rows, sketch)
     below = paired.groupBy(*keys).agg(F.max("__n").alias("__n"), *[
-        F.count_if(F.col("__v") < F.col("__b")[i]["lo"]).alias(f"__below{i}") for i in range(len(probs))])
-    inside = (paired.select(*keys, "__v", F.explode(F.filter(
-                  "__b", lambda b: (F.col("__v") >= b["lo"]) & (F.col("__v") <= b["hi"]))).alias("__hit"))
-              .groupBy(*keys, F.col("__hit.i").alias("__i"), "__v").agg(F.count(F.lit(1)).alias("__m")))
+        F.count_if(F.col("__v") < F.col(f"__lo{i}")).alias(f"__below{i}") for i in range(len(probs))])
+    hits = F.array_compact(F.array(*[
+        F.when(F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), F.lit(i)) for i in range(len(probs))]))
+    inside = (paired.select(*keys, "__v", F.explode(hits).alias("__i"))
+              .groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__m")))
     up_to = (Window.partitionBy(*keys, "__i").orderBy("__v")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = inside.withColumn("__to", F.sum("__m").over(up_to))

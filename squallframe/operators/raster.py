@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .keyed import join_keys, with_scalars
 
+# The tile function travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def zone_sums(cells: DataFrame, weight: Column, zone: str = "zone", by: Sequence[str] = (),
               out: str = "total") -> DataFrame:
@@ -104,41 +112,54 @@ def gaussian_kernel(sigma: float, radius: int | None = None) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _reflect(index: Column, n: Column) -> Column:
-    folded = F.pmod(index, n * 2)
-    return F.when(folded < n, folded).otherwise(n * 2 - 1 - folded)
+def _blur_tile(values: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Separable convolution of a tile that carries a halo as wide as the kernel's reach."""
+    reach = len(kernel) // 2
+    height, width = values.shape[0] - 2 * reach, values.shape[1] - 2 * reach
+    across = sum(w * values[:, k:k + width] for k, w in enumerate(kernel))
+    return sum(w * across[k:k + height, :] for k, w in enumerate(kernel))
 
 
 def gaussian_blur(cells: DataFrame, rows: Column, cols: Column, sigma: float = 1.2,
-                  value: str = "value", by: Sequence[str] = ()) -> DataFrame:
-    """Separable blur with reflected edges; missing cells count as zero.
+                  value: str = "value", by: Sequence[str] = (), tile: int = 256) -> DataFrame:
+    """Gaussian blur with reflected edges; missing cells count as zero.
 
-    Each pass sends a cell's weighted value to its neighbours along one axis and sums them; the
-    sums combine before the shuffle. The grid must be at least as wide as the kernel's reach.
+    A cell goes to its own tile and to the few neighbours whose halo it lies in, so the one
+    shuffle carries little more than the grid itself (an exploded kernel would carry eleven
+    rows per cell, twice). A tile has at most (tile + 2 reach)^2 cells, whatever the grid.
+    ``rows`` and ``cols`` give the grid's size, which must be at least the kernel's reach.
     """
-    kernel = gaussian_kernel(sigma)
+    kernel = np.array(gaussian_kernel(sigma))
     reach = len(kernel) // 2
-    taps = F.array(*[F.struct(F.lit(k - reach).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(kernel)])
-
-    def spread(df: DataFrame, axis: str, n: Column) -> DataFrame:
-        # Target t reads source reflect(t + k). A source s is read by s - k when that lies on the
-        # grid, and by the mirrored targets -1 - s - k and 2n - 1 - s - k near an edge.
-        s = F.col(axis)
-        shifted = df.select("*", F.explode(taps).alias("__tap")).withColumn("__n", n)
-        k, n2 = F.col("__tap.k"), F.col("__n") * 2
-        images = F.filter(F.array_distinct(F.array(*[c - k for c in (s, -1 - s, n2 - 1 - s, s - n2, s + n2)])),
-                          lambda t: (t >= 0) & (t < F.col("__n")) & (_reflect(t + k, F.col("__n")) == s))
-        other = "col" if axis == "row" else "row"
-        return (shifted.select(*by, F.col(other), F.explode(images).alias(axis),
-                               (F.col(value) * F.col("__tap.w")).alias(value),
-                               *(["__rows", "__cols"]))
-                .groupBy(*by, "row", "col").agg(F.sum(value).alias(value), F.first("__rows").alias("__rows"),
-                                                F.first("__cols").alias("__cols")))
-
-    filled = cells.select(*by, "row", "col", F.coalesce(F.col(value), F.lit(0.0)).alias(value),
-                          rows.cast("long").alias("__rows"), cols.cast("long").alias("__cols"))
-    once = spread(filled, "col", F.col("__cols"))
-    return spread(once, "row", F.col("__rows")).drop("__rows", "__cols")
+    schema = T.StructType([*[cells.schema[c] for c in by], T.StructField("row", T.LongType()),
+                           T.StructField("col", T.LongType()), T.StructField(value, T.DoubleType())])
+
+    def tiles_of(index: Column, n: Column) -> Column:
+        low = F.floor(F.greatest(index - reach, F.lit(0)) / tile)
+        return F.explode(F.sequence(low, F.floor(F.least(index + reach, n - 1) / tile)))
+
+    def mirrored(index: np.ndarray, n: int) -> np.ndarray:
+        folded = np.mod(index, 2 * n)
+        return np.where(folded < n, folded, 2 * n - 1 - folded)
+
+    def blur(key, pdf):
+        tile_row, tile_col, n_rows, n_cols = (int(k) for k in key[len(by):])
+        top, left = tile_row * tile, tile_col * tile
+        height, width = min(tile, n_rows - top), min(tile, n_cols - left)
+        halo = np.zeros((height + 2 * reach, width + 2 * reach))
+        halo[pdf["row"].to_numpy() - top + reach, pdf["col"].to_numpy() - left + reach] = pdf[value].to_numpy()
+        r = mirrored(np.arange(top - reach, top + height + reach), n_rows) - top + reach
+        c = mirrored(np.arange(left - reach, left + width + reach), n_cols) - left + reach
+        out = _blur_tile(halo[np.ix_(r, c)], kernel)
+        rr, cc = np.mgrid[top:top + height, left:left + width]
+        fixed = {name: key[i] for i, name in enumerate(by)}
+        return pd.DataFrame({**fixed, "row": rr.ravel(), "col": cc.ravel(), value: out.ravel()})
+
+    spread = (cells.select(*by, "row", "col", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value),
+                           rows.cast("long").alias("__rows"), cols.cast("long").alias("__cols"))
+              .withColumn("__tr", tiles_of(F.col("row"), F.col("__rows")))
+              .withColumn("__tc", tiles_of(F.col("col"), F.col("__cols"))))
+    return spread.groupBy(*by, "__tr", "__tc", "__rows", "__cols").applyInPandas(blur, schema)
 
 
 def non_decreasing(series: DataFrame, keys: Sequence[str], year: str, value: str, low: float = 0.0,

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.geo import mercator_x, mercator_y, ray_crosses, segment_distance
-from .keyed import join_keys
 
 
 def unit_boxes(edges: DataFrame, unit: str = "unit_id") -> DataFrame:
@@ -28,31 +27,44 @@ def boxes_meeting(boxes: DataFrame, min_x: float, min_y: float, max_x: float, ma
                         & (F.col("max_y") >= min_y) & (F.col("min_y") <= max_y))
 
 
+def _odd_crossings(candidates: DataFrame, bands: DataFrame, x: str, y: str, unit: str) -> DataFrame:
+    """(x, y, unit) pairs whose eastward ray crosses the unit's outline an odd number of times;
+    only edges in the point's latitude band can be crossed."""
+    crosses = ray_crosses(*[F.col(c) for c in (x, y, "x1", "y1", "x2", "y2")])
+    return (candidates.join(bands, [unit, "__ty"]).filter(crosses)
+            .groupBy(x, y, unit, "__tx", "__ty").agg(F.count(F.lit(1)).alias("__n"))
+            .filter(F.col("__n") % 2 == 1).drop("__n"))
+
+
 def points_in_units(points: DataFrame, edges: DataFrame, x: str, y: str, tile: float = 1.0,
                     unit: str = "unit_id") -> DataFrame:
     """(x, y, unit) of every distinct point that lies inside a unit.
 
-    Distinct points only, since windows of many steps repeat the same coordinates. A point
-    meets a unit through the tiles of the unit's box, and then only those of its edges whose
-    latitude band the eastward ray can cross; an odd number of crossings means inside.
+    Distinct points only, since windows of many steps repeat the same coordinates. Tiles of a
+    unit that no edge touches lie wholly inside or outside, so their centre is tested once and
+    their points follow by an equi-join; only points in outline tiles are tested themselves.
     """
     size = F.lit(float(tile))
-    boxes = unit_boxes(edges, unit)
-    tiled = (boxes
-             .withColumn("__tx", F.explode(F.sequence(F.floor(F.col("min_x") / size), F.floor(F.col("max_x") / size))))
-             .withColumn("__ty", F.explode(F.sequence(F.floor(F.col("min_y") / size), F.floor(F.col("max_y") / size)))))
+
+    def span(low, high):
+        return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+
+    tiles = (unit_boxes(edges, unit).withColumn("__tx", span(F.col("min_x"), F.col("max_x")))
+             .withColumn("__ty", span(F.col("min_y"), F.col("max_y"))).select(unit, "__tx", "__ty"))
+    bands = edges.select(unit, "x1", "y1", "x2", "y2", span(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("__ty"))
+    touched = (bands.withColumn("__tx", span(F.least("x1", "x2"), F.greatest("x1", "x2")))
+               .select(unit, "__tx", "__ty").distinct().withColumn("__edge", F.lit(True)))
+    marked = tiles.join(touched, [unit, "__tx", "__ty"], "left")
+    centres = marked.filter(F.col("__edge").isNull()).select(
+        unit, "__tx", "__ty", ((F.col("__tx") + 0.5) * size).alias(x), ((F.col("__ty") + 0.5) * size).alias(y))
+    whole = _odd_crossings(centres, bands, x, y, unit).select(unit, "__tx", "__ty")
+    useful = (whole.withColumn("__edge", F.lit(False))
+              .unionByName(marked.filter("__edge").select(unit, "__tx", "__ty", "__edge")))
     distinct = (points.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
                 .withColumn("__tx", F.floor(F.col(x) / size)).withColumn("__ty", F.floor(F.col(y) / size)))
-    candidates = (distinct.join(tiled, ["__tx", "__ty"])
-                  .filter(F.col(x).between(F.col("min_x"), F.col("max_x"))
-                          & F.col(y).between(F.col("min_y"), F.col("max_y")))
-                  .select(x, y, unit, "__ty"))
-    banded = edges.select(unit, "x1", "y1", "x2", "y2", F.explode(F.sequence(
-        F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))).alias("__ty"))
-    crosses = ray_crosses(*[F.col(c) for c in (x, y, "x1", "y1", "x2", "y2")])
-    return (candidates.join(banded, [unit, "__ty"]).filter(crosses)
-            .groupBy(x, y, unit).agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") % 2 == 1).drop("__n"))
+    placed = distinct.join(useful, ["__tx", "__ty"])
+    tested = _odd_crossings(placed.filter("__edge").drop("__edge"), bands, x, y, unit)
+    return placed.filter("not __edge").select(x, y, unit).unionByName(tested.select(x, y, unit))
 
 
 def mask_points(points: DataFrame, record_units: DataFrame, edges: DataFrame, record: str, x: str, y: str,
@@ -166,47 +178,70 @@ def track_segments(points: DataFrame, key: str, seq: str, x: str, y: str) -> Dat
             .withColumn("x2", F.coalesce("x2", "x1")).withColumn("y2", F.coalesce("y2", "y1")))
 
 
-def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cell: float = 200_000.0,
+def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cells: Sequence[float] = (4e6, 2e5),
                  out: str = "distance") -> DataFrame:
     """Smallest distance between two sets of planar segments per key; 0 when a point of the
     track lies inside the outline.
 
-    Branch and bound instead of all pairs: segments are summed up as boxes per coarse cell of
-    their first point, box pairs that cannot beat the best guaranteed distance are dropped, and
-    only segments of the surviving boxes meet. The number of boxes of a key is bounded by the
-    cells of the map, not by its segments.
+    Branch and bound over ever finer cells instead of all pairs: segments are summed up as one
+    box per cell, box pairs that cannot beat the best distance guaranteed so far are dropped,
+    and only what lies in the surviving pairs is looked at in the next level. The coarsest
+    level has about a hundred cells on the whole map, which bounds the pairs of a key.
     """
-    def boxed(df: DataFrame, mark: str) -> tuple[DataFrame, DataFrame]:
-        celled = (df.select(key, "x1", "y1", "x2", "y2")
-                  .withColumn(f"cx{mark}", F.floor(F.col("x1") / cell))
-                  .withColumn(f"cy{mark}", F.floor(F.col("y1") / cell)))
-        boxes = celled.groupBy(key, f"cx{mark}", f"cy{mark}").agg(
-            F.min(F.least("x1", "x2")).alias(f"l{mark}"), F.max(F.greatest("x1", "x2")).alias(f"r{mark}"),
-            F.min(F.least("y1", "y2")).alias(f"b{mark}"), F.max(F.greatest("y1", "y2")).alias(f"t{mark}"))
-        return celled, boxes
-
-    track_cells, track_boxes = boxed(tracks, "a")
-    outline_cells, outline_boxes = boxed(outlines, "b")
+    def celled(df: DataFrame, mark: str) -> DataFrame:
+        ends = df.select(key, *[F.col(c).alias(f"{c}{mark}") for c in ("x1", "y1", "x2", "y2")])
+        for level, size in enumerate(cells):
+            ends = ends.withColumns({f"cx{mark}{level}": F.floor(F.col(f"x1{mark}") / size),
+                                     f"cy{mark}{level}": F.floor(F.col(f"y1{mark}") / size)})
+        return ends
+
+    def cell_keys(mark: str, levels: range) -> list[str]:
+        return [f"{axis}{mark}{level}" for level in levels for axis in ("cx", "cy")]
+
+    def finest(df: DataFrame, mark: str) -> DataFrame:
+        return df.groupBy(key, *cell_keys(mark, range(len(cells)))).agg(
+            F.min(F.least(f"x1{mark}", f"x2{mark}")).alias(f"l{mark}"),
+            F.max(F.greatest(f"x1{mark}", f"x2{mark}")).alias(f"r{mark}"),
+            F.min(F.least(f"y1{mark}", f"y2{mark}")).alias(f"b{mark}"),
+            F.max(F.greatest(f"y1{mark}", f"y2{mark}")).alias(f"t{mark}"))
+
+    def merged(fine: DataFrame, mark: str, level: int) -> DataFrame:
+        if level == len(cells) - 1:
+            return fine
+        return fine.groupBy(key, *cell_keys(mark, range(level + 1))).agg(
+            F.min(f"l{mark}").alias(f"l{mark}"), F.max(f"r{mark}").alias(f"r{mark}"),
+            F.min(f"b{mark}").alias(f"b{mark}"), F.max(f"t{mark}").alias(f"t{mark}"))
+
     gap_x = F.greatest(F.col("la") - F.col("rb"), F.col("lb") - F.col("ra"), F.lit(0.0))
     gap_y = F.greatest(F.col("ba") - F.col("tb"), F.col("bb") - F.col("ta"), F.lit(0.0))
     far_x = F.greatest(F.col("ra") - F.col("lb"), F.col("rb") - F.col("la"))
     far_y = F.greatest(F.col("ta") - F.col("bb"), F.col("tb") - F.col("ba"))
-    pairs = (track_boxes.join(outline_boxes, key)
-             .withColumn("__low", F.sqrt(gap_x * gap_x + gap_y * gap_y))
-             .withColumn("__high", F.sqrt(far_x * far_x + far_y * far_y)))
-    best = pairs.groupBy(key).agg(F.min("__high").alias("__best"))
-    near = (join_keys(pairs, best, [key]).filter(F.col("__low") <= F.col("__best"))
-            .select(key, "cxa", "cya", "cxb", "cyb"))
-    a = track_cells.withColumnsRenamed({c: f"{c}a" for c in ("x1", "y1", "x2", "y2")})
-    b = outline_cells.withColumnsRenamed({c: f"{c}b" for c in ("x1", "y1", "x2", "y2")})
-    met = near.join(a, [key, "cxa", "cya"]).join(b, [key, "cxb", "cyb"])
+    a, b = celled(tracks, "a"), celled(outlines, "b")
+    fine_a, fine_b = finest(a, "a"), finest(b, "b")
+    near = None
+    for level in range(len(cells)):
+        upper = range(level)
+        left, right = merged(fine_a, "a", level), merged(fine_b, "b", level)
+        if near is None:
+            pairs = left.join(right, key)
+        else:
+            pairs = near.join(left, [key, *cell_keys("a", upper)]).join(right, [key, *cell_keys("b", upper)])
+        pairs = (pairs.withColumn("__low", F.sqrt(gap_x * gap_x + gap_y * gap_y))
+                 .withColumn("__high", F.sqrt(far_x * far_x + far_y * far_y)))
+        # The pairs of a key left at a level are few: dozens at first, then the near-best ones.
+        best = F.min("__high").over(Window.partitionBy(key))
+        near = (pairs.withColumn("__best", best).filter(F.col("__low") <= F.col("__best"))
+                .select(key, *cell_keys("a", range(level + 1)), *cell_keys("b", range(level + 1))))
+    every = range(len(cells))
+    met = near.join(a, [key, *cell_keys("a", every)]).join(b, [key, *cell_keys("b", every)])
     ends = [tuple(F.col(c + m) for c in ("x1", "y1", "x2", "y2")) for m in "ab"]
     between = met.groupBy(key).agg(F.min(segment_distance(*ends)).alias("__d"))
 
-    starts = tracks.select(F.col(key), F.col("x1").alias("__px"), F.col("y1").alias("__py")).distinct()
+    size = cells[-1]
+    starts = tracks.select(key, F.col("x1").alias("__px"), F.col("y1").alias("__py")).distinct()
     bands = outlines.select(key, "x1", "y1", "x2", "y2", F.explode(F.sequence(
-        F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))).alias("__band"))
-    crossing = starts.withColumn("__band", F.floor(F.col("__py") / cell)).join(bands, [key, "__band"])
+        F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))).alias("__band"))
+    crossing = starts.withColumn("__band", F.floor(F.col("__py") / size)).join(bands, [key, "__band"])
     inside = (crossing.filter(ray_crosses(*[F.col(c) for c in ("__px", "__py", "x1", "y1", "x2", "y2")]))
               .groupBy(key, "__px", "__py").agg(F.count(F.lit(1)).alias("__n"))
               .filter(F.col("__n") % 2 == 1).select(key).distinct().withColumn("__in", F.lit(True)))

@@ -27,10 +27,8 @@ def light_population_weight(light: Column, population: Column, m: float = 1.0, n
 def asset_layer(light: DataFrame, population: DataFrame, zones: DataFrame, totals: DataFrame,
                 row_offset: int = 0, m: float = 1.0, n: float = 1.0) -> DataFrame:
     """Assets per (year, row, col). Layers hold (year, row, col, value); zones (row, col, value)."""
-    years = light.select("year").distinct()
-    # A yearly layer has one row per year here: a few dozen values repeat the static zone grid.
-    zone_years = zones.join(F.broadcast(years))
-    stacked = stack_layers(light, {"population": population, "zone": zone_years}, ["year"], row_offset)
+    stacked = stack_layers(light, {"population": population}, ["year"], row_offset)
+    stacked = stacked.join(zones.select("row", "col", F.col("value").alias("zone")), ["row", "col"], "left")
     weight = light_population_weight(F.col("value"), F.col("population"), m, n)
     known = totals.filter("is_missing = 0").select("year", F.col("country_id").alias("zone"), "gdp")
     return disaggregate(stacked, known, weight, "gdp", "zone", ["year"])
