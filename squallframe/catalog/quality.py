@@ -11,11 +11,9 @@ from ..operators.allocation import diagnose_zero_weight
 from ..operators.keyed import hash_sample, with_scalars
 from ..operators.quantiles import exact_quantiles
 from ..operators.spatial import points_in_units
-from ..plans import assets, attribution
 from . import frames as fr
-from .aggregates import AUDIT, PAID, _rounded, audit, losses, paid_cells
+from .aggregates import AUDIT, PAID, WINDOW_EVENTS, _rounded, audit, losses, window_events
 from .joins import FLOODS, LINKED, SHIP_EVENTS, floods, ship_events
-from .aggregates import WINDOW_EVENTS, window_events
 from .base import R, big, n_rows, query, rounded
 
 

@@ -34,13 +34,18 @@ def days_in_year(year: Column) -> Column:
     return F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
 
 
+def date_of(year: Column, month: Column, day: Column) -> Column:
+    """Calendar date of its parts; impossible dates are NULL instead of failing the job."""
+    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+
+
 def imputed_start(year: Column, month: Column, day: Column) -> Column:
-    return F.make_date(year, month, F.coalesce(day, F.lit(1)))
+    return date_of(year, month, F.coalesce(day, F.lit(1)))
 
 
 def imputed_end(year: Column, month: Column, day: Column) -> Column:
-    first = F.make_date(year, month, F.lit(1))
-    return F.when(day.isNull(), F.last_day(first)).otherwise(F.make_date(year, month, day))
+    return F.when(day.isNull(), F.last_day(date_of(year, month, F.lit(1)))).otherwise(date_of(year, month, day))
 
 
 def overlap_days(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

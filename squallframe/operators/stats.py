@@ -22,11 +22,15 @@ def agreement(a: Column, b: Column, min_pairs: int = 3) -> list[Column]:
 
 
 def safe_corr(x: Column, y: Column, min_pairs: int = 3) -> Column:
-    """Correlation; NULL for too few pairs or a constant side."""
+    """Correlation; NULL for too few pairs or a constant side.
+
+    Written out, because ``corr`` itself divides by zero on a constant side in ANSI mode.
+    """
     both = x.isNotNull() & y.isNotNull()
-    u, v = F.when(both, x), F.when(both, y)
-    enough = (F.count(u) >= min_pairs) & (F.min(u) < F.max(u)) & (F.min(v) < F.max(v))
-    return F.when(enough, F.corr(u, v))
+    u, v = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.stddev_pop(u) * F.stddev_pop(v)
+    enough = (F.count(u) >= min_pairs) & (F.min(u) < F.max(u)) & (F.min(v) < F.max(v)) & (spread > 0)
+    return F.when(enough, F.covar_pop(u, v) / spread)
 
 
 def sigma_flags(df: DataFrame, keys: Sequence[str], value: str, sigmas: float = 3.0,
@@ -55,8 +59,12 @@ def coverage(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def line_fit(x: Column, y: Column) -> list[Column]:
-    """Least-squares line as aggregates."""
-    return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(x).alias("n")]
+    """Least-squares line as aggregates; NULL when all x are equal."""
+    both = x.isNotNull() & y.isNotNull()
+    u, v = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.var_pop(u)
+    slope = F.when(spread > 0, F.covar_pop(u, v) / spread)
+    return [slope.alias("slope"), (F.avg(v) - slope * F.avg(u)).alias("intercept"), F.count(u).alias("n")]
 
 
 def top_share_masks(cells: DataFrame, keys: Sequence[str], a: str, b: str, q: float = 0.1,

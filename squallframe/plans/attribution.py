@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import allocation as al
 from ..operators.matching import match_audit, match_records, prepare_records, same_day_steps, storm_lives
 from ..operators.spatial import points_in_units, resolve_units
+from ..session import reuse
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,10 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
     """
     prepared = prepare_records(records, pad_days)
     storms = storm_lives(track_points, carry=("storm_name",))
-    matches = match_records(prepared, storms)
+    # Matches feed the audit, the cells and the summary, so names are scored once.
+    matches = reuse(match_records(prepared, storms))
     sources, record_units = resolve_units(prepared, units, lookup)
-    audit = match_audit(prepared, matches, sources)
+    audit = reuse(match_audit(prepared, matches, sources))
 
     payable = audit.filter("status_prealloc = 'matched'").select("rec_id", "pad_start", "pad_end", "country_id")
     chosen = matches.filter("selected").select("rec_id", "storm_id")
@@ -53,7 +55,8 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
     else:
         masked = masked.withColumn("share", F.lit(0.0))
     mask = F.coalesce("__in", "share", F.lit(0.0))
-    weighted = al.cell_weights(masked, mask, F.col("hazard"), F.col("asset"), F.col("same_day"))
+    weighted = reuse(al.cell_weights(masked, mask, F.col("hazard"), F.col("asset"), F.col("same_day"))
+                     .select("rec_id", "storm_id", "step", "wi", "wj", "p"))
 
     losses = audit.withColumn("loss_usd", F.when(F.col("status_prealloc") != "missing_loss", F.col("loss_usd")))
     paid = al.allocate(losses.select("rec_id", "loss_usd"), weighted, "rec_id", "loss_usd")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,17 +28,26 @@ def build_session(app: str = "squallframe", master: str | None = None,
     return builder.getOrCreate()
 
 
-def cut_lineage(df, temp_dir: str | None = None):
-    """Reliable checkpoint in the folder the cluster names (``spark.checkpoint.dir``).
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names for checkpoints, if any."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
-    A checkpoint survives the loss of executors. Only where the cluster names no folder is
-    ``temp_dir`` used, which is meant for tests.
+
+def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Reliable checkpoint, which survives the loss of executors.
+
+    ``fallback`` is a folder to use where the cluster names none, as in tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
+    folder = checkpoint_folder(df.sparkSession) or fallback
+    if folder is None:
+        raise ValueError("no checkpoint folder: set spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or temp_dir
-        if folder is None:
-            return df
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """A frame several branches read: checkpointed where the cluster has a folder for it, else
+    cached (lost blocks are computed again)."""
+    return cut_lineage(df) if checkpoint_folder(df.sparkSession) else df.persist()

@@ -32,6 +32,8 @@ def test_imputed_dates_in_a_leap_year(spark):
               cal.imputed_end(F.lit(2012), F.lit(2), F.lit(None).cast("int")).alias("b"),
               cal.imputed_end(F.lit(2013), F.lit(2), F.lit(3)).alias("c"))
     assert (row.a, row.b, row.c) == (dt.date(2012, 2, 1), dt.date(2012, 2, 29), dt.date(2013, 2, 3))
+    bad = one(spark, cal.date_of(F.lit(2013), F.lit(2), F.lit(30)), cal.date_of(F.lit(None), F.lit(2), F.lit(3)))
+    assert tuple(bad) == (None, None)
 
 
 def test_dates_in_three_layouts(spark):
