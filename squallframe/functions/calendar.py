@@ -36,8 +36,8 @@ def days_in_year(year: Column) -> Column:
 
 def date_of(year: Column, month: Column, day: Column) -> Column:
     """Calendar date of its parts; impossible dates are NULL instead of failing the job."""
-    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+    first = F.when(month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, (day - 1).cast("int")))
 
 
 def imputed_start(year: Column, month: Column, day: Column) -> Column:

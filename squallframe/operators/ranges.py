@@ -25,11 +25,13 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     """Pairs whose inclusive date spans meet, with the number of shared days.
 
     Both sides are spread over the calendar months they touch, so the join has an equi key; a
-    pair that shares several months is kept only in the first of them.
+    pair that shares several months is kept only in the first of them. The merge join spills
+    and lets adaptive execution split a busy month; a broadcast here would leave all matching
+    to the few tasks of the other side.
     """
     l = _months(left, *left_span, "l")
     r = _months(right, *right_span, "r")
-    pairs = l.join(r, [*keys, "__month"]).filter(
+    pairs = l.join(r.hint("merge"), [*keys, "__month"]).filter(
         (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(left_span[1]) >= F.col(right_span[0]))
         & (F.col("__month") == F.greatest("__first_l", "__first_r")))
     days = overlap_days(*[F.col(c) for c in (*left_span, *right_span)])
