@@ -273,3 +273,73 @@ def _(t):
     limit = raster.high_latitude_threshold(sized, F.col("lat"), "v").select("threshold")
     value, rule = raster.denoised(F.col("v"), F.col("lat"), F.col("threshold"))
     return with_scalars(sized, limit).groupBy(F.coalesce(rule, F.lit("kept")).alias("rule")).agg(n_rows(), rounded(F.sum(value), 4).alias("total"))
+
+
+@query("q13_footprint_verdict", f"""
+WITH e AS (SELECT o_orderkey AS k, o_custkey % 25 AS iso, (o_totalprice / 1000) AS km FROM orders), f AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 25 AS iso FROM lineitem WHERE l_quantity > 20),
+m AS (SELECT count(*) FILTER (k IN (SELECT k FROM f)) / count(*) AS i, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE f.k = e.k AND f.iso = e.iso)) / count(*) AS p,
+             avg(CAST(km <= 25 AS INTEGER)) AS h, quantile_cont(km, 0.95) AS d FROM e)
+SELECT {R('i')} AS id_rate, {R('p')} AS pair_rate, {R('h')} AS hit_rate, {R('d', 4)} AS p95_km, CASE WHEN i < 0.6 OR p < 0.4 THEN 'FAIL' WHEN h < 0.5 OR d > 500 THEN 'WARN' ELSE 'PASS' END AS status,
+  concat_ws(';', CASE WHEN i < 0.6 THEN 'id_match_rate_low' END, CASE WHEN p < 0.4 THEN 'pair_match_rate_low' END) AS fail_reasons,
+  concat_ws(';', CASE WHEN h < 0.5 THEN 'hit_rate_low' END, CASE WHEN d > 500 THEN 'distance_p95_high' END) AS warn_reasons FROM m""")
+def _(t):
+    prints = t.lineitem.filter("l_quantity > 20").select(F.col("l_orderkey").alias("disno"), (F.col("l_suppkey") % 25).alias("iso"))
+    events = t.orders.select(F.col("o_orderkey").alias("disno"), (F.col("o_custkey") % 25).alias("iso"), F.year("o_orderdate").alias("year"),
+                             (F.col("o_totalprice") / 1000).alias("km"))
+    rates = external.footprint_matches(events, prints).filter("year_label = 'ALL'").select("id_rate", "pair_rate")
+    hits = external.distance_hits(events, "km", []).select("hit_rate")
+    p95 = exact_quantiles(events, [], "km", {"p95_km": 0.95})
+    return _rounded(external.footprint_verdict(with_scalars(with_scalars(rates, hits), p95)), p95_km=rounded("p95_km", 4))
+
+
+@query("q14_sample_rain_metrics", f"""WITH {fr.GRID}, c AS (SELECT "row", "value" AS a, CASE WHEN "col" % 9 <> 4 THEN signed END AS b, CASE WHEN "row" % 2 = 0 THEN "col" % 3 END AS k FROM grid),
+p AS (SELECT *, CASE WHEN b IS NOT NULL THEN a END AS pa FROM c),
+m AS (SELECT *, coalesce(pa >= quantile_cont(pa, 0.9) OVER w, FALSE) AS a1, coalesce(b >= quantile_cont(b, 0.9) OVER w, FALSE) AS b1,
+             coalesce(pa >= quantile_cont(pa, 0.8) OVER w, FALSE) AS a2, coalesce(b >= quantile_cont(b, 0.8) OVER w, FALSE) AS b2 FROM p WINDOW w AS (PARTITION BY "row"))
+SELECT "row", CASE WHEN count(k) > 0 THEN {R('avg(CAST(k > 0 AS INTEGER))')} ELSE {R('avg(CAST(b IS NOT NULL AS INTEGER))')} END AS coverage, count(b) AS n, {R('avg(pa - b)')} AS bias, {R('avg(abs(pa - b))')} AS mae,
+  {R('sqrt(avg((pa - b) * (pa - b)))')} AS rmse, {R('max(abs(pa - b))')} AS max_abs, {R('corr(pa, b)')} AS corr,
+  {R('count(*) FILTER (a1 AND b1) / count(*) FILTER (a1 OR b1)')} AS top10, {R('count(*) FILTER (a2 AND b2) / count(*) FILTER (a2 OR b2)')} AS top20 FROM m GROUP BY 1""")
+def _(t):
+    cells = fr.grid(t).withColumn("b", F.when(F.col("col") % 9 != 4, F.col("signed"))).withColumn(
+        "k", F.when(F.col("row") % 2 == 0, F.col("col") % 3))
+    return _rounded(external.sample_rain_metrics(cells, ["row"], "value", "b", "k"))
+
+
+@query("q14_rain_verdict", f"""WITH {WINDOW_EVENTS}, d AS (SELECT event, "day", sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY 1, 2),
+x AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY a DESC, "day") = 1), y AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY b DESC, "day") = 1),
+l AS (SELECT quantile_cont(abs(x."day" - y."day"), 0.5) AS lag FROM x JOIN y USING (event)), c AS (SELECT corr(a, b) AS c FROM (SELECT sum(a) AS a, sum(b) AS b FROM d GROUP BY event))
+SELECT {R('c')} AS event_corr, {R('lag')} AS median_lag, CASE WHEN c <= 0 AND lag > 3 THEN 'FAIL' ELSE 'WARN' END AS status, CASE WHEN c <= 0 AND lag > 3 THEN 'events_disagree' ELSE '' END AS fail_reasons,
+  concat_ws(';', 'coverage_partial', 'corr_low', CASE WHEN c > 0 AND c < 0.3 THEN 'event_corr_low' END, CASE WHEN lag > 1 THEN 'peak_lag_high' END) AS warn_reasons FROM l, c""")
+def _(t):
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    events = external.rain_agreement(means, "event", "day", "ours", "theirs")
+    totals = events.agg(stats.safe_corr(F.col("total_ours"), F.col("total_theirs")).alias("event_corr"))
+    lag = exact_quantiles(events.select(F.abs("peak_lag").alias("lag")), [], "lag", {"median_lag": 0.5})
+    fixed = {"min_coverage": 0.97, "median_corr": 0.2, "median_top10": 0.1, "median_top20": 0.3}
+    rows = with_scalars(totals, lag).withColumns({k: F.lit(v) for k, v in fixed.items()})
+    return _rounded(external.rain_verdict(rows).drop(*fixed))
+
+
+@query("q15_flood_link_verdict", f"""WITH {FLOODS}, {SHIP_EVENTS}, l AS ({LINKED}),
+r AS (SELECT "year", count(*) FILTER (event_key IN (SELECT event_key FROM l WHERE main_cause = ' Tropical Cyclone')) / count(*) AS rate FROM evts GROUP BY 1)
+SELECT CAST("year" AS VARCHAR) AS year_label, {R('rate')} AS rate_strict, CASE WHEN rate < 0.01 THEN 'FAIL' WHEN "year" % 2 = 0 THEN 'WARN' ELSE 'PASS' END AS status FROM r""")
+def _(t):
+    events = ship_events(t)
+    rates = external.link_rates(events, {"strict": external.link_floods(events, floods(t), external.STRICT_CAUSES)}, "event_key", "year")
+    judged = external.flood_link_verdict(
+        rates.filter("year_label <> 'ALL'").withColumn("median_overlap", F.when(F.col("year_label").cast("int") % 2 == 1, F.lit(0.3)))
+        .withColumn("median_corr", F.lit(0.1)))
+    return _rounded(judged.select("year_label", "rate_strict", "status"))
+
+
+@query("q16_footprint_case_verdict", """
+WITH c AS (SELECT c_custkey, c_custkey % 9 - 4 AS lag, (c_custkey % 20) / 100.0::DOUBLE AS iou, (c_custkey % 30) / 100.0::DOUBLE AS recall, CASE WHEN c_custkey % 6 <> 0 THEN c_acctbal / 15 END AS km FROM customer),
+f AS (SELECT *, coalesce(km > 500, FALSE) AS f1, iou < 0.05::DOUBLE AND recall < 0.10::DOUBLE AS f2 FROM c)
+SELECT c_custkey, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN abs(lag) > 3 OR coalesce(km > 100, FALSE) OR iou < 0.10::DOUBLE THEN 'WARN' ELSE 'PASS' END AS status,
+  concat_ws(';', CASE WHEN f1 THEN 'distance_too_large' END, CASE WHEN f2 THEN 'overlap_too_low' END) AS fail_reasons,
+  CASE WHEN f1 OR f2 THEN '' ELSE concat_ws(';', CASE WHEN abs(lag) > 3 THEN 'peak_lag_gt_3d' END, CASE WHEN km > 100 THEN 'distance_gt_100km' END, CASE WHEN iou < 0.10::DOUBLE THEN 'iou_low' END) END AS warn_reasons FROM f""")
+def _(t):
+    k = F.col("c_custkey")
+    cases = t.customer.select("c_custkey", (k % 9 - 4).alias("lag"), ((k % 20) / 100.0).alias("iou"), ((k % 30) / 100.0).alias("recall"),
+                              F.when(k % 6 != 0, F.col("c_acctbal") / 15).alias("distance_km"))
+    return external.footprint_case_verdict(cases).select("c_custkey", "status", "fail_reasons", "warn_reasons")

@@ -57,3 +57,11 @@ def release_decision(level: Column, status: Column) -> Column:
     gate = F.coalesce(F.bool_or(level.isin("L0", "L1", "L4", "L5") & (status == "FAIL")), F.lit(False))
     warn = F.coalesce(F.bool_or(status == "WARN"), F.lit(False))
     return (F.when(gate, F.lit("No Go")).when(warn, F.lit("Conditional Go")).otherwise(F.lit("Go")))
+
+
+def verdict(fails: dict[str, Column], warns: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """Status and the two reason texts of named conditions; an unknown condition does not hold."""
+    def named(rules):
+        return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    failed, warned = named(fails), named(warns)
+    return from_counts(F.size(failed), F.size(warned)), F.array_join(failed, ";"), F.array_join(warned, ";")

@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.calendar import days_in_year
 from .keyed import first_per_key, join_keys, per_year_and_all
 from .ranges import distance_join, overlap_join
-from .stats import mask_overlap, safe_corr, top_share_masks
+from .stats import agreement, mask_overlap, safe_corr, top_share_masks
 
 # Flood causes counted as storm-made, strictly and broadly, and the thresholds.
 STRICT_CAUSES = ("tropical cyclone",)
@@ -164,3 +164,63 @@ def snap_to_grid(cells: DataFrame, event: str, day: str, step: str, lat: str, lo
     per_day = snapped.groupBy(event, day, "grid_i", "grid_j").agg(F.sum(value).alias("__v"))
     return (join_keys(per_day, steps, [event, day])
             .groupBy(event, "grid_i", "grid_j").agg(F.sum(F.col("__v") / F.col("__steps")).alias(value)))
+
+
+def with_verdict(df: DataFrame, fails: dict[str, Column], warns: dict[str, Column]) -> DataFrame:
+    status, failed, warned = st.verdict(fails, warns)
+    return df.withColumn("status", status).withColumn("fail_reasons", failed).withColumn("warn_reasons", warned)
+
+
+def footprint_verdict(totals: DataFrame) -> DataFrame:
+    """Verdict on id_rate, pair_rate, hit_rate and p95_km over all years."""
+    return with_verdict(totals, {
+        "id_match_rate_low": F.col("id_rate") < 0.60, "pair_match_rate_low": F.col("pair_rate") < 0.40,
+        "match_rates_missing": F.col("id_rate").isNull()}, {
+        "hit_rate_low": F.col("hit_rate") < 0.50, "distance_p95_high": F.col("p95_km") > 500.0,
+        "distance_sample_empty": F.col("hit_rate").isNull()})
+
+
+def sample_rain_metrics(cells: DataFrame, keys: Sequence[str], ours: str, theirs: str, counted: str | None = None) -> DataFrame:
+    """Agreement of two rain windows per sample, the overlap of their strongest tenth and fifth,
+    and the share of cells with data (by the source's own counts where it has any)."""
+    from_pairs = F.avg((F.col(ours).isNotNull() & F.col(theirs).isNotNull()).cast("double"))
+    covered = from_pairs
+    if counted is not None:
+        covered = F.when(F.count(counted) > 0, F.avg(F.coalesce(F.col(counted) > 0, F.lit(False)).cast("double"))).otherwise(from_pairs)
+    out = cells.groupBy(*keys).agg(covered.alias("coverage"), *agreement(F.col(ours), F.col(theirs)))
+    for name, q in (("top10", 0.1), ("top20", 0.2)):
+        overlap = mask_overlap(top_share_masks(cells, keys, ours, theirs, q), keys)
+        out = join_keys(out, overlap.select(*keys, F.col("iou").alias(name)), keys, "left")
+    return out
+
+
+def rain_verdict(totals: DataFrame) -> DataFrame:
+    """Verdict on the lowest coverage, the yearly medians of corr, top10 and top20, the event
+    correlation and the median absolute peak lag."""
+    corr, event = F.col("median_corr"), F.col("event_corr")
+    return with_verdict(totals, {
+        "coverage_low": F.col("min_coverage") < 0.95, "coverage_missing": F.col("min_coverage").isNull(),
+        "rain_disagrees": (corr <= 0) & (F.col("median_top10") < 0.05),
+        "events_disagree": (event <= 0) & (F.col("median_lag") > 3)}, {
+        "coverage_partial": F.col("min_coverage").between(0.95, 1.0) & (F.col("min_coverage") < 1.0),
+        "corr_low": (corr > 0) & (corr < 0.30), "top20_low": F.col("median_top20") < 0.15,
+        "samples_empty": corr.isNull() & F.col("median_top20").isNull(),
+        "event_corr_low": (event > 0) & (event < 0.30), "peak_lag_high": F.col("median_lag") > 1})
+
+
+def flood_link_verdict(totals: DataFrame) -> DataFrame:
+    """Verdict on the strict link rate and the medians of flood overlap and duration correlation."""
+    return with_verdict(totals, {
+        "link_rate_low": F.col("rate_strict") < 0.01,
+        "overlap_low": (F.col("median_overlap") < 0.05) & (F.col("median_corr") <= 0)}, {
+        "overlap_missing": F.col("median_overlap").isNull()})
+
+
+def footprint_case_verdict(cases: DataFrame) -> DataFrame:
+    """Case verdict of the flood comparison: lag, iou, recall and distance_km. Warnings count
+    only where nothing fails."""
+    km, iou = F.col("distance_km"), F.col("iou")
+    fails = {"distance_too_large": km > 500, "overlap_too_low": (iou < 0.05) & (F.col("recall") < 0.10)}
+    sound = ~(F.coalesce(km > 500, F.lit(False)) | F.coalesce((iou < 0.05) & (F.col("recall") < 0.10), F.lit(False)))
+    return with_verdict(cases, fails, {
+        "peak_lag_gt_3d": sound & (F.abs("lag") > 3), "distance_gt_100km": sound & (km > 100), "iou_low": sound & (iou < 0.10)})
