@@ -47,15 +47,15 @@ def _(t):
 
 
 @query("q4_stage_drift", """
-WITH a AS (SELECT user_id, event_type, max(event_id) % 3 AS kind FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
-b AS (SELECT user_id, event_type, max(event_id) % 3 AS kind FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2)
+WITH a AS (SELECT user_id, event_type, max(event_id) % 3 AS kind FROM events WHERE "value" > 60 GROUP BY 1, 2),
+b AS (SELECT user_id, event_type, max(event_id) % 3 AS kind FROM events WHERE "value" < 90 GROUP BY 1, 2)
 SELECT user_id, event_type, a.kind AS kind_before, b.kind AS kind_after,
        CASE WHEN b.kind IS NULL THEN 'missing_in_after' WHEN a.kind IS NULL THEN 'extra_in_after' ELSE 'changed' END AS issue
 FROM a FULL JOIN b USING (user_id, event_type) WHERE a.kind IS DISTINCT FROM b.kind""")
 def _(t):
     def stage(condition):
         return t.events.filter(condition).groupBy("user_id", "event_type").agg((F.max("event_id") % 3).alias("kind"))
-    return quality.stage_drift(stage("event_id % 2 = 0"), stage("event_id % 3 <> 0"), ["user_id", "event_type"], ["kind"])
+    return quality.stage_drift(stage("value > 60"), stage("value < 90"), ["user_id", "event_type"], ["kind"])
 
 
 PRICE_STATUS = "CASE WHEN {0} > 104000 THEN 3 WHEN {0} > 103000 THEN 2 ELSE 1 END"
@@ -81,11 +81,11 @@ def _(t):
     return got.select("basin", "obs_date", rounded("mean").alias("mean"), rounded("z_score").alias("z_score"), "status")
 
 
-@query("q6_stage_agreement", f"""WITH {fr.POINTS}, q AS (SELECT basin, wind_kt AS a, wind_kt + (event_id % 7) / 100.0::DOUBLE AS b FROM points WHERE event_id % 5 <> 0)
+@query("q6_stage_agreement", f"""WITH {fr.POINTS}, q AS (SELECT basin, wind_kt AS a, wind_kt + (event_id % 7) / 100.0::DOUBLE AS b FROM points WHERE wind_kt > 3)
 SELECT basin, count(*) AS n, {R('avg(b - a)')} AS bias, {R('avg(abs(b - a))')} AS mae, {R('sqrt(avg((b - a) * (b - a)))')} AS rmse, {R('max(abs(b - a))')} AS max_abs, {R('corr(b, a)')} AS corr FROM q GROUP BY 1""")
 def _(t):
     base = fr.points(t).select("basin", "event_id", F.col("wind_kt").alias("v"))
-    final = base.filter("event_id % 5 <> 0").withColumn("v", F.col("v") + (F.col("event_id") % 7) / 100.0)
+    final = base.filter("v > 3").withColumn("v", F.col("v") + (F.col("event_id") % 7) / 100.0)
     return _rounded(quality.compare_stages(base, final, ["basin", "event_id"], "v", ["basin"]))
 
 
