@@ -11,7 +11,7 @@ from ..operators.panel import dense_panel, fill_panel
 from ..operators.raster import stack_layers
 from ..operators.ranges import distance_join, overlap_join
 from . import frames as fr
-from .base import R, big, money, MONEY, n_rows, query, rounded
+from .base import R, big, money, n_rows, query, rounded
 
 
 @query("j1_lookup_join", f"""WITH {fr.PANEL}

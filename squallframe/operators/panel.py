@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keyed import first_per_key, join_keys
+from .keyed import first_per_key
 
 # Codes of disputed areas and the country each is counted with.
 DISPUTED_PARENTS = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import nonnegative
-from ..operators.panel import dense_panel, fill_panel, indicator_rows, number_zones, wide_to_long
+from ..operators.panel import dense_panel, fill_panel, indicator_rows, wide_to_long
 from ..operators.raster import disaggregate, stack_layers, zone_sums
 from ..operators.stats import conservation
 
