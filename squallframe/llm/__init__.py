@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format_query
+from . import chat_format_query, disclosure_query
 
-MODULES = (chat_format_query,)
+MODULES = (chat_format_query, disclosure_query)
 
 
 def queries():
