@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format_query, disclosure_query, language_id_query, mil_quality_query, packing_query, topk_search_query
+from . import (chat_format_query, disclosure_query, imatch_query, language_id_query, mil_quality_query,
+               packing_query, topk_search_query)
 
-MODULES = (chat_format_query, packing_query, language_id_query, mil_quality_query, topk_search_query, disclosure_query)
+MODULES = (chat_format_query, packing_query, language_id_query, imatch_query, mil_quality_query, topk_search_query,
+           disclosure_query)
 
 
 def queries():
