@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from . import (chat_format_query, disclosure_query, imatch_query, language_id_query, mil_quality_query,
-               ngram_join_query, packing_query, topk_search_query)
+               ngram_join_query, packing_query, suffix_dedup_query, topk_search_query)
 
-MODULES = (chat_format_query, packing_query, language_id_query, imatch_query, ngram_join_query, mil_quality_query,
+MODULES = (chat_format_query, packing_query, suffix_dedup_query, language_id_query, imatch_query, ngram_join_query, mil_quality_query,
            topk_search_query, disclosure_query)
 
 
