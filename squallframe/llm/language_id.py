@@ -96,9 +96,14 @@ def learn(docs: DataFrame, learnable: Column, size: int = 400, per_language: int
           doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
     """Profiles from the learnable rows; the driver sees ``size`` rows a language."""
     rows = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), F.col(doc_id))
-    chosen = (rows.select(F.col(lang), F.col(doc_id)).withColumn("__n", F.row_number().over(order))
-              .filter(F.col("__n") <= per_language).select(F.col(lang).alias("lang"), F.col(doc_id).alias("__id")).distinct())
+    # Two cuts: by the share of hashes that holds about twice as many, then exactly, so a common language is no hot key.
+    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    near = (rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("__id"), F.xxhash64(doc_id).alias("hash"))
+            .join(F.broadcast(counts), "lang")  # one row for each language
+            .filter(F.pmod("hash", F.lit(2**31)) * F.col("n") <= F.lit(2.0**31 * (2 * per_language + 50))))
+    order = Window.partitionBy("lang").orderBy("hash", "__id")
+    chosen = (near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+              .select("lang", "__id").distinct())
     picked = (rows.select(F.col(doc_id).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
               .join(F.broadcast(chosen), ["__id", "lang"]).select("lang", "text"))  # at most per_language ids a language
 
