@@ -1,9 +1,71 @@
-"""The whole-corpus pipeline; stages are added below as their operators stand."""
+"""The corpus pipeline: from raw documents to packed token sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a frame that is
+written and read again as the next one's documents. Texts that change get their new ``n_chars``. Rows of
+null text or null id, repeated rows and further columns pass through as the operators define.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from squallframe.llm.disclosure import sanitise
+from squallframe.llm.mil_quality import learn, score
+from squallframe.llm.mil_quality_query import THRESHOLD
+from squallframe.llm.ngram_join import similarity_components
+from squallframe.llm.packing_query import packed_documents
+from squallframe.llm.shared import crc_fold, stored
+from squallframe.llm.suffix_dedup import without_repeats
+
+
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, with ``n_chars`` of the present text."""
+    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the attention model scores at the threshold or above."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scored = score(docs, learn(docs, labels, crc_fold("doc_id", 5) != 0), out="__quality")
+    return scored.filter(F.col("__quality") >= THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of linked documents; documents without words are linked with nothing and stay."""
+    groups = similarity_components(docs)
+    stay = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0))
+            .select(F.col("doc_id").alias("__stay")).distinct())
+    return (docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+            .dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of strings that stand earlier in the corpus."""
+    return counted(without_repeats(docs), docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it generalised."""
+    return counted(sanitise(docs), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every token piece of every document in the training sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+          ("personal_data", personal_data), ("packed", packed)]
+
+#: Learnt scores and token ids have no SQL; tests/llm holds every stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs)
     return docs
