@@ -35,8 +35,8 @@ from .components import components
 from .shared import hash_slots, stored, whole_text
 from .shingles import shingle_set
 
-#: A column is common if at least one in COMMON documents holds it; n-grams of a block of rows or columns.
-COMMON, BLOCK = 500, 2_000_000
+#: A column is common if at least one in COMMON documents holds it; n-grams of a column block; characters handled at a time.
+COMMON, BLOCK, PART = 250, 1_000_000, 6_000_000
 #: Rounds in which each column meets one row before all that is left is multiplied.
 STARS = 3
 
@@ -47,7 +47,7 @@ def least_overlap(n: np.ndarray, p: int, q: int) -> np.ndarray:
 
 
 def row_sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[list, list[np.ndarray], list[bytes]]]:
-    """Ids, sets and digests of a batch, in parts of about BLOCK characters."""
+    """Ids, sets and digests of a batch, in parts of about PART characters."""
     ids, sets, digests, held = [], [], [], 0
     for own, text in zip(batch["doc_id"], batch["text"]):
         found = shingle_set(text, width)
@@ -55,7 +55,7 @@ def row_sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[list, list[np.nd
         sets.append(found)
         digests.append(xxhash.xxh3_128_digest(found.tobytes()))
         held += len(text)
-        if held > 16 * BLOCK:
+        if held > PART:
             yield ids, sets, digests
             ids, sets, digests, held = [], [], [], 0
     if ids:
@@ -169,7 +169,7 @@ def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> Data
 
 
 def compared(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, exactly."""
+    """The pairs (a, b) whose sets reach the similarity, exactly; only sets of a pair are moved."""
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -180,7 +180,10 @@ def compared(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 keep.append(q * shared >= p * (len(x) + len(y) - shared))
             yield batch.loc[keep, ["a", "b"]]
 
-    side = lambda name: sets.select(F.col("cls").alias(name), F.col("grams").alias(f"set_{name}"))
+    def side(name: str) -> DataFrame:
+        used = pairs.select(F.col(name).alias("cls")).distinct()
+        return sets.join(used, "cls", "left_semi").select(F.col("cls").alias(name), F.col("grams").alias(f"set_{name}"))
+
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(apply, "a binary, b binary")
 
 
@@ -235,9 +238,13 @@ def linked_classes(docs: DataFrame, rows: DataFrame, common: np.ndarray, total:
     sets = stored(fetch_sets(docs, wanted, width))
     links, labels = None, None
     for star in [*range(STARS), None]:
-        found = compared(round_pairs(members, labels, star, p, q), sets, p, q)
-        links = stored(found if links is None else links.unionByName(found).distinct())
-        labels = components(links)
+        pairs = stored(round_pairs(members, labels, star, p, q))
+        if links is not None and pairs.isEmpty():
+            continue
+        found = stored(compared(pairs, sets, p, q))
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
     return labels, links
 
 
