@@ -20,8 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
-
 TERM = r"[\p{L}\p{N}]+"
 #: Rates of the random subsets, one in so many terms: as many slots as there are entries.
 RATES = tuple(r for r in (8, 32, 128, 512) for _ in range(8))
@@ -33,45 +31,49 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def slot_mask(term: Column) -> Column:
-    """Bit k is set where slot k's random subset of the lexicon holds the term."""
-    mask = F.lit(0).cast("long")
-    for slot, rate in enumerate(RATES):
-        mask = mask + F.when(F.pmod(F.xxhash64(F.lit(slot), term), F.lit(rate)) == 0, F.lit(1 << slot)).otherwise(F.lit(0)).cast("long")
-    return mask
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term)
 
 
 def lexicon(texts: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """Terms in the band with the slots that hold them, counted over all rows.
+    """Terms in the band, with their hashes, counted over all rows.
 
-    At most (mean distinct terms of a row) / band[0] rows; terms that no slot holds are left out.
+    At most (mean distinct terms of a row) / band[0] rows.
     """
     counted = texts.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("total"))
     share = F.col("df") / F.col("total")
     return (counted.join(F.broadcast(total)).filter((share >= band[0]) & (share <= band[1]))
-            .select("term", slot_mask(F.col("term")).alias("mask")).filter(F.col("mask") != 0))
+            .select("term", term_hash(F.col("term")).alias("hash")))
+
+
+def in_slot(term_hashed: Column, slot: int) -> Column:
+    """Whether the slot's random subset of the lexicon holds a term: one residue of some bits of its hash."""
+    rate = RATES[slot]
+    level, place = sorted(set(RATES)).index(rate), RATES[:slot].count(rate)
+    return F.pmod(F.shiftright(term_hashed, 12 * level), F.lit(rate)) == place
 
 
 def slot_hashes(sorted_terms: Column) -> Column:
     """One hash for each slot over the sorted terms it keeps, null where it keeps none."""
     def one(slot: int) -> Column:
-        own = F.filter(sorted_terms, lambda t: t["mask"].bitwiseAND(F.lit(1 << slot).cast("long")) != 0)
-        return F.when(F.size(own) > 0, F.xxhash64(F.array_join(F.transform(own, lambda t: t["term"]), " ")))
+        own = F.filter(sorted_terms, lambda t: in_slot(t, slot))
+        return F.when(F.size(own) > 0, F.xxhash64(own))
     return F.array(*[one(k) for k in range(len(RATES))])
 
 
-def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame, text: str = "text") -> DataFrame:
-    """``keys`` and ``slots`` of each row; the keys identify rows, and rows that repeat them are one.
+def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame, columns: list[str]) -> DataFrame:
+    """``keys`` and, for each text column, its slots under the same name. The keys identify rows; rows that repeat them are one.
 
-    Terms meet the broadcast lexicon before anything is shuffled, and a row's terms are gathered in the task that
-    read them, so the shuffle moves one list for each row.
+    Terms meet the broadcast lexicon where they are read; only hashes of the terms it holds are gathered, in the order of
+    their hashes. If the rows lie together by some of the keys, nothing is shuffled.
     """
-    exploded = texts.select(*keys, F.explode_outer(terms(F.col(text))).alias("term"))
+    exploded = (texts.select(*keys, F.posexplode(F.array(*[F.col(c) for c in columns])).alias("which", "__text"))
+                .select(*keys, "which", F.explode_outer(terms(F.col("__text"))).alias("term")))
     kept = exploded.join(F.broadcast(words), "term", "left")
-    held = F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))
-    listed = kept.groupBy(*keys).agg(F.array_sort(F.collect_set(held)).alias("terms"))
-    return listed.select(*keys, slot_hashes(F.col("terms")).alias("slots"))
+    listed = kept.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("which") == i, F.col("hash")))).alias(c)
+                                       for i, c in enumerate(columns)])
+    return listed.select(*keys, *[slot_hashes(F.col(c)).alias(c) for c in columns])
 
 
 def fingerprint_text(slots: Column) -> Column:
@@ -92,20 +94,40 @@ def likeness(a: Column, b: Column, equal_texts: Column) -> Column:
     return F.when(equal_texts, F.lit(1.0)).when(total("told") == 0, F.lit(0.0)).otherwise(total("same") / total("told")).cast("double")
 
 
-def with_next(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Each row with ``next``, a struct of the order columns of its successor; the last row's is the first row.
+def range_bounds(docs: DataFrame, order: str, ranges: int) -> list[int]:
+    """At most ``ranges`` - 1 values that cut the rows into ranges of about equal counts."""
+    cuts = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)) if ranges > 1 else F.array()
+    return sorted(set(docs.agg(cuts.alias("cuts")).first()["cuts"] or []))
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """Number of bounds at or below the value, found in two steps of about the root of their number."""
+    width = max(1, int(len(bounds) ** 0.5))
+    rows = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+    if not rows:
+        return F.lit(0)
+    below = lambda known: F.size(F.filter(known, lambda b: b <= value))
+    whole = F.array(*[F.lit(r[0]).cast("long") for r in rows])
+    fine = F.array(*[F.array(*[F.lit(b).cast("long") for b in r]) for r in rows])
+    row = below(whole)
+    return F.when(row == 0, 0).otherwise((row - 1) * width + below(F.element_at(fine, F.greatest(row, F.lit(1)))))
+
+
+def with_next(docs: DataFrame, bounds: list[int], order: str = "id", tie: str = "key", text: str = "text") -> DataFrame:
+    """Distinct rows by (order, tie) with the same columns of their successors, next_*; after the last comes the first.
 
-    Rows are cut into ranges, each range is ordered by itself, and the ranges' first rows (one a
-    range) are ordered to link the ends; so no window holds the whole table. Nulls come first.
+    Rows are cut into ranges of ``order`` and ordered within their range, in one shuffle. Only the
+    ranges' first rows (one a range) are linked across ranges. ``range`` stays, for what comes next lies together by it.
     """
-    by = [F.col(c).asc_nulls_first() for c in order]
-    ranged = stored(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
-    inside = Window.partitionBy("__range").orderBy(*by)
-    place = F.struct(*order)
-    linked = ranged.withColumn("__next", F.lead(place).over(inside)).withColumn("__n", F.row_number().over(inside))
-    firsts = linked.filter("__n = 1").select(F.col("__range").alias("__r"), place.alias("__first"))
-    across = Window.orderBy("__r")
-    ends = firsts.select("__r", F.coalesce(F.lead("__first").over(across), F.first("__first").over(
-        across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__after"))
-    return (linked.join(F.broadcast(ends), F.col("__range") == F.col("__r"))  # one row for each range
-            .withColumn("next", F.coalesce("__next", "__after")).drop("__range", "__next", "__n", "__r", "__after"))
+    ranged = docs.withColumn("range", range_of(F.col(order), bounds))
+    inside = Window.partitionBy("range").orderBy(order, tie)
+    lead = ranged.withColumns({f"next_{c}": F.lead(c).over(inside) for c in (order, tie, text)})
+    once = lead.filter(~F.coalesce((F.col(order) == F.col(f"next_{order}")) & (F.col(tie) == F.col(f"next_{tie}")), F.lit(False)))
+    first = ranged.groupBy("range").agg(F.min(F.struct(order, tie)).alias("f")).select("range", f"f.{order}", f"f.{tie}")
+    heads = (docs.select(order, tie, text).join(F.broadcast(first), [order, tie])  # one row for each range
+             .groupBy("range").agg(F.first(F.struct(order, tie, text)).alias("head")))
+    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select(F.col("range").alias("__range"), F.coalesce(F.lead("head").over(Window.orderBy("range")), F.first("head").over(whole)).alias("__after"))
+    met = once.join(after, F.col("range") == F.col("__range"), "left")
+    return met.select(*docs.columns, "range", *[F.when(F.col(f"next_{order}").isNull(), F.col("__after")[c]).otherwise(F.col(f"next_{c}")).alias(f"next_{c}")
+                                                for c in (order, tie, text)])

@@ -5,49 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .imatch import fingerprint_text, fingerprints, lexicon, likeness, with_next
-from .shared import stored, whole_text
+from .imatch import fingerprint_text, fingerprints, lexicon, likeness, range_bounds, with_next
+from .shared import hash_slots, stored, whole_text
 
 NAME, SQL = "op5_imatch", None
-ORDER = ["doc_id", "key"]
-
-
-def edited_texts(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, key) with the edited text and the key of the next document.
-
-    The own text is cut before it is shuffled, and so is what the next document gives.
-    """
-    half = F.floor(F.length("text") / 2).cast("int")
-    links = with_next(docs.select("doc_id", "key", half.alias("half")).distinct(), ORDER)
-    asked = links.select(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key"), "half",
-                         F.col("next.doc_id").alias("n_id"), F.col("next.key").alias("next_key"))
-    heads = (docs.join(asked, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("key") == F.col("next_key")))
-             .select("a_id", "a_key", "n_id", "next_key", F.substring("text", F.lit(1), F.col("half")).alias("head")))
-    own = docs.select("doc_id", "key", F.substring("text", F.lit(1), F.length("text") - half).alias("kept"))
-    return (own.join(heads, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("key") == F.col("a_key")))
-            .select("doc_id", "key", "n_id", "next_key", F.concat("kept", "head").alias("edited")))
+#: Stands for a null id in the order: before every other.
+NULL_ID = -2**63
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """One row for each distinct (doc_id, text); rows that repeat one exactly are one document.
 
-    Documents that share an id stand in order of a hash of their texts.
+    Documents that share an id stand in order of a hash of their texts, those without an id stand first. Texts are
+    shuffled once, by ranges of ids: a document, its successor and so its edited text lie together.
     """
-    docs = docs.select("doc_id", whole_text("text").alias("text")).withColumn("key", F.xxhash64("text"))
-    words = stored(lexicon(docs))
-    own = stored(fingerprints(docs.withColumn("n_chars", F.length("text").cast("long")), [*ORDER, "n_chars"], words))
-    edited = (edited_texts(docs).withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
-              .withColumn("edited_key", F.xxhash64("edited")))
-    keys = [*ORDER, "n_id", "next_key", "sha", "edited_key"]
-    changed = fingerprints(edited, keys, words, "edited").withColumnRenamed("slots", "edited_slots")
-    first = own.select(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), "n_chars", "slots")
-    after = own.select(F.col("doc_id").alias("x_id"), F.col("key").alias("x_key"), F.col("slots").alias("next_slots"))
-    return (changed.join(first, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("key") == F.col("o_key")))
-            .join(after, F.col("n_id").eqNullSafe(F.col("x_id")) & (F.col("next_key") == F.col("x_key")))
-            .select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"),
-                    fingerprint_text(F.col("slots")).alias("fingerprint"), fingerprint_text(F.col("edited_slots")).alias("edited_fingerprint"),
-                    likeness(F.col("slots"), F.col("edited_slots"), F.col("key") == F.col("edited_key")).alias("near_edited"),
-                    likeness(F.col("slots"), F.col("next_slots"), F.col("key") == F.col("next_key")).alias("near_next")))
+    given = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("doc_id").isNotNull().alias("known"),
+                        whole_text("text").alias("text")).withColumn("key", F.xxhash64("text"))
+    words = stored(lexicon(given))
+    rows = with_next(given, range_bounds(given, "id", hash_slots(docs.sparkSession)))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("edited", edited)
+    on = ["range", "id", "key"]
+    facts = rows.select(*on, "known", F.length("text").cast("long").alias("n_chars"), "next_id", "next_key",
+                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_key"))
+    slots = fingerprints(rows, on, words, ["text", "edited"])
+    told = stored(facts.join(slots, on).drop("range"))
+    after = told.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("text").alias("next_slots"))
+    return (told.join(after, ["next_id", "next_key"])
+            .select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
+                    fingerprint_text(F.col("text")).alias("fingerprint"), fingerprint_text(F.col("edited")).alias("edited_fingerprint"),
+                    likeness(F.col("text"), F.col("edited"), F.col("key") == F.col("edited_key")).alias("near_edited"),
+                    likeness(F.col("text"), F.col("next_slots"), F.col("key") == F.col("next_key")).alias("near_next")))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from squallframe.llm import imatch
-from squallframe.llm.imatch import lexicon, with_next
+from squallframe.llm.imatch import lexicon, range_bounds, with_next
 from squallframe.llm.imatch_query import fingerprinted, query
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,25 +37,34 @@ def test_query_on_documents(spark):
     assert mean("near_edited") > mean("near_next") + 0.1
 
 
-def test_lexicon_and_slots_match_plain_version(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "RATES", (1, 2, 3))
+def test_lexicon_matches_plain_version(spark):
     rows = [(0, "a b c c x"), (1, "B c d"), (2, "c e"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
     kept = {r.term for r in lexicon(docs, band=(0.2, 0.4)).collect()}
     df = collections.Counter(t for _, text in rows for t in set(re.findall(r"\w+", (text or "").lower())))
     assert kept == {t for t, n in df.items() if n <= 2}
-    words = spark.createDataFrame([("a", 1), ("b", 3), ("x", 5)], "term string, mask long")
-    got = {r.doc_id: r for r in imatch.fingerprints(docs, ["doc_id"], words).select("doc_id", "slots", F.xxhash64(F.lit("a b x")).alias("abx"),
-                                                                                  F.xxhash64(F.lit("x")).alias("x"), F.xxhash64(F.lit("b")).alias("b")).collect()}
+
+
+def test_slots_match_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RATES", (1, 2, 2, 4096))
+    docs = spark.createDataFrame([(0, "a b c c x", "x"), (1, "", None)], "doc_id long, text string, other string")
+    words = spark.createDataFrame([("a", 0), ("b", 4096), ("x", 8192)], "term string, hash long")
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, ["doc_id"], words, ["text", "other"]).select(
+        "*", *[F.xxhash64(F.array(*[F.lit(h).cast("long") for h in hs])).alias(n) for n, hs in (("abx", (0, 4096, 8192)), ("ax", (0, 8192)), ("b", (4096,)), ("x", (8192,)))]).collect()}
     r = got[0]
-    assert r.slots == [r.abx, r.b, r.x] and got[1].slots == [r.b, r.b, None] and got[2].slots == got[3].slots == [None] * 3
+    # bits 0-11 decide the first rate, bits 12-23 the second, bits 24-35 the third
+    assert r.text == [r.abx, r.ax, r.b, r.abx] and r.other == [r.x, r.x, None, r.x]
+    assert got[1].text == got[1].other == [None] * 4
 
 
 def test_next_over_many_ranges(spark):
-    ids = [None, -5, 3, 4, 8, 100, 1000, 2**60]
-    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3)
-    got = {r.doc_id: r.next.doc_id for r in with_next(df, ["doc_id"]).collect()}
-    assert got == dict(zip(ids, ids[1:] + ids[:1]))
+    ids = [-5, 3, 3, 4, 8, 100, 1000, 2**60]
+    rows = [(i, i // 3, f"t{i}") for i in ids] + [(3, 7, "u")]
+    df = spark.createDataFrame(rows, "id long, key long, text string").repartition(3)
+    order = sorted(set(rows))
+    for bounds in ([], [3], [4, 9], [-9, -5, 3, 4, 8, 99, 100, 2**61], range_bounds(df, "id", 4)):
+        got = {(r.id, r.key, r.text): (r.next_id, r.next_key, r.next_text) for r in with_next(df, bounds).collect()}
+        assert got == dict(zip(order, order[1:] + order[:1])), bounds
 
 
 def test_odd_rows(spark):
