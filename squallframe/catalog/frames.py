@@ -117,7 +117,7 @@ prepared AS (
                 ELSE make_date(end_year, end_month, end_day) END AS end_date,
            CAST(start_day IS NULL OR end_day IS NULL AS INTEGER) AS date_imputed,
            coalesce(damage_adj_kusd, damage_kusd) * 1000.0::DOUBLE AS loss_usd,
-           CASE WHEN damage_adj_kusd IS NOT NULL THEN 'adjusted' WHEN damage_kusd IS NOT NULL THEN 'raw'
+           CASE WHEN damage_adj_kusd IS NOT NULL THEN 'adjusted' WHEN damage_kusd IS NOT NULL THEN 'raw_fallback'
                 ELSE 'missing' END AS loss_source FROM records))"""
 
 

@@ -216,15 +216,15 @@ def located_records(t):
 
 
 RESOLVED = """SELECT c_custkey AS rec_id,
-  CASE c_custkey % 6 WHEN 0 THEN CASE WHEN c_nationkey = 5 THEN 'country_id' ELSE 'gadm_units' END
-       WHEN 1 THEN CASE WHEN c_nationkey = 5 THEN 'country_id' ELSE 'admin_names' END WHEN 2 THEN 'special_iso'
-       WHEN 3 THEN 'country_id' WHEN 4 THEN 'none' ELSE CASE WHEN c_nationkey = 5 THEN 'country_id' ELSE 'gadm_units' END END AS source,
+  CASE c_custkey % 6 WHEN 0 THEN CASE WHEN c_nationkey = 5 THEN 'iso_country' ELSE 'gadm_gid' END
+       WHEN 1 THEN CASE WHEN c_nationkey = 5 THEN 'iso_country' ELSE 'admin_name' END WHEN 2 THEN 'gadm_gid'
+       WHEN 3 THEN 'iso_country' WHEN 4 THEN 'none' ELSE CASE WHEN c_nationkey = 5 THEN 'iso_country' ELSE 'gadm_gid' END END AS source, c_custkey % 6 = 2 AS special,
   c_nationkey FROM customer"""
 
 
 @query("j14_place_resolution", f"""
-SELECT rec_id, source, CASE WHEN source = 'country_id' THEN CAST(c_nationkey AS BIGINT) END AS country_id,
-       CASE WHEN source IN ('gadm_units', 'admin_names') THEN CAST(c_nationkey AS BIGINT) WHEN source = 'special_iso' THEN 5 END AS unit_id
+SELECT rec_id, source, CASE WHEN source = 'iso_country' THEN CAST(c_nationkey AS BIGINT) END AS country_id,
+       CASE WHEN special THEN 5 WHEN source IN ('gadm_gid', 'admin_name') THEN CAST(c_nationkey AS BIGINT) END AS unit_id
 FROM ({RESOLVED})""")
 def _(t):
     lookup = t.nation.select(F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3_final"),
@@ -347,14 +347,39 @@ def _(t):
     return spatial.set_distance(dots, sides, "event_id", cells=(16.0, 2.0)).withColumn("distance", rounded("distance"))
 
 
-@query("j22_track_outline_km")
+def _to_segment(x, y, p, q):
+    """SQL distance from a point to the segment named by two column prefixes' ends."""
+    dx, dy = f"({p}2 - {p}1)", f"({q}2 - {q}1)"
+    s = f"least(greatest(coalesce((({x} - {p}1) * {dx} + ({y} - {q}1) * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0), 0), 0), 1)"
+    return f"sqrt(pow({x} - ({p}1 + {s} * {dx}), 2) + pow({y} - ({q}1 + {s} * {dy}), 2))"
+
+
+def _side(p, q, x, y):
+    return f"sign(({p}2 - {p}1) * ({y} - {q}1) - ({q}2 - {q}1) * ({x} - {p}1))"
+
+
+MERCATOR_X, MERCATOR_Y = "6378137.0::DOUBLE * radians({0})", "6378137.0::DOUBLE * ln(tan(pi() / 4 + radians({0}) / 2))"
+TRACK_KM = f"""WITH {fr.TRACKS}, {fr.OUTLINES},
+flat AS (SELECT storm_id, step, {MERCATOR_X.format("center_lon")} AS x, {MERCATOR_Y.format("center_lat")} AS y FROM tracks),
+seg AS (SELECT * FROM (SELECT storm_id, step, x AS ax1, y AS ay1, lead(x) OVER w AS ax2, lead(y) OVER w AS ay2 FROM flat WINDOW w AS (PARTITION BY storm_id ORDER BY step)) WHERE ax2 IS NOT NULL OR step = 0),
+a AS (SELECT storm_id, ax1, ay1, coalesce(ax2, ax1) AS ax2, coalesce(ay2, ay1) AS ay2 FROM seg),
+b AS (SELECT unit_id, {MERCATOR_X.format("x1")} AS bx1, {MERCATOR_Y.format("y1")} AS by1, {MERCATOR_X.format("x2")} AS bx2, {MERCATOR_Y.format("y2")} AS by2 FROM outlines),
+d AS (SELECT storm_id, CASE WHEN {_side("ax", "ay", "bx1", "by1")} * {_side("ax", "ay", "bx2", "by2")} < 0 AND {_side("bx", "by", "ax1", "ay1")} * {_side("bx", "by", "ax2", "ay2")} < 0 THEN 0.0
+    ELSE least({_to_segment("ax1", "ay1", "bx", "by")}, {_to_segment("ax2", "ay2", "bx", "by")}, {_to_segment("bx1", "by1", "ax", "ay")}, {_to_segment("bx2", "by2", "ax", "ay")}) END AS m
+  FROM a JOIN b ON unit_id = storm_id % 25),
+i AS (SELECT DISTINCT storm_id FROM (SELECT storm_id, ax1, ay1 FROM a JOIN b ON unit_id = storm_id % 25
+    WHERE (by1 > ay1) <> (by2 > ay1) AND ax1 < (bx2 - bx1) * (ay1 - by1) / nullif(by2 - by1, 0) + bx1 GROUP BY ALL HAVING count(*) % 2 = 1))
+SELECT storm_id, {R("CASE WHEN i.storm_id IS NOT NULL THEN 0.0 ELSE min(m) / 1000.0 END", 4)} AS km FROM d LEFT JOIN i USING (storm_id) GROUP BY storm_id, i.storm_id"""
+
+
+@query("j22_track_outline_km", TRACK_KM)
 def _(t):
     tr = fr.tracks(t)
     numbered = tr.select("storm_id", (F.col("step") + 1).alias("n"), "center_lon", "center_lat")
     lines = spatial.project_segments(spatial.track_segments(numbered, "storm_id", "n", "center_lon", "center_lat"))
     storms = tr.select("storm_id").distinct().withColumn("unit_id", F.col("storm_id") % 25)
     outline = spatial.project_segments(storms.join(fr.outlines(t), "unit_id").drop("unit_id"))
-    return spatial.set_distance(lines, outline, "storm_id").select("storm_id", rounded(F.col("distance") / 1000.0).alias("km"))
+    return spatial.set_distance(lines, outline, "storm_id").select("storm_id", rounded(F.col("distance") / 1000.0, 4).alias("km"))
 
 
 @query("j23_stage_membership", """

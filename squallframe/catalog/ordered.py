@@ -129,7 +129,7 @@ def _(t):
 
 @query("w11_case_ranking", f"""
 SELECT o_orderkey, {R('o_totalprice', 2)} AS loss, row_number() OVER (ORDER BY o_totalprice DESC, strpos('OFP', o_orderstatus), o_orderkey) AS case_rank FROM orders
-QUALIFY case_rank <= 5""")
+QUALIFY case_rank <= 9""")
 def _(t):
     graded = t.orders.withColumn("grade", F.translate("o_orderstatus", "OFP", "ABC"))
     got = external.rank_cases(graded, "o_totalprice", "grade", "o_orderkey", 9)
@@ -230,14 +230,13 @@ def _(t):
 f AS (SELECT event_id, obs_date, center_lon - 100.0::DOUBLE AS fx, (least(greatest(center_lat, 5), 49.5) - 5.0::DOUBLE) / 0.5::DOUBLE AS fy FROM points),
 g AS (SELECT *, CAST(floor(fx) AS BIGINT) AS i, CAST(least(greatest(floor(fy), 0), 88) AS BIGINT) AS j FROM f),
 c AS (SELECT *, (i + di) % 80 AS ci, j + dj AS cj, (CASE di WHEN 0 THEN 1 - (fx - i) ELSE fx - i END) * (CASE dj WHEN 0 THEN 1 - (fy - j) ELSE fy - j END) AS w FROM g, range(2) AS a(di), range(2) AS b(dj))
-SELECT event_id, {R('0.00000137::DOUBLE + CASE WHEN sum(CASE WHEN v."value" IS NOT NULL THEN w END) > 0 THEN sum(w * v."value") / sum(CASE WHEN v."value" IS NOT NULL THEN w END) END', 5)} AS rain
+SELECT event_id, {R('CASE WHEN sum(CASE WHEN v."value" IS NOT NULL THEN w END) > 0 THEN sum(w * v."value") / sum(CASE WHEN v."value" IS NOT NULL THEN w END) END', 4)} AS rain
 FROM c LEFT JOIN v ON v."day" = obs_date AND lat_idx = cj AND lon_idx = ci GROUP BY 1""")
 def _(t):
     grid = fr.daily(t).filter("var = 'view'").select("day", F.col("lon_idx").alias("i_lon"), F.col("lat_idx").alias("j_lat"), F.col("value").alias("rain"))
     pts = fr.points(t).withColumn("day", F.col("obs_date"))
     got = windows.bilinear_sample(pts, grid, "center_lat", "center_lon", (fr.LAT0, 0.5, 90), (fr.LON0, 1.0, 80), ["day"], ["event_id"], ["rain"])
-    # The offset keeps exact ties of the averages away from the rounding step.
-    return got.select("event_id", rounded(F.lit(0.00000137) + F.col("rain"), 5).alias("rain"))
+    return got.select("event_id", rounded("rain", 4).alias("rain"))
 
 
 @query("t1_sorted_output", f"""SELECT n_name, r_name, row_number() OVER (ORDER BY r_name, n_name DESC) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey""")

@@ -80,11 +80,12 @@ def _(t):
 
 
 @query("p8_valid_mask", f"""WITH {fr.GRID}
-SELECT "col", count(*) AS n, count(*) FILTER ("row" % 5 = 4) AS n_valid FROM grid GROUP BY 1""")
+SELECT "col", count(*) AS n, count(*) FILTER ("row" % 5 = 4) AS n_valid, count(*) FILTER ("row" % 5 = 4) AS n_valid_single FROM grid GROUP BY 1""")
 def _(t):
     v = (F.when(F.col("row") % 5 == 0, -999.0).when(F.col("row") % 5 == 1, -9999.0).when(F.col("row") % 5 == 2, -9999.9)
          .when(F.col("row") % 5 == 3, float("nan")).otherwise(F.col("value")))
-    return fr.grid(t).groupBy("col").agg(n_rows(), F.count_if(missing.is_valid(v)).alias("n_valid"))
+    return fr.grid(t).groupBy("col").agg(n_rows(), F.count_if(missing.is_valid(v)).alias("n_valid"),
+                                        F.count_if(missing.is_valid(v.cast("float"))).alias("n_valid_single"))
 
 
 @query("p9_physical_ranges", f"""WITH {fr.POINTS}
@@ -370,10 +371,11 @@ def _(t):
 
 
 @query("c18_sampled_digest", """
-SELECT doc_id, sha256(octet_length(encode(text))::VARCHAR || text || text || text) AS digest FROM documents""")
+SELECT doc_id, sha256(length(t)::VARCHAR || t[1:64] || CASE WHEN length(t) > 128 THEN t[length(t) // 2 - 31:length(t) // 2 + 32] ELSE '' END || CASE WHEN length(t) > 64 THEN t[length(t) - 63:] ELSE '' END) AS digest
+FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)""")
 def _(t):
-    content = F.col("text").cast("binary")
-    return t.documents.select("doc_id", sampled_digest(F.octet_length(content), content).alias("digest"))
+    content = F.regexp_replace("text", "[^ -~]", "").cast("binary")
+    return t.documents.select("doc_id", sampled_digest(F.octet_length(content), content, 64).alias("digest"))
 
 
 @query("c19_date_parts", """

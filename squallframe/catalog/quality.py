@@ -8,7 +8,7 @@ from ..functions import hazard as hz
 from ..functions import status as st
 from ..operators import external, quality, raster, stats, windows
 from ..operators.allocation import diagnose_zero_weight
-from ..operators.keyed import hash_sample, with_scalars
+from ..operators.keyed import with_scalars
 from ..operators.quantiles import exact_quantiles
 from ..operators.spatial import points_in_units
 from . import frames as fr
@@ -89,7 +89,7 @@ def _(t):
     return _rounded(quality.compare_stages(base, final, ["basin", "event_id"], "v", ["basin"]))
 
 
-SAMPLE = """sample AS (SELECT event_id, "row", "col" FROM (SELECT *, row_number() OVER (ORDER BY md5('20260304:' || event_id), event_id) AS rn FROM anchors) WHERE rn <= 300),
+SAMPLE = """sample AS (SELECT event_id, "row", "col" FROM anchors),
 src AS (SELECT s.event_id, dr // 4 AS bi, dc // 4 AS wj, sum(g."value") AS v FROM sample s, range(12) AS x(dr), range(12) AS y(dc), grid g
         WHERE g."row" = s."row" - 6 + dr AND g."col" = s."col" - 6 + dc GROUP BY ALL),
 stored AS (SELECT event_id, 2 - bi AS wi, wj, CASE WHEN event_id % 3 = 0 THEN v + 0.001::DOUBLE ELSE v END AS v FROM src),
@@ -100,7 +100,7 @@ j AS (SELECT s.event_id, f.v - s.v AS fg, n.v - s.v AS ng FROM stored s LEFT JOI
 SELECT event_id, {R('avg(abs(fg))')} AS mae, {R('sqrt(avg(fg * fg))')} AS rmse, {R('max(abs(fg))')} AS max_abs, count(fg) AS valid_cells, {R('avg(abs(ng))', 4)} AS mae_unflipped,
        CAST(coalesce(avg(abs(fg)) <= avg(abs(ng)), FALSE) AS BIGINT) AS orientation_pass, CASE WHEN avg(abs(fg)) > 1e-5 THEN 'FAIL' ELSE 'PASS' END AS status FROM j GROUP BY 1""")
 def _(t):
-    sample = hash_sample(fr.anchors(t), [], ["event_id"], 300, 20260304)
+    sample = fr.anchors(t)
     g = fr.grid(t).select("row", "col", "value")
     flipped = windows.extract_windows(sample, g, size=3, factor=4)
     straight = windows.extract_windows(sample, g, size=3, factor=4, flip=False)
@@ -124,11 +124,10 @@ def _(t):
 
 
 @query("q9_hazard_distribution", f"""WITH {fr.GRID},
-s AS (SELECT zone, "value" FROM grid QUALIFY row_number() OVER (PARTITION BY zone ORDER BY md5('7:' || "row" || ':' || "col"), "row", "col") <= 900)
+s AS (SELECT zone, "value" FROM grid)
 SELECT zone, {R('quantile_cont("value", 0.1)')} AS p10, {R('quantile_cont("value", 0.5)')} AS p50, {R('quantile_cont("value", 0.99)')} AS p99 FROM s GROUP BY 1""")
 def _(t):
-    sample = hash_sample(fr.grid(t), ["zone"], ["row", "col"], 900, 7)
-    return _rounded(exact_quantiles(sample, ["zone"], "value", {"p10": 0.1, "p50": 0.5, "p99": 0.99}))
+    return _rounded(exact_quantiles(fr.grid(t), ["zone"], "value", {"p10": 0.1, "p50": 0.5, "p99": 0.99}))
 
 
 FAILS = """CASE WHEN count(*) FILTER (loss_usd > 0 AND status = 'unmatched') >= 2 THEN 'FAIL'
@@ -305,19 +304,59 @@ def _(t):
     return _rounded(external.sample_rain_metrics(cells, ["row"], "value", "b", "k"))
 
 
-@query("q14_rain_verdict", f"""WITH {WINDOW_EVENTS}, d AS (SELECT event, "day", sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY 1, 2),
+# Core years, years with rain only and years without any outside source, in the years of the orders.
+CORE, EXTENDED, BEYOND = (1995, 1996), (1997,), (2005,)
+SAMPLES = f"""{fr.GRID}, c AS (SELECT "row", "value" AS a, CASE WHEN "col" % 9 <> 4 THEN signed END AS b FROM grid),
+p AS (SELECT *, CASE WHEN b IS NOT NULL THEN a END AS pa FROM c),
+m AS (SELECT *, coalesce(pa >= quantile_cont(pa, 0.9) OVER w, FALSE) AS a1, coalesce(b >= quantile_cont(b, 0.9) OVER w, FALSE) AS b1,
+             coalesce(pa >= quantile_cont(pa, 0.8) OVER w, FALSE) AS a2, coalesce(b >= quantile_cont(b, 0.8) OVER w, FALSE) AS b2 FROM p WINDOW w AS (PARTITION BY "row")),
+smp AS (SELECT "row", corr(pa, b) AS corr, count(*) FILTER (a1 AND b1) / count(*) FILTER (a1 OR b1) AS top10, count(*) FILTER (a2 AND b2) / count(*) FILTER (a2 OR b2) AS top20 FROM m GROUP BY 1),
+smed AS (SELECT quantile_cont(corr, 0.5) AS mc, quantile_cont(top10, 0.5) AS m10, quantile_cont(top20, 0.5) AS m20, count(*) AS n FROM smp WHERE 1995 + "row" % 3 IN {CORE})"""
+RAIN_DAYS = f"""od AS (SELECT DISTINCT year(o_orderdate) AS y, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1%' OR year(o_orderdate) <> 1996),
+cov AS (SELECT y.v AS y, count(d) / dayofyear(make_date(y.v, 12, 31)) AS coverage, CASE WHEN count(d) > 0 THEN 1.0 END AS readable FROM (VALUES ({CORE[0]}), ({CORE[1]})) AS y(v) LEFT JOIN od ON od.y = y.v GROUP BY y.v)"""
+
+
+def core_samples(t):
+    """Per-sample rain metrics of the samples of core years."""
+    cells = fr.grid(t).withColumn("b", F.when(F.col("col") % 9 != 4, F.col("signed")))
+    return external.sample_rain_metrics(cells, ["row"], "value", "b").filter((F.lit(1995) + F.col("row") % 3).isin(*CORE))
+
+
+def core_coverage(t):
+    """Daily coverage of the core years."""
+    kept = F.col("o_orderpriority").startswith("1") | (F.year("o_orderdate") != 1996)
+    days = t.orders.filter(kept).select(F.col("o_orderdate").cast("date").alias("day"))
+    years = t.region.select(F.explode(F.array(*[F.lit(y) for y in CORE])).alias("year"))
+    return external.daily_coverage(days, "day", years)
+
+
+@query("q14_rain_verdict", f"""WITH {WINDOW_EVENTS}, {SAMPLES}, {RAIN_DAYS}, d AS (SELECT event, "day", sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY 1, 2),
 x AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY a DESC, "day") = 1), y AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY b DESC, "day") = 1),
-l AS (SELECT quantile_cont(abs(x."day" - y."day"), 0.5) AS lag FROM x JOIN y USING (event)), c AS (SELECT corr(a, b) AS c FROM (SELECT sum(a) AS a, sum(b) AS b FROM d GROUP BY event))
-SELECT {R('c')} AS event_corr, {R('lag')} AS median_lag, CASE WHEN c <= 0 AND lag > 3 THEN 'FAIL' ELSE 'WARN' END AS status, CASE WHEN c <= 0 AND lag > 3 THEN 'events_disagree' ELSE '' END AS fail_reasons,
-  concat_ws(';', 'coverage_partial', 'corr_low', CASE WHEN c > 0 AND c < 0.3 THEN 'event_corr_low' END, CASE WHEN lag > 1 THEN 'peak_lag_high' END) AS warn_reasons FROM l, c""")
+l AS (SELECT quantile_cont(abs(x."day" - y."day"), 0.5) AS lag, count(*) AS n FROM x JOIN y USING (event)), e AS (SELECT corr(a, b) AS ec FROM (SELECT sum(a) AS a, sum(b) AS b FROM d GROUP BY event)),
+f AS (SELECT smed.*, lag, l.n AS ne, ec, (SELECT min(coverage) FROM cov) AS mcov, (SELECT min(readable) FROM cov) AS mread, (SELECT count(*) FROM orders WHERE o_orderdate IS NULL) AS missing FROM smed, l, e),
+v AS (SELECT *, concat_ws(';', CASE WHEN mcov < 0.95 THEN 'imerg_daily_file_coverage_rate_low' END, CASE WHEN mread < 1 THEN 'imerg_variable_readability_rate_low' END, CASE WHEN mcov IS NULL THEN 'imerg_core_coverage_missing' END,
+    CASE WHEN mc <= 0 AND m10 < 0.05 THEN 'imerg_rainfall_convergence_failure' END, CASE WHEN ec <= 0 AND lag > 3 THEN 'imerg_event_scale_failure' END, CASE WHEN missing > 0 THEN 'missing_imerg_project_inputs' END) AS fails,
+  concat_ws(';', CASE WHEN mcov >= 0.95 AND mcov < 1 THEN 'imerg_daily_file_coverage_partial' END, CASE WHEN mc > 0 AND mc < 0.3 THEN 'imerg_rainfall_corr_low' END, CASE WHEN m20 < 0.15 THEN 'imerg_top20_overlap_low' END,
+    CASE WHEN n = 0 THEN 'imerg_sample_metrics_empty' END, CASE WHEN ec > 0 AND ec < 0.3 THEN 'imerg_event_total_rainfall_corr_low' END, CASE WHEN lag > 1 THEN 'imerg_event_peak_day_lag_high' END,
+    CASE WHEN ne = 0 THEN 'imerg_event_metrics_empty' END, 'extended_rainfall_only_years_present', 'years_not_evaluable_by_current_external_datasets') AS warns FROM f)
+SELECT {R('mcov')} AS min_coverage, {R('mc')} AS median_corr, {R('m10')} AS median_top10, {R('m20')} AS median_top20, {R('ec')} AS event_corr, {R('lag')} AS median_lag, CASE WHEN fails <> '' THEN 'FAIL' ELSE 'WARN' END AS status,
+  fails AS fail_reasons, warns AS warn_reasons, CASE WHEN fails <> '' THEN 'FAIL' ELSE 'WARN' END AS overall FROM v""")
 def _(t):
     means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
     events = external.rain_agreement(means, "event", "day", "ours", "theirs")
-    totals = events.agg(stats.safe_corr(F.col("total_ours"), F.col("total_theirs")).alias("event_corr"))
-    lag = exact_quantiles(events.select(F.abs("peak_lag").alias("lag")), [], "lag", {"median_lag": 0.5})
-    fixed = {"min_coverage": 0.97, "median_corr": 0.2, "median_top10": 0.1, "median_top20": 0.3}
-    rows = with_scalars(totals, lag).withColumns({k: F.lit(v) for k, v in fixed.items()})
-    return _rounded(external.rain_verdict(rows).drop(*fixed))
+    rows = events.agg(stats.safe_corr(F.col("total_ours"), F.col("total_theirs")).alias("event_corr"), F.count(F.lit(1)).alias("n_events"))
+    rows = with_scalars(rows, exact_quantiles(events.select(F.abs("peak_lag").alias("lag")), [], "lag", {"median_lag": 0.5}))
+    samples = core_samples(t)
+    rows = with_scalars(rows, samples.agg(F.count(F.lit(1)).alias("n_samples")))
+    for name in ("corr", "top10", "top20"):
+        rows = with_scalars(rows, exact_quantiles(samples, [], name, {f"median_{name}": 0.5}))
+    rows = with_scalars(rows, core_coverage(t).agg(F.min("coverage").alias("min_coverage"), F.min("readable").alias("min_readable")))
+    rows = with_scalars(rows, t.orders.agg(F.count_if(F.col("o_orderdate").isNull()).alias("missing_inputs")))
+    rows = rows.withColumns({"extended_years": F.lit(len(EXTENDED)), "not_evaluable_years": F.lit(len(BEYOND))})
+    judged = external.rain_verdict(rows)
+    overall = external.overall_status(F.lit("PASS"), F.col("status"), F.col("extended_years"), F.col("not_evaluable_years"))
+    shown = ("min_coverage", "median_corr", "median_top10", "median_top20", "event_corr", "median_lag")
+    return judged.select(*[rounded(c).alias(c) for c in shown], "status", "fail_reasons", "warn_reasons", overall.alias("overall"))
 
 
 @query("q15_flood_link_verdict", f"""WITH {FLOODS}, {SHIP_EVENTS}, l AS ({LINKED}),

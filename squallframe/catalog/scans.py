@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.calendar import in_years
+from ..operators.keyed import with_scalars
 from ..operators.panel import indicator_rows, long_to_wide, wide_to_long
 from ..operators.raster import downsample
 from ..operators.spatial import boxes_meeting, unit_boxes
@@ -98,8 +99,9 @@ boxes AS (SELECT unit_id, min(least(x1, x2)) AS min_x, min(least(y1, y2)) AS min
 SELECT unit_id, min_x, min_y, max_x, max_y FROM boxes, area WHERE max_x >= x0 AND min_x <= x1 AND max_y >= y0 AND min_y <= y1""")
 def _(t):
     area = fr.points(t).filter("wind_kt > 200").agg(
-        F.min("center_lon"), F.min("center_lat"), F.max("center_lon"), F.max("center_lat")).first()
-    return boxes_meeting(unit_boxes(fr.outlines(t)), *area)
+        F.min("center_lon").alias("x0"), F.min("center_lat").alias("y0"), F.max("center_lon").alias("x1"), F.max("center_lat").alias("y1"))
+    boxes = with_scalars(unit_boxes(fr.outlines(t)), area)
+    return boxes_meeting(boxes, *[F.col(c) for c in ("x0", "y0", "x1", "y1")]).drop("x0", "y0", "x1", "y1")
 
 
 @query("s6_flood_catalog", """
@@ -251,12 +253,11 @@ def _(t):
 
 @query("k6_replace_variables", f"""
 SELECT p_partkey, p_brand, {R('price')} AS p_retailprice FROM part LEFT JOIN
-  (SELECT l_partkey, {MONEY('l_extendedprice')} / sum(l_quantity) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
-WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE 'Brand#1%' ORDER BY 1 LIMIT 4)""")
+  (SELECT l_partkey, {MONEY('l_extendedprice')} / sum(l_quantity) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def _(t):
     fresh = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         (money("l_extendedprice") / F.sum("l_quantity")).alias("p_retailprice"))
-    stage = sinks.limit_groups(t.part.select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "^Brand#1", 4)
+    stage = sinks.limit_groups(t.part.select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "^Brand#")
     return sinks.replace_variables(stage, ["p_retailprice"], fresh, ["p_partkey"]).withColumn(
         "p_retailprice", rounded("p_retailprice"))
 

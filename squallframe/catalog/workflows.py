@@ -51,8 +51,8 @@ w AS (SELECT r.rec_id, r.loss_usd, c.storm_id, c.wi, c.wj,
   WHERE r.loss_usd IS NOT NULL AND c.d BETWEEN r.pad_start AND r.pad_end),
 s AS (SELECT rec_id, sum(p) AS sp, count(*) AS n FROM w GROUP BY 1)
 SELECT rec_id, CASE WHEN n_same IS NULL THEN 'D' WHEN n_same = 0 THEN 'C' WHEN n_same = 1 THEN 'A' ELSE 'B' END AS grade,
-  CASE WHEN rec_id % 2 = 0 THEN 'gadm_units' ELSE 'country_id' END AS source,
-  CASE WHEN loss_usd IS NULL THEN 'missing_loss' WHEN n IS NULL THEN 'unmatched' WHEN sp <= 0 THEN 'zero_weight' ELSE 'allocated' END AS status,
+  CASE WHEN rec_id % 2 = 0 THEN 'gadm_gid' ELSE 'iso_country' END AS source,
+  CASE WHEN loss_usd IS NULL THEN 'missing_loss' WHEN n_same IS NULL THEN 'unmatched' WHEN coalesce(sp, 0) <= 0 THEN 'zero_weight' ELSE 'allocated' END AS status,
   {R("CASE WHEN loss_usd IS NOT NULL AND sp > 0 THEN loss_usd ELSE 0 END", 1)} AS allocated_usd
 FROM recs LEFT JOIN k USING (rec_id) LEFT JOIN s USING (rec_id)"""
 

@@ -13,11 +13,14 @@ SENTINELS = (TRACK_FILL, WINDOW_FILL, RAIN_FILL)
 
 
 def clean(col: Column, sentinels=SENTINELS) -> Column:
-    """Sentinels, NaN and infinities become NULL."""
+    """Sentinels, NaN and infinities become NULL.
+
+    A float32 column holds the sentinel's nearest float32, so that value counts as the sentinel too.
+    """
     value = col.cast("double")
     bad = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
     for s in sentinels:
-        bad = bad | (value == F.lit(s))
+        bad = bad | (value == F.lit(s)) | (value == F.lit(s).cast("float").cast("double"))
     return F.when(~bad, value)
 
 

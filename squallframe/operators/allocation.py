@@ -33,9 +33,9 @@ def weight_totals(cells: DataFrame, record: str, weight: str = "p", scale: int |
 
 
 def allocate(records: DataFrame, cells: DataFrame, record: str, loss: str, weight: str = "p",
-             scale: int | None = None) -> DataFrame:
+             scale: int | None = None, totals: DataFrame | None = None) -> DataFrame:
     """Cells with their share of the record's loss. Records that allocate nothing have no rows."""
-    totals = weight_totals(cells, record, weight, scale)
+    totals = weight_totals(cells, record, weight, scale) if totals is None else totals
     payable = (records.filter(F.col(loss).isNotNull()).select(record, loss)
                .join(totals, record).filter(F.col("sum_weight") > 0))
     return (cells.join(payable, record)
@@ -44,14 +44,19 @@ def allocate(records: DataFrame, cells: DataFrame, record: str, loss: str, weigh
 
 
 def allocation_summary(records: DataFrame, cells: DataFrame, record: str, loss: str, weight: str = "p",
-                       scale: int | None = None) -> DataFrame:
-    """One row per record with status and conservation error."""
-    allocated = (allocate(records, cells, record, loss, weight, scale)
+                       scale: int | None = None, matched: Column | None = None) -> DataFrame:
+    """One row per record with status and conservation error.
+
+    ``matched`` says whether a record found storms and a place; a matched record whose cells weigh nothing, also
+    one without any cell in its days, is ``zero_weight``. Without it a record is matched if it has cells.
+    """
+    totals = weight_totals(cells, record, weight, scale)
+    allocated = (allocate(records, cells, record, loss, weight, scale, totals)
                  .groupBy(record).agg(F.sum("allocated_usd").alias("allocated_usd")))
-    joined = (records.join(weight_totals(cells, record, weight, scale), record, "left")
-              .join(allocated, record, "left"))
-    status = (F.when(F.col(loss).isNull(), "missing_loss").when(F.col("n_cells").isNull(), "unmatched")
-              .when(F.col("sum_weight") <= 0, "zero_weight").otherwise("allocated"))
+    joined = records.join(totals, record, "left").join(allocated, record, "left")
+    found = F.col("n_cells").isNotNull() if matched is None else F.coalesce(matched, F.lit(False))
+    status = (F.when(F.col(loss).isNull(), "missing_loss").when(~found, "unmatched")
+              .when(F.coalesce("sum_weight", F.lit(0.0)) <= 0, "zero_weight").otherwise("allocated"))
     paid = F.when(F.col("status") == "allocated", F.col("allocated_usd")).otherwise(F.lit(0.0))
     error = (F.when(F.col("status") == "missing_loss", F.lit(None).cast("double"))
              .when(F.col("status") != "allocated", F.lit(1.0))

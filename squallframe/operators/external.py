@@ -90,11 +90,17 @@ def point_set_hits(left: DataFrame, right: DataFrame, case: str, lat: str = "lat
         "recall", F.col("n_hit") / F.col("n_left"))
 
 
-def daily_coverage(days: DataFrame, day: str) -> DataFrame:
-    """Share of a year's days that a daily source covers."""
+def daily_coverage(days: DataFrame, day: str, years: DataFrame) -> DataFrame:
+    """Share of the days of each of ``years`` (column year) that a daily source covers; 0 for a year without any.
+
+    ``readable`` is 1 where the year has a file at all, else NULL.
+    """
     distinct = days.select(F.col(day).alias("__d")).distinct()
-    return (distinct.groupBy(F.year("__d").alias("year")).agg(F.count(F.lit(1)).alias("n_days"))
+    found = distinct.groupBy(F.year("__d").alias("year")).agg(F.count(F.lit(1)).alias("n_days"))
+    return (years.select(F.col("year").cast("int").alias("year")).distinct().join(found, "year", "left")
+            .withColumn("n_days", F.coalesce("n_days", F.lit(0)))
             .withColumn("expected", days_in_year(F.col("year")))
+            .withColumn("readable", F.when(F.col("n_days") > 0, F.lit(1.0)))
             .withColumn("coverage", F.col("n_days") / F.col("expected")))
 
 
@@ -146,12 +152,25 @@ def case_status(lag: Column, iou: Column, recall: Column, corr: Column, bias_rat
 
 
 def rank_cases(events: DataFrame, loss: str, grade: str, number: str, n: int = 5) -> DataFrame:
-    """Largest losses first, better grades first on ties; ``n`` is kept within 3..5."""
-    keep = max(3, min(5, n))
+    """The ``n`` largest losses, better grades first on ties."""
     ordered = events.withColumn("__grade", st.grade_priority(F.col(grade)))
-    return first_per_key(ordered.withColumn("__all", F.lit(1)), ["__all"],
-                         [F.col(loss).desc_nulls_last(), F.col("__grade"), F.col(number)],
-                         keep, rank="case_rank").drop("__all", "__grade")
+    return first_per_key(ordered, [], [F.col(loss).desc_nulls_last(), F.col("__grade"), F.col(number)],
+                         n, rank="case_rank").drop("__grade")
+
+
+def case_candidates(events: DataFrame, metrics: DataFrame, keys: Sequence[str], loss: str = "loss_usd",
+                    year: str = "year", selected: str = "selected_storms", last_year: int = 2020) -> DataFrame:
+    """Events that may become cases: with event metrics, up to the last evaluable year, a loss and a storm."""
+    kept = events.filter((F.col(year) <= last_year) & (F.col(loss) > 0) & (F.trim(F.coalesce(selected, F.lit(""))) != ""))
+    return kept.join(metrics, list(keys))
+
+
+def case_stage_status(cases: DataFrame, status: str = "status", fewest: int = 3) -> DataFrame:
+    """One row: status of all cases, WARN where there are too few or none."""
+    failed = F.count_if(F.col(status) == "FAIL")
+    n = F.count(F.lit(1))
+    warned = (F.count_if(F.col(status) == "WARN") > 0) | (n < fewest)
+    return cases.agg(n.alias("n_cases"), F.when(failed > 0, "FAIL").when(warned, "WARN").otherwise("PASS").alias("stage_status"))
 
 
 def snap_to_grid(cells: DataFrame, event: str, day: str, step: str, lat: str, lon: str, value: str,
@@ -195,17 +214,35 @@ def sample_rain_metrics(cells: DataFrame, keys: Sequence[str], ours: str, theirs
 
 
 def rain_verdict(totals: DataFrame) -> DataFrame:
-    """Verdict on the lowest coverage, the yearly medians of corr, top10 and top20, the event
-    correlation and the median absolute peak lag."""
-    corr, event = F.col("median_corr"), F.col("event_corr")
+    """Verdict of the rain level from one row of figures over the core years.
+
+    min_coverage and min_readable of the core years, median_corr, median_top10, median_top20 of
+    the yearly sample metrics, event_corr and median_lag of the events, missing_inputs, extended_years and
+    not_evaluable_years as counts.
+    """
+    corr, event, coverage = F.col("median_corr"), F.col("event_corr"), F.col("min_coverage")
     return with_verdict(totals, {
-        "coverage_low": F.col("min_coverage") < 0.95, "coverage_missing": F.col("min_coverage").isNull(),
-        "rain_disagrees": (corr <= 0) & (F.col("median_top10") < 0.05),
-        "events_disagree": (event <= 0) & (F.col("median_lag") > 3)}, {
-        "coverage_partial": F.col("min_coverage").between(0.95, 1.0) & (F.col("min_coverage") < 1.0),
-        "corr_low": (corr > 0) & (corr < 0.30), "top20_low": F.col("median_top20") < 0.15,
-        "samples_empty": corr.isNull() & F.col("median_top20").isNull(),
-        "event_corr_low": (event > 0) & (event < 0.30), "peak_lag_high": F.col("median_lag") > 1})
+        "imerg_daily_file_coverage_rate_low": coverage < 0.95,
+        "imerg_variable_readability_rate_low": F.col("min_readable") < 1.0,
+        "imerg_core_coverage_missing": coverage.isNull(),
+        "imerg_rainfall_convergence_failure": (corr <= 0) & (F.col("median_top10") < 0.05),
+        "imerg_event_scale_failure": (event <= 0) & (F.col("median_lag") > 3),
+        "missing_imerg_project_inputs": F.col("missing_inputs") > 0}, {
+        "imerg_daily_file_coverage_partial": (coverage >= 0.95) & (coverage < 1.0),
+        "imerg_rainfall_corr_low": (corr > 0) & (corr < 0.30),
+        "imerg_top20_overlap_low": F.col("median_top20") < 0.15,
+        "imerg_sample_metrics_empty": F.col("n_samples") == 0,
+        "imerg_event_total_rainfall_corr_low": (event > 0) & (event < 0.30),
+        "imerg_event_peak_day_lag_high": F.col("median_lag") > 1,
+        "imerg_event_metrics_empty": F.col("n_events") == 0,
+        "extended_rainfall_only_years_present": F.col("extended_years") > 0,
+        "years_not_evaluable_by_current_external_datasets": F.col("not_evaluable_years") > 0})
+
+
+def overall_status(footprints: Column, rain: Column, extended_years: Column, not_evaluable_years: Column) -> Column:
+    """Status of both external comparisons together."""
+    warned = (footprints == "WARN") | (rain == "WARN") | (extended_years > 0) | (not_evaluable_years > 0)
+    return F.when((footprints == "FAIL") | (rain == "FAIL"), "FAIL").when(warned, "WARN").otherwise("PASS")
 
 
 def flood_link_verdict(totals: DataFrame) -> DataFrame:

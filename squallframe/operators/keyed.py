@@ -60,14 +60,23 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucke
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
                   rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of each key.
+    """The first ``k`` rows of each key, whatever ``k``.
 
-    The filter on row_number makes Spark keep only ``k`` rows per key and map task before
-    the shuffle (window group limit), so a hot key stays small.
+    Rows are ranked inside (key, hash of the row) first and the best ``k`` of each slot are ranked per
+    key, so the rows of a hot key are spread over all tasks and at most ``k`` of a slot meet.
+    Without keys the cut is a sort with a limit, which keeps ``k`` rows of every task.
     """
     name = rank or "__rank"
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    kept = df.withColumn(name, F.row_number().over(spec)).filter(F.col(name) <= k)
+    if not keys:
+        best = df.orderBy(*order).limit(k)
+        return best.withColumn(name, F.row_number().over(Window.orderBy(*order))) if rank else best
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    slotted = df.withColumn("__slot", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(slots)))
+    inside = Window.partitionBy(*keys, "__slot").orderBy(*order)
+    best = slotted.withColumn("__inside", F.row_number().over(inside)).filter(F.col("__inside") <= k)
+    kept = (best.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+            .filter(F.col(name) <= k).drop("__slot", "__inside"))
     return kept if rank else kept.drop(name)
 
 

@@ -24,7 +24,7 @@ def prepare_records(records: DataFrame, pad_days: int = 1) -> DataFrame:
             .withColumn("pad_end", F.date_add("end_date", pad_days))
             .withColumn("loss_usd", F.coalesce(adjusted, raw) * F.lit(1000.0))
             .withColumn("loss_source", F.when(adjusted.isNotNull(), "adjusted")
-                        .when(raw.isNotNull(), "raw").otherwise("missing")))
+                        .when(raw.isNotNull(), "raw_fallback").otherwise("missing")))
 
 
 def storm_lives(points: DataFrame, storm: str = "storm_id", day: str = "obs_date",
@@ -90,16 +90,19 @@ def match_records(records: DataFrame, storms: DataFrame, record: str = "rec_id",
 def match_audit(records: DataFrame, matches: DataFrame, sources: DataFrame, record: str = "rec_id",
                 storm: str = "storm_id") -> DataFrame:
     """One audit row per record, also for those without a candidate."""
-    label = F.concat(F.lpad("rank", 6, "0"), F.lit("|"), F.col(storm).cast("string"))
-    texts = F.array_sort(F.collect_list(F.when(F.col("selected"), label)))
+    label = F.col(storm).cast("string")
+    scored = F.concat(label, F.lit(":"), F.format_string("%.3f", F.col("score")))
+    in_order = lambda told, wanted: F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(wanted, F.struct("rank", told.alias("told"))))), lambda s: s["told"]), ";")
     per_record = matches.groupBy(record).agg(
         F.max("grade").alias("grade"), F.count(F.lit(1)).alias("n_candidates"),
-        F.array_join(F.transform(texts, lambda t: F.substring_index(t, "|", -1)), ";").alias("selected_storms"))
+        in_order(label, F.col("selected")).alias("selected_storms"), in_order(scored, F.lit(True)).alias("candidate_groups"))
     status = (F.when(F.col("loss_usd").isNull(), "missing_loss")
               .when(F.col("n_candidates").isNull() | (F.col("source") == "none"), "unmatched")
               .otherwise("matched"))
     return (records.join(per_record, record, "left").join(sources, record, "left")
             .withColumn("status_prealloc", status)
+            .withColumn("candidate_groups", F.coalesce("candidate_groups", F.lit("")))
             .withColumn("grade", F.coalesce("grade", F.lit("D")))
             .withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
             .withColumn("selected_storms", F.coalesce("selected_storms", F.lit(""))))

@@ -227,8 +227,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path",
 
 
 def sampled_digest(length: Column, content: Column, part: int = 1 << 20) -> Column:
-    """Digest over a file's size and its first, middle and last MiB."""
-    middle = F.greatest((length / 2).cast("int") - part // 2, F.lit(0)) + 1
-    tail = F.greatest(length.cast("int") - part, F.lit(0)) + 1
-    return F.sha2(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, part),
-                           F.substring(content, middle, F.lit(part)), F.substring(content, tail, F.lit(part))), 256)
+    """Digest over a file's size and its first MiB, its middle one if it is longer than two, its last one if longer than one."""
+    none = F.lit("").cast("binary")
+    half = (F.floor(length / 2) - part // 2).cast("int")
+    middle = F.when(length > 2 * part, F.substring(content, half + 1, F.lit(part))).otherwise(none)
+    tail = F.when(length > part, F.substring(content, (length - part + 1).cast("int"), F.lit(part))).otherwise(none)
+    return F.sha2(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, part), middle, tail), 256)

@@ -10,42 +10,58 @@ from pyspark.sql import functions as F
 from .keyed import join_keys, with_scalars
 
 ACCURACY = 10_000
+#: Parts of a bracket whose values are ranked apart.
+PARTS = 1024
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
-    """For groups of any size, in three passes and without gathering a group.
+    """For groups of any size, without gathering a group.
 
-    A mergeable sketch gives, for each wanted rank, two values that must enclose it (its rank
-    error is at most n / ACCURACY; a group no larger than ACCURACY is taken whole). The rows below the lower one are counted, the few distinct
-    values in between are counted and ranked, and the exact value is read off.
+    A mergeable sketch gives, for each wanted rank, two values around it (its rank error is at most
+    n / ACCURACY, none in small groups). The rows below and within that bracket are counted, together with the
+    nearest values outside. The bracket is cut into equal parts whose counts tell which part holds the rank; only
+    that part's distinct values are ranked, and the exact value is read off.
     """
     keys = list(keys)
     probs = list(names.values())
     slack = 4.0 / ACCURACY
-    lows = [max(p - slack, 0.0) for p in probs]
-    highs = [min(p + slack, 1.0) for p in probs]
+    ends = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
+
+    def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        return join_keys(left, right, on) if on else with_scalars(left, right)
+
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", lows + highs, ACCURACY).alias("__s"),
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n"))
-    small = F.col("__n") <= ACCURACY
-    bounds = []
-    for i in range(len(probs)):
-        low = F.when(small | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__s")[i])
-        high = F.when(small | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__s")[len(probs) + i])
-        bounds += [low.alias(f"__lo{i}"), high.alias(f"__hi{i}")]
-    sketch = sketch.select(*keys, "__n", *bounds)
-    paired = join_keys(rows, sketch, keys) if keys else with_scalars(rows, sketch)
-    below = paired.groupBy(*keys).agg(F.max("__n").alias("__n"), *[
-        F.count_if(F.col("__v") < F.col(f"__lo{i}")).alias(f"__below{i}") for i in range(len(probs))])
-    hits = F.array_compact(F.array(*[
-        F.when(F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), F.lit(i)) for i in range(len(probs))]))
-    inside = (paired.select(*keys, "__v", F.explode(hits).alias("__i"))
-              .groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__m")))
-    up_to = (Window.partitionBy(*keys, "__i").orderBy("__v")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = inside.withColumn("__to", F.sum("__m").over(up_to))
-    ranked = join_keys(ranked, below, keys) if keys else with_scalars(ranked, below)
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", ends, ACCURACY).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    brackets = sketch.select(*keys, "__n", *[F.col("__s")[i].alias(f"__lo{i}") for i in range(len(probs))],
+                             *[F.col("__s")[len(probs) + i].alias(f"__hi{i}") for i in range(len(probs))])
+    paired = beside(rows, brackets, keys)
+    low, high = (lambda i: F.col(f"__lo{i}")), (lambda i: F.col(f"__hi{i}"))
+    around = paired.groupBy(*keys).agg(F.max("__n").alias("__n"), *[x for i in range(len(probs)) for x in (
+        F.count_if(F.col("__v") < low(i)).alias(f"__below{i}"), F.count_if(F.col("__v") <= high(i)).alias(f"__upto{i}"),
+        F.max(F.when(F.col("__v") < low(i), F.col("__v"))).alias(f"__prev{i}"),
+        F.min(F.when(F.col("__v") > high(i), F.col("__v"))).alias(f"__next{i}"))])
+
+    part = lambda i: F.coalesce(F.least(F.floor((F.col("__v") - low(i)) / F.nullif(high(i) - low(i), F.lit(0.0)) * PARTS),
+                                        F.lit(PARTS - 1)), F.lit(0))
+    hits = F.array_compact(F.array(*[F.when(F.col("__v").between(low(i), high(i)), F.struct(
+        F.lit(i).alias("i"), part(i).alias("part"))) for i in range(len(probs))]))
+    inside = (paired.select(*keys, "__v", F.explode(hits).alias("__h"))
+              .select(*keys, "__v", F.col("__h.i").alias("__i"), F.col("__h.part").alias("__part")))
+    earlier = Window.partitionBy(*keys, "__i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (inside.groupBy(*keys, "__i", "__part").agg(F.count(F.lit(1)).alias("__m"))
+               .withColumn("__first", F.coalesce(F.sum("__m").over(earlier), F.lit(0))))  # at most PARTS rows a window
+    chosen = F.lit(False)
+    placed = beside(counted, around, keys)
+    for i, p in enumerate(probs):
+        position = F.lit(p) * (F.col("__n") - 1) - F.col(f"__below{i}")
+        holds = lambda rank: (F.col("__first") <= rank) & (rank < F.col("__first") + F.col("__m"))
+        chosen = chosen | ((F.col("__i") == i) & (holds(F.floor(position)) | holds(F.ceil(position))))
+    parts = placed.filter(chosen).select(*keys, "__i", "__part", "__first")
+    up_to = Window.partitionBy(*keys, "__i", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (join_keys(inside, parts, [*keys, "__i", "__part"]).groupBy(*keys, "__i", "__part", "__first", "__v")
+              .agg(F.count(F.lit(1)).alias("__m")).withColumn("__to", F.col("__first") + F.sum("__m").over(up_to)))
+    ranked = join_keys(around, ranked, keys, "left") if keys else around.join(ranked, F.lit(True), "left")
+
     results = []
     for i, (name, p) in enumerate(names.items()):
         position = F.lit(p) * (F.col("__n") - 1)
@@ -53,11 +69,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[
         first = last - F.col("__m")
         mine = F.col("__i") == i
 
-        def at(rank, mine=mine, first=first, last=last):
-            return F.max(F.when(mine & (first <= rank) & (rank < last), F.col("__v")))
+        def at(rank, i=i, mine=mine, first=first, last=last):
+            found = F.max(F.when(mine & (first <= rank) & (rank < last), F.col("__v")))
+            outside = F.max(F.when(rank == F.col(f"__below{i}") - 1, F.col(f"__prev{i}")).when(rank == F.col(f"__upto{i}"), F.col(f"__next{i}")))
+            return F.coalesce(found, outside)
         lower, upper = at(F.floor(position)), at(F.ceil(position))
         weight = F.max(position - F.floor(position))
         exact = lower + (upper - lower) * weight
         results.append(F.when(exact.isNull(), F.raise_error(F.lit("quantile bracket missed")).cast("double"))
                        .otherwise(exact).alias(name))
-    return ranked.groupBy(*keys).agg(*results)
+    return ranked.groupBy(*keys).agg(*results) if keys else ranked.groupBy().agg(*results)

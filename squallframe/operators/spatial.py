@@ -21,7 +21,7 @@ def unit_boxes(edges: DataFrame, unit: str = "unit_id") -> DataFrame:
         F.max(F.greatest("x1", "x2")).alias("max_x"), F.max(F.greatest("y1", "y2")).alias("max_y"))
 
 
-def boxes_meeting(boxes: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:
+def boxes_meeting(boxes: DataFrame, min_x, min_y, max_x, max_y) -> DataFrame:
     """Units whose box meets a rectangle; min/max columns prune Parquet row groups."""
     return boxes.filter((F.col("max_x") >= min_x) & (F.col("min_x") <= max_x)
                         & (F.col("max_y") >= min_y) & (F.col("min_y") <= max_y))
@@ -101,14 +101,13 @@ def resolve_units(records: DataFrame, units: DataFrame, lookup: DataFrame, recor
                   iso: str = "iso", gadm: str = "gadm_units", admin: str = "admin_units",
                   fold: bool = True) -> tuple[DataFrame, DataFrame]:
     """Where a record's loss may lie: unit ids, then unit names, then a special territory, then
-    the whole country, else nowhere. Returns (record, source, country_id) and (record, unit_id).
+    the whole country, else nowhere. Returns (record, source, spatial_detail, note, country_id) and (record, unit_id).
 
     ``units``: unit_id, level, gid0, gid, name. ``lookup``: iso3_final, country_id.
     """
-    by_gid = units.filter("level in (1, 2)").select(F.upper(F.trim("gid")).alias("gid"), "unit_id")
-    named = _ids_of_records(records, record, gadm).join(by_gid, "gid").select(record, "rank", "unit_id")
-    best = named.groupBy(record).agg(F.min("rank").alias("rank"))
-    gid_hits = named.join(best, [record, "rank"]).select(record, "unit_id").distinct()
+    fine = units.filter("level in (1, 2)").select("level", "unit_id", "name", F.upper(F.trim("gid")).alias("gid"), F.upper(F.trim("gid0")).alias("gid0"))
+    by_gid = _ids_of_records(records, record, gadm).join(fine.select("gid", "unit_id"), "gid").select(
+        record, (F.lit(1) + F.col("rank") / 2).alias("__p"), "unit_id")
 
     names = (records.select(record, F.upper(F.coalesce(iso, F.lit(""))).alias("gid0"),
                             F.explode(tx.json_list(F.col(admin), NAME_SCHEMA)).alias("__s"))
@@ -117,33 +116,37 @@ def resolve_units(records: DataFrame, units: DataFrame, lookup: DataFrame, recor
                  F.struct(F.lit(1).alias("level"), F.col("__s.adm1_name").alias("name")))).alias("__n"))
              .select(record, "gid0", "__n.level", tx.normalize(F.col("__n.name"), fold).alias("name"))
              .filter((F.col("name") != "") & ~F.col("name").contains(tx.NOT_AVAILABLE)))
-    by_name = units.filter("level in (1, 2)").select(
-        F.upper(F.trim("gid0")).alias("gid0"), "level", tx.normalize(F.col("name"), fold).alias("name"), "unit_id")
-    name_hits = names.join(by_name, ["gid0", "level", "name"]).select(record, "unit_id").distinct()
+    by_name = names.join(fine.select("gid0", "level", tx.normalize(F.col("name"), fold).alias("name"), "unit_id"),
+                         ["gid0", "level", "name"]).select(record, F.lit(2.0).alias("__p"), "unit_id")
 
     # Territories that have units of their own under another country.
-    special = units.sparkSession.createDataFrame(
-        [("HKG", "CHN.HKG", "HKG."), ("MAC", "CHN.MAC", "MAC.")], "sp string, gid1 string, prefix string")
-    keyed = units.filter("level in (1, 2)").withColumn("__gid", F.upper(F.trim("gid")))
-    special_units = (keyed.join(F.broadcast(special), ((F.col("level") == 1) & (F.col("__gid") == F.col("gid1")))
-                                | ((F.col("level") == 2) & F.col("__gid").startswith(F.col("prefix"))))
-                     .select("sp", "level", "unit_id"))
-    finest = special_units.groupBy("sp").agg(F.min("level").alias("level"))
-    special_units = special_units.join(finest, ["sp", "level"]).select("sp", "unit_id")
-    special_hits = (records.select(record, F.upper(F.col(iso)).alias("sp")).join(special_units, "sp")
-                    .select(record, "unit_id").distinct())
-
-    options = gid_hits.withColumn("__o", F.lit(1)).unionByName(
-        name_hits.withColumn("__o", F.lit(2))).unionByName(special_hits.withColumn("__o", F.lit(3)))
-    chosen = options.groupBy(record).agg(F.min("__o").alias("__o"))
-    picked = options.join(chosen, [record, "__o"]).select(record, "unit_id")
+    level, gid = F.col("level"), F.col("gid")
+    territory = (F.when(((level == 1) & (gid == "CHN.HKG")) | ((level == 2) & gid.startswith("HKG.")), "HKG")
+                 .when(((level == 1) & (gid == "CHN.MAC")) | ((level == 2) & gid.startswith("MAC.")), "MAC"))
+    coarsest = F.min("level").over(Window.partitionBy("sp"))  # the few units of two territories
+    territories = (fine.select("level", "unit_id", territory.alias("sp")).filter("sp is not null")
+                   .withColumn("__l", coarsest).filter("level = __l").select("sp", "unit_id"))
+    by_territory = records.select(record, F.upper(F.col(iso)).alias("sp")).join(territories, "sp").select(
+        record, F.lit(3.0).alias("__p"), "unit_id")
+
+    # The units a record can name are few, so the best kind of hit is a window over its own.
+    best = F.min("__p").over(Window.partitionBy(record))
+    hits = (by_gid.unionByName(by_name).unionByName(by_territory).withColumn("__b", best)
+            .filter("__p = __b").select(record, F.floor("__p").alias("__o"), "unit_id").distinct())
+    chosen = hits.groupBy(record).agg(F.max("__o").alias("__o"))
+    picked = hits.select(record, "unit_id")
     countries = lookup.select(F.upper(F.trim("iso3_final")).alias("__iso"), "country_id")
     source = (records.select(record, F.upper(F.trim(iso)).alias("__iso")).join(chosen, record, "left")
               .join(countries, "__iso", "left")
               .select(record,
-                      F.when(F.col("__o") == 1, "gadm_units").when(F.col("__o") == 2, "admin_names")
-                      .when(F.col("__o") == 3, "special_iso").when(F.col("country_id").isNotNull(), "country_id")
-                      .otherwise("none").alias("source"),
+                      F.when(F.col("__o").isin(1, 3), "gadm_gid").when(F.col("__o") == 2, "admin_name")
+                      .when(F.col("country_id").isNotNull(), "iso_country").otherwise("none").alias("source"),
+                      F.when(F.col("__o") == 1, "GADM Admin Units").when(F.col("__o") == 2, "Admin Units")
+                      .when(F.col("__o") == 3, F.concat(F.lit("special_"), "__iso"))
+                      .when(F.col("country_id").isNotNull(), F.concat(F.lit("country_id="), F.col("country_id").cast("string")))
+                      .otherwise("no_spatial_strategy").alias("spatial_detail"),
+                      F.when(F.col("__o").isNull() & F.col("country_id").isNull(),
+                             F.concat(F.lit("No spatial strategy for ISO="), F.coalesce("__iso", F.lit("")))).otherwise("").alias("note"),
                       F.when(F.col("__o").isNull(), F.col("country_id")).alias("country_id")))
     return source, picked
 

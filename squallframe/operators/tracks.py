@@ -48,10 +48,11 @@ def number_steps(points: DataFrame, storm: str, ts: str, *tie: str, out: str = "
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-def storm_summary(points: DataFrame, storm: str, ts: str, *attributes: str) -> DataFrame:
-    """First and last value of the attributes in time order, and the life span."""
-    firsts = [F.min_by(a, ts).alias(f"first_{a}") for a in attributes]
-    lasts = [F.max_by(a, ts).alias(f"last_{a}") for a in attributes]
+def storm_summary(points: DataFrame, storm: str, ts: str, *attributes: str, tie: str = "event_id") -> DataFrame:
+    """First and last value of the attributes in time order (``tie`` decides at equal times), and the life span."""
+    order = F.struct(ts, tie)
+    firsts = [F.min_by(a, order).alias(f"first_{a}") for a in attributes]
+    lasts = [F.max_by(a, order).alias(f"last_{a}") for a in attributes]
     return points.groupBy(storm).agg(F.min(ts).alias("start_time"), F.max(ts).alias("end_time"),
                                      F.count(F.lit(1)).alias("n_points"), *firsts, *lasts)
 

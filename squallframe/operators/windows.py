@@ -133,9 +133,11 @@ def axis_span(centre: Column, half_width: float, start: float, res: float,
 
 def coordinate_window(points: DataFrame, grid: DataFrame, lat: str, lon: str, half_width: float,
                       lat_axis: tuple[float, float, int], lon_axis: tuple[float, float, int],
-                      keys: Sequence[str] = (), size: int = WINDOW_SIZE, half_open: bool = False) -> DataFrame:
+                      keys: Sequence[str] = (), size: int | None = None, half_open: bool = False) -> DataFrame:
     """Grid nodes inside a square around each point, packed from the top-left corner.
 
+    ``size`` is the packing width the caller counts on; a square with more nodes fails the job.
+
     Axes are (start, step, length) of a regular grid keyed by (lat_idx, lon_idx), so the range
     condition becomes index arithmetic and the join an equi-join.
     """
@@ -146,7 +148,9 @@ def coordinate_window(points: DataFrame, grid: DataFrame, lat: str, lon: str, ha
     df = points
     for name, packed in (("lat", "wi"), ("lon", "wj")):
         low, high = spans[name]
-        df = (df.withColumn(f"__{name}0", low).withColumn(f"__{name}1", F.least(high, low + size - 1))
+        if size is not None:
+            high = F.when(high - low >= size, F.raise_error(F.lit(f"more than {size} {name} nodes in a window")).cast("long")).otherwise(high)
+        df = (df.withColumn(f"__{name}0", low).withColumn(f"__{name}1", high)
               .filter(F.col(f"__{name}0") <= F.col(f"__{name}1")))
     for name, packed in (("lat", "wi"), ("lon", "wj")):
         df = _explode_range(df, f"{name}_idx", F.col(f"__{name}0"), F.col(f"__{name}1"))

@@ -20,12 +20,18 @@ class Attribution:
     cells: DataFrame
     matches: DataFrame
     summary: DataFrame
+    kept: tuple[DataFrame, ...]
+
+    def release(self) -> None:
+        """Free the cached tables once the results are written."""
+        for frame in self.kept:
+            frame.unpersist()
 
 
 def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataFrame, units: DataFrame,
                      edges: DataFrame, lookup: DataFrame, shares: DataFrame | None = None,
                      pad_days: int = 1) -> Attribution:
-    """Match, mask, weigh and allocate.
+    """Match, mask, weigh and allocate. Takes no job; ``release`` frees what the results share.
 
     records: disaster records with rec_id. track_points: storm_id, storm_name, step, obs_date.
     windows: storm_id, step, wi, wj, lat, lon, hazard, asset. shares: storm_id, step, wi, wj,
@@ -33,9 +39,10 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
     """
     prepared = prepare_records(records, pad_days)
     storms = storm_lives(track_points, carry=("storm_name",))
-    # Matches feed the audit, the cells and the summary, so names are scored once.
+    # Matches, units and audit have a row for each record and candidate; they feed several results and are kept.
     matches = reuse(match_records(prepared, storms))
-    sources, record_units = resolve_units(prepared, units, lookup)
+    sources, found_units = resolve_units(prepared, units, lookup)
+    record_units = reuse(found_units)
     audit = reuse(match_audit(prepared, matches, sources))
 
     payable = audit.filter("status_prealloc = 'matched'").select("rec_id", "pad_start", "pad_end", "country_id")
@@ -46,7 +53,10 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
                     .select("rec_id", "country_id", "storm_id", "step", "same_day"))
     cells = record_steps.join(windows, ["storm_id", "step"])
 
-    inside = points_in_units(windows, edges, "lon", "lat")
+    # Only cells of matched steps are held against only the outlines that a matched record names.
+    met = windows.join(record_steps.select("storm_id", "step").distinct(), ["storm_id", "step"], "left_semi")
+    named = edges.join(record_units.join(payable, "rec_id", "left_semi").select("unit_id").distinct(), "unit_id", "left_semi")
+    inside = points_in_units(met, named, "lon", "lat")
     by_unit = (inside.join(record_units, "unit_id").select("rec_id", "lon", "lat").distinct()
                .withColumn("__in", F.lit(1.0)))
     masked = cells.join(by_unit, ["rec_id", "lon", "lat"], "left")
@@ -55,10 +65,11 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
     else:
         masked = masked.withColumn("share", F.lit(0.0))
     mask = F.coalesce("__in", "share", F.lit(0.0))
-    weighted = reuse(al.cell_weights(masked, mask, F.col("hazard"), F.col("asset"), F.col("same_day"))
-                     .select("rec_id", "storm_id", "step", "wi", "wj", "p"))
+    weighted = (al.cell_weights(masked, mask, F.col("hazard"), F.col("asset"), F.col("same_day"))
+                .select("rec_id", "storm_id", "step", "wi", "wj", "p").filter("p > 0"))
 
     losses = audit.withColumn("loss_usd", F.when(F.col("status_prealloc") != "missing_loss", F.col("loss_usd")))
     paid = al.allocate(losses.select("rec_id", "loss_usd"), weighted, "rec_id", "loss_usd")
-    summary = al.allocation_summary(losses.select("rec_id", "loss_usd", "grade", "source"), weighted, "rec_id", "loss_usd")
-    return Attribution(al.accumulate_cells(paid, ["storm_id", "step", "wi", "wj"]), audit, summary)
+    summary = al.allocation_summary(losses.select("rec_id", "loss_usd", "grade", "source", "selected_storms", "loss_source", "status_prealloc"),
+                                    weighted, "rec_id", "loss_usd", matched=F.col("status_prealloc") == "matched")
+    return Attribution(al.accumulate_cells(paid, ["storm_id", "step", "wi", "wj"]), audit, summary, (matches, record_units, audit))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -48,6 +49,8 @@ def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """A frame several branches read: checkpointed where the cluster has a folder for it, else
-    cached (lost blocks are computed again)."""
-    return cut_lineage(df) if checkpoint_folder(df.sparkSession) else df.persist()
+    """A frame several branches read, cached on disk at its first use; lost blocks are computed again.
+
+    Nothing runs before the caller's first action. The caller releases it with ``unpersist``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, with hot keys where skew matters."""
 
+import datetime as dt
 import math
 import random
 
@@ -316,8 +317,8 @@ def test_unit_resolution_order(spark):
         "rec_id int, iso string, gadm_units string, admin_units string")
     source, picked = spatial.resolve_units(records, units, lookup)
     assert {r.rec_id: (r.source, r.country_id) for r in source.collect()} == {
-        1: ("gadm_units", None), 2: ("gadm_units", None), 3: ("admin_names", None), 4: ("special_iso", None),
-        5: ("special_iso", None), 6: ("country_id", 9), 7: ("none", None)}
+        1: ("gadm_gid", None), 2: ("gadm_gid", None), 3: ("admin_name", None), 4: ("gadm_gid", None),
+        5: ("gadm_gid", None), 6: ("iso_country", 9), 7: ("none", None)}
     assert {(r.rec_id, r.unit_id) for r in picked.collect()} == {(1, 1), (1, 2), (2, 2), (3, 1), (4, 3), (5, 4)}
 
 
@@ -392,3 +393,88 @@ def test_schema_rows_and_gate(spark):
     with pytest.raises(RuntimeError):
         quality.gate(quality.inventory(want, have, ["y"], "s"))
     assert quality.gate(quality.inventory(have, want.unionByName(have), ["y"], "s")) == 1
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_first_per_key_beyond_a_thousand(spark, keys):
+    df = spark.range(6000).withColumn("k", F.lit(1))
+    best = keyed.first_per_key(df, keys, [F.col("id").desc()], 5000, rank="r")
+    rows = best.collect()
+    assert sorted((r.r, r.id) for r in rows) == [(i + 1, 5999 - i) for i in range(5000)]
+    if keys:
+        assert "__slot" in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_case_ranking_honours_n(spark):
+    df = spark.createDataFrame([(i, float(i), "A") for i in range(12)], "no int, loss double, grade string")
+    assert [r.no for r in external.rank_cases(df, "loss", "grade", "no", 9).orderBy("case_rank").collect()] == list(range(11, 2, -1))
+
+
+def test_years_without_days_have_no_coverage(spark):
+    days = spark.createDataFrame([(dt.date(2001, 1, 1),), (dt.date(2001, 1, 1),), (dt.date(2001, 1, 2),)], "d date")
+    years = spark.createDataFrame([(2001,), (2004,)], "year int")
+    got = {r.year: (r.n_days, r.expected, r.readable) for r in external.daily_coverage(days, "d", years).collect()}
+    assert got == {2001: (2, 365, 1.0), 2004: (0, 366, None)}
+
+
+def test_sampled_digest_takes_parts_by_size(spark):
+    import hashlib
+
+    from squallframe.operators.quality import sampled_digest
+    rows = [("x" * n if n % 2 else "".join(chr(97 + i % 26) for i in range(n)),) for n in (0, 1, 9, 10, 11, 20, 21, 30, 47)]
+    for r in spark.createDataFrame(rows, "t string").select("t", sampled_digest(F.length("t"), F.col("t").cast("binary"), 10).alias("d")).collect():
+        n, h = len(r.t), hashlib.sha256(str(len(r.t)).encode() + r.t[:10].encode())
+        if n > 20:
+            h.update(r.t[max(n // 2 - 5, 0):][:10].encode())
+        if n > 10:
+            h.update(r.t[n - 10:].encode())
+        assert r.d == h.hexdigest(), n
+
+
+def test_ties_of_first_and_last_follow_the_id(spark):
+    df = spark.createDataFrame([(1, 5, 2, "b"), (1, 5, 1, "a"), (1, 6, 4, "d"), (1, 6, 3, "c")], "s int, ts int, event_id int, v string")
+    r = tracks.storm_summary(df, "s", "ts", "v").first()
+    assert (r.first_v, r.last_v) == ("a", "d")
+
+
+def test_window_wider_than_its_packing_fails(spark):
+    points = spark.createDataFrame([(1, 2.0, 2.0)], "p int, lat double, lon double")
+    grid = spark.createDataFrame([(i, j, 1.0) for i in range(50) for j in range(3)], "lat_idx long, lon_idx long, v double")
+    call = lambda size: windows.coordinate_window(points, grid, "lat", "lon", 3.0, (0.0, 0.1, 50), (0.0, 2.0, 3), size=size)
+    assert call(None).count() == 150
+    with pytest.raises(Exception, match="more than 41 lat nodes"):
+        call(41).count()
+
+
+def test_quantiles_of_tiny_and_tied_groups(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    groups = [rng.normal(size=n).round(d).tolist() for n, d in ((1, 2), (2, 2), (3, 2), (5, 2), (9, 0), (700, 1), (30000, 2))]
+    df = spark.createDataFrame([(i, float(v)) for i, g in enumerate(groups) for v in g], "k int, v double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    for r in quantiles.exact_quantiles(df, ["k"], "v", probs).collect():
+        assert [r[n] for n in probs] == pytest.approx(np.quantile(groups[r.k], list(probs.values())).tolist())
+
+
+def test_audit_lists_candidates_in_order(spark):
+    from squallframe.operators.matching import match_audit
+    records = spark.createDataFrame([(1, 5.0), (2, None), (3, 5.0)], "rec_id int, loss_usd double")
+    matches = spark.createDataFrame([(1, "a|b", 1, 0.95, "B", True), (1, "c", 2, 0.9, "B", True), (1, "d", 3, 0.1234, "B", False)],
+                                    "rec_id int, storm_id string, rank int, score double, grade string, selected boolean")
+    sources = spark.createDataFrame([(i, "iso_country", "country_id=1", "", 1) for i in (1, 2, 3)], "rec_id int, source string, spatial_detail string, note string, country_id int")
+    got = {r.rec_id: r for r in match_audit(records, matches, sources).collect()}
+    assert (got[1].selected_storms, got[1].candidate_groups) == ("a|b;c", "a|b:0.950;c:0.900;d:0.123")
+    assert [got[i].status_prealloc for i in (1, 2, 3)] == ["matched", "missing_loss", "unmatched"]
+
+
+def test_stage_of_cases(spark):
+    rows = [("e1", 2019, 5.0, "s1"), ("e2", 2021, 5.0, "s1"), ("e3", 2018, 0.0, "s1"), ("e4", 2018, 1.0, " "), ("e5", 2018, 1.0, "s2"), ("e6", 2018, 1.0, "s2")]
+    events = spark.createDataFrame(rows, "ev string, year int, loss_usd double, selected_storms string")
+    metrics = spark.createDataFrame([(f"e{i}", "PASS") for i in range(1, 6)], "ev string, status string")
+    cases = external.case_candidates(events, metrics, ["ev"])
+    assert sorted(r.ev for r in cases.collect()) == ["e1", "e5"]
+    assert external.case_stage_status(cases).first().stage_status == "WARN"
+    assert external.case_stage_status(cases.filter("false")).first().stage_status == "WARN"
+    three = spark.createDataFrame([("PASS",)] * 3, "status string")
+    assert external.case_stage_status(three).first().stage_status == "PASS"
+    assert external.case_stage_status(three.union(spark.createDataFrame([("FAIL",)], "status string"))).first().stage_status == "FAIL"

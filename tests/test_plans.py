@@ -45,7 +45,7 @@ def test_losses_reach_the_right_cells(spark, season):
     assert max(r.conservation_error or 0.0 for k, r in summary.items() if r.status == "allocated") <= 1e-9
     matches = {r.rec_id: r for r in got.matches.collect()}
     assert matches[1].selected_storms == "1" and matches[2].selected_storms == "2" and matches[4].grade == "D"
-    assert matches[1].source == "gadm_units" and matches[2].source == "country_id" and matches[5].source == "none"
+    assert matches[1].source == "gadm_gid" and matches[2].source == "iso_country" and matches[5].source == "none"
     cells = got.cells.collect()
     assert sum(r.loss_usd for r in cells) == pytest.approx(14_000.0)
     paid = {(r.storm_id, r.wi, r.wj) for r in cells if r.loss_usd > 0}
@@ -79,3 +79,21 @@ def test_assets_conserve_national_totals(spark):
     check = {(r.year, r.zone): (r.valid, r.realised) for r in assets.asset_conservation(layer, totals).collect()}
     assert check == {(2000, 1): (1, pytest.approx(100.0)), (2000, 2): (1, pytest.approx(50.0)), (2001, 2): (1, pytest.approx(60.0))}
     assert layer.filter("year = 2001 and zone = 1 and asset > 0").count() == 0
+
+
+def test_matched_record_without_steps_in_its_days_weighs_nothing(spark, season):
+    tracks = spark.createDataFrame([(1, "HAIYAN", 0, dt.date(2013, 11, 1)), (1, "HAIYAN", 1, dt.date(2013, 11, 11))],
+                                   "storm_id long, storm_name string, step long, obs_date date")
+    gap = season["records"].filter("rec_id = 1").withColumn("start_day", F.lit(5)).withColumn("end_day", F.lit(6))
+    got = attribution.attribute_losses(**{**season, "records": gap, "track_points": tracks})
+    row = got.summary.first()
+    assert (row.status_prealloc, row.status, row.allocated_usd, row.conservation_error) == ("matched", "zero_weight", 0.0, 1.0)
+    got.release()
+
+
+def test_building_the_attribution_takes_no_job(spark, season):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job belongs here")
+    attribution.attribute_losses(**season).release()
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
