@@ -278,6 +278,26 @@ def _(t):
     return _rounded(stats.year_transitions(cells, F.col("year"), "value", 1), year=big("year"))
 
 
+@query("a22_year_js", f"""WITH {fr.YEARLY}, v AS (SELECT "year", "value" % 63 AS x FROM yearly WHERE "value" % 63 BETWEEN 0 AND 63),
+h AS (SELECT "year", CAST(least(floor(x / 63.0::DOUBLE * 16), 15) AS BIGINT) AS b, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT "year", sum(n) AS n FROM h GROUP BY 1),
+p AS (SELECT a."year", (coalesce(x.n, 0) + 1e-12::DOUBLE) / (a.n + 16e-12::DOUBLE) AS p, (coalesce(y.n, 0) + 1e-12::DOUBLE) / (c.n + 16e-12::DOUBLE) AS q
+  FROM t a JOIN t c ON c."year" = a."year" + 1 CROSS JOIN range(16) AS r(i) LEFT JOIN h x ON x."year" = a."year" AND x.b = i LEFT JOIN h y ON y."year" = c."year" AND y.b = i)
+SELECT CAST("year" AS BIGINT) AS "year", {R('sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0))', 5)} AS js_distance FROM p GROUP BY 1""")
+def _(t):
+    cells = fr.yearly(t).withColumn("value", F.col("value") % 63)
+    return raster.year_js_distances(cells, "year", bins=16).select(big("year").alias("year"), rounded("js_distance", 5).alias("js_distance"))
+
+
+@query("a8_threshold_by_zone", f"""WITH {fr.GRID}, c AS (
+  SELECT zone, CASE WHEN "value" > 0 AND abs(90 - ("row" + 0.5) * 180 / m) >= 45 THEN "value" END AS v FROM grid, (SELECT max("row") + 1 AS m FROM grid))
+SELECT zone, count(v) AS n, {R("CASE WHEN count(v) >= 100 THEN avg(v) + 3 * stddev_pop(v) END")} AS threshold FROM c GROUP BY 1""")
+def _(t):
+    g = fr.grid(t)
+    sized = keyed.with_scalars(g, g.agg((F.max("row") + 1).alias("m")))
+    got = raster.high_latitude_threshold(sized, 90 - (F.col("row") + 0.5) * 180 / F.col("m"), min_count=100, by=["zone"])
+    return got.select("zone", "n", rounded(F.when(F.col("threshold") < float("inf"), F.col("threshold"))).alias("threshold"))
+
+
 @query("a23_knot_fidelity", f"""WITH {fr.YEARLY},
 k AS (SELECT * FROM yearly WHERE "year" IN (1996, 1997, 1998, 1999, 2000))
 SELECT CAST("year" AS BIGINT) AS "year", count(*) AS n, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS max_abs FROM k GROUP BY 1""")

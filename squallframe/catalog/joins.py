@@ -9,7 +9,7 @@ from ..operators import external, keyed, quality, spatial, windows
 from ..operators.matching import prepare_records
 from ..operators.panel import dense_panel, fill_panel
 from ..operators.raster import stack_layers
-from ..operators.ranges import distance_join, overlap_join
+from ..operators.ranges import distance_join, overlap_totals
 from . import frames as fr
 from .base import R, big, money, n_rows, query, rounded
 
@@ -109,9 +109,8 @@ SELECT rec_id, count(*) AS n_storms, CAST(sum(least(pad_end, last_day) - greates
        CAST(max(least(pad_end, last_day) - greatest(pad_start, first_day) + 1) AS BIGINT) AS overlap_max
 FROM prepared JOIN lives ON pad_start <= last_day AND pad_end >= first_day GROUP BY rec_id""")
 def _(t):
-    pairs = overlap_join(prepare_records(fr.records(t)), fr.lives(t), ("pad_start", "pad_end"), ("first_day", "last_day"))
-    return pairs.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_storms"), big(F.sum("overlap")).alias("overlap_sum"),
-                                       big(F.max("overlap")).alias("overlap_max"))
+    got = overlap_totals(prepare_records(fr.records(t)), fr.lives(t), ("pad_start", "pad_end"), ("first_day", "last_day"))
+    return got.select("rec_id", F.col("n_overlaps").alias("n_storms"), big("overlap_sum").alias("overlap_sum"), big("overlap_max").alias("overlap_max"))
 
 
 FLOODS = """floods AS (
@@ -153,8 +152,8 @@ SELECT event_key, count(*) AS n_floods, CAST(sum(overlap) AS BIGINT) AS overlap_
 WHERE main_cause <> 'Dam break' GROUP BY 1""")
 def _(t):
     accepted = floods(t).filter("main_cause <> 'Dam break'").withColumn("iso", F.explode("iso_set"))
-    pairs = overlap_join(ship_events(t), accepted, ("pad_start", "pad_end"), ("began", "ended"), ["iso"])
-    return pairs.groupBy("event_key").agg(F.count(F.lit(1)).alias("n_floods"), big(F.sum("overlap")).alias("overlap_sum"))
+    got = overlap_totals(ship_events(t), accepted, ("pad_start", "pad_end"), ("began", "ended"), ["iso"])
+    return got.select("event_key", F.col("n_overlaps").alias("n_floods"), big("overlap_sum").alias("overlap_sum"))
 
 
 @query("j12_best_link", f"""WITH {FLOODS}, {SHIP_EVENTS}

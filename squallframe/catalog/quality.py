@@ -39,6 +39,14 @@ def _(t):
     return quality.spec_mismatches(specs, "p_brand", "p_partkey", ["dtype"], {"res": 25.005})
 
 
+@query("q2_expected_grid", """
+SELECT p_partkey, unnest(list_filter([CASE WHEN p_type <> t THEN 'crs' END, CASE WHEN p_size <> 7 THEN 'width' END, CASE WHEN abs(p_retailprice - 1000) > 250.005 THEN 'lon_min' END], lambda x: x IS NOT NULL)) AS field
+FROM part, (SELECT 'STANDARD' AS t)""")
+def _(t):
+    specs = t.part.select("p_partkey", F.col("p_type").alias("crs"), F.col("p_size").alias("width"), F.col("p_retailprice").alias("lon_min"))
+    return quality.spec_differences(specs, ["p_partkey"], {"crs": "STANDARD", "width": 7}, {"lon_min": (1000.0, 250.005)})
+
+
 @query("q3_required_variables", """
 WITH g AS (SELECT DISTINCT user_id FROM events), v AS (SELECT * FROM (VALUES ('click'), ('view'), ('purchase'), ('refund')) AS r(event_type))
 SELECT user_id, event_type FROM g, v EXCEPT SELECT user_id, event_type FROM events WHERE "value" > 100""")
@@ -110,17 +118,27 @@ def _(t):
     return _rounded(got, mae_unflipped=rounded("mae_unflipped", 4), orientation_pass=big("orientation_pass"))
 
 
-@query("q8_hazard_formulas", f"""WITH {fr.GRID}
-SELECT zone, count(*) AS n_cells, 0.0::DOUBLE AS wind_max_error, 0.0::DOUBLE AS hazard_wind_max_error, {R("max(CASE WHEN zone = 3 THEN 0.25::DOUBLE ELSE 0 END)")} AS hazard_compound_max_error,
-       count(*) FILTER (signed < 0 AND zone = 5) AS n_negative, CASE WHEN zone IN (3, 5) THEN 'FAIL' ELSE 'PASS' END AS status FROM grid GROUP BY 1""")
+@query("q8_hazard_formulas", f"""WITH {fr.GRID},
+a AS (SELECT *, sqrt("value" * "value" + signed * signed) AS w, CASE WHEN zone = 5 THEN signed ELSE abs(signed) END AS rain FROM grid),
+b AS (SELECT *, w + CASE WHEN zone = 1 THEN 0.5::DOUBLE ELSE 0 END AS wind FROM a),
+c AS (SELECT *, pow(greatest(wind - {hz.WIND_THRESHOLD}, 0), 3) AS p, pow(greatest(wind - {hz.WIND_THRESHOLD}, 0), 3) * CASE WHEN zone = 2 THEN 2.0::DOUBLE ELSE 1 END AS hw FROM b),
+d AS (SELECT *, min(hw) OVER x AS w0, max(hw) OVER x AS w1, min(rain) OVER x AS r0, max(rain) OVER x AS r1 FROM c WINDOW x AS (PARTITION BY "row")),
+e AS (SELECT *, CASE WHEN w1 > w0 THEN (hw - w0) / (w1 - w0) ELSE 0 END * 0.5::DOUBLE + CASE WHEN r1 > r0 THEN (rain - r0) / (r1 - r0) ELSE 0 END * 0.5::DOUBLE AS h FROM d)
+SELECT zone, count(*) AS n_cells, {R("max(abs(wind - w))")} AS wind_max_error, {R("max(abs(hw - p) / (1 + p))")} AS hazard_wind_rel_error,
+       {R("max(CASE WHEN zone = 3 THEN 0.25::DOUBLE ELSE 0 END)")} AS hazard_compound_max_error, count(*) FILTER (rain < 0) AS n_negative,
+       CASE WHEN zone IN (1, 2, 3, 5) THEN 'FAIL' ELSE 'PASS' END AS status FROM e GROUP BY 1""")
 def _(t):
+    zone = F.col("zone")
     g = fr.grid(t).withColumn("u10", F.col("value")).withColumn("v10", F.col("signed"))
-    g = g.withColumn("wind", hz.wind_speed(F.col("u10"), F.col("v10"))).withColumn("hazard_wind", hz.wind_power(F.col("wind")))
-    g = g.withColumn("hazard_rain", F.when(F.col("zone") == 5, F.col("signed")).otherwise(F.abs("signed")))
+    g = g.withColumn("wind", hz.wind_speed(F.col("u10"), F.col("v10")) + F.when(zone == 1, 0.5).otherwise(0.0))
+    g = g.withColumn("hazard_wind", hz.wind_power(F.col("wind")) * F.when(zone == 2, 2.0).otherwise(1.0))
+    g = g.withColumn("hazard_rain", F.when(zone == 5, F.col("signed")).otherwise(F.abs("signed")))
     g = windows.compound_hazard(g, "hazard_wind", "hazard_rain", ["row"]).withColumn(
-        "hazard_compound", F.when(F.col("zone") == 3, F.col("hazard_compound") + 0.25).otherwise(F.col("hazard_compound")))
+        "hazard_compound", F.when(zone == 3, F.col("hazard_compound") + 0.25).otherwise(F.col("hazard_compound")))
     got = quality.formula_check(g, ["row"], ["zone"])
-    return got.select("zone", "n_cells", *[rounded(c).alias(c) for c in ("wind_max_error", "hazard_wind_max_error", "hazard_compound_max_error")], "n_negative", "status")
+    power = hz.wind_power(F.col("wind"))
+    relative = g.groupBy("zone").agg(F.max(F.abs(F.col("hazard_wind") - power) / (1 + power)).alias("hazard_wind_rel_error"))
+    return got.join(relative, "zone").select("zone", "n_cells", *[rounded(c).alias(c) for c in ("wind_max_error", "hazard_wind_rel_error", "hazard_compound_max_error")], "n_negative", "status")
 
 
 @query("q9_hazard_distribution", f"""WITH {fr.GRID},
@@ -225,6 +243,24 @@ def _(t):
     return t.customer.select("c_custkey", status.alias("status"), reasons.alias("reasons"))
 
 
+@query("q16_case_stage", f"""WITH {CASE_INPUT},
+k AS (SELECT f.c_custkey, c_acctbal, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN w1 OR w2 OR w3 THEN 'WARN' ELSE 'PASS' END AS status, c_nationkey, translate(left(c_mktsegment, 1), 'ABFHM', 'ABCDD') AS grade
+  FROM f JOIN customer USING (c_custkey) WHERE 2000 + c_nationkey <= 2020 AND c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AND c_custkey % 2 = 0),
+r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, strpos('ABCD', grade), c_custkey) <= 4)
+SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS n_cases, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') OR count(*) < 3 THEN 'WARN' ELSE 'PASS' END AS stage_status FROM r GROUP BY 1""")
+def _(t):
+    k = F.col("c_custkey")
+    status, _reasons = external.case_status(k % 9 - 4, (k % 20) / 100.0, (k % 30) / 100.0,
+                                            F.when(k % 7 != 0, F.col("c_acctbal") / 10000), (k % 11) / 10.0)
+    metrics = t.customer.filter(k % 2 == 0).select("c_custkey", status.alias("status"))
+    events = t.customer.select("c_custkey", (F.lit(2000) + F.col("c_nationkey")).alias("year"), F.col("c_acctbal").alias("loss_usd"), big("c_nationkey").alias("nation"),
+                               F.translate(F.substring("c_mktsegment", 1, 1), "ABFHM", "ABCDD").alias("grade"),
+                               F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(" ").alias("selected_storms"))
+    cases = external.case_candidates(events, metrics, ["c_custkey"])
+    best = external.rank_cases(cases, "loss_usd", "grade", "c_custkey", 4, by=["nation"])
+    return external.case_stage_status(best, by=["nation"]).select("nation", "n_cases", "stage_status")
+
+
 @query("q17_release_decision", """
 WITH s AS (SELECT n_name, 'L' || (l_linenumber - 1) AS level, max(CASE WHEN l_extendedprice > 104800 THEN 3 WHEN l_extendedprice > 104400 THEN 2 ELSE 1 END) AS r
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)

@@ -44,10 +44,14 @@ def link_floods(events: DataFrame, floods: DataFrame, causes: Sequence[str], eve
     then the nearest beginning, then the smallest id. ``floods`` holds iso_set as an array."""
     accepted = floods.filter(tx.cause(F.col("main_cause")).isin(*causes)).select(
         flood, *flood_span, F.explode("iso_set").alias(iso))
-    pairs = overlap_join(events, accepted, event_span, flood_span, [iso])
+    # Distinct spans are paired, whose number the calendar bounds; of floods with one span the smallest id counts.
+    mine = events.select(iso, *event_span).distinct()
+    theirs = accepted.groupBy(iso, *flood_span).agg(F.min(flood).alias(flood))
     gap = F.abs(F.datediff(flood_span[0], event_span[0]))
-    return first_per_key(pairs.withColumn("gap_days", gap), [event],
-                         [F.col("overlap").desc(), F.col("gap_days"), F.col(flood)])
+    order = [F.col("overlap").desc(), F.col("gap_days"), F.col(flood)]
+    pairs = overlap_join(mine, theirs, event_span, flood_span, [iso]).withColumn("gap_days", gap)
+    best = first_per_key(pairs, [iso, *event_span], order)
+    return first_per_key(events.join(best, [iso, *event_span]), [event], order)
 
 
 def link_rates(events: DataFrame, links: dict[str, DataFrame], event: str, year: str) -> DataFrame:
@@ -151,10 +155,11 @@ def case_status(lag: Column, iou: Column, recall: Column, corr: Column, bias_rat
     return F.when(failed, "FAIL").when(warned, "WARN").otherwise("PASS"), text
 
 
-def rank_cases(events: DataFrame, loss: str, grade: str, number: str, n: int = 5) -> DataFrame:
-    """The ``n`` largest losses, better grades first on ties."""
+def rank_cases(events: DataFrame, loss: str, grade: str, number: str, n: int = 5,
+               by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` largest losses, of each group of ``by`` if given, better grades first on ties."""
     ordered = events.withColumn("__grade", st.grade_priority(F.col(grade)))
-    return first_per_key(ordered, [], [F.col(loss).desc_nulls_last(), F.col("__grade"), F.col(number)],
+    return first_per_key(ordered, by, [F.col(loss).desc_nulls_last(), F.col("__grade"), F.col(number)],
                          n, rank="case_rank").drop("__grade")
 
 
@@ -165,12 +170,12 @@ def case_candidates(events: DataFrame, metrics: DataFrame, keys: Sequence[str],
     return kept.join(metrics, list(keys))
 
 
-def case_stage_status(cases: DataFrame, status: str = "status", fewest: int = 3) -> DataFrame:
-    """One row: status of all cases, WARN where there are too few or none."""
+def case_stage_status(cases: DataFrame, status: str = "status", fewest: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each group of ``by``: status of all cases, WARN where there are too few or none."""
     failed = F.count_if(F.col(status) == "FAIL")
     n = F.count(F.lit(1))
     warned = (F.count_if(F.col(status) == "WARN") > 0) | (n < fewest)
-    return cases.agg(n.alias("n_cases"), F.when(failed > 0, "FAIL").when(warned, "WARN").otherwise("PASS").alias("stage_status"))
+    return cases.groupBy(*by).agg(n.alias("n_cases"), F.when(failed > 0, "FAIL").when(warned, "WARN").otherwise("PASS").alias("stage_status"))
 
 
 def snap_to_grid(cells: DataFrame, event: str, day: str, step: str, lat: str, lon: str, value: str,

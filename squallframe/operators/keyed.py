@@ -36,6 +36,12 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **aggregates: Column)
     return join_keys(df, df.groupBy(*keys).agg(*columns), keys)
 
 
+def with_window_values(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+    """The same in one shuffle, for groups whose size the model bounds, such as the cells of a window."""
+    group = Window.partitionBy(*keys)
+    return df.withColumns({name: expr.over(group) for name, expr in aggregates.items()})
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
               out: str = "step") -> DataFrame:
     """1-based position of each row inside its key, in two levels.

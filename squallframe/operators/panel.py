@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import first_per_key
+from .keyed import first_per_key, rank_rows
 
 # Codes of disputed areas and the country each is counted with.
 DISPUTED_PARENTS = {
@@ -63,9 +63,8 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, code: str) -> DataFrame
 
 
 def number_zones(df: DataFrame, code: str, out: str = "country_id") -> DataFrame:
-    """Zone ids in code order. The codes are countries, so the ranked table has a few hundred rows."""
-    codes = df.select(code).distinct()
-    ids = codes.withColumn(out, F.row_number().over(Window.orderBy(code)))
+    """Zone ids in code order; codes are ranked among those of the same first letters, so no task holds them all."""
+    ids = rank_rows(df.select(code).distinct(), [], [F.col(code)], F.substring(code, 1, 3), out)
     return df.join(ids, code)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status as st
 from ..functions.hazard import min_max_scaled, wind_power, wind_speed
-from .keyed import join_keys, with_group_values
+from .keyed import join_keys, with_window_values
 from .quantiles import exact_quantiles
 from .stats import agreement, sigma_flags
 
@@ -54,6 +54,13 @@ def spec_mismatches(specs: DataFrame, series: str, order: str, exact: Sequence[s
     return (joined.select(series, order, F.explode(F.array_compact(F.array(*checks))).alias("field")))
 
 
+def spec_differences(specs: DataFrame, keys: Sequence[str], exact: dict[str, object], close: dict[str, tuple[float, float]]) -> DataFrame:
+    """Grid descriptions that differ from the expected grid: ``exact`` values, and (value, tolerance) of ``close`` ones."""
+    checks = [F.when(~F.col(f).eqNullSafe(F.lit(v)), F.lit(f)) for f, v in exact.items()]
+    checks += [F.when(~F.coalesce(F.abs(F.col(f) - F.lit(v)) <= tol, F.lit(False)), F.lit(f)) for f, (v, tol) in close.items()]
+    return specs.select(*keys, F.explode(F.array_compact(F.array(*checks))).alias("field"))
+
+
 def schema_rows(df: DataFrame, **labels: str) -> DataFrame:
     """A frame's columns and types as rows, for checks across stages."""
     fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
@@ -131,7 +138,7 @@ def formula_check(windows: DataFrame, keys: Sequence[str], by: Sequence[str]) ->
 
     Expects u10, v10, wind, hazard_wind, hazard_rain and hazard_compound.
     """
-    ranged = with_group_values(windows, keys, __w0=F.min("hazard_wind"), __w1=F.max("hazard_wind"),
+    ranged = with_window_values(windows, keys, __w0=F.min("hazard_wind"), __w1=F.max("hazard_wind"),
                                __r0=F.min("hazard_rain"), __r1=F.max("hazard_rain"))
     again = {
         "wind": wind_speed(F.col("u10"), F.col("v10")), "hazard_wind": wind_power(F.col("wind")),

@@ -25,19 +25,32 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     """Pairs whose inclusive date spans meet, with the number of shared days.
 
     Both sides are spread over the calendar months they touch, so the join has an equi key; a
-    pair that shares several months is kept only in the first of them. The merge join spills
-    and lets adaptive execution split a busy month; a broadcast here would leave all matching
-    to the few tasks of the other side.
+    pair that shares several months is kept only in the first of them.
     """
     l = _months(left, *left_span, "l")
     r = _months(right, *right_span, "r")
-    pairs = l.join(r.hint("merge"), [*keys, "__month"]).filter(
+    pairs = l.join(r, [*keys, "__month"]).filter(
         (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(left_span[1]) >= F.col(right_span[0]))
         & (F.col("__month") == F.greatest("__first_l", "__first_r")))
     days = overlap_days(*[F.col(c) for c in (*left_span, *right_span)])
     return pairs.withColumn(out, days).drop("__month", "__first_l", "__first_r")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str],
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``left`` that meet any span of ``right``, with n_overlaps, overlap_sum and overlap_max.
+
+    Only distinct spans are paired, whose number the calendar bounds, however many rows share them.
+    """
+    on = [*keys, *left_span]
+    mine = left.select(*on).distinct()
+    theirs = right.groupBy(*keys, *right_span).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = overlap_join(mine, theirs, left_span, right_span, keys)
+    totals = pairs.groupBy(*on).agg(F.sum("__n").alias("n_overlaps"), F.sum(F.col("overlap") * F.col("__n")).alias("overlap_sum"),
+                                    F.max("overlap").alias("overlap_max"))
+    return left.join(totals, on)
+
+
 def _cube(lat: str, lon: str, size_km: float):
     la, lo = F.radians(F.col(lat)), F.radians(F.col(lon))
     r = F.lit(EARTH_RADIUS_KM / size_km)

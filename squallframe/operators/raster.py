@@ -89,12 +89,12 @@ def raster_stats(cells: DataFrame, value: str = "value", by: Sequence[str] = ())
 
 
 def high_latitude_threshold(cells: DataFrame, lat: Column, value: str = "value", min_abs_lat: float = 45.0,
-                            sigmas: float = 3.0, min_count: int = 1000) -> DataFrame:
-    """mean + 3 sigma of positive high-latitude cells; too few cells give no limit."""
+                            sigmas: float = 3.0, min_count: int = 1000, by: Sequence[str] = ()) -> DataFrame:
+    """mean + 3 sigma of positive high-latitude cells, for each year or other group of ``by``; too few cells give no limit."""
     v = F.when((F.col(value) > 0) & (F.abs(lat) >= min_abs_lat), F.col(value))
-    got = cells.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    got = cells.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     limit = F.when(F.col("n") < min_count, F.lit(math.inf)).otherwise(F.col("mean") + sigmas * F.col("std"))
-    return got.select("n", limit.alias("threshold"))
+    return got.select(*by, "n", limit.alias("threshold"))
 
 
 def denoised(value: Column, lat: Column, threshold: Column, floor: float = 0.3,
@@ -198,6 +198,13 @@ def running_maximum(series: DataFrame, keys: Sequence[str], year: str, value: st
     return series.withColumn("corrected", F.least(F.greatest(top, F.lit(low)), F.lit(high)))
 
 
+def year_js_distances(cells: DataFrame, year: str, value: str = "value", **options) -> DataFrame:
+    """Histogram distance of every year to the following one."""
+    side = F.explode(F.array(F.struct(F.col(year).alias("y"), F.lit(0).alias("side")), F.struct((F.col(year) - 1).alias("y"), F.lit(1).alias("side"))))
+    both = cells.select(F.col(value).alias("__v"), side.alias("__p")).select("__v", F.col("__p.y").alias("year"), F.col("__p.side").alias("__side"))
+    return js_distance(both, "__side", 0, 1, "__v", by=["year"], **options).filter("n_a > 0 and n_b > 0")
+
+
 def js_distance(cells: DataFrame, group: str, a, b, value: str = "value", low: float = 0.0,
                 high: float = 63.0, bins: int = 256, by: Sequence[str] = ()) -> DataFrame:
     """Jensen-Shannon distance of two groups' histograms; out-of-range values are dropped."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import join_keys, with_group_values
+from .keyed import join_keys, with_group_values, with_window_values
 
 
 def agreement(a: Column, b: Column, min_pairs: int = 3) -> list[Column]:
@@ -76,7 +76,7 @@ def top_share_masks(cells: DataFrame, keys: Sequence[str], a: str, b: str, q: fl
     """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     use = {c: F.when(both, F.col(c)) if paired else F.col(c) for c in (a, b)}
-    masked = with_group_values(cells, keys, __ta=F.percentile(use[a], F.lit(1.0 - q)),
+    masked = with_window_values(cells, keys, __ta=F.percentile(use[a], F.lit(1.0 - q)),
                                __tb=F.percentile(use[b], F.lit(1.0 - q)))
     return (masked.withColumn("top_a", F.coalesce(use[a] >= F.col("__ta"), F.lit(False)))
             .withColumn("top_b", F.coalesce(use[b] >= F.col("__tb"), F.lit(False))).drop("__ta", "__tb"))

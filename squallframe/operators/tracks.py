@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import missing
 from ..functions.calendar import parse_time
 from ..functions.text import storm_label
-from .keyed import first_per_key, join_keys, rank_rows
+from .keyed import join_keys, rank_rows, with_window_values
 
 
 def parse_tracks(raw: DataFrame, basin: str | None = None, first: int | None = None,
@@ -88,19 +88,14 @@ def event_points(cells: DataFrame, keys: list[str], hazard: str, loss: str, row:
                  size: int, q: float = 0.9) -> DataFrame:
     """Cells worth keeping per step: hazard in the top share or any loss; else the strongest
     cell; else, without any valid hazard, the centre cell. Steps are windows of bounded size."""
-    bounds = cells.groupBy(*keys).agg(F.percentile(hazard, F.lit(q)).alias("__q"),
-                                      F.count(hazard).alias("__finite"))
-    flagged = join_keys(cells, bounds, keys)
+    flagged = with_window_values(cells, keys, __q=F.percentile(hazard, F.lit(q)), __finite=F.count(hazard))
     hit = F.coalesce(F.col(hazard) >= F.col("__q"), F.lit(False)) & F.col(hazard).isNotNull()
     paid = F.coalesce(F.col(loss) > 0, F.lit(False))
     keep = F.when(F.col("__finite") > 0, hit | (paid & F.col(hazard).isNotNull())).otherwise(paid)
-    flagged = flagged.withColumn("__keep", keep)
     centre = (F.col(row) == size // 2) & (F.col(col) == size // 2)
-    fallback = flagged.groupBy(*keys).agg(F.bool_or("__keep").alias("__any"))
-    rest = join_keys(flagged, fallback, keys)
-    chosen = rest.filter(F.col("__keep") | (~F.col("__any") & (F.col("__finite") == 0) & centre))
-    strongest = first_per_key(rest.filter(~F.col("__any") & (F.col("__finite") > 0)), keys,
-                              [F.col(hazard).desc_nulls_last(), F.col(row), F.col(col)])
+    strongest = Window.partitionBy(*keys).orderBy(F.col(hazard).desc_nulls_last(), row, col)
+    rest = with_window_values(flagged.withColumn("__keep", keep).withColumn("__rank", F.row_number().over(strongest)), keys, __any=F.bool_or("__keep"))
+    fallback = ~F.col("__any") & F.when(F.col("__finite") == 0, centre).otherwise(F.col("__rank") == 1)
+    chosen = rest.filter(F.col("__keep") | fallback)
     kind = (F.when(hit & paid, "overlap").when(paid, "loss_only").otherwise("hazard_only"))
-    return (chosen.unionByName(strongest).withColumn("point_class", kind)
-            .drop("__q", "__finite", "__keep", "__any"))
+    return chosen.withColumn("point_class", kind).drop("__q", "__finite", "__keep", "__rank", "__any")

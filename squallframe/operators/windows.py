@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import wrap_180
 from ..functions.hazard import min_max_scaled
-from .keyed import with_group_values
+from .keyed import with_window_values
 
 WINDOW_SIZE = 41
 BLOCK_FACTOR = 10
@@ -178,7 +178,7 @@ def packed_year_slots(points: DataFrame, days: DataFrame, day: str, reach: int =
 
 def compound_hazard(windows: DataFrame, wind: str, rain: str, keys: Sequence[str]) -> DataFrame:
     """Half scaled wind power plus half scaled rain, scaled inside each window."""
-    ranged = with_group_values(windows, keys, __w0=F.min(wind), __w1=F.max(wind),
+    ranged = with_window_values(windows, keys, __w0=F.min(wind), __w1=F.max(wind),
                                __r0=F.min(rain), __r1=F.max(rain))
     scaled = (min_max_scaled(F.col(wind), F.col("__w0"), F.col("__w1")) * 0.5
               + min_max_scaled(F.col(rain), F.col("__r0"), F.col("__r1")) * 0.5)
