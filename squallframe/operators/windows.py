@@ -35,22 +35,26 @@ def window_frame(anchors: DataFrame, size: int = WINDOW_SIZE, factor: int = BLOC
             .drop("__bi", "row", "col"))
 
 
-def _cells_of_blocks(anchors: DataFrame, cells: DataFrame, by: Sequence[str], size: int,
-                     factor: int) -> DataFrame:
-    """Source cells joined to each distinct block any window needs.
-
-    Windows of neighbouring steps and storms share blocks, so the number of distinct blocks is
-    bounded by the grid and not by the number of steps; each is gathered once. A block asks for
-    its rows and the one or two column strips it touches: an equi-join, no range join.
+def _reduced_blocks(anchors: DataFrame, cells: DataFrame, by: Sequence[str], size: int, factor: int,
+                    first: dict[str, Column], then: dict[str, Column], extra: Sequence[str] = ()) -> DataFrame:
+    """Aggregates of each distinct block any window needs, in two separable steps.
+
+    Windows of neighbouring steps and storms share blocks, so their number is bounded by the grid and not by
+    the number of steps. Cells are reduced along their row first (``first``, per row and block column), and
+    these along the columns (``then``), so a cell is repeated 2 * factor times at most instead of
+    factor ** 2. A row asks for the one or two column strips it touches: equi-joins, no range join.
     """
     distinct_anchors = anchors.select(*by, "row", "col").distinct()
     blocks = window_frame(distinct_anchors, size, factor).select(*by, "block_row", "block_col").distinct()
-    wanted = _explode_range(blocks, "row", F.col("block_row"), F.col("block_row") + factor - 1)
-    wanted = _explode_range(wanted, "__strip", F.floor(F.col("block_col") / factor),
+    rows = _explode_range(blocks, "row", F.col("block_row"), F.col("block_row") + factor - 1)
+    wanted = _explode_range(rows.select(*by, "row", "block_col").distinct(), "__strip", F.floor(F.col("block_col") / factor),
                             F.floor((F.col("block_col") + factor - 1) / factor))
     stripped = cells.withColumn("__strip", F.floor(F.col("col") / factor))
-    return (wanted.join(stripped, [*by, "row", "__strip"])
-            .filter(F.col("col").between(F.col("block_col"), F.col("block_col") + factor - 1)))
+    across = (wanted.join(stripped, [*by, "row", "__strip"])
+              .filter(F.col("col").between(F.col("block_col"), F.col("block_col") + factor - 1))
+              .groupBy(*by, "row", "block_col", *extra).agg(*[c.alias(n) for n, c in first.items()]))
+    return (rows.join(across, [*by, "row", "block_col"])
+            .groupBy(*by, "block_row", "block_col", *extra).agg(*[c.alias(n) for n, c in then.items()]))
 
 
 def extract_windows(anchors: DataFrame, cells: DataFrame, value: str = "value", method: str = "sum",
@@ -60,10 +64,10 @@ def extract_windows(anchors: DataFrame, cells: DataFrame, value: str = "value",
 
     Cells outside the grid are simply absent; a block without a valid cell is NULL.
     """
-    reduce = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[method]
-    valid = cells.filter(F.col(value).isNotNull())
-    blocks = (_cells_of_blocks(anchors, valid, by, size, factor)
-              .groupBy(*by, "block_row", "block_col").agg(reduce(value).alias(value)))
+    reduce = {"sum": F.sum, "mean": F.sum, "min": F.min, "max": F.max}[method]
+    whole = F.sum("__part") / F.sum("__n") if method == "mean" else reduce("__part")
+    blocks = _reduced_blocks(anchors, cells.filter(F.col(value).isNotNull()), by, size, factor,
+                             {"__part": reduce(value), "__n": F.count(value)}, {value: whole})
     return (window_frame(anchors, size, factor, flip)
             .join(blocks, [*by, "block_row", "block_col"], "left").drop("block_row", "block_col"))
 
@@ -72,9 +76,8 @@ def zone_share_windows(anchors: DataFrame, zones: DataFrame, zone: str = "zone",
                        by: Sequence[str] = (), size: int = WINDOW_SIZE, factor: int = BLOCK_FACTOR,
                        flip: bool = True, out: str = "share") -> DataFrame:
     """Share of each block's cells that belong to the anchor's target zone."""
-    counts = (_cells_of_blocks(anchors.drop(target), zones, by, size, factor)
-              .groupBy(*by, "block_row", "block_col", F.col(zone).alias(target))
-              .agg((F.count(F.lit(1)) / F.lit(float(factor * factor))).alias(out)))
+    counts = _reduced_blocks(anchors.drop(target), zones.withColumnRenamed(zone, target), by, size, factor,
+                             {"__n": F.count(F.lit(1))}, {out: F.sum("__n") / F.lit(float(factor * factor))}, [target])
     return (window_frame(anchors, size, factor, flip)
             .join(counts, [*by, "block_row", "block_col", target], "left")
             .withColumn(out, F.coalesce(out, F.lit(0.0))).drop("block_row", "block_col"))
