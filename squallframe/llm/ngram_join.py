@@ -8,7 +8,8 @@ reach the similarity s = p/q only if they share at least ceil(s * max(m, n)), wh
   n - ceil(s * n) + 1 columns can be the first that it shares with a partner;
 * columns of a single row count against that number and are then gone, so a text without
   near copies leaves the product at once;
-* sizes whose ratio is below s are never multiplied.
+* sizes whose ratio is below s are never multiplied, nor are rows of which one has so many columns of
+  its own that what is left cannot reach the overlap.
 
 Column frequencies are counted in blocks: tasks cut their rows' n-grams into column blocks, one packed
 row for each, one task counts a whole column block and answers in packed row blocks. Columns that a large
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -38,7 +39,7 @@ from .shingles import shingle_set
 #: A column is common if at least one in COMMON documents holds it; n-grams of a column block; characters handled at a time.
 COMMON, BLOCK, PART = 250, 1_000_000, 6_000_000
 #: Rounds in which each column meets one row before all that is left is multiplied.
-STARS = 3
+STARS = 2
 
 
 def least_overlap(n: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -130,8 +131,12 @@ def count_columns(blocks: DataFrame) -> DataFrame:
         group, key = np.repeat(joined(part["groups"], np.int32), counts), np.repeat(joined(part["keys"], np.uint64), counts)
         h = joined(part["grams"], np.uint64)
         hot = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(g) // 8) for b, g in zip(part["hot"], part["grams"])]).astype(bool)
-        _, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-        rank = np.where(hot, 2**31 - 1, df[inverse]).astype(np.int32)
+        order = np.lexsort((key, h))
+        group, key, h, hot = group[order], key[order], h[order], hot[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])] if len(h) else hot  # copies of a row come from several tasks
+        group, key, h, hot = group[once], key[once], h[once], hot[once]
+        column = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.array([], dtype=int)
+        rank = np.where(hot, 2**31 - 1, np.bincount(column)[column] if len(h) else 0).astype(np.int32)
         keep = rank > 1
         group, key, h, rank = group[keep], key[keep], h[keep], rank[keep]
         order = np.argsort(group, kind="stable")
@@ -145,9 +150,9 @@ def count_columns(blocks: DataFrame) -> DataFrame:
 
 
 def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> DataFrame:
-    """(h, cls, n): of each row the shared columns among its first n - ceil(s * n) + 1, rarest first."""
+    """(h, cls, n, s): of each row the shared columns among its first n - ceil(s * n) + 1, rarest first; s counts all its shared columns."""
     def apply(own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"h": np.array([], np.int64), "cls": [], "n": np.array([], np.int64)})
+        none = pd.DataFrame({"h": np.array([], np.int64), "cls": [], "n": np.array([], np.int64), "s": np.array([], np.int64)})
         if own.empty or part.empty:
             return none
         keys = np.array([int.from_bytes(c[:8], "little") for c in own["cls"]], dtype=np.uint64)
@@ -163,9 +168,9 @@ def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> Data
         first = np.r_[0, np.cumsum(shared)[:-1]]
         room = n - least_overlap(n, p, q) + 1 - (n - shared)
         keep = np.arange(len(row)) - first[row] < room[row]
-        return pd.DataFrame({"h": h[keep].view(np.int64), "cls": cls[row[keep]], "n": n[row[keep]]})
+        return pd.DataFrame({"h": h[keep].view(np.int64), "cls": cls[row[keep]], "n": n[row[keep]], "s": shared[row[keep]]})
 
-    return rows.groupBy("grp").cogroup(counted.groupBy("grp")).applyInPandas(apply, "h long, cls binary, n long")
+    return rows.groupBy("grp").cogroup(counted.groupBy("grp")).applyInPandas(apply, "h long, cls binary, n long, s long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -201,28 +206,37 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def round_pairs(members: DataFrame, labels: DataFrame | None, star: int | None, p: int, q: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows that share a column, lie in different components and have sizes within the bound.
+    """Distinct pairs (a, b) of rows that share a column, lie in different components and may reach the similarity.
 
-    ``star``: each column meets one row only, another one in each round; None: all rows of the column.
+    ``star``: each column meets one row only: first the one with the fewest columns of its own, which is nearest to the text
+    that near copies were made from, then another in each round; None: all rows of the column.
     """
-    fits = lambda x, y: F.lit(q) * F.least(x, y) >= F.lit(p) * F.greatest(x, y)
+    def fits(x: dict[str, Column], y: dict[str, Column]) -> Column:
+        """Sizes, and what both share with any row at all, allow for an overlap of p / (p + q) of their sizes' sum."""
+        sizes = F.lit(q) * F.least(x["n"], y["n"]) >= F.lit(p) * F.greatest(x["n"], y["n"])
+        return sizes & (F.lit(p + q) * F.least(x["s"], y["s"]) >= F.lit(p) * (x["n"] + y["n"]))
+
+    def named(df: DataFrame, mark: str) -> DataFrame:
+        return df.select("h", *[F.col(c).alias(f"{c}_{mark}") for c in ("cls", "n", "s", "comp")])
+
     known = members.withColumn("comp", F.col("cls"))
     if labels is not None:
         known = (members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
                  .withColumn("comp", F.coalesce("comp", "cls")))
-    split = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("cls").alias("low"),
-                                   F.min(F.struct(F.xxhash64("h", "cls", F.lit(star or 0)).alias("k"), F.col("cls"))).alias("any"))
-    split = split.filter("x <> y")
+    order = F.xxhash64("h", "cls", F.lit(star)) if star else F.col("n") - F.col("s")
+    split = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
+                                   F.min(F.struct(order.alias("k"), "cls")).alias("pivot")).filter("x <> y")
     if star is None:
-        left = known.join(split.select("h"), "h").select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        right = known.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        met = left.join(right, "h").filter("a < b and ca <> cb").filter(fits(F.col("na"), F.col("nb")))
+        one = named(known.join(split.select("h"), "h"), "a")
+        other = named(known, "b")
     else:
-        chosen = split.select("h", (F.col("low") if star == 0 else F.col("any.cls")).alias("b"))
-        at = known.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pivot = chosen.join(at, ["h", "b"])
-        met = known.join(pivot, "h").filter("comp <> cb").filter(fits(F.col("n"), F.col("nb"))).select(F.col("cls").alias("a"), "b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one = named(known.join(split.select("h", F.col("pivot.cls").alias("cls")), ["h", "cls"]), "a")
+        other = named(known, "b")
+    side = lambda mark: {c: F.col(f"{c}_{mark}") for c in ("n", "s")}
+    met = one.join(other, "h").filter((F.col("comp_a") != F.col("comp_b")) & fits(side("a"), side("b")))
+    if star is None:
+        met = met.filter("cls_a < cls_b")
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame, common: np.ndarray, total: int, width: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
