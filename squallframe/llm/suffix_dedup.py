@@ -41,9 +41,9 @@ from .cover import sampled_runs
 from .shared import hash_slots, stored, whole_text
 
 #: Bytes of a sampled gram; starts in a cell; samples in a block of names; bytes of text handled at a time.
-GRAM, CELL, BLOCK, PART = 36, 8, 2_000_000, 32_000_000
+GRAM, CELL, BLOCK, PART = 36, 8, 1_000_000, 12_000_000
 #: A gram is common if at least one in COMMON documents holds it.
-COMMON = 500
+COMMON = 250
 PLAIN, HOT, DONE = 0, 1, 2
 #: Stands for a null id in the order: before every other.
 NULL_ID = -2**63

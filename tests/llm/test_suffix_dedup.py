@@ -51,7 +51,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_matches_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(suffix_dedup, "COMMON", 20 if seed else 500)
+    monkeypatch.setattr(suffix_dedup, "COMMON", 20 if seed else 250)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert told(without_repeats(df)) == brute(rows)
