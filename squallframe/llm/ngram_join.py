@@ -9,7 +9,7 @@ reach the similarity s = p/q only if they share at least ceil(s * max(m, n)), wh
 * columns of a single row count against that number and are then gone, so a text without
   near copies leaves the product at once;
 * sizes whose ratio is below s are never multiplied, nor are rows of which one has so many columns of
-  its own that what is left cannot reach the overlap.
+  its own that what is left cannot reach the overlap, nor rows whose counts in parts of the columns cannot.
 
 Column frequencies are counted in blocks: tasks cut their rows' n-grams into column blocks, one packed
 row for each, one task counts a whole column block and answers in packed row blocks. Columns that a large
@@ -40,6 +40,8 @@ from .shingles import shingle_set
 COMMON, BLOCK, PART = 250, 1_000_000, 6_000_000
 #: Rounds in which each column meets one row before all that is left is multiplied.
 STARS = 2
+#: Parts of the columns in which rows are counted to bound what two of them share.
+PARTS = 128
 
 
 def least_overlap(n: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -150,9 +152,10 @@ def count_columns(blocks: DataFrame) -> DataFrame:
 
 
 def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> DataFrame:
-    """(h, cls, n, s): of each row the shared columns among its first n - ceil(s * n) + 1, rarest first; s counts all its shared columns."""
+    """(h, cls, n, s, parts): of each row the shared columns among its first n - ceil(s * n) + 1, rarest first; s counts all its
+    shared columns. One more row for each row found, with null h, has ``parts``: its shared columns in each part of all columns."""
     def apply(own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"h": np.array([], np.int64), "cls": [], "n": np.array([], np.int64), "s": np.array([], np.int64)})
+        none = pd.DataFrame({"h": pd.array([], dtype="Int64"), "cls": np.array([], object), "n": np.array([], np.int64), "s": np.array([], np.int64), "parts": np.array([], object)})
         if own.empty or part.empty:
             return none
         keys = np.array([int.from_bytes(c[:8], "little") for c in own["cls"]], dtype=np.uint64)
@@ -168,9 +171,13 @@ def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> Data
         first = np.r_[0, np.cumsum(shared)[:-1]]
         room = n - least_overlap(n, p, q) + 1 - (n - shared)
         keep = np.arange(len(row)) - first[row] < room[row]
-        return pd.DataFrame({"h": h[keep].view(np.int64), "cls": cls[row[keep]], "n": n[row[keep]], "s": shared[row[keep]]})
+        found = np.unique(row[keep])
+        parts = np.bincount(row * PARTS + (h % np.uint64(PARTS)).astype(np.int64), minlength=len(keys) * PARTS).reshape(-1, PARTS)
+        lead = pd.DataFrame({"h": pd.array(h[keep].view(np.int64), dtype="Int64"), "cls": cls[row[keep]], "n": n[row[keep]], "s": shared[row[keep]], "parts": None})
+        told = pd.DataFrame({"h": pd.array([None] * len(found), dtype="Int64"), "cls": cls[found], "n": n[found], "s": shared[found], "parts": list(parts[found])})
+        return pd.concat([lead, told]) if len(found) else none
 
-    return rows.groupBy("grp").cogroup(counted.groupBy("grp")).applyInPandas(apply, "h long, cls binary, n long, s long")
+    return rows.groupBy("grp").cogroup(counted.groupBy("grp")).applyInPandas(apply, "h long, cls binary, n long, s long, parts array<int>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -205,7 +212,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             .select("cls", "grams").dropDuplicates(["cls"]))
 
 
-def round_pairs(members: DataFrame, labels: DataFrame | None, star: int | None, p: int, q: int) -> DataFrame:
+def round_pairs(members: DataFrame, parts: DataFrame, labels: DataFrame | None, star: int | None, p: int, q: int) -> DataFrame:
     """Distinct pairs (a, b) of rows that share a column, lie in different components and may reach the similarity.
 
     ``star``: each column meets one row only: first the one with the fewest columns of its own, which is nearest to the text
@@ -226,16 +233,20 @@ def round_pairs(members: DataFrame, labels: DataFrame | None, star: int | None,
     order = F.xxhash64("h", "cls", F.lit(star)) if star else F.col("n") - F.col("s")
     split = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
                                    F.min(F.struct(order.alias("k"), "cls")).alias("pivot")).filter("x <> y")
+    bound = F.lit(True)
     if star is None:
-        one = named(known.join(split.select("h"), "h"), "a")
-        other = named(known, "b")
+        # Two rows share at most the smaller count in each part of the columns.
+        left = known.join(split.select("h"), "h").join(parts, "cls")
+        one = left.select("h", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "s", "comp", "parts")])
+        other = left.select("h", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "s", "comp", "parts")])
+        most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+        bound = F.lit(p + q) * most >= F.lit(p) * (F.col("n_a") + F.col("n_b"))
     else:
         one = named(known.join(split.select("h", F.col("pivot.cls").alias("cls")), ["h", "cls"]), "a")
         other = named(known, "b")
     side = lambda mark: {c: F.col(f"{c}_{mark}") for c in ("n", "s")}
-    met = one.join(other, "h").filter((F.col("comp_a") != F.col("comp_b")) & fits(side("a"), side("b")))
-    if star is None:
-        met = met.filter("cls_a < cls_b")
+    apart = (F.col("cls_a") < F.col("cls_b")) if star is None else F.lit(True)
+    met = one.join(other, "h").filter(apart & (F.col("comp_a") != F.col("comp_b")) & fits(side("a"), side("b")) & bound)
     return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
@@ -246,13 +257,15 @@ def linked_classes(docs: DataFrame, rows: DataFrame, common: np.ndarray, total:
     counted = count_columns(column_blocks(docs, width, common, blocks, blocks))
     grouped = rows.withColumn("grp", F.pmod("lo", F.lit(blocks)).cast("int")).select("grp", "cls", "n")
     lead = stored(leading_columns(grouped, counted, p, q))
+    parts = lead.filter("h is null").select("cls", "parts")
+    lead = lead.filter("h is not null").select("h", "cls", "n", "s")
     several = lead.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
     members = stored(lead.join(several, "h"))
     wanted = members.select("cls").distinct().join(rows.select("cls", "doc_id"), "cls")
     sets = stored(fetch_sets(docs, wanted, width))
     links, labels = None, None
     for star in [*range(STARS), None]:
-        pairs = stored(round_pairs(members, labels, star, p, q))
+        pairs = stored(round_pairs(members, parts, labels, star, p, q))
         if links is not None and pairs.isEmpty():
             continue
         found = stored(compared(pairs, sets, p, q))
