@@ -33,7 +33,9 @@ from .shared import hash_slots, stored, whole_text
 
 MARK = "▁"
 #: Characters in a chunk, words a worker remembers and the longest it does.
-CHUNK, REMEMBERED, LONGEST = 65_536, 1_500_000, 64
+CHUNK, REMEMBERED, LONGEST = 65_536, 700_000, 64
+#: Characters that end words; they are encoded apart where no piece holds them together with the letter before.
+TAIL = ".,;:!?|"
 NEVER = -2**60
 
 
@@ -54,6 +56,7 @@ class UnigramModel:
         self.by_first: dict[str, int] = {}
         for piece in self.pieces:
             self.by_first[piece[0]] = max(self.by_first.get(piece[0], 0), len(piece))
+        self.adjacent = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.words_part = all(MARK not in p.lstrip(MARK) for p in self.pieces)
 
     @classmethod
@@ -134,7 +137,16 @@ class UnigramModel:
             known.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
         for w in new:
-            known[w] = self.word(w)
+            core = w.rstrip(TAIL)
+            if core and core != w and core[-1] + w[len(core)] not in self.adjacent:
+                for part in (core, w[len(core):]):
+                    if part not in known:
+                        known[part] = self.word(part)
+                known[w] = known[core] + known[w[len(core):]]
+                if len(core) > LONGEST:
+                    del known[core]
+            else:
+                known[w] = self.word(w)
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > LONGEST:
