@@ -1,15 +1,16 @@
 """Personal data by pattern, and information-theoretic sanitisation of the terms around it.
 
-Base spans come from four patterns. The sanitiser then asks of every word standing near a
+Base spans come from four patterns. The sanitiser then asks of every word of a document with a
 protected value how strongly it reveals that value: P(value | word) over the whole corpus,
 from document counts. Words seen with one value in ``support`` different texts or more, of
-whose documents at least ``confidence`` hold the value nearby, and whose pointwise mutual
-information with it is at least ``bits``, disclose it and become spans of kind ``term``.
+whose documents at least ``confidence`` hold the value, and whose pointwise mutual
+information with it is at least ``bits``, disclose it; they become spans of kind ``term``
+wherever they stand, in documents without the value too.
 
 DataFrame functions only. Counts are partial sums before every shuffle; documents are never
 grouped by value. Defined results: null text is empty text and has no spans; rows that repeat a
 document are each reported; null ids are kept; an empty table gives no rows; columns other than the
-id and the text are not read. Time grows with the square of the matches of one kind in one text.
+id and the text are not read. Time grows with the square of the matches of one kind, and of the marked terms, in one text.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ KINDS = (*PATTERNS, "term")
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORD = r"[\p{L}][\p{L}\p{M}]{2,}"
 SPAN = "struct<start:int,end:int,value:string>"
-#: Code points on either side of a base span in which words count as near it.
-REACH = 64
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -71,60 +70,76 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(find_spans(text, p), check(k)) for k, p in PATTERNS.items()}
 
 
-def context_words(text: Column, span: Column) -> Column:
-    """Words within REACH on either side of a span, with their positions; words cut by the window are left out."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
-    move = lambda by: lambda s: F.struct(
-        (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), F.lower(s["value"]).alias("value"))
-    whole_left = F.filter(find_spans(left, WORD), lambda s: (s["start"] > 0) | (low == 0))
-    whole_right = F.filter(find_spans(right, WORD), lambda s: s["end"] < REACH)
-    return F.concat(F.transform(whole_left, move(low)), F.transform(whole_right, move(span["end"])))
+def words_of(text: Column) -> Column:
+    """The distinct words of a text, lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
+def term_spans(text: Column, terms: Column) -> Column:
+    """Every occurrence of the terms (lower case) among the words of a text: array of (start, end, value)."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    gaps = F.slice(F.split(text, WORD, -1), F.lit(1), F.size(found))
+    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(
+        F.length(g).alias("gap"), F.length(v).alias("length"), F.lower(v).alias("value")))
+    step = lambda a, p: F.struct(
+        (a["at"] + p["gap"] + p["length"]).alias("at"),
+        F.when(F.array_contains(terms, p["value"]), F.concat(a["spans"], F.array(F.struct(
+            (a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["length"]).alias("end"), p["value"].alias("value")))))
+        .otherwise(a["spans"]).alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
 
 
 def with_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, digest of its text, its base spans by kind, and the words near each value."""
+    """Per row: id, digest of its text, its base spans by kind, its distinct values and, where it has any, its distinct words."""
     kept = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("__text"))
     found = base_spans(F.col("__text"))
     rows = kept.select("doc_id", "__text", F.xxhash64("__text").alias("digest"),
                        *[spans.alias(kind) for kind, spans in found.items()])
-    every = F.concat(*[F.col(k) for k in PATTERNS])
-    near = F.transform(every, lambda s: F.struct(
-        F.lower(s["value"]).alias("entity"), context_words(F.col("__text"), s).alias("words")))
-    return rows.select("doc_id", "digest", *PATTERNS, F.when(F.size(every) > 0, near).alias("near"))
+    values = F.array_distinct(F.transform(F.concat(*[F.col(k) for k in PATTERNS]), lambda s: F.lower(s["value"])))
+    return rows.select("doc_id", "digest", *PATTERNS, values.alias("entities"),
+                       F.when(F.size(values) > 0, words_of(F.col("__text"))).alias("words"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, text: str = "text", support: int = 3,
                      confidence: float = 0.8, bits: float = 1.0) -> DataFrame:
-    """(term, entity) pairs whose co-occurrence over the corpus reveals the entity."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text)), F.lit(WORD), F.lit(0)))
-    frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    near = base.select("doc_id", "digest", F.explode("near").alias("n"))
-    entities = (near.select("doc_id", "digest", F.col("n.entity").alias("entity")).distinct()
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df")))
-    pairs = (near.select("doc_id", "digest", F.col("n.entity").alias("entity"), F.explode("n.words").alias("w"))
-             .select("doc_id", "digest", "entity", F.col("w.value").alias("term")).distinct()
-             .groupBy("term", "entity", "digest").agg(F.count(F.lit(1)).alias("docs"))
-             .groupBy("term", "entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("both"))
+    """(term, entity) pairs whose co-occurrence in whole documents over the corpus reveals the entity.
+
+    Only words of whose documents the share ``confidence`` holds any value at all are paired with values, as no
+    other word can reveal a single one; equal texts are one row with their number.
+    """
+    frequency = docs.select(F.explode(words_of(whole_text(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    holding = stored(base.filter(F.size("entities") > 0).groupBy("digest").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")))
+    entities = (holding.select("copies", F.explode("entities").alias("entity")).groupBy("entity")
+                .agg(F.sum("copies").alias("entity_df"), F.count(F.lit(1)).alias("entity_texts"))
+                .filter(F.col("entity_texts") >= support).drop("entity_texts"))
+    able = (holding.select("copies", F.explode("words").alias("term")).groupBy("term")
+            .agg(F.sum("copies").alias("held"), F.count(F.lit(1)).alias("held_texts")).filter(F.col("held_texts") >= support)
+            .join(frequency, "term").filter(F.col("held") / F.col("df") >= confidence).select("term", "df"))
+    terms = holding.select("digest", "copies", F.explode("words").alias("term")).join(able, "term")
+    values = holding.select("digest", F.explode("entities").alias("entity")).join(entities, "entity")
+    pairs = (terms.join(values, "digest").groupBy("term", "entity", "df", "entity_df")
+             .agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
              .filter(F.col("texts") >= support))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    scored = (pairs.join(frequency, "term").join(entities, "entity").join(F.broadcast(total))
+    scored = (pairs.join(F.broadcast(total))
               .withColumn("revealed", F.col("both") / F.col("df"))
               .withColumn("pmi", F.log2(F.col("revealed") * F.col("total") / F.col("entity_df"))))
     return scored.filter((F.col("revealed") >= confidence) & (F.col("pmi") >= bits)).select("term", "entity", "revealed", "pmi")
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
-    """One row per document row: ``doc_id``, ``digest``, the four base kinds and ``term`` spans."""
+    """One row per document row: ``doc_id``, ``digest``, the four base kinds and ``term`` spans, wherever a disclosing term stands."""
     base = stored(with_base(docs, doc_id, text))
-    terms = disclosing_terms(docs, base, text, **thresholds).select("term", "entity")
-    near = base.select("doc_id", "digest", F.explode("near").alias("n")).select(
-        "doc_id", "digest", F.col("n.entity").alias("entity"), F.explode("n.words").alias("w"))
-    spans = (near.select("doc_id", "digest", "entity", F.col("w.value").alias("term"), F.col("w").alias("span"))
-             .join(terms, ["term", "entity"])
-             .groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("span")).alias("term"))
-             .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "term"))
+    terms = stored(disclosing_terms(docs, base, text, **thresholds).select("term").distinct())
+    texts = docs.select(F.col(doc_id).alias("__id"), whole_text(text).alias("__text"), F.xxhash64(whole_text(text)).alias("__digest"))
+    own_terms = (texts.select("__id", "__digest", F.explode(words_of(F.col("__text"))).alias("term")).join(terms, "term")
+                 .groupBy("__id", "__digest").agg(F.collect_set("term").alias("__terms")))
+    own_id = F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__digest") == F.col("__same"))
+    spans = (texts.join(own_terms.select(F.col("__id").alias("__own"), F.col("__digest").alias("__same"), "__terms"), own_id)
+             .dropDuplicates(["__id", "__digest"])
+             .select("__id", "__digest", term_spans(F.col("__text"), F.col("__terms")).alias("term")))
     own = F.concat(*[F.col(k) for k in PATTERNS])
     inside = lambda t: F.exists(own, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     none = F.array().cast(f"array<{SPAN}>")

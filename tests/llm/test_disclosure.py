@@ -76,3 +76,34 @@ def test_disclosing_words(spark):
 
 def test_empty_table(spark):
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).select(F.count("*")).first()[0] == 0
+
+
+def test_terms_far_from_the_value(spark):
+    far = "and so on " * 30
+    rows = [(i, f"Zarquon {i} {far} a.b@c.de {far} {i} zarquon's") for i in range(4)] + [(9, f"only ZARQUON here {far}")]
+    rows += [(10 + i, f"here only and so {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.term] for r in find_personal_data(docs).collect()}
+    want = {i: [m.span() for m in re.finditer("(?i)zarquon", t)] for i, t in rows}
+    assert found == want and len(want[0]) == 2 and len(want[9]) == 1
+    assert {r.doc_id: r.text for r in sanitise(docs).collect()}[9] == f"only [TERM] here {far}"
+
+
+def test_terms_match_plain_counts(spark):
+    rows = [(i, f"kept{'x' * (i % 3)} Ünder🙂 {'rare' if i % 4 else 'oft'} {'q.r@s.tu' if i % 5 else 'a@b.cd'} word {'odd' * (i % 2)}") for i in range(40)]
+    rows += [(i, "oft word plain") for i in range(40, 90)] + [rows[3], (None, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [(t, {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}, set(re.findall(BASE["email"][0].replace("(", "(?:"), t))) for _, t in rows]
+    want = set()
+    for word in set().union(*[w for _, w, _ in held]):
+        for value in ("q.r@s.tu", "a@b.cd"):
+            both = [t for t, w, v in held if word in w and value in v]
+            share = len(both) / sum(word in w for _, w, _ in held)
+            rate = share * len(rows) / max(1, sum(value in v for _, _, v in held))
+            if len(set(both)) >= 3 and share >= 0.6 and rate >= 2:
+                want.add(word)
+    got = find_personal_data(docs, confidence=0.6).collect()
+    assert want and {s.value for r in got for s in r.term} == want and len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t in rows if i == r.doc_id)
+        assert [(s.start, s.end) for s in r.term] == [m.span() for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in want]
