@@ -15,7 +15,7 @@ from squallframe.llm.mil_quality import learn, score
 from squallframe.llm.mil_quality_query import THRESHOLD
 from squallframe.llm.ngram_join import similarity_components
 from squallframe.llm.packing_query import packed_documents
-from squallframe.llm.shared import crc_fold, stored
+from squallframe.llm.shared import crc_fold, stored, whole_text
 from squallframe.llm.suffix_dedup import without_repeats
 
 
@@ -32,12 +32,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of linked documents; documents without words are linked with nothing and stay."""
-    groups = similarity_components(docs)
-    stay = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0))
-            .select(F.col("doc_id").alias("__stay")).distinct())
-    return (docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    """The smallest id of each group of linked documents, of its texts the one of the smallest digest; documents without
+    words are linked with nothing and all stay."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", whole_text("text")))
+    groups = similarity_components(keyed.select(F.col("__key").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "__key")
+    ids = keyed.select("__key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
+    leads = (groups.filter("n_shingles > 0").join(ids, "__key").groupBy("component_id").agg(first.alias("lead"))
+             .select(F.col("lead.__key").alias("__key"), F.lit(False).alias("__wordless")))
+    stay = leads.unionByName(groups.filter("n_shingles = 0").select("__key", F.lit(True).alias("__wordless")))
+    return (keyed.join(stay, "__key").withColumn("__row", F.when(F.col("__wordless"), F.monotonically_increasing_id()))
+            .dropDuplicates(["doc_id", "text", "__row"]).select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

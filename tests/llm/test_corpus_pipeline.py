@@ -69,3 +69,12 @@ def test_odd_rows_pass(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_copies_under_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join([*words, "end"]), " ".join(reversed(words))
+    rows = [(1, one), (5, near), (5, other), (5, other), (None, near + " x"), (None, ""), (None, ""), (None, None), (None, None), (7, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (5, other), (None, ""), (None, ""), (None, None), (None, None), (7, "")], key=str)
