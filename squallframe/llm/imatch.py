@@ -10,6 +10,8 @@ texts grow apart.
 The band's lower end bounds the lexicon: terms in at least a share f of the documents number at most (mean
 distinct terms of a document) / f, however large the corpus, which is what lets it be broadcast.
 
+A text with terms but none of the lexicon has the hash of all its sorted distinct terms in every slot.
+
 Defined results: null text is empty text; a slot without terms is null and tells nothing; two fingerprints
 are alike by the share of slots that agree among those where either has terms, sparse slots weighing more; if no slot has, by 1 for
 equal texts and 0 else; empty tables give no rows; rows that repeat have equal fingerprints.
@@ -69,11 +71,15 @@ def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame, columns: l
     their hashes. If the rows lie together by some of the keys, nothing is shuffled.
     """
     exploded = (texts.select(*keys, F.posexplode(F.array(*[F.col(c) for c in columns])).alias("which", "__text"))
-                .select(*keys, "which", F.explode_outer(terms(F.col("__text"))).alias("term")))
+                .select(*keys, "which", terms(F.col("__text")).alias("__terms"))
+                .select(*keys, "which", F.when(F.size("__terms") > 0, F.xxhash64(F.sort_array("__terms"))).alias("__all"),
+                        F.explode_outer("__terms").alias("term")))
     kept = exploded.join(F.broadcast(words), "term", "left")
     listed = kept.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("which") == i, F.col("hash")))).alias(c)
-                                       for i, c in enumerate(columns)])
-    return listed.select(*keys, *[slot_hashes(F.col(c)).alias(c) for c in columns])
+                                       for i, c in enumerate(columns)],
+                                     *[F.max(F.when(F.col("which") == i, F.col("__all"))).alias(f"__all_{i}") for i in range(len(columns))])
+    return listed.select(*keys, *[F.when(F.size(c) > 0, slot_hashes(F.col(c))).otherwise(F.array_repeat(F.col(f"__all_{i}"), len(RATES))).alias(c)
+                                  for i, c in enumerate(columns)])
 
 
 def fingerprint_text(slots: Column) -> Column:

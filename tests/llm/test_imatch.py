@@ -77,3 +77,12 @@ def test_odd_rows(spark):
     assert fingerprinted(docs.filter("false")).count() == 0
     one = fingerprinted(docs.filter("doc_id = 3")).first()
     assert one.near_next == 1.0
+
+
+def test_texts_outside_the_lexicon(spark):
+    rows = [(i, t) for i, t in enumerate(["often x", "often y", "y often", "often", "", "a b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame([("a", 8)], "term string, hash long")
+    got = {r.doc_id: r.text for r in imatch.fingerprints(docs, ["doc_id"], words, ["text"]).collect()}
+    assert got[1] == got[2] and len({tuple(got[i]) for i in (0, 1, 3, 4, 5)}) == 5
+    assert got[4] == [None] * len(imatch.RATES) and None not in got[0]
