@@ -97,7 +97,7 @@ def best_in_cell(q_ids, queries, c_ids, candidates, k: int) -> pd.DataFrame:
         for (qm, qd), (cm, cd) in levels:
             if q_rows is None:
                 bound = qm @ cm[at:at + BLOCK].T + qd @ cd[at:at + BLOCK].T
-                alive = bound * (1 + 1e-9) + 1e-6 >= least[:, None]
+                alive = bound + 1e-9 * np.abs(bound) + 1e-6 >= least[:, None]
                 alive &= q_ids[:, None] != ids[None, :]
                 q_rows, c_rows = np.nonzero(alive)
             else:

@@ -52,3 +52,9 @@ def test_odd_vectors(spark):
 def test_cell_with_fewer_than_k():
     out = best_in_cell(np.array([1]), np.array([[1, 2]]), np.array([1, 2]), np.array([[1, 2], [3, 4]]), 5)
     assert out.to_numpy().tolist() == [[1, 11, 2]]
+
+
+def test_ties_of_negative_scores(monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 1)
+    out = best_in_cell(np.array([1]), np.array([[1000] * 4]), np.array([9, 2]), np.array([[-1000] * 4, [-1000] * 4]), 1)
+    assert out.to_numpy().tolist() == [[1, -4_000_000, 2]]
