@@ -162,8 +162,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [passage_features(t).tobytes() for t in batch["text"]]})
 
     rows = (docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
-            .join(F.broadcast(chosen), F.col("id") == F.col("__id"))  # at most 2 * per_class rows
-            .select("id", "y", "text").mapInPandas(encode, "id long, y int, x binary").collect())
+            .join(F.broadcast(chosen), F.col("id") == F.col("__id"))
+            .groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one"))  # at most 2 * per_class rows
+            .select("id", "y", "one.text").mapInPandas(encode, "id long, y int, x binary").collect())
     rows.sort(key=lambda r: (r.id, bytes(r.x)))
     if not rows:
         return None

@@ -65,3 +65,11 @@ def test_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.collect())
     assert score(docs, learn(docs, labels.filter("false"), F.lit(True))).filter("score <> 0.5").count() == 0
     assert score(docs.filter("false"), None).count() == 0
+
+
+def test_repeated_id_counts_once(spark):
+    rows = [(i, "good words in a row " * 5 if i % 2 else "BAD!! $$$ " * 9) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fit = lambda r: learn(spark.createDataFrame(r, "doc_id long, text string"), labels, F.lit(True)).weights
+    once, often = fit(rows), fit([*rows, *[rows[3]] * 50])
+    assert all(np.array_equal(once[k], often[k]) for k in once)
