@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import (chat_format_query, disclosure_query, imatch_query, language_id_query, mil_quality_query,
-               ngram_join_query, packing_query, piece_scan_query, suffix_dedup_query, topk_search_query)
+from . import (chat_format_query, disclosure_query, filter_audit_query, imatch_query, language_id_query, mil_quality_query,
+               ngram_join_query, packing_query, piece_scan_query, simplex_clusters_query, suffix_dedup_query, token_counts_query,
+               topk_search_query)
 
 MODULES = (chat_format_query, packing_query, suffix_dedup_query, language_id_query, imatch_query, ngram_join_query, mil_quality_query,
-           topk_search_query, piece_scan_query, disclosure_query)
+           topk_search_query, piece_scan_query, disclosure_query, filter_audit_query, simplex_clusters_query, token_counts_query)
 
 
 def queries():
