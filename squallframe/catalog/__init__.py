@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, ordered, projections, quality, scans, workflows
+from . import aggregates, joins, ordered, projections, quality, scans, tiled, workflows
 from .base import QUERIES, SQL
 
-__all__ = ["aggregates", "joins", "ordered", "projections", "quality", "scans", "workflows", "queries", "oracle_sql"]
+__all__ = ["aggregates", "joins", "ordered", "projections", "quality", "scans", "tiled", "workflows", "queries", "oracle_sql"]
 
 
 def queries():

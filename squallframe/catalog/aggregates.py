@@ -82,6 +82,31 @@ for method, agg in (("average", 'avg("value")'), ("sum", 'sum("value")'), ("near
     SELECT tr AS "row", tc AS "col", {R(agg, 4)} AS "value" FROM d GROUP BY 1, 2""")(_resampled)
 
 
+_MET = """{t} AS (SELECT "row" AS r, "col" AS c, "value" AS v, {i} AS k, least(({x} + 1 - {s}) / {q}, {i} + 1) - greatest(({x} - {s}) / {q}, {i}) AS w
+  FROM (SELECT *, unnest(generate_series(CAST(floor(({x} - {s}) / {q}) AS BIGINT), CAST(ceil(({x} + 1 - {s}) / {q}) AS BIGINT) - 1)) AS {i} FROM g))"""
+OVERLAP = f"""{fr.GRID}, g AS (SELECT "row", "col", "value" FROM grid WHERE "col" % 7 <> 2),
+{_MET.format(t='rw', x='"row"', s='1.4::DOUBLE', q='3.7::DOUBLE', i='tr')},
+{_MET.format(t='cw', x='"col"', s='(-0.6)::DOUBLE', q='2.3::DOUBLE', i='tc')},
+o AS (SELECT rw.k AS "row", cw.k AS "col", rw.w * 3.7::DOUBLE * cw.w * 2.3::DOUBLE AS w, rw.v AS v FROM rw JOIN cw ON rw.r = cw.r AND rw.c = cw.c WHERE rw.w > 0 AND cw.w > 0)"""
+
+for method, agg in (("average", "sum(w * v) / sum(w)"), ("sum", "sum(w * v)")):
+    def _regridded(t, method=method):
+        g = fr.grid(t).select("row", "col", F.when(F.col("col") % 7 != 2, F.col("value")).alias("value"))
+        got = raster.overlap_resample(g, (3.7, 1.4), (2.3, -0.6), method)
+        return got.select("row", "col", rounded("value", 4).alias("value"))
+
+    query(f"a6_overlap_{method}", f"""WITH {OVERLAP} SELECT "row", "col", {R(agg, 4)} AS "value" FROM o GROUP BY 1, 2""")(_regridded)
+
+
+@query("a6_mosaic", f"""WITH {fr.GRID}, f AS (SELECT 'b' AS file, "row", "col", "value" FROM grid WHERE zone <> 3 UNION ALL SELECT 'a', "row", "col" + 20, CASE WHEN zone <> 4 THEN signed END FROM grid)
+SELECT "row", "col", {R('min_by("value", file)')} AS "value" FROM f WHERE "value" IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    g = fr.grid(t)
+    left = g.filter("zone <> 3").select(F.lit("b").alias("file"), "row", "col", "value")
+    right = g.select(F.lit("a").alias("file"), "row", (F.col("col") + 20).alias("col"), F.when(F.col("zone") != 4, F.col("signed")).alias("value"))
+    return raster.mosaic(left.unionByName(right), ["file"]).select("row", "col", rounded("value").alias("value"))
+
+
 @query("a7_raster_stats", f"""WITH {fr.GRID}
 SELECT zone, {R('min(v)')} AS "min", {R('max(v)')} AS "max", {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std,
        {R('avg(CASE WHEN v IS NOT NULL THEN CAST(v <= 0 AS INTEGER) END)')} AS zero_fraction, count(v) AS n_valid, count(*) FILTER ("col" % 11 = 0) AS n_nonfinite,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_SCRATCH: dict[tuple[str, str], str] = {}
+
+
+def scratch_table(t: Tables, name: str) -> str:
+    """A new name for a table a query writes to the warehouse; the session's table of the run before is dropped."""
+    held = (t.spark.sparkContext.applicationId, name)
+    if held in _SCRATCH:
+        t.spark.sql(f"DROP TABLE IF EXISTS {_SCRATCH[held]}")
+    _SCRATCH[held] = f"{name}_{uuid.uuid4().hex}"
+    return _SCRATCH[held]
+
+
 def rounded(col, digits: int = 6) -> Column:
     """Round half up in plain double steps, the same in every SQL engine."""
     scale = 10.0 ** digits

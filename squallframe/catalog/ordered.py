@@ -10,7 +10,7 @@ from ..operators import external, fit, interp, keyed, matching, panel, raster, s
 from ..sources.readers import spliced_series
 from . import frames as fr
 from .aggregates import WINDOW_EVENTS, _rounded, window_events
-from .base import R, big, n_rows, query, rounded
+from .base import R, big, n_rows, query, rounded, scratch_table
 
 
 @query("w1_storm_steps", f"""WITH {fr.TRACKS} SELECT event_id, storm_id, step FROM tracks""")
@@ -41,6 +41,25 @@ def _(t):
     return got.select("cell", big("year").alias("year"), rounded("corrected").alias("corrected"), "changed")
 
 
+@query("w3_incremental_years", f"""WITH RECURSIVE {fr.YEARLY}, s AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY "year") AS k FROM yearly),
+r AS (SELECT cell, "year", k, least(greatest("value", 0), 63) AS c, FALSE AS changed FROM s WHERE k = 1
+  UNION ALL SELECT s.cell, s."year", s.k, least(greatest(CASE WHEN s."value" + 2.0::DOUBLE < r.c THEN s."value" + 0.5::DOUBLE * (r.c - s."value") ELSE s."value" END, 0), 63),
+         s."value" + 2.0::DOUBLE < r.c FROM r JOIN s ON s.cell = r.cell AND s.k = r.k + 1)
+SELECT cell, CAST("year" AS BIGINT) AS "year", {R('c')} AS corrected, changed FROM r""")
+def _(t):
+    """The first years are folded at once, each later one is added to the stored state of the years before it."""
+    series, first, rule = fr.yearly(t), 1996, {"tolerance": 2.0, "blend": 0.5}
+    folded = raster.non_decreasing(series.filter(F.col("year") <= first), ["cell"], "year", "value", **rule)
+    out = folded.select("cell", "year", "corrected", "changed")
+    state = folded.groupBy("cell").agg(F.max_by("corrected", "year").alias("last"))
+    for year in sorted(r[0] for r in series.select("year").filter(F.col("year") > first).distinct().collect()):
+        name = scratch_table(t, f"w3_state_{year}")
+        state.write.saveAsTable(name)
+        added, state = raster.corrected_year(t.spark.table(name), series.filter(F.col("year") == year), ["cell"], "value", **rule)
+        out = out.unionByName(added.select("cell", F.lit(year).alias("year"), "corrected", "changed"))
+    return out.select("cell", big("year").alias("year"), rounded("corrected").alias("corrected"), "changed")
+
+
 @query("w4_drift_flags", f"""WITH {fr.YEARLY},
 z AS (SELECT cell, "year", ("value" - avg("value") OVER w) / nullif(stddev_pop("value") OVER w, 0) AS z FROM yearly WINDOW w AS (PARTITION BY cell))
 SELECT cell, CAST("year" AS BIGINT) AS "year", {R('coalesce(z, 0)')} AS z_score, CAST(abs(coalesce(z, 0)) > 1.5 AS BIGINT) AS flagged FROM z""")
@@ -220,6 +239,23 @@ def _(t):
         *[rounded(F.lit(v), 3).alias(n) for n, v in zip("abcd", got.params)], rounded(F.lit(got.r2), 3).alias("r2"), big(F.lit(got.n)).alias("n"))
 
 
+@query("w19_fit_by_year", f"""
+WITH s AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS scope, 4.0::DOUBLE + 50.0::DOUBLE / (1 + exp(-0.9::DOUBLE * (l_quantity / 2.5::DOUBLE - 9.0::DOUBLE))) AS f,
+                  l_discount * 20 + (year(l_shipdate) - 1990) * 0.1::DOUBLE AS e FROM lineitem),
+a AS (SELECT scope, f, e FROM s UNION ALL SELECT 'combined', f, e FROM s)
+SELECT scope, 4.0::DOUBLE AS a, 50.0::DOUBLE AS b, -0.9::DOUBLE AS c, 9.0::DOUBLE AS d, 2 * count(*) AS n, {R('sqrt(avg(e * e))', 4)} AS rmse, {R('avg(abs(e))', 4)} AS mae,
+       {R('1 - avg(e * e) / (var_pop(f) + avg(e * e))', 4)} AS r2, TRUE AS stationary FROM a GROUP BY 1""")
+def _(t):
+    """Every line item stands once above and once below a planted curve, by an error that differs with the year: the
+    least squares of each year and of all years are known, and the fits have residuals."""
+    x, year = F.col("l_quantity") / 2.5, F.year("l_shipdate")
+    error = F.col("l_discount") * 20 + (year - 1990) * 0.1
+    sample = t.lineitem.select(year.alias("year"), x.alias("x"), F.explode(F.array(error, -error)).alias("e"))
+    got = fit.fit_sigmoid_scopes(sample.withColumn("y", sigmoid(F.col("x"), 4.0, 50.0, -0.9, 9.0) + F.col("e")), "year")
+    return got.select("scope", *[rounded(c, 3).alias(c) for c in "abcd"], "n", *[rounded(c, 4).alias(c) for c in ("rmse", "mae", "r2")],
+                      (F.col("gradient") < 1e-4).alias("stationary"))
+
+
 @query("w20_apply_curve", f"""WITH {fr.GRID}
 SELECT "row", "col", {R('least(greatest(6.5::DOUBLE + 57.4::DOUBLE / (1 + exp(-1.9::DOUBLE * ("value" - 10.8::DOUBLE))), 0), 63)')} AS dn FROM grid""")
 def _(t):

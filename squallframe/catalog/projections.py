@@ -13,9 +13,11 @@ from ..operators.panel import apply_overrides
 from ..operators.quality import sampled_digest
 from ..operators.tracks import label_storms, physical_violations
 from ..operators.windows import absolute_coordinates, nearest_index, window_offsets
+from ..sources import readers
 from . import frames as fr
 from .base import R, big, n_rows, query, rounded
 
+
 @query("p1_basin_season_filter", """
 SELECT event_type AS basin, count(*) AS n FROM events WHERE event_type = 'click' AND year(ts) BETWEEN 2000 AND 2024 GROUP BY 1""")
 def _(t):
@@ -378,6 +380,14 @@ def _(t):
     return t.documents.select("doc_id", sampled_digest(F.octet_length(content), content, 64).alias("digest"))
 
 
+@query("c18_file_digests")
+def _(t):
+    """Digests of the given tables' own files, of which three ranges each are read."""
+    files = readers.list_files(t.spark, t.folder, "*.parquet")
+    got = readers.sampled_digests(files, 1 << 16)
+    return got.select(F.regexp_replace("path", "^.*/(?=[^/]+/[^/]+$)", "").alias("path"), "length", "bytes_read", "digest")
+
+
 @query("c19_date_parts", """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS "day", CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS spread FROM orders""")
 def _(t):

@@ -14,7 +14,7 @@ from ..operators.spatial import points_in_units
 from . import frames as fr
 from .aggregates import AUDIT, PAID, WINDOW_EVENTS, _rounded, audit, losses, window_events
 from .joins import FLOODS, LINKED, SHIP_EVENTS, floods, ship_events
-from .base import R, big, n_rows, query, rounded
+from .base import R, big, n_rows, query, rounded, scratch_table
 
 
 @query("q1_input_inventory", """
@@ -297,6 +297,44 @@ def _(t):
                            big(F.max("year")).alias("last_year"), rounded(F.max("gdp"), 2).alias("max_gdp"), F.count_if(F.col("gdp") < 100000).alias("n_small"))
 
 
+DENOMINATORS = f"""{fr.PANEL}, lk AS (SELECT CAST(n_nationkey AS BIGINT) AS zone, upper(n_name) AS iso3 FROM nation),
+w AS (SELECT CAST(c_nationkey AS BIGINT) AS zone, sum(CAST(greatest(c_acctbal, 0) AS DECIMAL(18,2))) AS d FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1),
+den AS (SELECT lk.zone, lk.iso3, CAST(y AS BIGINT) AS "year", coalesce(CAST(w.d AS DOUBLE), 0) AS denominator, coalesce(p.gdp, 0) AS total, CAST(p.gdp IS NULL AS INTEGER) AS is_missing,
+  coalesce(CAST(w.d AS DOUBLE), 0) <= 0 AND coalesce(p.gdp, 0) > 0 AS positive_with_zero_denominator
+  FROM lk, range(1991, 1999) AS r(y) LEFT JOIN w ON w.zone = lk.zone LEFT JOIN panel p ON p.nation = lk.zone AND p."year" = y)"""
+
+
+def denominators(t):
+    """Weights of the nations (some have none) beside their yearly totals (some are missing)."""
+    weights = t.customer.filter("c_nationkey % 5 <> 0").groupBy(big("c_nationkey").alias("zone")).agg(
+        F.sum(F.greatest("c_acctbal", F.lit(0.0)).cast("decimal(18,2)")).cast("double").alias("denominator"))
+    lookup = t.nation.select(big("n_nationkey").alias("zone"), F.upper("n_name").alias("iso3"))
+    years = lookup.select("zone", F.explode(F.sequence(F.lit(1991), F.lit(1998))).alias("year"))
+    totals = fr.panel(t).select(F.col("nation").alias("zone"), "year", F.col("gdp").alias("total"))
+    return quality.denominator_table(years.join(weights, "zone", "left"), totals, lookup)
+
+
+@query("q20_denominator_table", f"""WITH {DENOMINATORS}
+SELECT zone, iso3, "year", {R('denominator', 2)} AS denominator, {R('total', 2)} AS total, is_missing, positive_with_zero_denominator FROM den""")
+def _(t):
+    return _rounded(denominators(t), 2, year=big("year"))
+
+
+@query("q20_zero_denominator_log", f"""WITH {DENOMINATORS}
+SELECT zone, iso3, "year", 'zero_denominator' AS log FROM den WHERE positive_with_zero_denominator UNION ALL SELECT zone, iso3, "year", 'missing_total' FROM den WHERE is_missing = 1""")
+def _(t):
+    return quality.denominator_logs(denominators(t)).select("zone", "iso3", big("year").alias("year"), "log")
+
+
+@query("q20_qa_summary", f"""WITH {DENOMINATORS}, y AS (SELECT "year", sum(CASE WHEN denominator > 0 THEN total ELSE 0 END) AS s, sum(total) AS g FROM den GROUP BY 1)
+SELECT (SELECT CAST(min("year") AS BIGINT) FROM den) AS first_year, (SELECT CAST(max("year") AS BIGINT) FROM den) AS last_year, {R('avg(abs(s - g) / nullif(g, 0))')} AS mean_total_rel_error,
+  {R('max(abs(s - g) / nullif(g, 0))')} AS max_total_rel_error, (SELECT count(*) FROM den WHERE is_missing = 1) AS missing_count, (SELECT count(*) FROM den WHERE positive_with_zero_denominator) AS zero_denominator_count FROM y""")
+def _(t):
+    den = denominators(t)
+    spread = den.withColumn("spread", F.when(F.col("denominator") > 0, F.col("total")).otherwise(F.lit(0.0)))
+    return _rounded(quality.qa_summary(spread, "spread"), first_year=big("first_year"), last_year=big("last_year"))
+
+
 @query("q21_denoise_counters", f"""WITH {fr.GRID},
 x AS (SELECT *, signed * 100 AS v, 90 - ("row" + 0.5) * 180 / m AS lat FROM grid, (SELECT max("row") + 1 AS m FROM grid)),
 h AS (SELECT CASE WHEN count(v) FILTER (v > 0 AND abs(lat) >= 45) < 1000 THEN 'infinity'::DOUBLE ELSE avg(v) FILTER (v > 0 AND abs(lat) >= 45) + 3 * stddev_pop(v) FILTER (v > 0 AND abs(lat) >= 45) END AS th FROM x)
@@ -310,6 +348,24 @@ def _(t):
     return with_scalars(sized, limit).groupBy(F.coalesce(rule, F.lit("kept")).alias("rule")).agg(n_rows(), rounded(F.sum(value), 4).alias("total"))
 
 
+@query("q21_denoise_by_group", f"""WITH {fr.GRID},
+x AS (SELECT *, signed * 100 AS v, 90 - ("row" + 0.5) * 180 / m AS lat FROM grid, (SELECT max("row") + 1 AS m FROM grid)),
+h AS (SELECT zone, count(v) FILTER (v > 0 AND abs(lat) >= 45) AS k, avg(v) FILTER (v > 0 AND abs(lat) >= 45) + 1.5 * stddev_pop(v) FILTER (v > 0 AND abs(lat) >= 45) AS th FROM x GROUP BY 1),
+r AS (SELECT x.*, CASE WHEN v < 0 THEN 'negative' WHEN v > 0 AND v < 0.3 THEN 'low' WHEN abs(lat) >= 45 AND k >= 100 AND v > th THEN 'high_latitude' END AS rule FROM x JOIN h USING (zone))
+SELECT zone, count(*) AS n_cells, count(*) FILTER (rule = 'negative') AS n_negative, count(*) FILTER (rule = 'low') AS n_low, count(*) FILTER (rule = 'high_latitude') AS n_high_latitude,
+  {R("coalesce(sum(v) FILTER (rule IS NULL), 0)", 4)} AS total, {R("coalesce(sum(v) FILTER (rule IS NULL), 0)", 4)} AS layer_total FROM r GROUP BY 1""")
+def _(t):
+    """Each group (a year in the source) has its own threshold; its counters come from the pass that writes the layer."""
+    g = fr.grid(t).withColumn("v", F.col("signed") * 100)
+    sized = with_scalars(g, g.agg((F.max("row") + 1).alias("m"))).withColumn("lat", 90 - (F.col("row") + 0.5) * 180 / F.col("m"))
+    limits = raster.high_latitude_threshold(sized, F.col("lat"), "v", sigmas=1.5, min_count=100, by=["zone"])
+    table, written = scratch_table(t, "q21_layer"), raster.write_denoised(sized.join(limits, "zone"), "v", F.col("lat"), "zone")
+    counted = written(table)
+    layer = t.spark.table(table).groupBy("zone").agg(rounded(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("layer_total"))
+    facts = t.spark.createDataFrame([(z, *c) for z, c in counted.items()], "zone long, n_cells long, n_negative long, n_low long, n_high_latitude long, total double")
+    return layer.join(F.broadcast(facts), "zone").withColumn("total", rounded("total", 4))
+
+
 @query("q13_footprint_verdict", f"""
 WITH e AS (SELECT o_orderkey AS k, o_custkey % 25 AS iso, (o_totalprice / 1000) AS km FROM orders), f AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 25 AS iso FROM lineitem WHERE l_quantity > 20),
 m AS (SELECT count(*) FILTER (k IN (SELECT k FROM f)) / count(*) AS i, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE f.k = e.k AND f.iso = e.iso)) / count(*) AS p,

@@ -1,7 +1,8 @@
-"""Bounded sigmoid fit where every iteration is one distributed aggregate."""
+"""Bounded sigmoid fits where every iteration is one distributed aggregate for all groups."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,62 +34,112 @@ class SigmoidFit:
         return self.a, self.b, self.c, self.d
 
 
-def _normal_equations(sample: DataFrame, x: str, y: str, params) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Sums of the Gauss-Newton system at ``params``: a single row leaves the executors."""
-    a, b, c, d = (float(p) for p in params)
-    shift = F.col(x) - d
+@dataclass
+class _State:
+    """One group's place in its own damped descent."""
+
+    params: np.ndarray
+    jtj: np.ndarray | None = None
+    jtr: np.ndarray | None = None
+    sse: float = math.inf
+    n: int = 0
+    damping: float = 1e-3
+    done: bool = False
+
+    def trial(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        if self.jtj is None:
+            return self.params
+        free = ~(((self.params <= low) & (self.jtr < 0)) | ((self.params >= high) & (self.jtr > 0)))
+        step = np.zeros(4)
+        system = self.jtj[np.ix_(free, free)]
+        system = system + self.damping * np.diag(np.maximum(np.diag(system), 1e-12))
+        step[free] = np.linalg.lstsq(system, self.jtr[free], rcond=None)[0]
+        return np.clip(self.params + step, low, high)
+
+    def judge(self, trial: np.ndarray, jtj: np.ndarray, jtr: np.ndarray, sse: float, n: int, tolerance: float) -> None:
+        """Take the trial if it is no worse, and tell whether to go on."""
+        if sse <= self.sse:
+            self.done = self.jtj is not None and self.sse - sse <= tolerance * max(self.sse, 1e-300)
+            self.damping = self.damping if self.jtj is None else max(self.damping / 10, 1e-12)
+            self.params, self.jtj, self.jtr, self.sse, self.n = trial, jtj, jtr, sse, n
+        else:
+            self.damping *= 10
+            self.done = self.damping > 1e12
+
+
+def _normal_equations(rows: DataFrame, trials: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray, float, int]]:
+    """Sums of every group's Gauss-Newton system at its own trial: one aggregate, one row of 16 sums for each group.
+
+    The trials (one row for each group still moving) are held by the driver anyway, so they are broadcast.
+    """
+    table = rows.sparkSession.createDataFrame([(g, *map(float, p)) for g, p in trials.items()], "scope string, a double, b double, c double, d double")
+    a, b, c, d = (F.col(k) for k in "abcd")
+    shift = F.col("x") - d
     g = 1.0 / (1.0 + F.exp(c * shift))
     bend = g * (1.0 - g)
     jac = [F.lit(1.0), g, -b * shift * bend, b * c * bend]
-    res = F.col(y) - (a + b * g)
+    res = F.col("y") - (a + b * g)
     terms = [F.sum(jac[i] * jac[j]) for i in range(4) for j in range(i, 4)]
     terms += [F.sum(j * res) for j in jac] + [F.sum(res * res), F.count(F.lit(1))]
-    row = sample.agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)]).first()
-    values = [0.0 if v is None else float(v) for v in row]
-    jtj = np.zeros((4, 4))
-    jtj[np.triu_indices(4)] = values[:10]
-    return jtj + np.triu(jtj, 1).T, np.array(values[10:14]), values[14], int(values[15])
-
-
-def fit_sigmoid(sample: DataFrame, x: str = "x", y: str = "y", start=START, lower=LOWER, upper=UPPER,
-                max_iterations: int = 100, tolerance: float = 1e-12,
-                min_samples: int = MIN_SAMPLES) -> SigmoidFit:
-    """Projected Levenberg-Marquardt. The driver only ever sees 16 sums per iteration."""
-    rows = sample.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
-        "x is not null and y is not null and not isnan(x) and not isnan(y)").persist()
+    sums = rows.join(F.broadcast(table), "scope").groupBy("scope").agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)])
+    out = {}
+    for row in sums.collect():
+        values = [0.0 if v is None else float(v) for v in row[1:]]
+        jtj = np.zeros((4, 4))
+        jtj[np.triu_indices(4)] = values[:10]
+        out[row[0]] = jtj + np.triu(jtj, 1).T, np.array(values[10:14]), values[14], int(values[15])
+    return out
+
+
+def fit_sigmoid_scopes(sample: DataFrame, by: str | None = None, x: str = "x", y: str = "y", combined: str = "combined", start=START, lower=LOWER,
+                       upper=UPPER, max_iterations: int = 100, tolerance: float = 1e-12, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """Fits of every group of ``by`` and of all rows: scope, a, b, c, d, n, rmse, mae, r2, gradient.
+
+    Projected Levenberg-Marquardt for all scopes at once: each has its own damping and stops by itself, and an iteration is one aggregate
+    over the rows, whatever the number of scopes. A row counts for its group and for ``combined``.
+    ``gradient`` is the largest free component of the last normal equations, relative to what the residuals allow: near
+    zero at a solution. A scope with fewer than ``min_samples`` rows fails the fit. The groups are years or the like:
+    their parameters are the driver's.
+    """
+    scopes = [F.lit(combined)] if by is None else [F.col(by).cast("string"), F.lit(combined)]
+    rows = (sample.select(F.explode(F.array(*scopes)).alias("scope"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+            .filter("scope is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").persist())
     try:
         low, high = np.array(lower), np.array(upper)
-        params = np.clip(np.array(start, dtype=float), low, high)
-        jtj, jtr, sse, n = _normal_equations(rows, "x", "y", params)
-        if n < min_samples:
-            raise ValueError(f"too few samples for a fit: {n} < {min_samples}")
-        damping = 1e-3
-        for _ in range(max_iterations):
-            free = ~(((params <= low) & (jtr < 0)) | ((params >= high) & (jtr > 0)))
-            step = np.zeros(4)
-            system = jtj[np.ix_(free, free)]
-            system = system + damping * np.diag(np.maximum(np.diag(system), 1e-12))
-            step[free] = np.linalg.lstsq(system, jtr[free], rcond=None)[0]
-            trial = np.clip(params + step, low, high)
-            t_jtj, t_jtr, t_sse, _ = _normal_equations(rows, "x", "y", trial)
-            if t_sse <= sse:
-                done = sse - t_sse <= tolerance * max(sse, 1e-300)
-                params, jtj, jtr, sse = trial, t_jtj, t_jtr, t_sse
-                damping = max(damping / 10, 1e-12)
-                if done:
-                    break
-            else:
-                damping *= 10
-                if damping > 1e12:
-                    break
-        residual = F.col("y") - sigmoid(F.col("x"), *params)
-        m = rows.agg(F.sqrt(F.avg(residual * residual)), F.avg(F.abs(residual)), F.var_pop("y")).first()
-        r2 = 1.0 - (m[0] ** 2) / m[2] if m[2] and m[2] > 0 else float("nan")
-        return SigmoidFit(*[float(p) for p in params], rmse=m[0], mae=m[1], r2=r2, n=n)
+        names = [r[0] for r in rows.select("scope").distinct().collect()] or [combined]
+        states = {g: _State(np.clip(np.array(start, dtype=float), low, high)) for g in names}
+        for _ in range(max_iterations + 1):
+            trials = {g: s.trial(low, high) for g, s in states.items() if not s.done}
+            if not trials:
+                break
+            for g, found in _normal_equations(rows, trials).items():
+                states[g].judge(trials[g], *found, tolerance)
+            few = {g: s.n for g, s in states.items() if s.n < min_samples}
+            if few:
+                raise ValueError(f"too few samples for a fit: {few}, need {min_samples}")
+        facts = []
+        for g, s in states.items():
+            free = ~(((s.params <= low) & (s.jtr < 0)) | ((s.params >= high) & (s.jtr > 0)))
+            scale = np.sqrt(np.maximum(np.diag(s.jtj), 1e-300) * max(s.sse, 1e-300))
+            facts.append((g, *map(float, s.params), float(np.max(np.abs(s.jtr / scale)[free], initial=0.0))))
+        table = sample.sparkSession.createDataFrame(facts, "scope string, a double, b double, c double, d double, gradient double")
+        residual = F.col("y") - sigmoid(F.col("x"), *[F.col(c) for c in "abcd"])
+        told = rows.join(F.broadcast(table), "scope").groupBy("scope", *"abcd", "gradient").agg(
+            F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(residual * residual)).alias("rmse"), F.avg(F.abs(residual)).alias("mae"), F.var_pop("y").alias("__var"))
+        told = told.withColumn("r2", F.when(F.col("__var") > 0, 1.0 - F.col("rmse") * F.col("rmse") / F.col("__var")))
+        kept = told.select("scope", *"abcd", "n", "rmse", "mae", "r2", "gradient").collect()  # a row for each scope
+        return sample.sparkSession.createDataFrame(kept, "scope string, a double, b double, c double, d double, n long, rmse double, mae double, r2 double, gradient double")
     finally:
         rows.unpersist()
 
 
+def fit_sigmoid(sample: DataFrame, x: str = "x", y: str = "y", **options) -> SigmoidFit:
+    """The fit of all rows alone."""
+    row = fit_sigmoid_scopes(sample, None, x, y, **options).first()
+    r2 = row["r2"] if row["r2"] is not None else float("nan")
+    return SigmoidFit(*[row[c] for c in "abcd"], rmse=row["rmse"], mae=row["mae"], r2=r2, n=row["n"])
+
+
 def apply_sigmoid(cells: DataFrame, x: str, params, out: str = "dn", low: float = 0.0, high: float = 63.0) -> DataFrame:
     fitted = sigmoid(F.col(x), *params)
     return cells.withColumn(out, F.when(F.col(x).isNotNull(), F.least(F.greatest(fitted, F.lit(low)), F.lit(high))))

@@ -227,6 +227,29 @@ def golden_check(actual: DataFrame, expected: DataFrame, name: str = "metric", v
     return joined.withColumn("passed", ok.cast("int"))
 
 
+def denominator_table(weights: DataFrame, totals: DataFrame, lookup: DataFrame, zone: str = "zone", year: str = "year", name: str = "iso3") -> DataFrame:
+    """Every zone and year of ``weights`` (zone, year, denominator) beside its total: what is missing, and what has a total to spread but nowhere to put it."""
+    met = weights.join(totals.select(zone, year, "total"), [zone, year], "left").join(lookup.select(zone, name), zone, "left")
+    den, total = F.coalesce("denominator", F.lit(0.0)), F.coalesce("total", F.lit(0.0))
+    return met.select(zone, name, year, den.alias("denominator"), total.alias("total"), F.col("total").isNull().cast("int").alias("is_missing"),
+                      ((den <= 0) & (total > 0)).alias("positive_with_zero_denominator"))
+
+
+def denominator_logs(table: DataFrame) -> DataFrame:
+    """The rows of a denominator table that a report lists, with the name of their log."""
+    names = F.array_compact(F.array(F.when(F.col("positive_with_zero_denominator"), "zero_denominator"), F.when(F.col("is_missing") == 1, "missing_total")))
+    return table.withColumn("log", F.explode(names))
+
+
+def qa_summary(table: DataFrame, spread: str, year: str = "year") -> DataFrame:
+    """One row over a denominator table: how far the yearly sums of ``spread`` fall short of the totals, and what the logs hold."""
+    yearly = table.groupBy(year).agg(F.sum(spread).alias("__s"), F.sum("total").alias("__g"), F.sum("is_missing").alias("__m"),
+                                     F.count_if("positive_with_zero_denominator").alias("__z"))
+    error = F.abs(F.col("__s") - F.col("__g")) / F.nullif(F.col("__g"), F.lit(0.0))
+    return yearly.agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.avg(error).alias("mean_total_rel_error"),
+                      F.max(error).alias("max_total_rel_error"), F.sum("__m").alias("missing_count"), F.sum("__z").alias("zero_denominator_count"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path",
                   compare: Sequence[str] = ("length", "digest")) -> DataFrame:
     """Files that appeared, vanished or changed between two listings."""

@@ -4,78 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keyed import join_keys, with_scalars
+from .keyed import join_keys
 
-ACCURACY = 10_000
-#: Parts of a bracket whose values are ranked apart.
-PARTS = 1024
+#: Bits of a value's fraction its code keeps, and how many of them the first pass leaves out.
+FRACTION_BITS, FINE_BITS = 18, 10
+#: Codes of the least positive double's power of two, of infinity and of NaN.
+LEAST_POWER, INFINITE, NOT_A_NUMBER = -1074, 2**40, 2**41
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
-    """For groups of any size, without gathering a group.
+def order_code(v: Column) -> Column:
+    """A whole number that never falls as the value grows: its power of two and the leading bits of its fraction.
+
+    A logarithm that rounds to the next power only moves the split between two numbers, never their order.
+    """
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    fraction = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * F.lit(float(2**FRACTION_BITS)))
+    code = (power - LEAST_POWER + 1) * F.lit(2**FRACTION_BITS) + fraction
+    code = F.when(size == float("inf"), F.lit(INFINITE)).when(size == 0, F.lit(0)).otherwise(code)
+    return F.when(F.isnan(v), F.lit(NOT_A_NUMBER)).when(v < 0, -code).otherwise(code).cast("long")
+
+
+def exact_quantiles_of(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles of several columns at once: ``wanted`` names each result by (column, probability).
 
-    A mergeable sketch gives, for each wanted rank, two values around it (its rank error is at most
-    n / ACCURACY, none in small groups). The rows below and within that bracket are counted, together with the
-    nearest values outside. The bracket is cut into equal parts whose counts tell which part holds the rank; only
-    that part's distinct values are ranked, and the exact value is read off.
+    For groups of any size, without gathering a group. Values are counted by the leading bits of their codes, which tells the part that holds
+    each wanted rank; the values of those parts by their whole codes; and those of the codes found
+    are ranked themselves. All columns and probabilities share the three passes, a pass orders
+    a few thousand counts of a group at most, and only a 2**-18 th of an octave of values is ever ranked.
+    Groups without any value are left out; NaN counts as the largest value.
     """
     keys = list(keys)
-    probs = list(names.values())
-    slack = 4.0 / ACCURACY
-    ends = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
-
-    def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-        return join_keys(left, right, on) if on else with_scalars(left, right)
-
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", ends, ACCURACY).alias("__s"), F.count(F.lit(1)).alias("__n"))
-    brackets = sketch.select(*keys, "__n", *[F.col("__s")[i].alias(f"__lo{i}") for i in range(len(probs))],
-                             *[F.col("__s")[len(probs) + i].alias(f"__hi{i}") for i in range(len(probs))])
-    paired = beside(rows, brackets, keys)
-    low, high = (lambda i: F.col(f"__lo{i}")), (lambda i: F.col(f"__hi{i}"))
-    around = paired.groupBy(*keys).agg(F.max("__n").alias("__n"), *[x for i in range(len(probs)) for x in (
-        F.count_if(F.col("__v") < low(i)).alias(f"__below{i}"), F.count_if(F.col("__v") <= high(i)).alias(f"__upto{i}"),
-        F.max(F.when(F.col("__v") < low(i), F.col("__v"))).alias(f"__prev{i}"),
-        F.min(F.when(F.col("__v") > high(i), F.col("__v"))).alias(f"__next{i}"))])
-
-    part = lambda i: F.coalesce(F.least(F.floor((F.col("__v") - low(i)) / F.nullif(high(i) - low(i), F.lit(0.0)) * PARTS),
-                                        F.lit(PARTS - 1)), F.lit(0))
-    hits = F.array_compact(F.array(*[F.when(F.col("__v").between(low(i), high(i)), F.struct(
-        F.lit(i).alias("i"), part(i).alias("part"))) for i in range(len(probs))]))
-    inside = (paired.select(*keys, "__v", F.explode(hits).alias("__h"))
-              .select(*keys, "__v", F.col("__h.i").alias("__i"), F.col("__h.part").alias("__part")))
-    earlier = Window.partitionBy(*keys, "__i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counted = (inside.groupBy(*keys, "__i", "__part").agg(F.count(F.lit(1)).alias("__m"))
-               .withColumn("__first", F.coalesce(F.sum("__m").over(earlier), F.lit(0))))  # at most PARTS rows a window
-    chosen = F.lit(False)
-    placed = beside(counted, around, keys)
-    for i, p in enumerate(probs):
-        position = F.lit(p) * (F.col("__n") - 1) - F.col(f"__below{i}")
-        holds = lambda rank: (F.col("__first") <= rank) & (rank < F.col("__first") + F.col("__m"))
-        chosen = chosen | ((F.col("__i") == i) & (holds(F.floor(position)) | holds(F.ceil(position))))
-    parts = placed.filter(chosen).select(*keys, "__i", "__part", "__first")
-    up_to = Window.partitionBy(*keys, "__i", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (join_keys(inside, parts, [*keys, "__i", "__part"]).groupBy(*keys, "__i", "__part", "__first", "__v")
-              .agg(F.count(F.lit(1)).alias("__m")).withColumn("__to", F.col("__first") + F.sum("__m").over(up_to)))
-    ranked = join_keys(around, ranked, keys, "left") if keys else around.join(ranked, F.lit(True), "left")
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    if len(columns) == 1:
+        rows = df.select(*keys, F.lit(0).alias("__i"), F.col(columns[0]).cast("double").alias("__v"))
+    else:
+        stacked = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+        rows = df.select(*keys, F.explode(stacked).alias("__x")).select(*keys, F.col("__x.i").alias("__i"), F.col("__x.v").alias("__v"))
+    rows = rows.filter("__v is not null").withColumn("__code", order_code(F.col("__v"))).withColumn("__part", F.shiftright("__code", FINE_BITS))
 
+    def ranks(of: int) -> Column:
+        """Both ranks each quantile of a column lies between, in a group of ``__n`` values."""
+        out = []
+        for slot, (column, p) in enumerate(wanted.values()):
+            if column == columns[of]:
+                at = F.lit(float(p)) * (F.col("__n") - 1)
+                out += [F.struct(F.lit(2 * slot + up).alias("slot"), (F.ceil(at) if up else F.floor(at)).alias("rank"), (at - F.floor(at)).alias("w")) for up in (0, 1)]
+        return F.array(*out)
+
+    def holding(counted: DataFrame, within: list[str], by: str, asked: Column | None = None) -> DataFrame:
+        """Of the counts ``__m`` along ``by``, those that hold an asked rank, with these ranks seen from their own first value."""
+        group = Window.partitionBy(*within)
+        earlier = group.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("__first", F.coalesce(F.sum("__m").over(earlier), F.lit(0)))
+        if asked is not None:
+            placed = placed.withColumn("__n", F.sum("__m").over(group)).withColumn("__asked", asked)
+        own = F.filter("__asked", lambda t: (t["rank"] >= F.col("__first")) & (t["rank"] < F.col("__first") + F.col("__m")))
+        seen = F.transform(own, lambda t: F.struct(t["slot"].alias("slot"), (t["rank"] - F.col("__first")).alias("rank"), t["w"].alias("w")))
+        return placed.withColumn("__asked", seen).filter(F.size("__asked") > 0).select(*within, by, "__asked")
+
+    asked = F.when(F.col("__i") == 0, ranks(0))
+    for i in range(1, len(columns)):
+        asked = asked.when(F.col("__i") == i, ranks(i))
+    n = F.count(F.lit(1)).alias("__m")
+    group = [*keys, "__i"]
+    parts = holding(rows.groupBy(*group, "__part").agg(n), group, "__part", asked)
+    inside = join_keys(rows, parts, [*group, "__part"]).groupBy(*group, "__part", "__code").agg(n, F.first("__asked").alias("__asked"))
+    codes = holding(inside, [*group, "__part"], "__code").drop("__part")
+    ranked = join_keys(rows, codes, [*group, "__code"]).groupBy(*group, "__code", "__v").agg(n, F.first("__asked").alias("__asked"))
+    found = holding(ranked, [*group, "__code"], "__v").select(*keys, "__v", F.explode("__asked").alias("__t"))
     results = []
-    for i, (name, p) in enumerate(names.items()):
-        position = F.lit(p) * (F.col("__n") - 1)
-        last = F.col(f"__below{i}") + F.col("__to")
-        first = last - F.col("__m")
-        mine = F.col("__i") == i
-
-        def at(rank, i=i, mine=mine, first=first, last=last):
-            found = F.max(F.when(mine & (first <= rank) & (rank < last), F.col("__v")))
-            outside = F.max(F.when(rank == F.col(f"__below{i}") - 1, F.col(f"__prev{i}")).when(rank == F.col(f"__upto{i}"), F.col(f"__next{i}")))
-            return F.coalesce(found, outside)
-        lower, upper = at(F.floor(position)), at(F.ceil(position))
-        weight = F.max(position - F.floor(position))
-        exact = lower + (upper - lower) * weight
-        results.append(F.when(exact.isNull(), F.raise_error(F.lit("quantile bracket missed")).cast("double"))
-                       .otherwise(exact).alias(name))
-    return ranked.groupBy(*keys).agg(*results) if keys else ranked.groupBy().agg(*results)
+    for slot, name in enumerate(wanted):
+        low, high = (F.max(F.when(F.col("__t.slot") == 2 * slot + up, F.col("__v"))) for up in (0, 1))
+        weight = F.max(F.when(F.col("__t.slot") == 2 * slot, F.col("__t.w")))
+        results.append(F.when(low == high, low).otherwise(low + (high - low) * weight).alias(name))
+    return found.groupBy(*keys).agg(*results)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Quantiles of one column, named by their probabilities."""
+    return exact_quantiles_of(df, keys, {name: (value, p) for name, p in names.items()})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sinks import write_observed
 from .keyed import join_keys, with_scalars
 
 # The tile function travels with the plan, so executors need no copy of this package.
@@ -72,6 +73,41 @@ def resample(cells: DataFrame, row_ratio: float, col_ratio: float, method: str =
             .withColumnsRenamed({"__r": "row", "__c": "col"}))
 
 
+def overlaps(index: Column, ratio: float, start: float = 0.0) -> Column:
+    """Target cells a source cell meets along one axis, with the share of the source cell that lies in each.
+
+    A target cell spans ``ratio`` source cells, the first of them begins at the source position ``start``.
+    """
+    low, high = (index - F.lit(float(start))) / F.lit(float(ratio)), (index + 1 - F.lit(float(start))) / F.lit(float(ratio))
+    met = F.sequence(F.floor(low), F.greatest(F.ceil(high) - 1, F.floor(low)))
+    shares = F.transform(met, lambda k: F.struct(k.alias("to"), ((F.least(high, k + 1) - F.greatest(low, k)) * F.lit(float(ratio))).alias("w")))
+    return F.explode(F.filter(shares, lambda s: s["w"] > 0))
+
+
+def overlap_resample(cells: DataFrame, row_axis: tuple[float, float], col_axis: tuple[float, float], method: str = "average", by: Sequence[str] = (),
+                     value: str = "value", extent: tuple[int, int] | None = None) -> DataFrame:
+    """Regrid by area: an ``average`` over the valid part of each target cell, or a ``sum`` that keeps the total.
+
+    Axes are (source cells to a target cell, source position of the target's edge), at any ratio, up or down. Weights
+    are one-dimensional, so cells are reduced along their row first and the rows after that: a cell is repeated by the
+    targets it meets along one axis at a time. ``extent`` (rows, cols) cuts the target. Missing cells weigh nothing;
+    a target without a valid cell is absent.
+    """
+    inside = F.lit(True) if extent is None else F.col("__c.to").between(0, extent[1] - 1)
+    across = (cells.filter(F.col(value).isNotNull()).select(*by, "row", F.col(value).cast("double").alias("__v"), overlaps(F.col("col"), *col_axis).alias("__c"))
+              .filter(inside).groupBy(*by, "row", F.col("__c.to").alias("col")).agg(F.sum(F.col("__c.w") * F.col("__v")).alias("__s"), F.sum("__c.w").alias("__w")))
+    below = F.lit(True) if extent is None else F.col("__r.to").between(0, extent[0] - 1)
+    total, weight = F.sum(F.col("__r.w") * F.col("__s")), F.sum(F.col("__r.w") * F.col("__w"))
+    return (across.select(*by, "col", "__s", "__w", overlaps(F.col("row"), *row_axis).alias("__r")).filter(below)
+            .groupBy(*by, F.col("__r.to").alias("row"), "col").agg({"average": total / weight, "sum": total}[method].alias(value)))
+
+
+def mosaic(cells: DataFrame, order: Sequence[str], by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """One layer from overlapping files: where several have a valid cell, the first file by ``order`` wins."""
+    first = F.min_by(value, F.struct(*order, value))
+    return cells.filter(F.col(value).isNotNull()).groupBy(*by, "row", "col").agg(first.alias(value))
+
+
 def downsample(cells: DataFrame, factor: int, by: Sequence[str] = (), value: str = "value") -> DataFrame:
     return resample(cells, factor, factor, "average", by, value)
 
@@ -106,6 +142,31 @@ def denoised(value: Column, lat: Column, threshold: Column, floor: float = 0.3,
     return F.when(rule.isNotNull(), F.lit(0.0)).otherwise(value), rule
 
 
+RULES = ("negative", "low", "high_latitude")
+
+
+def write_denoised(cells: DataFrame, value: str, lat: Column, year: str, threshold: str = "threshold"):
+    """A function that writes the denoised layer to a table and returns, for each year, its cells, what each rule removed and the total kept.
+
+    Every year is held against its own ``threshold`` column. The counters are observed on the rows on their way to the
+    writer, so layer and counters come from one scan. The years are few and known before.
+    """
+    clean, rule = denoised(F.col(value), lat, F.col(threshold))
+    years = sorted(r[0] for r in cells.select(year).distinct().collect())
+    out = cells.withColumn("__rule", rule).withColumn(value, clean)
+    counters = {}
+    for y in years:
+        here = F.col(year) == y
+        counters[f"n_{y}"] = F.count_if(here)
+        counters |= {f"{r}_{y}": F.count_if(here & (F.col("__rule") == r)) for r in RULES}
+        counters[f"total_{y}"] = F.coalesce(F.sum(F.when(here, F.col(value))), F.lit(0.0))
+
+    def write(table: str) -> dict:
+        got = write_observed(out, table, counters)
+        return {y: (got[f"n_{y}"], *[got[f"{r}_{y}"] for r in RULES], got[f"total_{y}"]) for y in years}
+    return write
+
+
 def gaussian_kernel(sigma: float, radius: int | None = None) -> list[float]:
     reach = int(4.0 * sigma + 0.5) if radius is None else radius
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
@@ -190,6 +251,23 @@ def non_decreasing(series: DataFrame, keys: Sequence[str], year: str, value: str
                            F.col("__o.corrected").alias("corrected"), F.col("__o.changed").alias("changed"))
 
 
+def corrected_year(state: DataFrame, layer: DataFrame, keys: Sequence[str], value: str, low: float = 0.0, high: float = 63.0,
+                   tolerance: float = 0.0, blend: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """One more year of ``non_decreasing``, from what the years before it left: (the year's cells, the new state).
+
+    ``state`` holds (keys, last), each cell's last corrected value; ``layer`` holds (keys, value) of the new year. Only these two
+    are read, however many years came before. Cells the new year lacks keep their state, cells without a past pass through.
+    """
+    met = join_keys(layer.select(*keys, F.col(value).cast("double").alias(value)), state.select(*keys, "last"), keys, "left")
+    v, prev = F.col(value), F.col("last")
+    falls = prev.isNotNull() & v.isNotNull() & (v + F.lit(tolerance) < prev)
+    fixed = F.when(falls, prev if blend is None else v + F.lit(blend) * (prev - v)).otherwise(v)
+    fixed = F.when(v.isNotNull(), F.least(F.greatest(fixed, F.lit(low)), F.lit(high)))
+    year = met.select(*keys, value, fixed.alias("corrected"), F.coalesce(falls, F.lit(False)).alias("changed"))
+    gone = state.join(layer.select(*keys).distinct(), list(keys), "left_anti").select(*keys, "last")
+    return year, year.select(*keys, F.col("corrected").alias("last")).unionByName(gone)
+
+
 def running_maximum(series: DataFrame, keys: Sequence[str], year: str, value: str, low: float = 0.0,
                     high: float = 63.0) -> DataFrame:
     """The same for complete layers without tolerance: a running maximum over a cell's years."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -27,43 +27,94 @@ def boxes_meeting(boxes: DataFrame, min_x, min_y, max_x, max_y) -> DataFrame:
                         & (F.col("max_y") >= min_y) & (F.col("min_y") <= max_y))
 
 
-def _odd_crossings(candidates: DataFrame, bands: DataFrame, x: str, y: str, unit: str) -> DataFrame:
-    """(x, y, unit) pairs whose eastward ray crosses the unit's outline an odd number of times;
-    only edges in the point's latitude band can be crossed."""
-    crosses = ray_crosses(*[F.col(c) for c in (x, y, "x1", "y1", "x2", "y2")])
-    return (candidates.join(bands, [unit, "__ty"]).filter(crosses)
-            .groupBy(x, y, unit, "__tx", "__ty").agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") % 2 == 1).drop("__n"))
+class _TileTest:
+    """Exact containment tests of tiles and of points in them, by index arithmetic on one tile size.
+
+    A point's parity is that of its tile's south-east corner, plus the crossings between: eastward up to the tile's east side, and
+    along that side down to the corner. Both can only be crossed by edges that touch the tile. "East" and
+    "above" compare tile numbers where a tile's side is meant, so rounding cannot make two formulas differ.
+    """
+
+    def __init__(self, tile: float):
+        self.size = F.lit(float(tile))
+
+    def tile(self, value: Column) -> Column:
+        return F.floor(value / self.size)
+
+    def span(self, low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(self.tile(low), self.tile(high)))
+
+    @staticmethod
+    def meets(y: Column) -> Column:
+        """Where an edge meets the height ``y``, never beyond its ends."""
+        x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+        at = (x2 - x1) * (y - y1) / F.when(y2 != y1, y2 - y1) + x1
+        return F.least(F.greatest(at, F.least(x1, x2)), F.greatest(x1, x2))
+
+    def corner_line(self, edges: DataFrame, unit: str) -> DataFrame:
+        """(unit, __ty, __tx, n): edges that cross the south side of a row of tiles, by the tile they cross it in."""
+        low, high = self.tile(F.least("y1", "y2")), self.tile(F.greatest("y1", "y2"))
+        rows = edges.filter(low < high).withColumn("__ty", F.explode(F.sequence(low + 1, high)))
+        return (rows.withColumn("__tx", self.tile(self.meets(F.col("__ty") * self.size)))
+                .groupBy(unit, "__ty", "__tx").agg(F.count(F.lit(1)).alias("__n")))
+
+    def crossings(self, x: str, y: str) -> Column:
+        """Whether an edge of the tile is crossed an odd number of times between a point and its tile's corner."""
+        px, py, tx, ty = F.col(x), F.col(y), F.col("__tx"), F.col("__ty")
+        y1, y2 = F.col("y1"), F.col("y2")
+        right1, right2 = self.tile(F.col("x1")) > tx, self.tile(F.col("x2")) > tx
+        above1, above2 = self.tile(y1) >= ty, self.tile(y2) >= ty
+
+        def north(of1: Column, of2: Column, at: Column) -> Column:
+            """The edge meets the east side's line above the height ``of1`` and ``of2`` refer to."""
+            eastward = (of1 != of2) & (self.tile(at) > tx)
+            return F.when(right1, of1).otherwise(of2) != F.coalesce(eastward, F.lit(False))
+        at = self.meets(py)
+        inner = ((y1 > py) != (y2 > py)) & (px < at) & (self.tile(at) <= tx)
+        side = (right1 != right2) & (north(y1 > py, y2 > py, at) != north(above1, above2, self.meets(ty * self.size)))
+        return F.coalesce(inner, F.lit(False)) != F.coalesce(side, F.lit(False))
+
+
+def corner_parity(edges: DataFrame, tile: float = 1.0, unit: str = "unit_id") -> DataFrame:
+    """Index of outlines: (unit, __tx, __ty, __edge, __odd) of every tile that matters.
+
+    Tiles an edge touches have ``__edge`` and the parity of their south-east corner; the others listed lie wholly inside. Parities are prefix
+    sums along a row of tiles, so a unit's row (as many tiles as it is wide) is all that is ever ordered together.
+    """
+    test = _TileTest(tile)
+    spans = (test.span(F.least("x1", "x2"), F.greatest("x1", "x2")), test.span(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    touched = edges.select(unit, "x1", "x2", spans[1].alias("__ty")).select(unit, spans[0].alias("__tx"), "__ty", F.lit(0).cast("long").alias("__n"))
+    # A crossed tile is a touched one, so one aggregate holds both.
+    line = touched.unionByName(test.corner_line(edges, unit)).groupBy(unit, "__ty", "__tx").agg(F.sum("__n").alias("__n"))
+    eastward = Window.partitionBy(unit, "__ty").orderBy(F.col("__tx").desc())
+    east = F.coalesce(F.sum("__n").over(eastward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walked = line.withColumns({"__east": east, "__next": F.lead("__tx").over(eastward)})
+    gap = F.when((F.col("__east") + F.col("__n")) % 2 == 1, F.col("__tx") - F.col("__next") - 1)
+    inner = F.when(gap > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.when(gap > 0, gap)),
+                                        lambda k: F.struct((F.col("__tx") - k).alias("__tx"), F.lit(False).alias("__edge"), F.lit(True).alias("__odd"))))
+    own = F.array(F.struct(F.col("__tx"), F.lit(True).alias("__edge"), (F.col("__east") % 2 == 1).alias("__odd")))
+    return (walked.select(unit, "__ty", F.explode(F.when(inner.isNotNull(), F.concat(own, inner)).otherwise(own)).alias("__t"))
+            .select(unit, "__ty", "__t.*"))
 
 
 def points_in_units(points: DataFrame, edges: DataFrame, x: str, y: str, tile: float = 1.0,
                     unit: str = "unit_id") -> DataFrame:
-    """(x, y, unit) of every distinct point that lies inside a unit.
+    """(x, y, unit) of every distinct point that lies inside a unit, whose edges form closed rings.
 
-    Distinct points only, since windows of many steps repeat the same coordinates. Tiles of a
-    unit that no edge touches lie wholly inside or outside, so their centre is tested once and
-    their points follow by an equi-join; only points in outline tiles are tested themselves.
+    Distinct points only, since windows of many steps repeat the same coordinates. Points in tiles wholly inside a unit follow by an
+    equi-join; a point in a tile that an outline touches is held against the edges of that tile alone, however long
+    the outline is, and the parity of the tile's corner tells the rest.
     """
-    size = F.lit(float(tile))
-
-    def span(low, high):
-        return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
-
-    tiles = (unit_boxes(edges, unit).withColumn("__tx", span(F.col("min_x"), F.col("max_x")))
-             .withColumn("__ty", span(F.col("min_y"), F.col("max_y"))).select(unit, "__tx", "__ty"))
-    bands = edges.select(unit, "x1", "y1", "x2", "y2", span(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("__ty"))
-    touched = (bands.withColumn("__tx", span(F.least("x1", "x2"), F.greatest("x1", "x2")))
-               .select(unit, "__tx", "__ty").distinct().withColumn("__edge", F.lit(True)))
-    marked = tiles.join(touched, [unit, "__tx", "__ty"], "left")
-    centres = marked.filter(F.col("__edge").isNull()).select(
-        unit, "__tx", "__ty", ((F.col("__tx") + 0.5) * size).alias(x), ((F.col("__ty") + 0.5) * size).alias(y))
-    whole = _odd_crossings(centres, bands, x, y, unit).select(unit, "__tx", "__ty")
-    useful = (whole.withColumn("__edge", F.lit(False))
-              .unionByName(marked.filter("__edge").select(unit, "__tx", "__ty", "__edge")))
+    test = _TileTest(tile)
+    useful = corner_parity(edges, tile, unit)
+    local = (edges.select(unit, "x1", "y1", "x2", "y2", test.span(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("__ty"))
+             .withColumn("__tx", test.span(F.least("x1", "x2"), F.greatest("x1", "x2"))))
     distinct = (points.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
-                .withColumn("__tx", F.floor(F.col(x) / size)).withColumn("__ty", F.floor(F.col(y) / size)))
+                .withColumn("__tx", test.tile(F.col(x))).withColumn("__ty", test.tile(F.col(y))))
     placed = distinct.join(useful, ["__tx", "__ty"])
-    tested = _odd_crossings(placed.filter("__edge").drop("__edge"), bands, x, y, unit)
+    tested = (placed.filter("__edge").join(local, [unit, "__tx", "__ty"])
+              .groupBy(x, y, unit, "__odd").agg(F.count_if(test.crossings(x, y)).alias("__n"))
+              .filter((F.col("__n") % 2 == 1) != F.col("__odd")))
     return placed.filter("not __edge").select(x, y, unit).unionByName(tested.select(x, y, unit))
 
 
@@ -181,72 +232,49 @@ def track_segments(points: DataFrame, key: str, seq: str, x: str, y: str) -> Dat
             .withColumn("x2", F.coalesce("x2", "x1")).withColumn("y2", F.coalesce("y2", "y1")))
 
 
-def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cells: Sequence[float] = (4e6, 2e5),
+def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cells: tuple[float, float] = (4e6, 2e5),
                  out: str = "distance") -> DataFrame:
-    """Smallest distance between two sets of planar segments per key; 0 when a point of the
-    track lies inside the outline.
+    """Smallest distance between a connected line and a closed outline per key, both as planar segments; 0 when the line
+    enters the outline. Unconnected parts of a line count as entering only where they meet the outline or hold its nearest segment.
 
-    Branch and bound over ever finer cells instead of all pairs: segments are summed up as one
-    box per cell, box pairs that cannot beat the best distance guaranteed so far are dropped,
-    and only what lies in the surviving pairs is looked at in the next level. The coarsest
-    level has about a hundred cells on the whole map, which bounds the pairs of a key.
+    One table of boxes over two levels of cells serves every step. Each side is dealt by key once, and all that follows is
+    local: boxes of the coarse cells drop the pairs that cannot beat the best distance guaranteed so far, boxes of the fine
+    cells below the rest do the same, and what is left names the segments to be compared. The same last pass over the outline's boxes
+    counts the edges east of a point of the line. A key's line and outline are bounded by the model, its coarse cells by the map (about a hundred).
     """
-    def celled(df: DataFrame, mark: str) -> DataFrame:
-        ends = df.select(key, *[F.col(c).alias(f"{c}{mark}") for c in ("x1", "y1", "x2", "y2")])
-        for level, size in enumerate(cells):
-            ends = ends.withColumns({f"cx{mark}{level}": F.floor(F.col(f"x1{mark}") / size),
-                                     f"cy{mark}{level}": F.floor(F.col(f"y1{mark}") / size)})
-        return ends
-
-    def cell_keys(mark: str, levels: range) -> list[str]:
-        return [f"{axis}{mark}{level}" for level in levels for axis in ("cx", "cy")]
-
-    def finest(df: DataFrame, mark: str) -> DataFrame:
-        return df.groupBy(key, *cell_keys(mark, range(len(cells)))).agg(
-            F.min(F.least(f"x1{mark}", f"x2{mark}")).alias(f"l{mark}"),
-            F.max(F.greatest(f"x1{mark}", f"x2{mark}")).alias(f"r{mark}"),
-            F.min(F.least(f"y1{mark}", f"y2{mark}")).alias(f"b{mark}"),
-            F.max(F.greatest(f"y1{mark}", f"y2{mark}")).alias(f"t{mark}"))
-
-    def merged(fine: DataFrame, mark: str, level: int) -> DataFrame:
-        if level == len(cells) - 1:
-            return fine
-        return fine.groupBy(key, *cell_keys(mark, range(level + 1))).agg(
-            F.min(f"l{mark}").alias(f"l{mark}"), F.max(f"r{mark}").alias(f"r{mark}"),
-            F.min(f"b{mark}").alias(f"b{mark}"), F.max(f"t{mark}").alias(f"t{mark}"))
-
-    gap_x = F.greatest(F.col("la") - F.col("rb"), F.col("lb") - F.col("ra"), F.lit(0.0))
-    gap_y = F.greatest(F.col("ba") - F.col("tb"), F.col("bb") - F.col("ta"), F.lit(0.0))
-    far_x = F.greatest(F.col("ra") - F.col("lb"), F.col("rb") - F.col("la"))
-    far_y = F.greatest(F.col("ta") - F.col("bb"), F.col("tb") - F.col("ba"))
-    a, b = celled(tracks, "a"), celled(outlines, "b")
-    fine_a, fine_b = finest(a, "a"), finest(b, "b")
-    near = None
-    for level in range(len(cells)):
-        upper = range(level)
-        left, right = merged(fine_a, "a", level), merged(fine_b, "b", level)
-        if near is None:
-            pairs = left.join(right, key)
-        else:
-            pairs = near.join(left, [key, *cell_keys("a", upper)]).join(right, [key, *cell_keys("b", upper)])
-        pairs = (pairs.withColumn("__low", F.sqrt(gap_x * gap_x + gap_y * gap_y))
-                 .withColumn("__high", F.sqrt(far_x * far_x + far_y * far_y)))
-        # The pairs of a key left at a level are few: dozens at first, then the near-best ones.
-        best = F.min("__high").over(Window.partitionBy(key))
-        near = (pairs.withColumn("__best", best).filter(F.col("__low") <= F.col("__best"))
-                .select(key, *cell_keys("a", range(level + 1)), *cell_keys("b", range(level + 1))))
-    every = range(len(cells))
-    met = near.join(a, [key, *cell_keys("a", every)]).join(b, [key, *cell_keys("b", every)])
-    ends = [tuple(F.col(c + m) for c in ("x1", "y1", "x2", "y2")) for m in "ab"]
-    between = met.groupBy(key).agg(F.min(segment_distance(*ends)).alias("__d"))
-
-    size = cells[-1]
-    starts = tracks.select(key, F.col("x1").alias("__px"), F.col("y1").alias("__py")).distinct()
-    bands = outlines.select(key, "x1", "y1", "x2", "y2", F.explode(F.sequence(
-        F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))).alias("__band"))
-    crossing = starts.withColumn("__band", F.floor(F.col("__py") / size)).join(bands, [key, "__band"])
-    inside = (crossing.filter(ray_crosses(*[F.col(c) for c in ("__px", "__py", "x1", "y1", "x2", "y2")]))
-              .groupBy(key, "__px", "__py").agg(F.count(F.lit(1)).alias("__n"))
-              .filter(F.col("__n") % 2 == 1).select(key).distinct().withColumn("__in", F.lit(True)))
-    return (between.join(inside, key, "left")
-            .select(key, F.when(F.col("__in"), F.lit(0.0)).otherwise(F.col("__d")).alias(out)))
+    def boxes(df: DataFrame, mark: str) -> DataFrame:
+        ends = df.select(key, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).repartition(key)
+        where = {f"c{axis}{mark}{level}": F.floor(F.col(f"{axis}1") / size) for level, size in enumerate(cells) for axis in "xy"}
+        return ends.withColumns(where).groupBy(key, *where).agg(
+            F.min(F.least("x1", "x2")).alias(f"l{mark}"), F.max(F.greatest("x1", "x2")).alias(f"r{mark}"),
+            F.min(F.least("y1", "y2")).alias(f"b{mark}"), F.max(F.greatest("y1", "y2")).alias(f"t{mark}"),
+            F.collect_list(F.struct(*[F.col(c).alias(c + mark) for c in ("x1", "y1", "x2", "y2")])).alias(f"segs{mark}"))
+
+    def upper(fine: DataFrame, mark: str) -> DataFrame:
+        return fine.groupBy(key, f"cx{mark}0", f"cy{mark}0").agg(
+            *[f(f"{side}{mark}").alias(f"{side}{mark}") for side, f in (("l", F.min), ("r", F.max), ("b", F.min), ("t", F.max))])
+
+    def near(pairs: DataFrame, kept: list[str]) -> DataFrame:
+        """Pairs of boxes that may hold the smallest distance of their key: dozens at first, then the near-best ones."""
+        gaps = [F.greatest(F.col(f"{low}a") - F.col(f"{high}b"), F.col(f"{low}b") - F.col(f"{high}a"), F.lit(0.0)) for low, high in ("lr", "bt")]
+        spans = [F.greatest(F.col(f"{high}a") - F.col(f"{low}b"), F.col(f"{high}b") - F.col(f"{low}a")) for low, high in ("lr", "bt")]
+        low, high = (d[0] * d[0] + d[1] * d[1] for d in (gaps, spans))
+        best = F.min(high).over(Window.partitionBy(key))
+        return pairs.withColumn("__best", best).filter(low <= F.col("__best")).select(key, *kept)
+
+    a, b = boxes(tracks, "a"), boxes(outlines, "b")
+    coarse = near(upper(a, "a").join(upper(b, "b"), key), ["cxa0", "cya0", "cxb0", "cyb0"])
+    fine = near(coarse.join(a, [key, "cxa0", "cya0"]).join(b.drop("segsb"), [key, "cxb0", "cyb0"]), ["cxb0", "cyb0", "cxb1", "cyb1", "segsa"])
+    place = F.struct("cxb0", "cyb0", "cxb1", "cyb1")
+    asked = fine.groupBy(key, place.alias("__place")).agg(F.array_distinct(F.flatten(F.collect_list("segsa"))).alias("segsa"))
+    asked = asked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__place", "segsa"))).alias("__asked"),
+                                   F.min(F.element_at("segsa", 1)).alias("__start"))
+    px, py = F.col("__start.x1a"), F.col("__start.y1a")
+    met = (b.join(asked, key).withColumn("segsa", F.col("__asked")[place])
+           .filter(F.col("segsa").isNotNull() | ((F.col("bb") <= py) & (F.col("tb") >= py) & (F.col("rb") >= px)))
+           .select(key, px.alias("__px"), py.alias("__py"), "segsa", F.explode("segsb").alias("b"))
+           .select(key, "__px", "__py", "b.*", F.posexplode_outer("segsa").alias("__i", "a")))
+    ends = [tuple(F.col(f"{p}{c}{m}") for c in ("x1", "y1", "x2", "y2")) for m, p in (("a", "a."), ("b", ""))]
+    crossed = ray_crosses(F.col("__px"), F.col("__py"), *ends[1]) & (F.coalesce("__i", F.lit(0)) == 0)
+    told = met.groupBy(key).agg(F.min(F.when(F.col("a").isNotNull(), segment_distance(*ends))).alias("__d"), F.count_if(crossed).alias("__n"))
+    return told.select(key, F.when(F.col("__n") % 2 == 1, F.lit(0.0)).otherwise(F.col("__d")).alias(out))

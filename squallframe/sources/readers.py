@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import sys
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark import cloudpickle
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,9 @@ from ..functions.missing import clean
 from ..operators.keyed import first_per_key
 from ..operators.tracks import parse_tracks
 
+# The digest function travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: layout of daily rain file names.
 RAIN_FILE = r"3IMERG\.(\d{8})-S"
 
@@ -125,3 +133,41 @@ def spliced_series(early: DataFrame, late: DataFrame, last_early: int, spine: Da
     both = (early.filter(F.col(year) <= last_early).withColumn("method", F.lit("early"))
             .unionByName(late.filter(F.col(year) > last_early).withColumn("method", F.lit("late"))))
     return spine.join(both, year, "left").withColumn("method", F.coalesce("method", F.lit("missing")))
+
+
+def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """path and length of every file below ``path``, empty ones left out; no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length")
+
+
+def open_file(path: str):
+    """A seekable file, by the file systems Arrow knows."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:") else path)
+    return system.open_input_file(name)
+
+
+def sampled_digests(files: DataFrame, part: int = 1 << 20) -> DataFrame:
+    """path, length, bytes_read and digest of every listed file, which is opened where its row lies.
+
+    The digest covers the size, the first ``part`` bytes, the middle ones of a file longer than two parts and the last ones of a
+    file longer than one. Only these ranges are read, at any size of the file.
+    """
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, length in zip(batch["path"], batch["length"]):
+                ranges = [(0, min(part, length))]
+                ranges += [(length // 2 - part // 2, part)] if length > 2 * part else []
+                ranges += [(length - part, part)] if length > part else []
+                seen = hashlib.sha256(str(length).encode())
+                with open_file(path) as f:
+                    for start, size in ranges:
+                        f.seek(start)
+                        seen.update(f.read(size))
+                out.append((path, length, sum(size for _, size in ranges), seen.hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "length", "bytes_read", "digest"])
+
+    return files.select("path", "length").mapInPandas(apply, "path string, length long, bytes_read long, digest string")

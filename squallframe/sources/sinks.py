@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.missing import WINDOW_FILL, with_fill
@@ -30,6 +30,30 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str], sort: Sequence
      .option("compression", "zstd").partitionBy(*by).parquet(path))
 
 
+def write_tiles(tiles: DataFrame, table: str, buckets: int, by: Sequence[str] = ()) -> DataFrame:
+    """A layer's tiles as a table bucketed and sorted by its tile keys; joins on all of them shuffle nothing.
+
+    Layers that are to be stacked share ``buckets`` and ``by``; with fewer buckets than shuffle partitions Spark may
+    prefer to deal a layer anew when other rows are sent to it. Nothing moves here: ``to_tiles`` with the same
+    ``buckets`` has dealt the cells, so that a task writes one bucket.
+    """
+    keys = [*by, "tile_row", "tile_col"]
+    (tiles.write.mode("overwrite").option("compression", "zstd")
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return tiles.sparkSession.table(table)
+
+
+def write_observed(df: DataFrame, table: str, counters: dict[str, Column]) -> dict:
+    """Write a table and count on the way: the counters are aggregates over the rows as they pass to the writer.
+
+    They cost no pass of their own. Like any observed metric they may count a task twice if its stage is run
+    again after it had finished.
+    """
+    seen = Observation(f"write {table}")
+    df.observe(seen, *[c.alias(name) for name, c in counters.items()]).write.mode("overwrite").option("compression", "zstd").saveAsTable(table)
+    return seen.get
+
+
 def pending(planned: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work whose output does not exist yet."""
     return planned.join(existing.select(*keys).distinct(), list(keys), "left_anti")
