@@ -10,8 +10,9 @@ from ..operators.matching import prepare_records
 from ..operators.panel import dense_panel, fill_panel
 from ..operators.raster import stack_layers
 from ..operators.ranges import distance_join, overlap_totals
+from ..sources.sinks import write_by_key
 from . import frames as fr
-from .base import R, big, money, n_rows, query, rounded
+from .base import R, big, money, n_rows, query, rounded, scratch_table
 
 
 @query("j1_lookup_join", f"""WITH {fr.PANEL}
@@ -331,6 +332,14 @@ def _(t):
     return near.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_near"))
 
 
+def outline_distance(t, name, lines, outlines, key, cells=(4e6, 2e5)):
+    """Distances from box tables that are stored first, bucketed by key."""
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = [write_by_key(spatial.segment_boxes(df, key, mark, cells), scratch_table(t, f"{name}_{mark}"), [key], buckets)
+            for df, mark in ((lines, "a"), (outlines, "b"))]
+    return spatial.box_distance(*kept, key)
+
+
 @query("j22_outline_distance", f"""WITH {fr.TRACKS}, {fr.OUTLINES},
 sides AS (SELECT unit_id, x1, y1, x2, y2, x2 - x1 AS dx, y2 - y1 AS dy FROM outlines),
 near AS (SELECT event_id, storm_id % 25 AS u, center_lon AS x, center_lat AS y FROM points),
@@ -343,7 +352,7 @@ def _(t):
     p = fr.points(t).select("event_id", (F.col("storm_id") % 25).alias("unit_id"), F.col("center_lon").alias("x1"), F.col("center_lat").alias("y1"))
     dots = p.select("event_id", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
     sides = p.select("event_id", "unit_id").join(fr.outlines(t), "unit_id").drop("unit_id")
-    return spatial.set_distance(dots, sides, "event_id", cells=(16.0, 2.0)).withColumn("distance", rounded("distance"))
+    return outline_distance(t, "j22_dots", dots, sides, "event_id", (16.0, 2.0)).withColumn("distance", rounded("distance"))
 
 
 def _to_segment(x, y, p, q):
@@ -378,7 +387,7 @@ def _(t):
     lines = spatial.project_segments(spatial.track_segments(numbered, "storm_id", "n", "center_lon", "center_lat"))
     storms = tr.select("storm_id").distinct().withColumn("unit_id", F.col("storm_id") % 25)
     outline = spatial.project_segments(storms.join(fr.outlines(t), "unit_id").drop("unit_id"))
-    return spatial.set_distance(lines, outline, "storm_id").select("storm_id", rounded(F.col("distance") / 1000.0, 4).alias("km"))
+    return outline_distance(t, "j22_tracks", lines, outline, "storm_id").select("storm_id", rounded(F.col("distance") / 1000.0, 4).alias("km"))
 
 
 @query("j23_stage_membership", """

@@ -70,15 +70,19 @@ def mercator_y(lat: Column) -> Column:
     return F.lit(MERCATOR_RADIUS_M) * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2))
 
 
-def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column,
-                           x2: Column, y2: Column) -> Column:
-    """Planar distance from a point to a closed segment (a zero-length one is a point)."""
+def point_segment_square(px: Column, py: Column, x1: Column, y1: Column,
+                         x2: Column, y2: Column) -> Column:
+    """Squared planar distance from a point to a closed segment (a zero-length one is a point)."""
     dx, dy = x2 - x1, y2 - y1
     length2 = dx * dx + dy * dy
     along = F.when(length2 > 0, ((px - x1) * dx + (py - y1) * dy) / length2).otherwise(F.lit(0.0))
     along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
     ex, ey = px - (x1 + along * dx), py - (y1 + along * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    return ex * ex + ey * ey
+
+
+def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.sqrt(point_segment_square(px, py, x1, y1, x2, y2))
 
 
 def _turn(ax, ay, bx, by, cx, cy):

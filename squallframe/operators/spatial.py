@@ -7,12 +7,14 @@ everything else follow from it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.geo import mercator_x, mercator_y, ray_crosses, segment_distance
+from ..functions.geo import mercator_x, mercator_y, point_segment_square, ray_crosses, segments_cross
 
 
 def unit_boxes(edges: DataFrame, unit: str = "unit_id") -> DataFrame:
@@ -232,24 +234,36 @@ def track_segments(points: DataFrame, key: str, seq: str, x: str, y: str) -> Dat
             .withColumn("x2", F.coalesce("x2", "x1")).withColumn("y2", F.coalesce("y2", "y1")))
 
 
+def segment_boxes(segments: DataFrame, key: str, mark: str, cells: tuple[float, float] = (4e6, 2e5)) -> DataFrame:
+    """The box table of a side (``mark`` a or b): a row for each key and fine cell with its coarse cell, its box and its segments.
+
+    Dealt by key once. Kept as a table bucketed by key, it serves every step of ``box_distance`` without a shuffle.
+    """
+    where = {f"c{axis}{mark}{level}": F.floor(F.col(f"{axis}1") / size) for level, size in enumerate(cells) for axis in "xy"}
+    ends = segments.select(key, "x1", "y1", "x2", "y2").withColumns(where)
+    # With all of them known to be present, every step asks for the same rows and Spark reuses the one shuffle.
+    ends = ends.filter(reduce(and_, [F.col(c).isNotNull() for c in ends.columns])).repartition(key)
+    return ends.groupBy(key, *where).agg(
+        F.min(F.least("x1", "x2")).alias(f"l{mark}"), F.max(F.greatest("x1", "x2")).alias(f"r{mark}"),
+        F.min(F.least("y1", "y2")).alias(f"b{mark}"), F.max(F.greatest("y1", "y2")).alias(f"t{mark}"),
+        F.collect_list(F.struct(*[F.col(c).alias(c + mark) for c in ("x1", "y1", "x2", "y2")])).alias(f"segs{mark}"))
+
+
 def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cells: tuple[float, float] = (4e6, 2e5),
                  out: str = "distance") -> DataFrame:
-    """Smallest distance between a connected line and a closed outline per key, both as planar segments; 0 when the line
-    enters the outline. Unconnected parts of a line count as entering only where they meet the outline or hold its nearest segment.
+    """``box_distance`` of segments whose boxes are not kept."""
+    return box_distance(segment_boxes(tracks, key, "a", cells), segment_boxes(outlines, key, "b", cells), key, out)
 
-    One table of boxes over two levels of cells serves every step. Each side is dealt by key once, and all that follows is
-    local: boxes of the coarse cells drop the pairs that cannot beat the best distance guaranteed so far, boxes of the fine
-    cells below the rest do the same, and what is left names the segments to be compared. The same last pass over the outline's boxes
-    counts the edges east of a point of the line. A key's line and outline are bounded by the model, its coarse cells by the map (about a hundred).
-    """
-    def boxes(df: DataFrame, mark: str) -> DataFrame:
-        ends = df.select(key, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).repartition(key)
-        where = {f"c{axis}{mark}{level}": F.floor(F.col(f"{axis}1") / size) for level, size in enumerate(cells) for axis in "xy"}
-        return ends.withColumns(where).groupBy(key, *where).agg(
-            F.min(F.least("x1", "x2")).alias(f"l{mark}"), F.max(F.greatest("x1", "x2")).alias(f"r{mark}"),
-            F.min(F.least("y1", "y2")).alias(f"b{mark}"), F.max(F.greatest("y1", "y2")).alias(f"t{mark}"),
-            F.collect_list(F.struct(*[F.col(c).alias(c + mark) for c in ("x1", "y1", "x2", "y2")])).alias(f"segs{mark}"))
 
+def box_distance(a: DataFrame, b: DataFrame, key: str, out: str = "distance") -> DataFrame:
+    """Smallest distance between a connected line (boxes ``a``) and a closed outline (boxes ``b``) per key, as planar segments; 0 when the
+    line enters the outline.
+
+    Both sides lie by key, so all that follows is local: boxes of the coarse cells drop the pairs that cannot beat the best
+    distance guaranteed so far, boxes of the fine cells below the rest do the same, and what is left names the segments to be
+    compared. The same last pass over the outline's boxes counts the edges east of a point of the line, which tells whether it lies
+    inside. A key's line and outline are bounded by the model, its coarse cells by the map (about a hundred).
+    """
     def upper(fine: DataFrame, mark: str) -> DataFrame:
         return fine.groupBy(key, f"cx{mark}0", f"cy{mark}0").agg(
             *[f(f"{side}{mark}").alias(f"{side}{mark}") for side, f in (("l", F.min), ("r", F.max), ("b", F.min), ("t", F.max))])
@@ -262,7 +276,6 @@ def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cells: tuple[
         best = F.min(high).over(Window.partitionBy(key))
         return pairs.withColumn("__best", best).filter(low <= F.col("__best")).select(key, *kept)
 
-    a, b = boxes(tracks, "a"), boxes(outlines, "b")
     coarse = near(upper(a, "a").join(upper(b, "b"), key), ["cxa0", "cya0", "cxb0", "cyb0"])
     fine = near(coarse.join(a, [key, "cxa0", "cya0"]).join(b.drop("segsb"), [key, "cxb0", "cyb0"]), ["cxb0", "cyb0", "cxb1", "cyb1", "segsa"])
     place = F.struct("cxb0", "cyb0", "cxb1", "cyb1")
@@ -274,7 +287,13 @@ def set_distance(tracks: DataFrame, outlines: DataFrame, key: str, cells: tuple[
            .filter(F.col("segsa").isNotNull() | ((F.col("bb") <= py) & (F.col("tb") >= py) & (F.col("rb") >= px)))
            .select(key, px.alias("__px"), py.alias("__py"), "segsa", F.explode("segsb").alias("b"))
            .select(key, "__px", "__py", "b.*", F.posexplode_outer("segsa").alias("__i", "a")))
-    ends = [tuple(F.col(f"{p}{c}{m}") for c in ("x1", "y1", "x2", "y2")) for m, p in (("a", "a."), ("b", ""))]
-    crossed = ray_crosses(F.col("__px"), F.col("__py"), *ends[1]) & (F.coalesce("__i", F.lit(0)) == 0)
-    told = met.groupBy(key).agg(F.min(F.when(F.col("a").isNotNull(), segment_distance(*ends))).alias("__d"), F.count_if(crossed).alias("__n"))
-    return told.select(key, F.when(F.col("__n") % 2 == 1, F.lit(0.0)).otherwise(F.col("__d")).alias(out))
+    line, edge = (tuple(F.col(f"{p}{c}{m}") for c in ("x1", "y1", "x2", "y2")) for m, p in (("a", "a."), ("b", "")))
+    # Four ends against the other side, a row each: one small expression instead of one too large to be compiled.
+    ends = [F.struct(*[c.alias(n) for c, n in zip((*p, *o), ("px", "py", "x1", "y1", "x2", "y2"))])
+            for p, o in ((line[:2], edge), (line[2:], edge), (edge[:2], line), (edge[2:], line))]
+    held = met.select("*", F.posexplode(F.array(*ends)).alias("__j", "e"))
+    once = F.col("__j") == 0
+    crossed = ray_crosses(F.col("__px"), F.col("__py"), *edge) & (F.coalesce("__i", F.lit(0)) == 0) & once
+    told = held.groupBy(key).agg(F.min(point_segment_square(*[F.col(f"e.{c}") for c in ("px", "py", "x1", "y1", "x2", "y2")])).alias("__d"),
+                                 F.count_if(crossed).alias("__n"), F.count_if(segments_cross(line, edge) & once).alias("__m"))
+    return told.select(key, F.when((F.col("__n") % 2 == 1) | (F.col("__m") > 0), F.lit(0.0)).otherwise(F.sqrt("__d")).alias(out))

@@ -43,6 +43,12 @@ def write_tiles(tiles: DataFrame, table: str, buckets: int, by: Sequence[str] =
     return tiles.sparkSession.table(table)
 
 
+def write_by_key(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A stage table bucketed and sorted by its keys: later steps by these keys read it where it lies."""
+    df.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_observed(df: DataFrame, table: str, counters: dict[str, Column]) -> dict:
     """Write a table and count on the way: the counters are aggregates over the rows as they pass to the writer.
 

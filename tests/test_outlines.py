@@ -1,12 +1,14 @@
 """The corner-parity index and the box hierarchy against brute force."""
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from squallframe.operators import spatial
+from squallframe.sources.sinks import write_by_key
 
 EDGES = "unit_id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -59,19 +61,25 @@ def test_only_edges_of_the_own_tile_are_compared(spark):
     assert compared(20) == compared(2000) == (1, 2)
 
 
-def test_distance_hierarchy_needs_two_scans(spark, tmp_path):
+def test_stored_boxes_need_no_shuffle(spark):
     rng = np.random.default_rng(2)
     lines, outlines = [], []
     for key in range(6):
         walk = (np.cumsum(rng.uniform(-2e5, 2e5, (30, 2)), axis=0) + rng.uniform(-1e6, 1e6, 2)).tolist()
         lines += [(key, *a, *b) for a, b in zip(walk, walk[1:])]
         outlines += star(key, rng, 200, rng.uniform(-1e6, 1e6, 2), 2e5, 4e5)
-    for name, data in (("a", lines), ("b", outlines)):
-        spark.createDataFrame(data, EDGES.replace("unit_id", "k")).write.parquet(f"{tmp_path}/{name}")
-    got = spatial.set_distance(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b"), "k", cells=(1e6, 1.5e5))
-    got.collect()
-    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("FileScan") <= 6
+    names, ddl = [f"boxes_{uuid.uuid4().hex}" for _ in range(2)], EDGES.replace("unit_id", "k")
+    try:
+        sides = [spark.createDataFrame(data, ddl) for data in (lines, outlines)]
+        kept = [write_by_key(spatial.segment_boxes(df, "k", m, (1e6, 1.5e5)), n, ["k"], 8) for df, m, n in zip(sides, "ab", names)]
+        got = spatial.box_distance(*kept, "k")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 6 and "Exchange hash" not in plan
+        want = {r.k: r.distance for r in spatial.set_distance(*sides, "k", cells=(1e6, 1.5e5)).collect()}
+        assert {r.k: r.distance for r in got.collect()} == want and len(want) == 6
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
 
 
 def test_distance_of_nested_lines_is_zero(spark):
