@@ -72,8 +72,9 @@ def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame, columns: l
     """
     exploded = (texts.select(*keys, F.posexplode(F.array(*[F.col(c) for c in columns])).alias("which", "__text"))
                 .select(*keys, "which", terms(F.col("__text")).alias("__terms"))
-                .select(*keys, "which", F.when(F.size("__terms") > 0, F.xxhash64(F.sort_array("__terms"))).alias("__all"),
-                        F.explode_outer("__terms").alias("term")))
+                # A select of its own: beside the explode it would be worked out for every term.
+                .select(*keys, "which", "__terms", F.when(F.size("__terms") > 0, F.xxhash64(F.sort_array("__terms"))).alias("__all"))
+                .select(*keys, "which", "__all", F.explode_outer("__terms").alias("term")))
     kept = exploded.join(F.broadcast(words), "term", "left")
     listed = kept.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("which") == i, F.col("hash")))).alias(c)
                                        for i, c in enumerate(columns)],
