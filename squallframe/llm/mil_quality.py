@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import giving_back, whole_text
 
 PASSAGE = 64
 LOWER, UPPER, DIGIT, BLANK, LINE, STOP, SYMBOL = range(7)
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: AttentionModel | None, doc_id: str = "doc_id",
                 values = model.forward(np.concatenate(bags).astype(float), starts)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*names, out])
 
-    return docs.select(*names).mapInArrow(apply, schema)
+    return docs.select(*names).mapInArrow(giving_back(apply), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import hash_slots, stored, whole_text
+from .shared import giving_back, hash_slots, stored, whole_text
 from .shingles import shingle_set
 
 #: A column is common if at least one in COMMON documents holds it; n-grams of a column block; characters handled at a time.
@@ -90,7 +90,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     yield pd.DataFrame({"doc_id": pd.array([None] * len(h), dtype="Int64"), "n": pd.array([None] * len(h), dtype="Int64"),
                                         "cls": [None] * len(h), "lo": 0, "h": pd.array(h, dtype="Int64"), "held": count})
 
-    return docs.mapInPandas(apply, "doc_id long, n long, cls binary, lo long, h long, held long")
+    return docs.mapInPandas(giving_back(apply), "doc_id long, n long, cls binary, lo long, h long, held long")
 
 
 def column_blocks(docs: DataFrame, width: int, common: np.ndarray, blocks: int, groups: int) -> DataFrame:
@@ -119,7 +119,7 @@ def column_blocks(docs: DataFrame, width: int, common: np.ndarray, blocks: int,
                                 np.diff(np.r_[starts, b - a]).astype(np.int32).tobytes(), h[a:b].tobytes(), np.packbits(hot[a:b]).tobytes()))
                 yield pd.DataFrame(out, columns=["block", "groups", "keys", "counts", "grams", "hot"])
 
-    return docs.mapInPandas(apply, "block int, groups binary, keys binary, counts binary, grams binary, hot binary")
+    return docs.mapInPandas(giving_back(apply), "block int, groups binary, keys binary, counts binary, grams binary, hot binary")
 
 
 def joined(column: pd.Series, kind: str) -> np.ndarray:
@@ -148,7 +148,7 @@ def count_columns(blocks: DataFrame) -> DataFrame:
         return pd.DataFrame([(int(group[a]), key[a:b].tobytes(), h[a:b].tobytes(), rank[a:b].tobytes()) for a, b in zip(cuts, ends)],
                             columns=["grp", "keys", "grams", "ranks"])
 
-    return blocks.groupBy("block").applyInPandas(apply, "grp int, keys binary, grams binary, ranks binary")
+    return blocks.groupBy("block").applyInPandas(giving_back(apply), "grp int, keys binary, grams binary, ranks binary")
 
 
 def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> DataFrame:
@@ -177,7 +177,7 @@ def leading_columns(rows: DataFrame, counted: DataFrame, p: int, q: int) -> Data
         told = pd.DataFrame({"h": pd.array([None] * len(found), dtype="Int64"), "cls": cls[found], "n": n[found], "s": shared[found], "parts": list(parts[found])})
         return pd.concat([lead, told]) if len(found) else none
 
-    return rows.groupBy("grp").cogroup(counted.groupBy("grp")).applyInPandas(apply, "h long, cls binary, n long, s long, parts array<int>")
+    return rows.groupBy("grp").cogroup(counted.groupBy("grp")).applyInPandas(giving_back(apply), "h long, cls binary, n long, s long, parts array<int>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -196,7 +196,7 @@ def compared(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
         used = pairs.select(F.col(name).alias("cls")).distinct()
         return sets.join(used, "cls", "left_semi").select(F.col("cls").alias(name), F.col("grams").alias(f"set_{name}"))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(apply, "a binary, b binary")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(giving_back(apply), "a binary, b binary")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -208,7 +208,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 batch = batch.iloc[len(sets):]
 
     texts = docs.join(wanted.select(F.col("doc_id").alias("__id"), "cls"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "cls")
-    return (texts.mapInPandas(apply, "found binary, grams binary, cls binary").filter("found = cls")
+    return (texts.mapInPandas(giving_back(apply), "found binary, grams binary, cls binary").filter("found = cls")
             .select("cls", "grams").dropDuplicates(["cls"]))
 
 

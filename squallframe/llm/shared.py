@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,36 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def giving_back(fn: Callable) -> Callable:
+    """A task function (of batches, of a group or of two) that gives freed memory back after each result."""
+    if inspect.isgeneratorfunction(fn):
+        def wrapped(batches):
+            for out in fn(batches):
+                yield out
+                del out
+                give_back()
+    elif len(inspect.signature(fn).parameters) == 1:
+        def wrapped(part):
+            out = fn(part)
+            give_back()
+            return out
+    else:
+        def wrapped(left, right):
+            out = fn(left, right)
+            give_back()
+            return out
+    return wrapped
+
+
 def hash_slots(spark: SparkSession, per: int = 1) -> int:
     """As many groups as the session has shuffle partitions, times ``per``."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * per)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cover import sampled_runs
-from .shared import hash_slots, stored, whole_text
+from .shared import giving_back, hash_slots, stored, whole_text
 
 #: Bytes of a sampled gram; starts in a cell; samples in a block of names; bytes of text handled at a time.
 GRAM, CELL, BLOCK, PART = 36, 8, 1_000_000, 12_000_000
@@ -87,7 +87,7 @@ class Names:
         core = change(own.cores)
         name = core | change(own.names)
         place = name | change(own.docs) | change(own.tags) | change(own.firsts)
-        return own.take(place), core[place], name[place]
+        return (own, core, name) if place.all() else (own.take(place), core[place], name[place])
 
 
 def group_of(doc: int, groups: int) -> int:
@@ -130,8 +130,9 @@ def sort_names(packed: DataFrame, groups: int) -> DataFrame:
     """Sort each block; answer, for each group of documents, which runs are repeats and which stay open."""
     def apply(part: pd.DataFrame) -> pd.DataFrame:
         names = unpack(part)
-        done = names.take(names.flags == DONE)
-        own, core, new = names.take(names.flags != DONE).ordered()
+        done, names = names.take(names.flags == DONE), names.take(names.flags != DONE)
+        own, core, new = names.ordered()
+        del names
         gram = np.cumsum(core) - 1
         several = np.bincount(gram, weights=new)[gram] > 1 if len(own) else np.array([], dtype=bool)
         rows = []
@@ -145,7 +146,7 @@ def sort_names(packed: DataFrame, groups: int) -> DataFrame:
                 rows.append((int(group[a]), is_open, *[getattr(found, f)[a:b].tobytes() for f in FIELDS if f not in ("cores", "names")]))
         return pd.DataFrame(rows, columns=["grp", "open", *[f for f in FIELDS if f not in ("cores", "names")]])
 
-    return packed.groupBy("block").applyInPandas(apply, FOUND)
+    return packed.groupBy("block").applyInPandas(giving_back(apply), FOUND)
 
 
 def found_by_document(part: pd.DataFrame | pa.Table) -> dict[tuple[int, int], np.ndarray]:
@@ -190,7 +191,7 @@ def common_grams(texts: DataFrame, length: int, documents: int) -> np.ndarray:
                     often = count >= max(2, len(held) // (2 * COMMON))
                     yield pd.DataFrame({"gram": gram[often].view(np.int64), "held": count[often]})
 
-    counted = texts.mapInPandas(apply, "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held"))
+    counted = texts.mapInPandas(giving_back(apply), "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held"))
     rows = counted.filter(F.col("held") * (2 * COMMON) >= documents).select("gram").collect()
     return np.sort(np.array([r.gram for r in rows], dtype=np.int64).view(np.uint64))
 
@@ -209,7 +210,7 @@ def sampled_triples(texts: DataFrame, length: int, common: np.ndarray, blocks: i
                         rows.append((doc, tag_of(raw), gram, np.array(names, dtype=np.uint64), first, last - first, sample - first, hot))
                 yield pack(Names.of(rows), blocks)
 
-    return texts.mapInPandas(apply, PACKED)
+    return texts.mapInPandas(giving_back(apply), PACKED)
 
 
 def open_runs(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -226,7 +227,7 @@ def open_runs(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
     opened = found.filter("open")
     return texts.groupBy("grp").cogroup(opened.groupBy("grp")).applyInPandas(
-        apply, "doc long, tag long, first long, span int, side int, flag int, bytes binary")
+        giving_back(apply), "doc long, tag long, first long, span int, side int, flag int, bytes binary")
 
 
 def cells(runs: DataFrame, length: int, blocks: int) -> DataFrame:
@@ -250,7 +251,7 @@ def cells(runs: DataFrame, length: int, blocks: int) -> DataFrame:
             whole = lambda x: np.array(x, dtype=np.uint64)
             yield pack(Names.of([(np.array(docs, dtype=np.int64), np.array(tags), whole(cores), whole(names), np.array(firsts), np.array(spans), np.array(sides), np.array(flags))]), blocks)
 
-    return runs.mapInPandas(apply, PACKED)
+    return runs.mapInPandas(giving_back(apply), PACKED)
 
 
 def single_starts(runs: DataFrame, found: DataFrame, length: int, blocks: int, groups: int) -> DataFrame:
@@ -270,7 +271,7 @@ def single_starts(runs: DataFrame, found: DataFrame, length: int, blocks: int, g
         return pack(Names.of(rows), blocks)
 
     grouped = runs.withColumn("grp", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int"))
-    return grouped.groupBy("grp").cogroup(found.filter("open").groupBy("grp")).applyInPandas(apply, PACKED)
+    return grouped.groupBy("grp").cogroup(found.filter("open").groupBy("grp")).applyInPandas(giving_back(apply), PACKED)
 
 
 def merged(rows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -328,4 +329,4 @@ def without_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id",
 
     whole = docs.select(*kept, key.alias("__doc"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("grp"))
     return whole.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(
-        apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        giving_back(apply), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
