@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import giving_back, whole_text
 
 #: Words whose ids a Python worker remembers, and the longest it does.
 REMEMBERED, LONGEST = 1_500_000, 64
+#: Characters of the texts whose words are looked up and learnt at a time.
+PART = 2_000_000
+
+
+def leaves_plain_words(settings: dict) -> bool:
+    """Whether a tokenizer's steps before the merges keep a lower-case word of letters as it is, as one word of its bytes."""
+    steps = [n["type"] for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (set(steps) <= {"NFC", "Replace", "Lowercase"} and [s["type"] for s in split] == ["Split", "ByteLevel"]
+            and "[\\p{L}]+" in split[0]["pattern"].get("Regex", "").split("|"))
 
 
 class WordTokenizer:
@@ -27,10 +38,17 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        settings = json.loads(self.tokenizer.to_str())
+        self.plain = self.tokenizer
+        if leaves_plain_words(settings):
+            # What normalising and splitting would do to lower-case words of letters is nothing: only the merges are left.
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = settings["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
@@ -38,13 +56,13 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.asarray(f.ids, dtype="<u4").tobytes() for f in found]
 
     def learn_plain(self, words: list[str]) -> None:
         """Lower-case words of letters, each one pre-token."""
         if self.suffix and words:
-            ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words) and cuts[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
@@ -73,24 +91,35 @@ class WordTokenizer:
                 known[tail] = self.encode([tail])[0]
             known[word] = known[low] + (known[tail] if tail else b"")
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; what is new in any of them is learnt at once."""
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        self.learn(new)
-        out = b"".join(map(known.__getitem__, words))
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        if new:
+            self.learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > LONGEST:
                 del known[word]
         return out
 
 
+def parts(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in lists of about ``PART`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > PART:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -113,12 +142,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             rows = []
-            for own, value in zip(batch["doc_id"], batch["text"]):
-                ids = tokenizer.ids(value) + end
+            for own, ids in zip(batch["doc_id"], (i for held in parts(batch["text"]) for i in tokenizer.ids(held))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at:at + 4 * capacity]
                     rows.append((own, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInPandas(
-        apply, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        giving_back(apply), "doc_id long, piece int, start long, length long, ids_crc32 long")
