@@ -15,8 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: lang, which of the five conditions it fails (a to e), and whether a label calls it good or toxic.
 
-    Texts are read once; what they are compared by is their digest. Copies are counted before they
-    meet, and a text that many documents share is met in parts (adaptive skew join). A null id is smaller than none.
+    Texts are read once; what they are compared by is their digest. Only digests with a copy are looked up, from a table, so that both
+    sides are plain shuffles and a text that many documents share is met in parts (adaptive skew join). A null id is smaller than none.
     """
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     given = docs.select("doc_id", F.col("lang").alias("part"), whole_text("text").alias("text")).withColumn("words", words)
@@ -25,7 +25,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", "part", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), (n < 100).alias("a"),
         (100 * F.size(F.array_distinct("words")) < 80 * n).alias("b"),
         (100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > 10 * F.length("text")).alias("c"), F.col("text").rlike(r"[#$%&*|]").alias("d")))
-    firsts = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    firsts = stored(facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
     marks = labels.groupBy(F.col("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     return (facts.join(firsts, "digest", "left").join(marks, "doc_id", "left")
             .select("part", "a", "b", "c", "d", (F.col("doc_id") > F.col("first")).alias("e"), "good", "toxic"))
