@@ -9,12 +9,11 @@ from ..functions import status as st
 from ..operators import external, quality, raster, stats, windows
 from ..operators.allocation import diagnose_zero_weight
 from ..operators.keyed import with_scalars
-from ..operators.quantiles import exact_quantiles
-from ..operators.spatial import points_in_units
+from ..operators.quantiles import exact_quantiles, exact_quantiles_of
 from . import frames as fr
 from .aggregates import AUDIT, PAID, WINDOW_EVENTS, _rounded, audit, losses, window_events
 from .joins import FLOODS, LINKED, SHIP_EVENTS, floods, ship_events
-from .base import R, big, n_rows, query, rounded, scratch_table
+from .base import QUERIES, R, SQL, big, n_rows, query, rounded, scratch_table
 
 
 @query("q1_input_inventory", """
@@ -124,9 +123,11 @@ b AS (SELECT *, w + CASE WHEN zone = 1 THEN 0.5::DOUBLE ELSE 0 END AS wind FROM
 c AS (SELECT *, pow(greatest(wind - {hz.WIND_THRESHOLD}, 0), 3) AS p, pow(greatest(wind - {hz.WIND_THRESHOLD}, 0), 3) * CASE WHEN zone = 2 THEN 2.0::DOUBLE ELSE 1 END AS hw FROM b),
 d AS (SELECT *, min(hw) OVER x AS w0, max(hw) OVER x AS w1, min(rain) OVER x AS r0, max(rain) OVER x AS r1 FROM c WINDOW x AS (PARTITION BY "row")),
 e AS (SELECT *, CASE WHEN w1 > w0 THEN (hw - w0) / (w1 - w0) ELSE 0 END * 0.5::DOUBLE + CASE WHEN r1 > r0 THEN (rain - r0) / (r1 - r0) ELSE 0 END * 0.5::DOUBLE AS h FROM d)
-SELECT zone, count(*) AS n_cells, {R("max(abs(wind - w))")} AS wind_max_error, {R("max(abs(hw - p) / (1 + p))")} AS hazard_wind_rel_error,
-       {R("max(CASE WHEN zone = 3 THEN 0.25::DOUBLE ELSE 0 END)")} AS hazard_compound_max_error, count(*) FILTER (rain < 0) AS n_negative,
-       CASE WHEN zone IN (1, 2, 3, 5) THEN 'FAIL' ELSE 'PASS' END AS status FROM e GROUP BY 1""")
+SELECT zone, n_cells, {R("we")} AS wind_max_error, {R("pe")} AS hazard_wind_rel_error, {R("he")} AS hazard_compound_max_error, n_negative,
+       CASE WHEN greatest(we, ae, he) > {quality.FORMULA_ERROR_FAIL} OR n_negative > 0 OR n_out > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM (
+  SELECT zone, count(*) AS n_cells, max(abs(wind - w)) AS we, max(abs(hw - p) / (1 + p)) AS pe, max(abs(hw - p)) AS ae, max(abs(stored - h)) AS he, count(*) FILTER (rain < 0) AS n_negative,
+    count(*) FILTER (stored < 0 OR stored > 1) AS n_out
+  FROM (SELECT *, CASE WHEN zone = 3 THEN h + 0.25::DOUBLE ELSE h END AS stored FROM e) GROUP BY 1)""")
 def _(t):
     zone = F.col("zone")
     g = fr.grid(t).withColumn("u10", F.col("value")).withColumn("v10", F.col("signed"))
@@ -195,14 +196,15 @@ def _(t):
     return _rounded(quality.validate_audit(audit(t), ["rec_id", "status", "loss_usd", "conservation_error"]))
 
 
-@query("q13_footprint_hits", f"""WITH {fr.POINTS}, {fr.OUTLINES},
-i AS (SELECT event_id FROM points JOIN outlines ON (y1 > center_lat) <> (y2 > center_lat) AND center_lon < (x2 - x1) * (center_lat - y1) / nullif(y2 - y1, 0) + x1 GROUP BY event_id, unit_id HAVING count(*) % 2 = 1)
-SELECT basin, count(*) AS n, {R('count(i.event_id) / count(*)')} AS hit_rate FROM points p LEFT JOIN (SELECT DISTINCT event_id FROM i) i USING (event_id) GROUP BY 1""")
+KM = 111.195  # Fixed value: kilometres of a degree.
+
+
+@query("q13_footprint_hits", f"""WITH {fr.POINTS}, dist AS ({SQL["j22_outline_distance"]})
+SELECT basin, count(*) AS n, {R(f'avg(CAST(distance * {KM}::DOUBLE <= 25 AS INTEGER))')} AS hit_rate FROM points JOIN dist USING (event_id) GROUP BY 1""")
 def _(t):
-    p = fr.points(t)
-    inside = points_in_units(p, fr.outlines(t), "center_lon", "center_lat").select("center_lon", "center_lat").distinct().withColumn("km", F.lit(0.0))
-    far = p.join(inside, ["center_lon", "center_lat"], "left").withColumn("km", F.coalesce("km", F.lit(1e9)))
-    return _rounded(external.distance_hits(far, "km", ["basin"]))
+    """Track points and the distance to the outline of their own unit."""
+    distances = QUERIES["j22_outline_distance"](t.spark, t.folder).withColumn("km", F.col("distance") * KM)
+    return _rounded(external.distance_hits(fr.points(t).select("event_id", "basin").join(distances, "event_id"), "km", ["basin"]))
 
 
 @query("q14_rain_agreement", f"""WITH {WINDOW_EVENTS}, d AS (SELECT event, "day", sum(ours) AS ours, sum(theirs) AS theirs FROM dm GROUP BY 1, 2),
@@ -227,37 +229,55 @@ def _(t):
     return _rounded(external.link_rates(events, links, "event_key", "year"))
 
 
-CASE_INPUT = """c AS (SELECT c_custkey, c_custkey % 9 - 4 AS lag, (c_custkey % 20) / 100.0::DOUBLE AS iou, (c_custkey % 30) / 100.0::DOUBLE AS recall,
-  CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal / 10000 END AS corr, (c_custkey % 11) / 10.0::DOUBLE AS bias FROM customer),
+CASES = f"""{WINDOW_EVENTS}, cd AS (SELECT event, "day", sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY 1, 2), cg AS (SELECT event, wi, wj, sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY ALL),
+cm AS (SELECT *, a >= quantile_cont(a, 0.9) OVER w AS ta, b >= quantile_cont(b, 0.9) OVER w AS tb FROM cg WINDOW w AS (PARTITION BY event)),
+co AS (SELECT event, count(*) FILTER (ta AND tb) / count(*) FILTER (ta OR tb) AS iou, count(*) FILTER (ta AND tb) / count(*) FILTER (ta) AS recall,
+       CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS corr FROM cm GROUP BY 1),
+cx AS (SELECT event, "day" AS x FROM cd QUALIFY row_number() OVER (PARTITION BY event ORDER BY a DESC, "day") = 1), cy AS (SELECT event, "day" AS y FROM cd QUALIFY row_number() OVER (PARTITION BY event ORDER BY b DESC, "day") = 1),
+ct AS (SELECT event, abs(sum(a) - sum(b)) / greatest(abs(sum(b)), 1e-6) AS bias FROM cd GROUP BY 1),
+c AS (SELECT event, x - y AS lag, iou, recall, corr, bias FROM co JOIN cx USING (event) JOIN cy USING (event) JOIN ct USING (event)),
 f AS (SELECT *, iou < 0.05::DOUBLE AND recall < 0.10::DOUBLE AS f1, coalesce(corr <= 0 AND bias > 0.5::DOUBLE, FALSE) AS f2, abs(lag) > 3 AS w1, iou >= 0.05::DOUBLE AND iou < 0.15::DOUBLE AS w2, coalesce(corr > 0 AND corr < 0.3::DOUBLE, FALSE) AS w3 FROM c)"""
 
 
-@query("q16_case_status", f"""WITH {CASE_INPUT}
-SELECT c_custkey, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN w1 OR w2 OR w3 THEN 'WARN' ELSE 'PASS' END AS status,
+def cases(t):
+    """Metrics of every event's two rain windows."""
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    return external.case_metrics(means, "event", "day", "ours", "theirs")
+
+
+def judged_cases(t):
+    metrics = cases(t)
+    status, reasons = external.case_status(F.col("peak_lag"), F.col("iou"), F.col("recall"), F.col("corr"), F.col("bias_ratio"))
+    return metrics.select("event", status.alias("status"), reasons.alias("reasons"))
+
+
+@query("q16_case_metrics", f"""WITH {CASES}
+SELECT event, CAST(lag AS BIGINT) AS peak_lag, {R('iou')} AS iou, {R('recall')} AS recall, {R('corr')} AS corr, {R('bias')} AS bias_ratio FROM c""")
+def _(t):
+    return _rounded(cases(t).select("event", big("peak_lag").alias("peak_lag"), "iou", "recall", "corr", "bias_ratio"))
+
+
+@query("q16_case_status", f"""WITH {CASES}
+SELECT event, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN w1 OR w2 OR w3 THEN 'WARN' ELSE 'PASS' END AS status,
   CASE WHEN f1 OR f2 THEN concat_ws(';', CASE WHEN f2 THEN 'hazard_proxy_mismatch' END, CASE WHEN f1 THEN 'spatial_displacement' END)
        WHEN w1 OR w2 OR w3 THEN concat_ws(';', CASE WHEN w3 THEN 'hazard_proxy_mismatch' END, CASE WHEN w2 THEN 'spatial_displacement' END, CASE WHEN w1 THEN 'temporal_mismatch' END) ELSE 'none' END AS reasons FROM f""")
 def _(t):
-    k = F.col("c_custkey")
-    status, reasons = external.case_status(k % 9 - 4, (k % 20) / 100.0, (k % 30) / 100.0,
-                                           F.when(k % 7 != 0, F.col("c_acctbal") / 10000), (k % 11) / 10.0)
-    return t.customer.select("c_custkey", status.alias("status"), reasons.alias("reasons"))
+    return judged_cases(t)
 
 
-@query("q16_case_stage", f"""WITH {CASE_INPUT},
-k AS (SELECT f.c_custkey, c_acctbal, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN w1 OR w2 OR w3 THEN 'WARN' ELSE 'PASS' END AS status, c_nationkey, translate(left(c_mktsegment, 1), 'ABFHM', 'ABCDD') AS grade
-  FROM f JOIN customer USING (c_custkey) WHERE 2000 + c_nationkey <= 2020 AND c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AND c_custkey % 2 = 0),
+@query("q16_case_stage", f"""WITH {CASES},
+k AS (SELECT c_custkey, c_acctbal, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN w1 OR w2 OR w3 THEN 'WARN' ELSE 'PASS' END AS status, c_nationkey, translate(left(c_mktsegment, 1), 'ABFHM', 'ABCDD') AS grade
+  FROM f JOIN customer ON c_custkey = event WHERE 2000 + c_nationkey <= 2020 AND c_acctbal > 0 AND c_mktsegment <> 'BUILDING'),
 r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, strpos('ABCD', grade), c_custkey) <= 4)
 SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS n_cases, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') OR count(*) < 3 THEN 'WARN' ELSE 'PASS' END AS stage_status FROM r GROUP BY 1""")
 def _(t):
-    k = F.col("c_custkey")
-    status, _reasons = external.case_status(k % 9 - 4, (k % 20) / 100.0, (k % 30) / 100.0,
-                                            F.when(k % 7 != 0, F.col("c_acctbal") / 10000), (k % 11) / 10.0)
-    metrics = t.customer.filter(k % 2 == 0).select("c_custkey", status.alias("status"))
+    """Customers whose key is an event's are its records; their best cases by nation are judged by the event's own metrics."""
+    metrics = judged_cases(t).select(F.col("event").alias("c_custkey"), "status")
     events = t.customer.select("c_custkey", (F.lit(2000) + F.col("c_nationkey")).alias("year"), F.col("c_acctbal").alias("loss_usd"), big("c_nationkey").alias("nation"),
                                F.translate(F.substring("c_mktsegment", 1, 1), "ABFHM", "ABCDD").alias("grade"),
                                F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(" ").alias("selected_storms"))
-    cases = external.case_candidates(events, metrics, ["c_custkey"])
-    best = external.rank_cases(cases, "loss_usd", "grade", "c_custkey", 4, by=["nation"])
+    candidates = external.case_candidates(events, metrics, ["c_custkey"])
+    best = external.rank_cases(candidates, "loss_usd", "grade", "c_custkey", 4, by=["nation"])
     return external.case_stage_status(best, by=["nation"]).select("nation", "n_cases", "stage_status")
 
 
@@ -366,21 +386,30 @@ def _(t):
     return layer.join(F.broadcast(facts), "zone").withColumn("total", rounded("total", 4))
 
 
-@query("q13_footprint_verdict", f"""
-WITH e AS (SELECT o_orderkey AS k, o_custkey % 25 AS iso, (o_totalprice / 1000) AS km FROM orders), f AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 25 AS iso FROM lineitem WHERE l_quantity > 20),
-m AS (SELECT count(*) FILTER (k IN (SELECT k FROM f)) / count(*) AS i, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE f.k = e.k AND f.iso = e.iso)) / count(*) AS p,
-             avg(CAST(km <= 25 AS INTEGER)) AS h, quantile_cont(km, 0.95) AS d FROM e)
-SELECT {R('i')} AS id_rate, {R('p')} AS pair_rate, {R('h')} AS hit_rate, {R('d', 4)} AS p95_km, CASE WHEN i < 0.6 OR p < 0.4 THEN 'FAIL' WHEN h < 0.5 OR d > 500 THEN 'WARN' ELSE 'PASS' END AS status,
-  concat_ws(';', CASE WHEN i < 0.6 THEN 'id_match_rate_low' END, CASE WHEN p < 0.4 THEN 'pair_match_rate_low' END) AS fail_reasons,
-  concat_ws(';', CASE WHEN h < 0.5 THEN 'hit_rate_low' END, CASE WHEN d > 500 THEN 'distance_p95_high' END) AS warn_reasons FROM m""")
-def _(t):
-    prints = t.lineitem.filter("l_quantity > 20").select(F.col("l_orderkey").alias("disno"), (F.col("l_suppkey") % 25).alias("iso"))
-    events = t.orders.select(F.col("o_orderkey").alias("disno"), (F.col("o_custkey") % 25).alias("iso"), F.year("o_orderdate").alias("year"),
-                             (F.col("o_totalprice") / 1000).alias("km"))
+FOOTPRINTS = f"""track_km AS ({SQL["j22_track_outline_km"]}), fe AS (SELECT storm_id AS k, storm_id % 25 AS iso, km FROM track_km),
+fp AS (SELECT DISTINCT o_custkey AS k, o_orderkey % 25 AS iso FROM orders),
+fm AS (SELECT count(*) FILTER (k IN (SELECT k FROM fp)) / count(*) AS i, count(*) FILTER (EXISTS (SELECT 1 FROM fp WHERE fp.k = fe.k AND fp.iso = fe.iso)) / count(*) AS p,
+              avg(CAST(km <= 25 AS INTEGER)) AS h, quantile_cont(km, 0.95) AS d FROM fe),
+fv AS (SELECT *, CASE WHEN i < 0.6 OR p < 0.4 THEN 'FAIL' WHEN h < 0.5 OR d > 500 THEN 'WARN' ELSE 'PASS' END AS footprint_status FROM fm)"""
+
+
+def footprints(t):
+    """Verdict on storms (their tracks' distance to the outline of their unit) and the footprints known by number and unit."""
+    events = QUERIES["j22_track_outline_km"](t.spark, t.folder).select(
+        F.col("storm_id").alias("disno"), (F.col("storm_id") % 25).alias("iso"), F.lit(2024).alias("year"), "km")
+    prints = t.orders.select(F.col("o_custkey").alias("disno"), (F.col("o_orderkey") % 25).alias("iso"))
     rates = external.footprint_matches(events, prints).filter("year_label = 'ALL'").select("id_rate", "pair_rate")
     hits = external.distance_hits(events, "km", []).select("hit_rate")
     p95 = exact_quantiles(events, [], "km", {"p95_km": 0.95})
-    return _rounded(external.footprint_verdict(with_scalars(with_scalars(rates, hits), p95)), p95_km=rounded("p95_km", 4))
+    return external.footprint_verdict(with_scalars(with_scalars(rates, hits), p95))
+
+
+@query("q13_footprint_verdict", f"""WITH {FOOTPRINTS}
+SELECT {R('i')} AS id_rate, {R('p')} AS pair_rate, {R('h')} AS hit_rate, {R('d', 4)} AS p95_km, footprint_status AS status,
+  concat_ws(';', CASE WHEN i < 0.6 THEN 'id_match_rate_low' END, CASE WHEN p < 0.4 THEN 'pair_match_rate_low' END) AS fail_reasons,
+  concat_ws(';', CASE WHEN h < 0.5 THEN 'hit_rate_low' END, CASE WHEN d > 500 THEN 'distance_p95_high' END) AS warn_reasons FROM fv""")
+def _(t):
+    return _rounded(footprints(t), p95_km=rounded("p95_km", 4))
 
 
 @query("q14_sample_rain_metrics", f"""WITH {fr.GRID}, c AS (SELECT "row", "value" AS a, CASE WHEN "col" % 9 <> 4 THEN signed END AS b, CASE WHEN "row" % 2 = 0 THEN "col" % 3 END AS k FROM grid),
@@ -396,22 +425,25 @@ def _(t):
     return _rounded(external.sample_rain_metrics(cells, ["row"], "value", "b", "k"))
 
 
-# Core years, years with rain only and years without any outside source, in the years of the orders.
-CORE, EXTENDED, BEYOND = (1995, 1996), (1997,), (2005,)
-SAMPLES = f"""{fr.GRID}, c AS (SELECT "row", "value" AS a, CASE WHEN "col" % 9 <> 4 THEN signed END AS b FROM grid),
+# Core years, and the last year of rain data, in the years of the orders.
+CORE, LAST_RAIN = (1995, 1996), 1998
+SAMPLES = f"""{fr.GRID}, c AS (SELECT "row", "value" AS a, CASE WHEN "col" % 9 <> 4 THEN signed END AS b, CASE WHEN "col" % 5 <> 1 THEN abs(signed) * 10 END AS err FROM grid),
 p AS (SELECT *, CASE WHEN b IS NOT NULL THEN a END AS pa FROM c),
 m AS (SELECT *, coalesce(pa >= quantile_cont(pa, 0.9) OVER w, FALSE) AS a1, coalesce(b >= quantile_cont(b, 0.9) OVER w, FALSE) AS b1,
              coalesce(pa >= quantile_cont(pa, 0.8) OVER w, FALSE) AS a2, coalesce(b >= quantile_cont(b, 0.8) OVER w, FALSE) AS b2 FROM p WINDOW w AS (PARTITION BY "row")),
-smp AS (SELECT "row", corr(pa, b) AS corr, count(*) FILTER (a1 AND b1) / count(*) FILTER (a1 OR b1) AS top10, count(*) FILTER (a2 AND b2) / count(*) FILTER (a2 OR b2) AS top20 FROM m GROUP BY 1),
-smed AS (SELECT quantile_cont(corr, 0.5) AS mc, quantile_cont(top10, 0.5) AS m10, quantile_cont(top20, 0.5) AS m20, count(*) AS n FROM smp WHERE 1995 + "row" % 3 IN {CORE})"""
+smp AS (SELECT "row", 1995 + "row" % 3 AS "year", avg(CAST(b IS NOT NULL AS INTEGER)) AS coverage, corr(pa, b) AS corr, avg(pa - b) AS bias, sqrt(avg((pa - b) * (pa - b))) AS rmse,
+  count(*) FILTER (a1 AND b1) / count(*) FILTER (a1 OR b1) AS top10, count(*) FILTER (a2 AND b2) / count(*) FILTER (a2 OR b2) AS top20, quantile_cont(err, 0.5) AS e50, quantile_cont(err, 0.95) AS e95 FROM m GROUP BY 1),
+smy AS (SELECT "year", quantile_cont(corr, 0.5) AS corr, quantile_cont(top10, 0.5) AS top10, quantile_cont(top20, 0.5) AS top20, count(*) AS n FROM smp WHERE "year" IN {CORE} GROUP BY 1),
+smed AS (SELECT quantile_cont(corr, 0.5) AS mc, quantile_cont(top10, 0.5) AS m10, quantile_cont(top20, 0.5) AS m20, coalesce(sum(n), 0) AS n FROM smy)"""
 RAIN_DAYS = f"""od AS (SELECT DISTINCT year(o_orderdate) AS y, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1%' OR year(o_orderdate) <> 1996),
 cov AS (SELECT y.v AS y, count(d) / dayofyear(make_date(y.v, 12, 31)) AS coverage, CASE WHEN count(d) > 0 THEN 1.0 END AS readable FROM (VALUES ({CORE[0]}), ({CORE[1]})) AS y(v) LEFT JOIN od ON od.y = y.v GROUP BY y.v)"""
 
 
-def core_samples(t):
-    """Per-sample rain metrics of the samples of core years."""
-    cells = fr.grid(t).withColumn("b", F.when(F.col("col") % 9 != 4, F.col("signed")))
-    return external.sample_rain_metrics(cells, ["row"], "value", "b").filter((F.lit(1995) + F.col("row") % 3).isin(*CORE))
+def rain_samples(t):
+    """Per-sample rain metrics with the year of each sample."""
+    col = F.col("col")
+    cells = fr.grid(t).withColumns({"b": F.when(col % 9 != 4, F.col("signed")), "err": F.when(col % 5 != 1, F.abs("signed") * 10)})
+    return external.sample_rain_metrics(cells, ["row"], "value", "b", error="err").withColumn("year", F.lit(1995) + F.col("row") % 3)
 
 
 def core_coverage(t):
@@ -422,55 +454,69 @@ def core_coverage(t):
     return external.daily_coverage(days, "day", years)
 
 
-@query("q14_rain_verdict", f"""WITH {WINDOW_EVENTS}, {SAMPLES}, {RAIN_DAYS}, d AS (SELECT event, "day", sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY 1, 2),
+@query("q14_yearly_convergence", f"""WITH {SAMPLES}
+SELECT "year", count(*) AS n_samples, {R('quantile_cont(coverage, 0.5)')} AS coverage, {R('quantile_cont(corr, 0.5)')} AS corr, {R('avg(bias)')} AS bias, {R('avg(rmse)')} AS rmse,
+  {R('quantile_cont(top10, 0.5)')} AS top10, {R('quantile_cont(top20, 0.5)')} AS top20, {R('quantile_cont(e50, 0.5)')} AS error_p50, {R('quantile_cont(e95, 0.5)')} AS error_p95 FROM smp GROUP BY 1""")
+def _(t):
+    return _rounded(external.yearly_sample_metrics(rain_samples(t), "year"), year=big("year"))
+
+
+@query("q14_rain_verdict", f"""WITH {WINDOW_EVENTS}, {SAMPLES}, {RAIN_DAYS}, {FOOTPRINTS}, d AS (SELECT event, "day", sum(ours) AS a, sum(theirs) AS b FROM dm GROUP BY 1, 2),
 x AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY a DESC, "day") = 1), y AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY b DESC, "day") = 1),
 l AS (SELECT quantile_cont(abs(x."day" - y."day"), 0.5) AS lag, count(*) AS n FROM x JOIN y USING (event)), e AS (SELECT corr(a, b) AS ec FROM (SELECT sum(a) AS a, sum(b) AS b FROM d GROUP BY event)),
-f AS (SELECT smed.*, lag, l.n AS ne, ec, (SELECT min(coverage) FROM cov) AS mcov, (SELECT min(readable) FROM cov) AS mread, (SELECT count(*) FROM orders WHERE o_orderdate IS NULL) AS missing FROM smed, l, e),
+f AS (SELECT smed.*, lag, l.n AS ne, ec, (SELECT min(coverage) FROM cov) AS mcov, (SELECT min(readable) FROM cov) AS mread, (SELECT count(*) FROM orders WHERE o_orderdate IS NULL) AS missing,
+    (SELECT count(DISTINCT year(o_orderdate)) FROM orders WHERE year(o_orderdate) <= {LAST_RAIN} AND year(o_orderdate) NOT IN {CORE}) AS ext,
+    (SELECT count(DISTINCT year(o_orderdate)) FROM orders WHERE year(o_orderdate) > {LAST_RAIN}) AS beyond, (SELECT footprint_status FROM fv) AS footprint FROM smed, l, e),
 v AS (SELECT *, concat_ws(';', CASE WHEN mcov < 0.95 THEN 'imerg_daily_file_coverage_rate_low' END, CASE WHEN mread < 1 THEN 'imerg_variable_readability_rate_low' END, CASE WHEN mcov IS NULL THEN 'imerg_core_coverage_missing' END,
     CASE WHEN mc <= 0 AND m10 < 0.05 THEN 'imerg_rainfall_convergence_failure' END, CASE WHEN ec <= 0 AND lag > 3 THEN 'imerg_event_scale_failure' END, CASE WHEN missing > 0 THEN 'missing_imerg_project_inputs' END) AS fails,
   concat_ws(';', CASE WHEN mcov >= 0.95 AND mcov < 1 THEN 'imerg_daily_file_coverage_partial' END, CASE WHEN mc > 0 AND mc < 0.3 THEN 'imerg_rainfall_corr_low' END, CASE WHEN m20 < 0.15 THEN 'imerg_top20_overlap_low' END,
     CASE WHEN n = 0 THEN 'imerg_sample_metrics_empty' END, CASE WHEN ec > 0 AND ec < 0.3 THEN 'imerg_event_total_rainfall_corr_low' END, CASE WHEN lag > 1 THEN 'imerg_event_peak_day_lag_high' END,
-    CASE WHEN ne = 0 THEN 'imerg_event_metrics_empty' END, 'extended_rainfall_only_years_present', 'years_not_evaluable_by_current_external_datasets') AS warns FROM f)
-SELECT {R('mcov')} AS min_coverage, {R('mc')} AS median_corr, {R('m10')} AS median_top10, {R('m20')} AS median_top20, {R('ec')} AS event_corr, {R('lag')} AS median_lag, CASE WHEN fails <> '' THEN 'FAIL' ELSE 'WARN' END AS status,
-  fails AS fail_reasons, warns AS warn_reasons, CASE WHEN fails <> '' THEN 'FAIL' ELSE 'WARN' END AS overall FROM v""")
+    CASE WHEN ne = 0 THEN 'imerg_event_metrics_empty' END, CASE WHEN ext > 0 THEN 'extended_rainfall_only_years_present' END, CASE WHEN beyond > 0 THEN 'years_not_evaluable_by_current_external_datasets' END) AS warns FROM f)
+SELECT {R('mcov')} AS min_coverage, {R('mc')} AS median_corr, {R('m10')} AS median_top10, {R('m20')} AS median_top20, {R('ec')} AS event_corr, {R('lag')} AS median_lag, CASE WHEN fails <> '' THEN 'FAIL' WHEN warns <> '' THEN 'WARN' ELSE 'PASS' END AS status,
+  fails AS fail_reasons, warns AS warn_reasons, CASE WHEN fails <> '' OR footprint = 'FAIL' THEN 'FAIL' WHEN warns <> '' OR footprint = 'WARN' THEN 'WARN' ELSE 'PASS' END AS overall FROM v""")
 def _(t):
     means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
     events = external.rain_agreement(means, "event", "day", "ours", "theirs")
     rows = events.agg(stats.safe_corr(F.col("total_ours"), F.col("total_theirs")).alias("event_corr"), F.count(F.lit(1)).alias("n_events"))
     rows = with_scalars(rows, exact_quantiles(events.select(F.abs("peak_lag").alias("lag")), [], "lag", {"median_lag": 0.5}))
-    samples = core_samples(t)
-    rows = with_scalars(rows, samples.agg(F.count(F.lit(1)).alias("n_samples")))
-    for name in ("corr", "top10", "top20"):
-        rows = with_scalars(rows, exact_quantiles(samples, [], name, {f"median_{name}": 0.5}))
+    yearly = external.yearly_sample_metrics(rain_samples(t).filter(F.col("year").isin(*CORE)), "year")
+    rows = with_scalars(rows, yearly.agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("n_samples")))
+    rows = with_scalars(rows, exact_quantiles_of(yearly, [], {f"median_{c}": (c, 0.5) for c in ("corr", "top10", "top20")}))
     rows = with_scalars(rows, core_coverage(t).agg(F.min("coverage").alias("min_coverage"), F.min("readable").alias("min_readable")))
-    rows = with_scalars(rows, t.orders.agg(F.count_if(F.col("o_orderdate").isNull()).alias("missing_inputs")))
-    rows = rows.withColumns({"extended_years": F.lit(len(EXTENDED)), "not_evaluable_years": F.lit(len(BEYOND))})
+    year = F.year("o_orderdate")
+    later = F.when((year <= LAST_RAIN) & ~year.isin(*CORE), year)
+    rows = with_scalars(rows, t.orders.agg(F.count_if(F.col("o_orderdate").isNull()).alias("missing_inputs"), F.count_distinct(later).alias("extended_years"),
+                                           F.count_distinct(F.when(year > LAST_RAIN, year)).alias("not_evaluable_years")))
+    rows = with_scalars(rows, footprints(t).select(F.col("status").alias("footprint")))
     judged = external.rain_verdict(rows)
-    overall = external.overall_status(F.lit("PASS"), F.col("status"), F.col("extended_years"), F.col("not_evaluable_years"))
+    overall = external.overall_status(F.col("footprint"), F.col("status"), F.col("extended_years"), F.col("not_evaluable_years"))
     shown = ("min_coverage", "median_corr", "median_top10", "median_top20", "event_corr", "median_lag")
     return judged.select(*[rounded(c).alias(c) for c in shown], "status", "fail_reasons", "warn_reasons", overall.alias("overall"))
 
 
-@query("q15_flood_link_verdict", f"""WITH {FLOODS}, {SHIP_EVENTS}, l AS ({LINKED}),
-r AS (SELECT "year", count(*) FILTER (event_key IN (SELECT event_key FROM l WHERE main_cause = ' Tropical Cyclone')) / count(*) AS rate FROM evts GROUP BY 1)
-SELECT CAST("year" AS VARCHAR) AS year_label, {R('rate')} AS rate_strict, CASE WHEN rate < 0.01 THEN 'FAIL' WHEN "year" % 2 = 0 THEN 'WARN' ELSE 'PASS' END AS status FROM r""")
+@query("q15_flood_link_verdict", f"""WITH {FLOODS}, {SHIP_EVENTS}, l AS ({LINKED}), ov AS ({SQL["a36_flood_overlap"]}),
+t AS (SELECT DISTINCT event_key FROM l WHERE main_cause = ' Tropical Cyclone'), r AS (SELECT "year", count(t.event_key) / count(*) AS rate FROM evts LEFT JOIN t USING (event_key) GROUP BY 1),
+m AS (SELECT "year", quantile_cont(flooded_ratio, 0.5) AS mo, quantile_cont(duration_corr, 0.5) AS mc FROM evts JOIN t USING (event_key) JOIN ov ON storm_id = event_key GROUP BY 1)
+SELECT CAST("year" AS VARCHAR) AS year_label, {R('rate')} AS rate_strict, {R('mo')} AS median_overlap, {R('mc')} AS median_corr,
+  CASE WHEN rate < 0.01 OR coalesce(mo < 0.05 AND mc <= 0, FALSE) THEN 'FAIL' WHEN mo IS NULL THEN 'WARN' ELSE 'PASS' END AS status FROM r LEFT JOIN m USING ("year")""")
 def _(t):
+    """The medians are those of the flood samples of the linked events (of the storms of their number)."""
     events = ship_events(t)
-    rates = external.link_rates(events, {"strict": external.link_floods(events, floods(t), external.STRICT_CAUSES)}, "event_key", "year")
-    judged = external.flood_link_verdict(
-        rates.filter("year_label <> 'ALL'").withColumn("median_overlap", F.when(F.col("year_label").cast("int") % 2 == 1, F.lit(0.3)))
-        .withColumn("median_corr", F.lit(0.1)))
-    return _rounded(judged.select("year_label", "rate_strict", "status"))
-
-
-@query("q16_footprint_case_verdict", """
-WITH c AS (SELECT c_custkey, c_custkey % 9 - 4 AS lag, (c_custkey % 20) / 100.0::DOUBLE AS iou, (c_custkey % 30) / 100.0::DOUBLE AS recall, CASE WHEN c_custkey % 6 <> 0 THEN c_acctbal / 15 END AS km FROM customer),
-f AS (SELECT *, coalesce(km > 500, FALSE) AS f1, iou < 0.05::DOUBLE AND recall < 0.10::DOUBLE AS f2 FROM c)
-SELECT c_custkey, CASE WHEN f1 OR f2 THEN 'FAIL' WHEN abs(lag) > 3 OR coalesce(km > 100, FALSE) OR iou < 0.10::DOUBLE THEN 'WARN' ELSE 'PASS' END AS status,
-  concat_ws(';', CASE WHEN f1 THEN 'distance_too_large' END, CASE WHEN f2 THEN 'overlap_too_low' END) AS fail_reasons,
-  CASE WHEN f1 OR f2 THEN '' ELSE concat_ws(';', CASE WHEN abs(lag) > 3 THEN 'peak_lag_gt_3d' END, CASE WHEN km > 100 THEN 'distance_gt_100km' END, CASE WHEN iou < 0.10::DOUBLE THEN 'iou_low' END) END AS warn_reasons FROM f""")
-def _(t):
-    k = F.col("c_custkey")
-    cases = t.customer.select("c_custkey", (k % 9 - 4).alias("lag"), ((k % 20) / 100.0).alias("iou"), ((k % 30) / 100.0).alias("recall"),
-                              F.when(k % 6 != 0, F.col("c_acctbal") / 15).alias("distance_km"))
-    return external.footprint_case_verdict(cases).select("c_custkey", "status", "fail_reasons", "warn_reasons")
+    strict = external.link_floods(events, floods(t), external.STRICT_CAUSES)
+    rates = external.link_rates(events, {"strict": strict}, "event_key", "year").filter("year_label <> 'ALL'")
+    samples = QUERIES["a36_flood_overlap"](t.spark, t.folder).withColumnRenamed("storm_id", "event_key")
+    linked = events.join(strict.select("event_key"), "event_key").join(samples, "event_key").withColumn("year_label", F.col("year").cast("string"))
+    medians = exact_quantiles_of(linked, ["year_label"], {"median_overlap": ("flooded_ratio", 0.5), "median_corr": ("duration_corr", 0.5)})
+    judged = external.flood_link_verdict(rates.join(medians, "year_label", "left"))
+    return _rounded(judged.select("year_label", "rate_strict", "median_overlap", "median_corr", "status"))
+
+
+@query("q16_footprint_case_verdict", f"""WITH {CASES}, track_km AS ({SQL["j22_track_outline_km"]}), cj AS (SELECT c.*, km FROM c LEFT JOIN track_km ON storm_id = event),
+g AS (SELECT *, coalesce(km > 500, FALSE) AS g1, iou < 0.05::DOUBLE AND recall < 0.10::DOUBLE AS g2 FROM cj)
+SELECT event, CASE WHEN g1 OR g2 THEN 'FAIL' WHEN abs(lag) > 3 OR coalesce(km > 100, FALSE) OR iou < 0.10::DOUBLE THEN 'WARN' ELSE 'PASS' END AS status,
+  concat_ws(';', CASE WHEN g1 THEN 'distance_too_large' END, CASE WHEN g2 THEN 'overlap_too_low' END) AS fail_reasons,
+  CASE WHEN g1 OR g2 THEN '' ELSE concat_ws(';', CASE WHEN abs(lag) > 3 THEN 'peak_lag_gt_3d' END, CASE WHEN km > 100 THEN 'distance_gt_100km' END, CASE WHEN iou < 0.10::DOUBLE THEN 'iou_low' END) END AS warn_reasons FROM g""")
+def _(t):
+    tracks = QUERIES["j22_track_outline_km"](t.spark, t.folder).select(F.col("storm_id").alias("event"), F.col("km").alias("distance_km"))
+    metrics = cases(t).withColumnRenamed("peak_lag", "lag").join(tracks, "event", "left")
+    return external.footprint_case_verdict(metrics).select("event", "status", "fail_reasons", "warn_reasons")

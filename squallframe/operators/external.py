@@ -11,6 +11,7 @@ from ..functions import status as st
 from ..functions import text as tx
 from ..functions.calendar import days_in_year
 from .keyed import first_per_key, join_keys, per_year_and_all
+from .quantiles import exact_quantiles_of
 from .ranges import distance_join, overlap_join
 from .stats import agreement, mask_overlap, safe_corr, top_share_masks
 
@@ -138,6 +139,14 @@ def rain_agreement(day_means: DataFrame, event: str, day: str, ours: str, theirs
             .withColumn("peak_lag", F.datediff("peak_ours", "peak_theirs")))
 
 
+def case_metrics(day_means: DataFrame, event: str, day: str, ours: str, theirs: str, q: float = 0.1) -> DataFrame:
+    """What a case is judged by: peak_lag, iou and recall of the strongest cells, corr of the whole footprints, and the bias against the other source's total."""
+    footprint, _ = event_totals(day_means, event, [ours, theirs], day)
+    corr = footprint.groupBy(event).agg(safe_corr(F.col(ours), F.col(theirs)).alias("corr"))
+    got = rain_agreement(day_means, event, day, ours, theirs, q).join(corr, event)
+    return got.withColumn("bias_ratio", F.abs("bias") / F.greatest(F.abs("total_theirs"), F.lit(1e-6)))
+
+
 def case_status(lag: Column, iou: Column, recall: Column, corr: Column, bias_ratio: Column) -> tuple[Column, Column]:
     """Verdict of one case and its reason tags."""
     apart = (iou < 0.05) & (recall < 0.10)
@@ -204,20 +213,30 @@ def footprint_verdict(totals: DataFrame) -> DataFrame:
         "distance_sample_empty": F.col("hit_rate").isNull()})
 
 
-def sample_rain_metrics(cells: DataFrame, keys: Sequence[str], ours: str, theirs: str, counted: str | None = None) -> DataFrame:
+def sample_rain_metrics(cells: DataFrame, keys: Sequence[str], ours: str, theirs: str, counted: str | None = None, error: str | None = None) -> DataFrame:
     """Agreement of two rain windows per sample, the overlap of their strongest tenth and fifth,
-    and the share of cells with data (by the source's own counts where it has any)."""
+    the share of cells with data (by the source's own counts where it has any), and error_p50 and error_p95 of
+    the source's own error field."""
     from_pairs = F.avg((F.col(ours).isNotNull() & F.col(theirs).isNotNull()).cast("double"))
     covered = from_pairs
     if counted is not None:
         covered = F.when(F.count(counted) > 0, F.avg(F.coalesce(F.col(counted) > 0, F.lit(False)).cast("double"))).otherwise(from_pairs)
-    out = cells.groupBy(*keys).agg(covered.alias("coverage"), *agreement(F.col(ours), F.col(theirs)))
+    errors = [] if error is None else [F.percentile(error, F.lit(p / 100)).alias(f"error_p{p}") for p in (50, 95)]  # the cells of one window
+    out = cells.groupBy(*keys).agg(covered.alias("coverage"), *agreement(F.col(ours), F.col(theirs)), *errors)
     for name, q in (("top10", 0.1), ("top20", 0.2)):
         overlap = mask_overlap(top_share_masks(cells, keys, ours, theirs, q), keys)
         out = join_keys(out, overlap.select(*keys, F.col("iou").alias(name)), keys, "left")
     return out
 
 
+def yearly_sample_metrics(samples: DataFrame, year: str) -> DataFrame:
+    """Sample metrics by year: medians, but means of bias and rmse."""
+    medians = [c for c in ("coverage", "corr", "top10", "top20", "error_p50", "error_p95") if c in samples.columns]
+    middle = exact_quantiles_of(samples, [year], {c: (c, 0.5) for c in medians})
+    means = samples.groupBy(year).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("bias").alias("bias"), F.avg("rmse").alias("rmse"))
+    return join_keys(means, middle, [year], "left")
+
+
 def rain_verdict(totals: DataFrame) -> DataFrame:
     """Verdict of the rain level from one row of figures over the core years.
 
