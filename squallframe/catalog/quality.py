@@ -117,6 +117,25 @@ def _(t):
     return _rounded(got, mae_unflipped=rounded("mae_unflipped", 4), orientation_pass=big("orientation_pass"))
 
 
+@query("q7_missing_rasters", f"""WITH {fr.ANCHORS}, {fr.GRID}, {SAMPLE},
+a AS (SELECT event_id, avg(abs(fg)) AS mae, count(fg) AS valid_cells, CAST(coalesce(avg(abs(fg)) <= avg(abs(ng)), FALSE) AS BIGINT) AS orientation_pass, CASE WHEN avg(abs(fg)) > 1e-5 THEN 'FAIL' ELSE 'PASS' END AS status FROM j GROUP BY 1)
+SELECT s.event_id, 'light' AS variable, {R('mae')} AS mae, coalesce(valid_cells, 0) AS valid_cells, coalesce(orientation_pass, 0) AS orientation_pass, coalesce(status, 'FAIL') AS status,
+  CASE WHEN a.event_id IS NULL THEN 'missing_raster:/layers/light.tif' ELSE '' END AS note FROM sample s LEFT JOIN a USING (event_id)
+UNION ALL SELECT event_id, 'people', NULL, 0, 0, 'FAIL', 'missing_raster:/layers/people.tif' FROM sample""")
+def _(t):
+    """Two layers are planned and one has a raster."""
+    sample = fr.anchors(t)
+    g = fr.grid(t).select("row", "col", "value")
+    flipped, straight = (windows.extract_windows(sample, g, size=3, factor=4, flip=f) for f in (True, False))
+    stored = flipped.filter("value is not null").withColumn(
+        "value", F.when(F.col("event_id") % 3 == 0, F.col("value") + 0.001).otherwise(F.col("value")))
+    checked = quality.alignment_check(stored, straight, flipped, ["event_id"], "value").withColumn("variable", F.lit("light"))
+    planned = sample.select("event_id", F.explode(F.array(F.lit("light"), F.lit("people"))).alias("variable")).withColumn(
+        "path", F.concat(F.lit("/layers/"), "variable", F.lit(".tif")))
+    got = quality.with_missing_rasters(checked, planned, ["event_id"])
+    return got.select("event_id", "variable", rounded("mae").alias("mae"), big("valid_cells").alias("valid_cells"), big("orientation_pass").alias("orientation_pass"), "status", "note")
+
+
 @query("q8_hazard_formulas", f"""WITH {fr.GRID},
 a AS (SELECT *, sqrt("value" * "value" + signed * signed) AS w, CASE WHEN zone = 5 THEN signed ELSE abs(signed) END AS rain FROM grid),
 b AS (SELECT *, w + CASE WHEN zone = 1 THEN 0.5::DOUBLE ELSE 0 END AS wind FROM a),

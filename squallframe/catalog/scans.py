@@ -14,7 +14,7 @@ from ..operators.tracks import parse_tracks
 from ..schemas import FLOOD_DOC
 from ..sources import readers, sinks
 from . import frames as fr
-from .base import R, big, money, MONEY, query, rounded
+from .base import R, big, money, MONEY, query, rounded, scratch_table
 
 
 def track_raw(t):
@@ -214,9 +214,8 @@ def _(t):
 SELECT c_custkey, CAST(n_nationkey AS BIGINT) AS country_id, upper(trim(n_name)) AS iso3_final
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def _(t):
-    lookup = t.nation.select(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("raw"),
-                             big("n_nationkey").alias("country_id"))
-    lookup = lookup.select("country_id", F.upper(F.trim("raw")).alias("iso3_final"))
+    raw = t.nation.select(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("iso3_final"), big("n_nationkey").alias("country_id"))
+    lookup = readers.country_lookup(raw)
     return t.customer.join(lookup, F.col("c_nationkey") == F.col("country_id")).select("c_custkey", "country_id", "iso3_final")
 
 
@@ -229,6 +228,23 @@ def _(t):
         F.count(F.lit(1)).alias("n"), money("o_totalprice").alias("total"))
 
 
+@query("k1_csv_table", f"""
+SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN {R('c_acctbal', 2)} END AS balance, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment || ', "quoted"' END AS segment FROM customer""")
+def _(t):
+    """Written as CSV and read back: numbers, missing values, commas and quotes survive."""
+    segment = F.when(F.col("c_mktsegment") != "BUILDING", F.concat("c_mktsegment", F.lit(', "quoted"')))
+    rows = t.customer.select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, rounded("c_acctbal", 2)).alias("balance"), segment.alias("segment"))
+    return sinks.save_table(rows, scratch_table(t, "k1_csv"), "csv", header="true", escape='"')
+
+
+@query("k2_json_manifest", f"""
+SELECT CAST(year(o_orderdate) AS BIGINT) AS "year", count(*) AS n, {MONEY('o_totalprice')} AS total, list_sort(list(DISTINCT o_orderstatus)) AS statuses FROM orders GROUP BY 1""")
+def _(t):
+    facts = t.orders.groupBy(big(F.year("o_orderdate")).alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), money("o_totalprice").alias("total"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses"))
+    return sinks.save_table(facts, scratch_table(t, "k2_manifest"), "json")
+
+
 @query("k3_pending_partitions", """
 SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS nation, CAST(y AS BIGINT) AS "year", CAST(m AS BIGINT) AS "month"
 FROM nation, range(1995, 2002) AS a(y), range(1, 13) AS b(m)

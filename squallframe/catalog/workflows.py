@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import assets, attribution
+from ..sources.sinks import save_table
 from . import frames as fr
-from .base import R, big, query, rounded
+from .base import R, big, query, rounded, scratch_table
 
 
 def _nation_word(nation):
@@ -59,7 +60,10 @@ FROM recs LEFT JOIN k USING (rec_id) LEFT JOIN s USING (rec_id)"""
 
 @query("e2e_loss_attribution", E2E)
 def _(t):
-    cells = shipment_windows(t)
+    def keep(df, name):
+        return save_table(df, scratch_table(t, f"e2e_{name}"))
+
+    cells = keep(shipment_windows(t), "windows")
     nation = F.col("c_nationkey")
     gadm = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('[{"gid_1": "'), _iso(nation), F.lit('.1_1"}]')))
     homes = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -71,7 +75,7 @@ def _(t):
     points = cells.select("storm_id", _nation_word(F.col("nation")).alias("storm_name"), "step", "obs_date").distinct()
     shares = cells.select("storm_id", "step", "wi", "wj", F.col("nation").alias("country_id"), ((F.col("wj") % 4) / 4.0).alias("share"))
     windows = cells.select("storm_id", "step", "wi", "wj", "lat", "lon", "hazard", "asset")
-    got = attribution.attribute_losses(fr.records(t).join(homes, "rec_id"), points, windows, units, fr.outlines(t), lookup, shares)
+    got = attribution.attribute_losses(fr.records(t).join(homes, "rec_id"), points, windows, units, fr.outlines(t), lookup, shares, keep=keep)
     return got.summary.select("rec_id", "grade", "source", "status", rounded("allocated_usd", 1).alias("allocated_usd"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import status as st
 from ..functions import text as tx
 from ..functions.calendar import days_in_year
-from .keyed import first_per_key, join_keys, per_year_and_all
+from .keyed import best_per_key, first_per_key, join_keys, per_year_and_all
 from .quantiles import exact_quantiles_of
 from .ranges import distance_join, overlap_join
 from .stats import agreement, mask_overlap, safe_corr, top_share_masks
@@ -49,10 +49,10 @@ def link_floods(events: DataFrame, floods: DataFrame, causes: Sequence[str], eve
     mine = events.select(iso, *event_span).distinct()
     theirs = accepted.groupBy(iso, *flood_span).agg(F.min(flood).alias(flood))
     gap = F.abs(F.datediff(flood_span[0], event_span[0]))
-    order = [F.col("overlap").desc(), F.col("gap_days"), F.col(flood)]
+    order = [-F.col("overlap"), F.col("gap_days"), F.col(flood)]
     pairs = overlap_join(mine, theirs, event_span, flood_span, [iso]).withColumn("gap_days", gap)
-    best = first_per_key(pairs, [iso, *event_span], order)
-    return first_per_key(events.join(best, [iso, *event_span]), [event], order)
+    best = best_per_key(pairs, [iso, *event_span], order)
+    return best_per_key(events.join(best, [iso, *event_span]), [event], order)
 
 
 def link_rates(events: DataFrame, links: dict[str, DataFrame], event: str, year: str) -> DataFrame:

@@ -86,6 +86,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return kept if rank else kept.drop(name)
 
 
+def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key by ascending ``order``: one partial aggregate, no window."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("__best")
+    return df.groupBy(*keys).agg(best).select(*keys, "__best.*").select(*df.columns)
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], identity: Sequence[str], n: int, seed: int) -> DataFrame:
     """Seeded sample of ``n`` rows per key: smallest digests of (seed, identity) win."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))

@@ -133,6 +133,15 @@ def alignment_check(stored: DataFrame, straight: DataFrame, flipped: DataFrame,
     return checked.withColumn("orientation_pass", passed).withColumn("status", status)
 
 
+def with_missing_rasters(checked: DataFrame, planned: DataFrame, sample: Sequence[str]) -> DataFrame:
+    """Every planned (sample, variable, path) of an alignment check: one whose layer had no raster to cut from fails with a note."""
+    met = join_keys(planned, checked.withColumn("__there", F.lit(True)), [*sample, "variable"], "left")
+    there = F.coalesce("__there", F.lit(False))
+    return (met.withColumn("valid_cells", F.coalesce("valid_cells", F.lit(0))).withColumn("orientation_pass", F.coalesce("orientation_pass", F.lit(0)))
+            .withColumn("status", F.coalesce("status", F.lit("FAIL")))
+            .withColumn("note", F.when(there, F.lit("")).otherwise(F.concat(F.lit("missing_raster:"), "path"))).drop("__there", "path"))
+
+
 def formula_check(windows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Stored wind, wind power and compound hazard against their formulas.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,27 +31,38 @@ class Attribution:
 
 def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataFrame, units: DataFrame,
                      edges: DataFrame, lookup: DataFrame, shares: DataFrame | None = None,
-                     pad_days: int = 1) -> Attribution:
-    """Match, mask, weigh and allocate. Takes no job; ``release`` frees what the results share.
+                     pad_days: int = 1, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Attribution:
+    """Match, mask, weigh and allocate.
+
+    ``keep(frame, name)`` writes a stage table and returns it read back: later stages then plan from files and read each
+    stage once. Without it no job is taken, stages are cached at their first use and ``release`` frees them.
 
     records: disaster records with rec_id. track_points: storm_id, storm_name, step, obs_date.
     windows: storm_id, step, wi, wj, lat, lon, hazard, asset. shares: storm_id, step, wi, wj,
     country_id, share for records located only by country.
     """
-    prepared = prepare_records(records, pad_days)
+    kept: list[DataFrame] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        if keep is not None:
+            return keep(df, name)
+        kept.append(reuse(df))
+        return kept[-1]
+
+    prepared = stage(prepare_records(records, pad_days), "records")
     storms = storm_lives(track_points, carry=("storm_name",))
     # Matches, units and audit have a row for each record and candidate; they feed several results and are kept.
-    matches = reuse(match_records(prepared, storms))
+    matches = stage(match_records(prepared, storms), "matches")
     sources, found_units = resolve_units(prepared, units, lookup)
-    record_units = reuse(found_units)
-    audit = reuse(match_audit(prepared, matches, sources))
+    record_units = stage(found_units, "record_units")
+    audit = stage(match_audit(prepared, matches, sources), "audit")
 
     payable = audit.filter("status_prealloc = 'matched'").select("rec_id", "pad_start", "pad_end", "country_id")
     chosen = matches.filter("selected").select("rec_id", "storm_id")
     steps = same_day_steps(track_points.select("storm_id", "step", "obs_date"))
-    record_steps = (payable.join(chosen, "rec_id").join(steps, "storm_id")
+    record_steps = stage(payable.join(chosen, "rec_id").join(steps, "storm_id")
                     .filter(F.col("obs_date").between(F.col("pad_start"), F.col("pad_end")))
-                    .select("rec_id", "country_id", "storm_id", "step", "same_day"))
+                    .select("rec_id", "country_id", "storm_id", "step", "same_day"), "record_steps")
     cells = record_steps.join(windows, ["storm_id", "step"])
 
     # Only cells of matched steps are held against only the outlines that a matched record names.
@@ -65,11 +77,11 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
     else:
         masked = masked.withColumn("share", F.lit(0.0))
     mask = F.coalesce("__in", "share", F.lit(0.0))
-    weighted = (al.cell_weights(masked, mask, F.col("hazard"), F.col("asset"), F.col("same_day"))
-                .select("rec_id", "storm_id", "step", "wi", "wj", "p").filter("p > 0"))
+    weighted = stage(al.cell_weights(masked, mask, F.col("hazard"), F.col("asset"), F.col("same_day"))
+                     .select("rec_id", "storm_id", "step", "wi", "wj", "p").filter("p > 0"), "weights")
 
     losses = audit.withColumn("loss_usd", F.when(F.col("status_prealloc") != "missing_loss", F.col("loss_usd")))
     paid = al.allocate(losses.select("rec_id", "loss_usd"), weighted, "rec_id", "loss_usd")
     summary = al.allocation_summary(losses.select("rec_id", "loss_usd", "grade", "source", "selected_storms", "loss_source", "status_prealloc"),
                                     weighted, "rec_id", "loss_usd", matched=F.col("status_prealloc") == "matched")
-    return Attribution(al.accumulate_cells(paid, ["storm_id", "step", "wi", "wj"]), audit, summary, (matches, record_units, audit))
+    return Attribution(al.accumulate_cells(paid, ["storm_id", "step", "wi", "wj"]), audit, summary, tuple(kept))

@@ -56,6 +56,20 @@ def read_cells(spark: SparkSession, path: str, layer: str | None = None, years:
     return df.withColumn("value", clean(F.col("value")))
 
 
+def country_lookup(df: DataFrame, required: Sequence[str] = ("iso3_final", "country_id")) -> DataFrame:
+    """iso3_final in capitals and country_id; a table without these columns is refused. Of repeated codes the largest id counts."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"unexpected country lookup columns: {df.columns}, missing {missing}")
+    iso = F.upper(F.trim("iso3_final"))
+    return df.groupBy(iso.alias("iso3_final")).agg(F.max(F.col("country_id").cast("long")).alias("country_id"))
+
+
+def read_country_lookup(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.option("header", True)
+    return country_lookup(reader.csv(path) if path.endswith(".csv") else spark.read.parquet(path))
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit CSV whose first header may start with a byte-order mark."""
     df = spark.read.option("header", True).csv(path)

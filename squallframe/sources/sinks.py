@@ -15,6 +15,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = T
     writer.option("header", header).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
+def save_table(df: DataFrame, table: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """The rows as a table of the warehouse in a file format (csv, json, parquet), and the table read back."""
+    df.write.mode("overwrite").format(fmt).options(**options).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     """Run facts as JSON lines."""
     df.write.mode("overwrite").json(path)
