@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, whole_text
+from .shared import numbered, stored, whole_text
 
 #: The base patterns, written so that no start inside a run of their characters is tried twice.
 #: They find what ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+``,
@@ -172,7 +172,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thre
     labelled = F.concat(*[F.transform(F.col(k), label(k)) for k in KINDS])
     spans = (found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), labelled.alias("__spans"))
              .filter(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"]))
-    joined = docs.join(spans, F.col(doc_id).eqNullSafe(F.col("__id"))
-                       & (F.xxhash64(whole_text(text)) == F.col("__digest")), "left")
-    return (joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("__spans"))))
-            .select(*docs.columns))
+    own, own_id, own_text = numbered(docs), f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"
+    joined = own.join(spans, F.col(own_id).eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text(own_text)) == F.col("__digest")), "left")
+    clean = F.when(F.col("__spans").isNull(), F.col(own_text)).otherwise(redact(F.col(own_text), F.col("__spans")))
+    return joined.withColumn(own_text, clean).select(*own.columns).toDF(*docs.columns)

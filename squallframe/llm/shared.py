@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,14 +15,21 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("no shared folder: set spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ... so that no name an operator uses can clash with one of theirs; ``toDF`` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the frame as a table in the shared folder and read it again.
 

@@ -34,11 +34,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cover import sampled_runs
-from .shared import giving_back, hash_slots, stored, whole_text
+from .shared import giving_back, hash_slots, numbered, stored, whole_text
 
 #: Bytes of a sampled gram; starts in a cell; samples in a block of names; bytes of text handled at a time.
 GRAM, CELL, BLOCK, PART = 36, 8, 1_000_000, 12_000_000
@@ -90,9 +90,11 @@ class Names:
         return (own, core, name) if place.all() else (own.take(place), core[place], name[place])
 
 
-def group_of(doc: int, groups: int) -> int:
-    """The group Spark's ``pmod(xxhash64(id), groups)`` gives."""
-    raw = xxhash.xxh64_intdigest(int(doc).to_bytes(8, "little", signed=True), seed=42)
+def group_of(doc: int, tag: int, groups: int) -> int:
+    """The group Spark's ``pmod(xxhash64(doc, tag), groups)`` gives: by id and text, so that rows that share an id, or have none, are spread."""
+    raw = 42
+    for value in (doc, tag):
+        raw = xxhash.xxh64_intdigest(int(value).to_bytes(8, "little", signed=True), seed=raw)
     return (raw - 2**64 if raw >= 2**63 else raw) % groups
 
 
@@ -138,8 +140,10 @@ def sort_names(packed: DataFrame, groups: int) -> DataFrame:
         rows = []
         for is_open, found in ((False, [own.take(~new), done]), (True, [own.take(new & (several | (own.flags == HOT)))])):
             found = Names(*[np.concatenate([getattr(x, f) for x in found]) for f in FIELDS])
-            ids, at = np.unique(found.docs, return_inverse=True)
-            group = np.array([group_of(d, groups) for d in ids.tolist()], dtype=np.int32)[at] if len(ids) else np.array([], dtype=np.int32)
+            found = found.take(np.lexsort((found.tags, found.docs)))
+            new_text = np.r_[True, (found.docs[1:] != found.docs[:-1]) | (found.tags[1:] != found.tags[:-1])] if len(found) else np.array([], dtype=bool)
+            groups_of = [group_of(d, t, groups) for d, t in zip(found.docs[new_text].tolist(), found.tags[new_text].tolist())]
+            group = np.array(groups_of, dtype=np.int32)[np.cumsum(new_text) - 1] if len(found) else np.array([], dtype=np.int32)
             found, group = found.take(order := np.argsort(group, kind="stable")), group[order]
             cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
             for a, b in zip(cuts, np.r_[cuts[1:], len(group)] if len(group) else []):
@@ -163,8 +167,16 @@ def found_by_document(part: pd.DataFrame | pa.Table) -> dict[tuple[int, int], np
 
 
 def tag_of(raw: bytes) -> int:
-    """Tells texts apart that share an id, and orders them."""
-    return xxhash.xxh32_intdigest(raw)
+    """Tells texts apart that share an id, and orders them: the lower half of Spark's ``xxhash64(text)``."""
+    return xxhash.xxh64_intdigest(raw, seed=42) & 0xFFFFFFFF
+
+
+def group_column(doc: Column, tag: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(doc, tag), F.lit(groups)).cast("int")
+
+
+def tag_column(text: str) -> Column:
+    return F.xxhash64(whole_text(text)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def parts(batch: pd.DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -270,7 +282,7 @@ def single_starts(runs: DataFrame, found: DataFrame, length: int, blocks: int, g
                                  np.arange(first, first + span + 1), 0, 0, PLAIN))
         return pack(Names.of(rows), blocks)
 
-    grouped = runs.withColumn("grp", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int"))
+    grouped = runs.withColumn("grp", group_column(F.col("doc"), F.col("tag"), groups))
     return grouped.groupBy("grp").cogroup(found.filter("open").groupBy("grp")).applyInPandas(giving_back(apply), PACKED)
 
 
@@ -291,14 +303,16 @@ def without_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id",
     earlier in its own. Null ids stand first; rows that share an id but not the text stand in order of a hash of the
     text; rows repeated whole are one document, each reported. Null text is empty text and stays null unless
     bytes go, which cannot be. A character that loses some of its bytes leaves the text; the digest is of the
-    bytes. An empty table gives no rows. Columns named like an added one are replaced.
+    bytes. An empty table gives no rows. Columns named like an added one are replaced, others may have any name.
     """
-    spark = docs.sparkSession
+    spark, added = docs.sparkSession, {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    kept = [c for c in docs.columns if c not in added]
+    docs, doc_id, text = numbered(docs.select(*kept)), f"c{kept.index(doc_id)}", f"c{kept.index(text)}"
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
     plain = docs.select(key.alias("doc"), whole_text(text).alias("text"))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(whole_text(text))).alias("bytes")).first()
     blocks = max(hash_slots(spark), int((size["bytes"] or 0) / 33 / BLOCK) + 1)
-    group = F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int")
+    group = group_column(F.col("doc"), tag_column("text"), blocks)
     common = common_grams(plain, length, size["n"])
     first = stored(sort_names(sampled_triples(plain, length, common, blocks), blocks))
     runs = stored(open_runs(plain.withColumn("grp", group), first, length))
@@ -306,10 +320,8 @@ def without_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id",
     third = sort_names(single_starts(runs, second, length, blocks, blocks), blocks)
     repeats = first.unionByName(second).unionByName(third).filter("not open")
 
-    added = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
-    kept = [c for c in docs.columns if c not in added]
-    at = kept.index(text)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    at = docs.columns.index(text)
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
 
     def apply(own: pa.Table, part: pa.Table) -> pa.Table:
         wanted, texts, told = found_by_document(part), [], []
@@ -323,10 +335,11 @@ def without_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id",
                 value = rest.decode("utf-8", "ignore")
             texts.append(value)
             told.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-        columns = [own.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(kept))]
+        columns = [own.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(docs_columns))]
         columns += [pa.array([t[i] for t in told], kind) for i, kind in enumerate(added.values())]
-        return pa.Table.from_arrays(columns, names=[*kept, *added])
+        return pa.Table.from_arrays(columns, names=[*docs_columns, *added])
 
-    whole = docs.select(*kept, key.alias("__doc"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("grp"))
+    docs_columns = docs.columns
+    whole = docs.select(*docs_columns, key.alias("__doc"), group_column(key, tag_column(text), blocks).alias("grp"))
     return whole.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(
-        giving_back(apply), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        giving_back(apply), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").toDF(*kept, *added)

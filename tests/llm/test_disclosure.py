@@ -78,6 +78,14 @@ def test_empty_table(spark):
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).select(F.count("*")).first()[0] == 0
 
 
+def test_any_further_column_passes(spark):
+    names = ["__id", "__spans", "__digest", "digest", "term", "c0", "c1", "email"]
+    df = spark.createDataFrame([(1, "to a.b@c.de", *range(8)), (2, None, *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = sanitise(df)
+    assert out.columns == df.columns
+    assert {r.doc_id: (r.text, *[r[n] for n in names]) for r in out.collect()} == {1: ("to [EMAIL]", *range(8)), 2: (None, *range(8))}
+
+
 def test_terms_far_from_the_value(spark):
     far = "and so on " * 30
     rows = [(i, f"Zarquon {i} {far} a.b@c.de {far} {i} zarquon's") for i in range(4)] + [(9, f"only ZARQUON here {far}")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from squallframe.llm import suffix_dedup
 from squallframe.llm.cover import gram_hashes, least_in_windows, sampled_runs
-from squallframe.llm.suffix_dedup import group_of, without_repeats
+from squallframe.llm.suffix_dedup import group_column, group_of, tag_column, tag_of, without_repeats
 from squallframe.llm.suffix_dedup_query import query
 
 FOLDER = "/root/testdata/sf0.001"
@@ -77,8 +77,23 @@ def test_cover_is_consistent():
 
 
 def test_groups_are_spark_s(spark):
-    for r in spark.createDataFrame([(0,), (-7,), (2**62,), (-2**63,)], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(13)).alias("g")).collect():
-        assert group_of(r.i, 13) == r.g
+    rows = spark.createDataFrame([(0, "a"), (-7, ""), (2**62, "é🙂"), (-2**63, None)], "i long, t string")
+    for r in rows.select("i", "t", tag_column("t").alias("tag"), group_column(F.col("i"), tag_column("t"), 13).alias("g")).collect():
+        assert tag_of((r.t or "").encode()) == r.tag and group_of(r.i, r.tag, 13) == r.g
+
+
+def test_rows_without_an_id_are_spread():
+    groups = [group_of(suffix_dedup.NULL_ID, tag_of(str(i).encode()), 50) for i in range(100_000)]
+    assert max(np.bincount(groups)) < 1.2 * 2000
+
+
+def test_any_further_column_passes(spark):
+    long = "".join(chr(97 + i * i % 26) + str(i) for i in range(400))
+    names = ["grp", "__doc", "doc", "c0", "c1", "block", "open", "docs"]
+    df = spark.createDataFrame([(1, long, *range(8)), (2, "x" + long, *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = without_repeats(df)
+    assert out.columns == [*df.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r.doc_id: (r.text, *[r[n] for n in names]) for r in out.collect()} == {1: (long, *range(8)), 2: ("x", *range(8))}
 
 
 def test_odd_rows(spark):
