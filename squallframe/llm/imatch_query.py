@@ -14,7 +14,7 @@ NULL_ID = -2**63
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """One row for each distinct (doc_id, text); rows that repeat one exactly are one document.
+    """One row for each document; those that repeat an id and text exactly are fingerprinted once and each reported.
 
     Documents that share an id stand in order of a hash of their texts, those without an id stand first. Texts are
     shuffled once, by ranges of ids: a document, its successor and so its edited text lie together.
@@ -32,7 +32,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     slots = fingerprints(rows, on, words, ["text", "edited"])
     told = stored(facts.join(slots, on).drop("range"))
     after = told.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("text").alias("next_slots"))
-    return (told.join(after, ["next_id", "next_key"])
+    again = given.groupBy("id", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    each = F.explode(F.array_repeat(F.lit(0), F.coalesce("rows", F.lit(1)).cast("int")))
+    met = told.join(after, ["next_id", "next_key"]).join(again, ["id", "key"], "left").withColumn("copy", each)
+    return (met
             .select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
                     fingerprint_text(F.col("text")).alias("fingerprint"), fingerprint_text(F.col("edited")).alias("edited_fingerprint"),
                     likeness(F.col("text"), F.col("edited"), F.col("key") == F.col("edited_key")).alias("near_edited"),

@@ -70,7 +70,9 @@ def test_next_over_many_ranges(spark):
 def test_odd_rows(spark):
     rows = [(None, "z y", "k"), (1, None, "k"), (2, "word " * 20000, "k"), (2, "word " * 20000, "k"), (3, "ü🙂é", "k"), (4, "", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
-    got = {r.doc_id: r for r in fingerprinted(docs).collect()}
+    rows = fingerprinted(docs).collect()
+    got = {r.doc_id: r for r in rows}
+    assert collections.Counter(r.doc_id for r in rows) == {None: 1, 1: 1, 2: 2, 3: 1, 4: 1}
     want = dict(edit([(None, "z y"), (1, ""), (2, "word " * 20000), (3, "ü🙂é"), (4, "")]))
     assert {k: r.edited_sha256 for k, r in got.items()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
     assert got[4].near_edited == got[1].near_edited == 1.0
