@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import giving_back, whole_text
 
 #: Words whose ids a Python worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 1_500_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 #: Characters of the texts whose words are looked up and learnt at a time.
 PART = 2_000_000
 
