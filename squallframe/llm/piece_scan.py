@@ -21,19 +21,22 @@ answered; null ids are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_slots, stored, whole_text
+from .shared import giving_back, hash_slots, stored, whole_text
+from .token_pieces import parts
 
 MARK = "▁"
 #: Characters in a chunk, words a worker remembers and the longest it does.
-CHUNK, REMEMBERED, LONGEST = 65_536, 700_000, 64
+CHUNK, REMEMBERED, LONGEST = 65_536, 400_000, 64
 #: Characters that end words; they are encoded apart where no piece holds them together with the letter before.
 TAIL = ".,;:!?|"
 NEVER = -2**60
@@ -48,6 +51,7 @@ class UnigramModel:
     unknown_id: int
     texts: list[bytes]
     unknown_score: int = 0
+    library: object = None
     known: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -63,6 +67,7 @@ class UnigramModel:
     def from_file(cls, path: str) -> UnigramModel:
         """The pieces of a model file in its order, scored by Zipf's law: -round(64 * ln(2 + place))."""
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         given = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, byte_ids, texts = {}, [0] * 256, []
@@ -76,7 +81,13 @@ class UnigramModel:
             else:
                 pieces[piece] = (-round(64 * float(np.log(2 + len(pieces)))), i)
                 texts.append(piece.replace(MARK, " ").encode())
-        return cls(pieces, byte_ids if any(byte_ids) else [], given.unk_id(), texts)
+        proto = sentencepiece_model_pb2.ModelProto.FromString(given.serialized_model_proto())
+        proto.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
+        for piece in proto.pieces:
+            if piece.piece in pieces:
+                piece.score = pieces[piece.piece][0]
+        library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        return cls(pieces, byte_ids if any(byte_ids) else [], given.unk_id(), texts, library=library)
 
     def forward(self, text: str, size: int, entry: list[int]) -> tuple[list[int], list[int]]:
         """Best scores of the positions of ``text`` for pieces that start before ``size``, and where their last piece starts.
@@ -124,33 +135,43 @@ class UnigramModel:
     def word(self, word: str) -> bytes:
         return np.asarray(self.trace(word, self.forward(word, len(word), [0])[1], len(word))[1], dtype="<u4").tobytes()
 
-    def encode(self, marked: str) -> bytes:
-        """Ids (little-endian, 32 bits) of text between cuts that no piece crosses."""
-        if not self.words_part:
-            return self.word(marked)
-        words, known = split_words(marked), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w in new:
+    def learn(self, words: Iterable[str]) -> None:
+        """Ids of new words. A mark and what follows it is what the library's own unigram encoder makes of the rest: with these scores, sums of
+        words of at most ``LONGEST`` characters are exact in its floats."""
+        known, parts, ends = self.known, {}, []
+        for w in words:
             core = w.rstrip(TAIL)
             if core and core != w and core[-1] + w[len(core)] not in self.adjacent:
-                for part in (core, w[len(core):]):
-                    if part not in known:
-                        known[part] = self.word(part)
-                known[w] = known[core] + known[w[len(core):]]
-                if len(core) > LONGEST:
-                    del known[core]
+                tail = w[len(core):]
+                parts[core] = parts[tail] = None
+                ends.append((w, core, tail))
             else:
-                known[w] = self.word(w)
-        out = b"".join(map(known.__getitem__, words))
+                parts[w] = None
+        fresh = [p for p in parts if p not in known]
+        plain = [p for p in fresh if p[0] == MARK and 1 < len(p) <= LONGEST and MARK not in p[1:]] if self.library else []
+        for p, ids in zip(plain, self.library.encode([p[1:] for p in plain], num_threads=1) if plain else []):
+            known[p] = array("I", ids).tobytes()
+        for p in fresh:
+            if p not in known:
+                known[p] = self.word(p)
+        for w, core, tail in ends:
+            known[w] = known[core] + known[tail]
+
+    def encode(self, marked: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of texts between cuts that no piece crosses; what is new in any of them is learnt at once."""
+        if not self.words_part:
+            return [self.word(m) for m in marked]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        split = [split_words(m) for m in marked]
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        self.learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
+                known.pop(w.rstrip(TAIL), None)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -280,22 +301,23 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [model_of(path).encode(marked_text(t)) for t in b["text"]]})
+            ids = [i for held in parts(b["text"]) for i in model_of(path).encode([marked_text(t) for t in held])]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for own, tag, copy, t in zip(b["doc_id"], b["tag"], b["copy"], b["text"]):
-                parts, run = cut_chunks(marked_text(t), model_of(path), size), 0
-                for at in range(0, len(parts), 64):
+                pieces, run = cut_chunks(marked_text(t), model_of(path), size), 0
+                for at in range(0, len(pieces), 64):
                     out = []
-                    for i, (piece, ahead, soft_in, soft_out) in enumerate(parts[at:at + 64], at):
+                    for i, (piece, ahead, soft_in, soft_out) in enumerate(pieces[at:at + 64], at):
                         run += not soft_in
                         out.append((own, tag, copy, i, run, piece, ahead, soft_in, soft_out))
                     yield pd.DataFrame(out, columns=[*KEY, "idx", "run", "chunk", "ahead", "soft_in", "soft_out"]).astype({"doc_id": "Int64"})
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[*KEY, "idx"]].assign(ids=[model_of(path).encode(t) for t in b["chunk"]])
+            yield b[[*KEY, "idx"]].assign(ids=[i for held in parts(b["chunk"]) for i in model_of(path).encode(held)])
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -305,11 +327,11 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     distinct = long.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copy")).withColumn("tag", F.xxhash64("text"))
     chunks = stored(distinct.select("doc_id", "tag", "copy", "text").repartition(hash_slots(docs.sparkSession)).mapInPandas(
         cut, "doc_id long, tag long, copy long, idx int, run int, chunk string, ahead string, soft_in boolean, soft_out boolean"))
-    free = chunks.filter("not soft_in and not soft_out").mapInPandas(alone, "doc_id long, tag long, copy long, idx int, ids binary")
+    free = chunks.filter("not soft_in and not soft_out").mapInPandas(giving_back(alone), "doc_id long, tag long, copy long, idx int, ids binary")
     soft = soft_paths(chunks.filter("soft_in or soft_out"), path)
-    parts = (free.unionByName(soft).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "ids"))).alias("parts"))
+    gathered = (free.unionByName(soft).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "ids"))).alias("parts"))
              .select("doc_id", F.col("copy").alias("copies"), F.transform("parts", lambda x: x["ids"]).alias("parts")))
-    return short.mapInPandas(whole, "doc_id long, ids binary").unionByName(parts.mapInPandas(joined, "doc_id long, ids binary"))
+    return short.mapInPandas(giving_back(whole), "doc_id long, ids binary").unionByName(gathered.mapInPandas(joined, "doc_id long, ids binary"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -318,5 +340,5 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield b.assign(doc_id=b["doc_id"].astype("Int64"), text=[model_of(path).decode(np.frombuffer(i, "<u4")) for i in b["ids"]])
 
-    return encoded.select("doc_id", "ids").mapInPandas(apply, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(giving_back(apply), "doc_id long, ids binary, text string")
 

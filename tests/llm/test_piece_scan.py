@@ -33,7 +33,7 @@ def library(model):
 
 
 def ids(model, text):
-    return np.frombuffer(model.encode(marked_text(text)), "<u4").tolist()
+    return np.frombuffer(model.encode([marked_text(text)])[0], "<u4").tolist()
 
 
 def test_library_agrees(spark, model, library):
@@ -78,7 +78,7 @@ def test_query_on_documents(spark, model):
     rows = query(spark, FOLDER).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        raw = model.encode(marked_text(texts[r.doc_id]))
+        raw = model.encode([marked_text(texts[r.doc_id])])[0]
         assert (r.n_pieces, r.ids_crc32) == (len(raw) // 4, zlib.crc32(raw))
         assert (r.decoded_chars, r.decoded_sha256) == (len(texts[r.doc_id]), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
