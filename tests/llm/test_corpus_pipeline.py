@@ -71,6 +71,17 @@ def test_odd_rows_pass(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_any_further_column_passes(spark):
+    names = ["grp", "__doc", "__id", "__spans", "__key", "__row", "__wordless", "quality", "__quality", "c0", "component_id"]
+    ddl = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    rows = [(i, f"document {i} " + " ".join(f"w{i}x{j}" for j in range(30)), 0, *range(len(names))) for i in range(4)]
+    docs = spark.createDataFrame(rows, ddl)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[3:] == tuple(range(len(names))) for r in out.collect()), name
+
+
 def test_near_copies_under_repeated_ids(spark):
     words = [f"w{i}" for i in range(60)]
     one, near, other = " ".join(words), " ".join([*words, "end"]), " ".join(reversed(words))
