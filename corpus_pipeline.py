@@ -15,10 +15,15 @@ from squallframe.llm.mil_quality import learn, score
 from squallframe.llm.mil_quality_query import THRESHOLD
 from squallframe.llm.ngram_join import similarity_components
 from squallframe.llm.packing_query import packed_documents
-from squallframe.llm.shared import crc_fold, stored, whole_text
+from squallframe.llm.shared import crc_fold, numbered, stored, whole_text
 from squallframe.llm.suffix_dedup import without_repeats
 
 
+def named(docs: DataFrame, column: str) -> str:
+    """A column's name in ``numbered``."""
+    return f"c{docs.columns.index(column)}"
+
+
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with ``n_chars`` of the present text."""
     return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
@@ -27,22 +32,24 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the attention model scores at the threshold or above."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = score(docs, learn(docs, labels, crc_fold("doc_id", 5) != 0), out="__quality")
-    return scored.filter(F.col("__quality") >= THRESHOLD).select(*docs.columns)
+    model, own = learn(docs, labels, crc_fold("doc_id", 5) != 0), numbered(docs)
+    scored = score(own, model, doc_id=named(docs, "doc_id"), text=named(docs, "text"), out="quality")
+    return scored.filter(F.col("quality") >= THRESHOLD).select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of linked documents, of its texts the one of the smallest digest; documents without
     words are linked with nothing and all stay."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", whole_text("text")))
-    groups = similarity_components(keyed.select(F.col("__key").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "__key")
-    ids = keyed.select("__key", "doc_id").distinct()
+    doc_id, text = named(docs, "doc_id"), named(docs, "text")
+    keyed = numbered(docs).withColumn("__key", F.xxhash64(doc_id, whole_text(text)))
+    groups = similarity_components(keyed.select(F.col("__key").alias("doc_id"), F.col(text).alias("text"))).distinct().withColumnRenamed("doc_id", "__key")
+    ids = keyed.select("__key", F.col(doc_id).alias("doc_id")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
     leads = (groups.filter("n_shingles > 0").join(ids, "__key").groupBy("component_id").agg(first.alias("lead"))
              .select(F.col("lead.__key").alias("__key"), F.lit(False).alias("__wordless")))
     stay = leads.unionByName(groups.filter("n_shingles = 0").select("__key", F.lit(True).alias("__wordless")))
     return (keyed.join(stay, "__key").withColumn("__row", F.when(F.col("__wordless"), F.monotonically_increasing_id()))
-            .dropDuplicates(["doc_id", "text", "__row"]).select(*docs.columns))
+            .dropDuplicates([doc_id, text, "__row"]).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
