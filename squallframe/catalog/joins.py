@@ -321,6 +321,22 @@ def _(t):
     return got.select("obs_date", "n_left", "n_right", "n_hit", rounded("iou").alias("iou"), rounded("recall").alias("recall"))
 
 
+@query("j21_point_set_hits", f"""WITH {fr.POINTS},
+sizes AS (SELECT obs_date, count(*) FILTER (basin = 'purchase') AS n_left, count(*) FILTER (basin = 'error') AS n_right FROM points GROUP BY 1),
+hits AS (SELECT obs_date, count(*) AS n_hit FROM points a WHERE basin = 'purchase' AND EXISTS (SELECT 1 FROM points b WHERE b.obs_date = a.obs_date AND b.basin = 'error'
+   AND asin(sqrt(sin(radians(b.center_lat - a.center_lat) / 2) ** 2 + cos(radians(a.center_lat)) * cos(radians(b.center_lat)) * sin(radians(b.center_lon - a.center_lon) / 2) ** 2)) * 2 * 6371.0088 <= 120) GROUP BY 1)
+SELECT obs_date, n_left, n_right, coalesce(n_hit, 0) AS n_hit, {R('coalesce(n_hit, 0) / (n_left + n_right - coalesce(n_hit, 0))')} AS iou, {R('coalesce(n_hit, 0) / n_left')} AS recall
+FROM sizes LEFT JOIN hits USING (obs_date) WHERE n_left > 0 AND n_right > 0""")
+def _(t):
+    """All points of a day, however many."""
+    p = fr.points(t)
+
+    def side(kind):
+        return p.filter(F.col("basin") == kind).select("obs_date", F.col("event_id").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+    got = external.point_set_hits(side("purchase"), side("error"), "obs_date", within=120.0)
+    return got.select("obs_date", "n_left", "n_right", "n_hit", rounded("iou").alias("iou"), rounded("recall").alias("recall"))
+
+
 @query("j21_pairs_within_distance", f"""WITH {fr.POINTS}
 SELECT a.event_id, count(*) AS n_near FROM (SELECT * FROM points WHERE basin = 'click') a JOIN (SELECT * FROM points WHERE basin = 'view') b
   ON a.obs_date = b.obs_date AND 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(b.center_lat - a.center_lat) / 2), 2)

@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.calendar import days_in_year
 from .keyed import best_per_key, first_per_key, join_keys, per_year_and_all
 from .quantiles import exact_quantiles_of
-from .ranges import distance_join, overlap_join
+from .ranges import has_neighbour, overlap_join
 from .stats import agreement, mask_overlap, safe_corr, top_share_masks
 
 # Flood causes counted as storm-made, strictly and broadly, and the thresholds.
@@ -84,8 +84,7 @@ def flood_overlap(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 def point_set_hits(left: DataFrame, right: DataFrame, case: str, lat: str = "lat", lon: str = "lon",
                    point: str = "point_id", within: float = HIT_KM) -> DataFrame:
     """Left points with a right point nearby, as overlap and recall per case."""
-    r = right.select(case, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"))
-    near = distance_join(left.select(case, point, lat, lon), r, (lat, lon), ("__lat", "__lon"), within, [case])
+    near = has_neighbour(left.select(case, point, lat, lon), right.select(case, lat, lon), (lat, lon), (lat, lon), within, [case])
     hits = near.select(case, point).distinct().groupBy(case).agg(F.count(F.lit(1)).alias("n_hit"))
     sizes = left.groupBy(case).agg(F.count(F.lit(1)).alias("n_left")).join(
         right.groupBy(case).agg(F.count(F.lit(1)).alias("n_right")), case)
