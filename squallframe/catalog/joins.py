@@ -10,7 +10,7 @@ from ..operators.matching import prepare_records
 from ..operators.panel import dense_panel, fill_panel
 from ..operators.raster import stack_layers
 from ..operators.ranges import distance_join, overlap_totals
-from ..sources.sinks import write_by_key
+from ..sources.sinks import save_table, write_by_key
 from . import frames as fr
 from .base import R, big, money, n_rows, query, rounded, scratch_table
 
@@ -229,7 +229,7 @@ FROM ({RESOLVED})""")
 def _(t):
     lookup = t.nation.select(F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3_final"),
                              big("n_nationkey").alias("country_id"))
-    source, units = spatial.resolve_units(located_records(t), admin_units(t), lookup)
+    source, units = spatial.resolve_units(located_records(t), admin_units(t), lookup, keep=lambda df, name: save_table(df, scratch_table(t, f"j14_{name}")))
     return source.join(units, "rec_id", "left").select("rec_id", "source", "country_id", "unit_id")
 
 

@@ -6,7 +6,7 @@ everything else follow from it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -138,54 +138,49 @@ GADM_SCHEMA = "array<struct<gid_1:string,gid_2:string>>"
 NAME_SCHEMA = "array<struct<adm1_name:string,adm2_name:string>>"
 
 
-def _ids_of_records(records: DataFrame, record: str, gadm: str) -> DataFrame:
-    """Unit ids a record names, from its JSON list, and those found in its free text."""
-    listed = F.flatten(F.transform(F.coalesce(tx.json_list(F.col(gadm), GADM_SCHEMA), F.array()),
-                                   lambda s: F.array(s["gid_2"], s["gid_1"])))
-    return (records.select(record, F.explode(F.array(
-                F.struct(F.lit(0).alias("rank"), listed.alias("gids")),
-                F.struct(F.lit(1).alias("rank"),
-                         F.coalesce(tx.gids_in_text(F.col(gadm)), F.array().cast("array<string>")).alias("gids")))).alias("__s"))
-            .select(record, F.col("__s.rank").alias("rank"), F.explode("__s.gids").alias("gid"))
-            .select(record, "rank", F.upper(F.trim("gid")).alias("gid")).filter(F.col("gid") != "").distinct())
-
-
 def resolve_units(records: DataFrame, units: DataFrame, lookup: DataFrame, record: str = "rec_id",
                   iso: str = "iso", gadm: str = "gadm_units", admin: str = "admin_units",
-                  fold: bool = True) -> tuple[DataFrame, DataFrame]:
+                  fold: bool = True, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Where a record's loss may lie: unit ids, then unit names, then a special territory, then
     the whole country, else nowhere. Returns (record, source, spatial_detail, note, country_id) and (record, unit_id).
 
-    ``units``: unit_id, level, gid0, gid, name. ``lookup``: iso3_final, country_id.
+    ``units``: unit_id, level, gid0, gid, name. ``lookup``: iso3_final, country_id. What a record may be found by (ids of its list
+    and of its free text, names, its territory) leaves it in one pass and meets the units in one join. Both results come from the
+    units found, which ``keep(frame, name)`` may write as a stage table.
     """
-    fine = units.filter("level in (1, 2)").select("level", "unit_id", "name", F.upper(F.trim("gid")).alias("gid"), F.upper(F.trim("gid0")).alias("gid0"))
-    by_gid = _ids_of_records(records, record, gadm).join(fine.select("gid", "unit_id"), "gid").select(
-        record, (F.lit(1) + F.col("rank") / 2).alias("__p"), "unit_id")
-
-    names = (records.select(record, F.upper(F.coalesce(iso, F.lit(""))).alias("gid0"),
-                            F.explode(tx.json_list(F.col(admin), NAME_SCHEMA)).alias("__s"))
-             .select(record, "gid0", F.explode(F.array(
-                 F.struct(F.lit(2).alias("level"), F.col("__s.adm2_name").alias("name")),
-                 F.struct(F.lit(1).alias("level"), F.col("__s.adm1_name").alias("name")))).alias("__n"))
-             .select(record, "gid0", "__n.level", tx.normalize(F.col("__n.name"), fold).alias("name"))
-             .filter((F.col("name") != "") & ~F.col("name").contains(tx.NOT_AVAILABLE)))
-    by_name = names.join(fine.select("gid0", "level", tx.normalize(F.col("name"), fold).alias("name"), "unit_id"),
-                         ["gid0", "level", "name"]).select(record, F.lit(2.0).alias("__p"), "unit_id")
+    listed = F.flatten(F.transform(F.coalesce(tx.json_list(F.col(gadm), GADM_SCHEMA), F.array()), lambda s: F.array(s["gid_2"], s["gid_1"])))
+    spelled = F.coalesce(tx.gids_in_text(F.col(gadm)), F.array().cast("array<string>"))
+    country = F.upper(F.coalesce(iso, F.lit("")))
+
+    def clue(p: float, place: Column, level: Column | int, name: Column) -> Column:
+        return F.struct(F.lit(p).alias("p"), place.alias("place"), (F.lit(level) if isinstance(level, int) else level).cast("int").alias("level"), name.alias("name"))
+    of_id = lambda p: lambda gid: clue(p, F.upper(F.trim(gid)), 0, F.lit(""))
+    of_names = F.flatten(F.transform(F.coalesce(tx.json_list(F.col(admin), NAME_SCHEMA), F.array().cast(NAME_SCHEMA)), lambda s: F.array(
+        clue(2.0, country, 2, s["adm2_name"]), clue(2.0, country, 1, s["adm1_name"]))))
+    of_territory = F.array(clue(3.0, F.upper(iso), -1, F.lit("")))
+    clues = (records.select(record, F.explode(F.concat(F.transform(listed, of_id(1.0)), F.transform(spelled, of_id(1.5)), of_names, of_territory)).alias("__c"))
+             .select(record, "__c.*").withColumn("name", tx.normalize(F.col("name"), fold)))
+    named = (F.col("level") < 1) | ((F.col("name") != "") & ~F.col("name").contains(tx.NOT_AVAILABLE))
+    clues = clues.filter((F.col("place") != "") | (F.col("level") > 0)).filter(named).distinct()
 
     # Territories that have units of their own under another country.
+    fine = units.filter("level in (1, 2)").select("level", "unit_id", "name", F.upper(F.trim("gid")).alias("gid"), F.upper(F.trim("gid0")).alias("gid0"))
     level, gid = F.col("level"), F.col("gid")
     territory = (F.when(((level == 1) & (gid == "CHN.HKG")) | ((level == 2) & gid.startswith("HKG.")), "HKG")
                  .when(((level == 1) & (gid == "CHN.MAC")) | ((level == 2) & gid.startswith("MAC.")), "MAC"))
-    coarsest = F.min("level").over(Window.partitionBy("sp"))  # the few units of two territories
-    territories = (fine.select("level", "unit_id", territory.alias("sp")).filter("sp is not null")
-                   .withColumn("__l", coarsest).filter("level = __l").select("sp", "unit_id"))
-    by_territory = records.select(record, F.upper(F.col(iso)).alias("sp")).join(territories, "sp").select(
-        record, F.lit(3.0).alias("__p"), "unit_id")
-
-    # The units a record can name are few, so the best kind of hit is a window over its own.
-    best = F.min("__p").over(Window.partitionBy(record))
-    hits = (by_gid.unionByName(by_name).unionByName(by_territory).withColumn("__b", best)
-            .filter("__p = __b").select(record, F.floor("__p").alias("__o"), "unit_id").distinct())
+    key = lambda place, at, name: F.struct(place.alias("place"), at.cast("int").alias("level"), name.alias("name"))
+    known = (fine.withColumn("name", tx.normalize(F.col("name"), fold))
+             .select("unit_id", F.col("level").alias("own"), F.explode(F.array(
+                 key(F.col("gid"), F.lit(0), F.lit("")), key(F.col("gid0"), level, F.col("name")), key(territory, F.lit(-1), F.lit("")))).alias("__k"))
+             .select("unit_id", "own", "__k.*").filter(F.col("place").isNotNull()))
+    # The few units of two territories count at their coarsest level; the units a record can name are few too.
+    coarsest = F.min("own").over(Window.partitionBy("place", "level"))
+    known = known.withColumn("__l", F.when(F.col("level") == -1, coarsest)).filter("__l is null or own = __l")
+    best = F.min("p").over(Window.partitionBy(record))
+    hits = (clues.join(known.select("unit_id", "place", "level", "name"), ["place", "level", "name"]).withColumn("__b", best)
+            .filter("p = __b").select(record, F.floor("p").alias("__o"), "unit_id").distinct())
+    if keep is not None:
+        hits = keep(hits, "unit_hits")
     chosen = hits.groupBy(record).agg(F.max("__o").alias("__o"))
     picked = hits.select(record, "unit_id")
     countries = lookup.select(F.upper(F.trim("iso3_final")).alias("__iso"), "country_id")

@@ -53,7 +53,7 @@ def attribute_losses(records: DataFrame, track_points: DataFrame, windows: DataF
     storms = storm_lives(track_points, carry=("storm_name",))
     # Matches, units and audit have a row for each record and candidate; they feed several results and are kept.
     matches = stage(match_records(prepared, storms), "matches")
-    sources, found_units = resolve_units(prepared, units, lookup)
+    sources, found_units = resolve_units(prepared, units, lookup, keep=stage)
     record_units = stage(found_units, "record_units")
     audit = stage(match_audit(prepared, matches, sources), "audit")
 
