@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from squallframe.operators import keyed, quality
-from squallframe.operators.ranges import has_neighbour
+from squallframe.operators.ranges import distance_join, has_neighbour
 from squallframe.sources.readers import country_lookup
 from squallframe.sources.sinks import save_table
 
@@ -45,6 +45,22 @@ def test_dense_cubes_are_not_paired(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_rows_that_multiply_are_never_broadcast(spark):
+    """Spark takes exploded cubes for as small as the points they come from; a join must not send them to every executor."""
+    crowd = spark.range(2000).select((F.col("id") % 40).cast("double").alias("lat"), F.floor(F.col("id") / 40).cast("double").alias("lon"))
+    other = spark.range(50).select((F.col("id") % 10 + 0.3).alias("lat2"), F.floor(F.col("id") / 10).cast("double").alias("lon2"))
+    left, right = crowd.distinct(), other.distinct()
+    near = has_neighbour(left, right, ("lat", "lon"), ("lat2", "lon2"), 40.0)
+    pairs = distance_join(left, right, ("lat", "lon"), ("lat2", "lon2"), 40.0)
+    assert near.count() == pairs.select("lat", "lon").distinct().count() == 50
+    for got in (near, pairs):
+        depths = []
+        for line in got._jdf.queryExecution().executedPlan().toString().split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-*("))
+            depths = [d for d in depths if d < depth] + [depth] * ("BroadcastExchange" in line)
+            assert not (depths and "Generate explode" in line), line
+
+
 def test_best_per_key_is_first_per_key(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 9, 400), "a": rng.integers(0, 4, 400), "b": rng.integers(0, 3, 400), "id": range(400)}))
