@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from squallframe.operators import keyed, quality
+from squallframe.operators import external, keyed, quality, stats
 from squallframe.operators.ranges import distance_join, has_neighbour
 from squallframe.sources.readers import country_lookup
 from squallframe.sources.sinks import save_table
@@ -61,6 +61,17 @@ def test_rows_that_multiply_are_never_broadcast(spark):
             assert not (depths and "Generate explode" in line), line
 
 
+def test_equal_sums_in_another_order_are_equal(spark):
+    """0.1 + 0.2 is 0.3: cells and days that tie do so however they were added up."""
+    parts = {(0, 0): (0.1, 0.2, 0.3), (0, 1): (0.3, 0.2, 0.1), (1, 0): (0.2, 0.3, 0.1), (1, 1): (0.0, 0.0, 0.6), (2, 0): (0.0, 0.0, 0.1)}
+    rows = [("e", d, i, j, v, v) for (i, j), days in parts.items() for d, v in enumerate(days)]
+    means = spark.createDataFrame(rows, "event string, d int, wi int, wj int, ours double, theirs double").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    footprint, _ = external.event_totals(means.coalesce(1), "event", ["ours", "theirs"], "day")
+    assert {r.ours for r in footprint.collect()} == {0.6, 0.1}
+    masks = stats.top_share_masks(footprint, ["event"], "ours", "theirs", 0.2)
+    assert masks.filter("top_a").count() == masks.filter("top_b").count() == 4
+
+
 def test_best_per_key_is_first_per_key(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 9, 400), "a": rng.integers(0, 4, 400), "b": rng.integers(0, 3, 400), "id": range(400)}))
