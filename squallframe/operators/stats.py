@@ -36,9 +36,10 @@ def safe_corr(x: Column, y: Column, min_pairs: int = 3) -> Column:
 def sigma_flags(df: DataFrame, keys: Sequence[str], value: str, sigmas: float = 3.0,
                 upper_only: bool = False) -> DataFrame:
     """Distance of each value from its group's mean in standard deviations, flagged beyond
-    ``sigmas``; a group without spread never flags."""
+    ``sigmas``; a group without spread never flags. Distances are rounded to 12 decimals: the order in which a group was added up
+    shows beyond them."""
     spread = with_group_values(df, keys, __mean=F.avg(value), __std=F.stddev_pop(value))
-    z = F.when(F.col("__std") > 0, (F.col(value) - F.col("__mean")) / F.col("__std")).otherwise(F.lit(0.0))
+    z = F.when(F.col("__std") > 0, F.round((F.col(value) - F.col("__mean")) / F.col("__std"), 12)).otherwise(F.lit(0.0))
     beyond = z > sigmas if upper_only else F.abs(z) > sigmas
     return (spread.withColumn("z_score", z)
             .withColumn("flagged", F.coalesce(beyond, F.lit(False)).cast("int")).drop("__mean", "__std"))

@@ -72,6 +72,13 @@ def test_equal_sums_in_another_order_are_equal(spark):
     assert masks.filter("top_a").count() == masks.filter("top_b").count() == 4
 
 
+def test_distances_do_not_show_the_order_of_addition(spark):
+    values = [1.6, 9.9, 17.7, 9.9, 11.1]  # the first lies at exactly -1.6484375
+    rows = [(k, values[(k + s) % 5]) for k in range(40) for s in range(5)] + [(k + 40, values[(k - s) % 5]) for k in range(40) for s in range(5)]
+    got = stats.sigma_flags(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", 1.6484375)
+    assert {(r.z_score, r.flagged) for r in got.filter("v = 1.6").collect()} == {(-1.6484375, 0)}
+
+
 def test_best_per_key_is_first_per_key(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 9, 400), "a": rng.integers(0, 4, 400), "b": rng.integers(0, 3, 400), "id": range(400)}))
