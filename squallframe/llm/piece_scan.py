@@ -36,7 +36,7 @@ from .token_pieces import parts
 
 MARK = "▁"
 #: Characters in a chunk, words a worker remembers and the longest it does.
-CHUNK, REMEMBERED, LONGEST = 65_536, 400_000, 64
+CHUNK, REMEMBERED, LONGEST = 65_536, 200_000, 64
 #: Characters that end words; they are encoded apart where no piece holds them together with the letter before.
 TAIL = ".,;:!?|"
 NEVER = -2**60
@@ -292,17 +292,28 @@ def soft_paths(soft: DataFrame, path: str) -> DataFrame:
     return same(entered, left).mapInPandas(pieces, "doc_id long, tag long, copy long, idx int, ids binary")
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", chunk: int | None = None) -> DataFrame:
-    """doc_id and ``ids`` (binary, little-endian 32 bits) of every row."""
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", chunk: int | None = None,
+                     read_back: bool = False) -> DataFrame:
+    """doc_id and ``ids`` (binary, little-endian 32 bits) of every row.
+
+    ``read_back`` adds the ``text`` the ids read back to, in the same workers: a second Python stage would have its own, with a model each.
+    """
+    schema = "doc_id long, ids binary" + (", text string" if read_back else "")
     size = chunk or CHUNK
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     # one chunk has at most the bytes of its text
     short, long = rows.filter(F.octet_length("text") < size), rows.filter(F.octet_length("text") >= size)
 
+    def told(own: pd.Series, ids: list[bytes]) -> pd.DataFrame:
+        out = pd.DataFrame({"doc_id": own.astype("Int64").array, "ids": ids})
+        return out.assign(text=read(ids, path)) if read_back else out
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = [i for held in parts(b["text"]) for i in model_of(path).encode([marked_text(t) for t in held])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids})
+            at = 0
+            for held in parts(b["text"]):
+                yield told(b["doc_id"].iloc[at:at + len(held)], model_of(path).encode([marked_text(t) for t in held]))
+                at += len(held)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -321,8 +332,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].astype("Int64"), b["copies"]),
-                                "ids": [b"".join(x) for x, n in zip(b["parts"], b["copies"]) for _ in range(n)]})
+            for own, ids, copies in zip(b["doc_id"].astype("Int64"), b["parts"], b["copies"]):
+                row = told(pd.Series([own], dtype="Int64"), [b"".join(ids)])
+                for _ in range(copies):
+                    yield row
 
     distinct = long.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copy")).withColumn("tag", F.xxhash64("text"))
     chunks = stored(distinct.select("doc_id", "tag", "copy", "text").repartition(hash_slots(docs.sparkSession)).mapInPandas(
@@ -331,14 +344,18 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     soft = soft_paths(chunks.filter("soft_in or soft_out"), path)
     gathered = (free.unionByName(soft).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "ids"))).alias("parts"))
              .select("doc_id", F.col("copy").alias("copies"), F.transform("parts", lambda x: x["ids"]).alias("parts")))
-    return short.mapInPandas(giving_back(whole), "doc_id long, ids binary").unionByName(gathered.mapInPandas(joined, "doc_id long, ids binary"))
+    return short.mapInPandas(giving_back(whole), schema).unionByName(gathered.mapInPandas(giving_back(joined), schema))
+
+
+def read(ids: list[bytes], path: str) -> list[str]:
+    return [model_of(path).decode(np.frombuffer(i, "<u4")) for i in ids]
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """The encoded rows and the ``text`` their ids read back to."""
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), text=[model_of(path).decode(np.frombuffer(i, "<u4")) for i in b["ids"]])
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), text=read(b["ids"], path))
 
     return encoded.select("doc_id", "ids").mapInPandas(giving_back(apply), "doc_id long, ids binary, text string")
 

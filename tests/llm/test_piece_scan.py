@@ -83,5 +83,13 @@ def test_query_on_documents(spark, model):
         assert (r.decoded_chars, r.decoded_sha256) == (len(texts[r.doc_id]), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
+def test_read_back_in_the_encoding_stage(spark):
+    df = spark.createDataFrame([(1, "ab cd"), (2, None), (None, "x" * 900), (3, "é=" * 600), (3, "é=" * 600)], "doc_id long, text string")
+    once, twice = encode_documents(df, PATH, chunk=100, read_back=True), decode_documents(encode_documents(df, PATH, chunk=100), PATH)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
+    plan = query(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan.split("Union")[0]
+
+
 def test_empty_table(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
