@@ -52,6 +52,23 @@ def test_losses_reach_the_right_cells(spark, season):
     assert {(1, i, j) for i in range(2) for j in range(2)} == {c for c in paid if c[0] == 1}
 
 
+def test_records_of_one_mask_share_their_weighted_cells(spark, season, tmp_path):
+    def keep(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    copies = spark.range(6).select(F.col("id").alias("copy"))
+    records = season["records"].filter("rec_id = 1").crossJoin(copies).withColumn("rec_id", F.col("copy") + 1).drop("copy")
+    got = attribution.attribute_losses(**{**season, "records": records}, keep=keep)
+    # Two steps of four cells inside the unit for each of two days, once for all six records.
+    assert spark.read.parquet(f"{tmp_path}/weights").count() == 16
+    assert {(r.status, r.n_cells, round(r.allocated_usd, 6)) for r in got.summary.collect()} == {("allocated", 16, 10_000.0)}
+    cells = got.cells.collect()
+    assert {r.match_count for r in cells} == {6} and sum(r.weight_norm for r in cells) == pytest.approx(6.0)
+    weight = {(r.step, r.wi, r.wj): 1.0 + r.wi + r.wj + r.step for r in cells}
+    assert all(r.loss_usd == pytest.approx(60_000.0 * weight[r.step, r.wi, r.wj] / sum(weight.values())) for r in cells)
+
+
 def test_same_day_steps_share_the_days_hazard(spark, season):
     cells = attribution.attribute_losses(**season).cells.filter("storm_id = 1 and wi = 0 and wj = 0").collect()
     loss = {r.step: r.loss_usd for r in cells}
