@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import wrap_180
 from ..functions.hazard import min_max_scaled
-from .keyed import with_window_values
+from .keyed import join_keys, with_window_values
 
 WINDOW_SIZE = 41
 BLOCK_FACTOR = 10
@@ -35,6 +35,23 @@ def window_frame(anchors: DataFrame, size: int = WINDOW_SIZE, factor: int = BLOC
             .drop("__bi", "row", "col"))
 
 
+def _place_frame(anchors: DataFrame, place: Sequence[str], size: int, factor: int, flip: bool) -> DataFrame:
+    """``window_frame`` of the distinct places of the anchors, which keep their row and col."""
+    places = anchors.select(*place).distinct().withColumns({"__row": F.col("row"), "__col": F.col("col")})
+    return window_frame(places, size, factor, flip).withColumnsRenamed({"__row": "row", "__col": "col"})
+
+
+def _beside(anchors: DataFrame, cells: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Every anchor with each of the window cells of its ``place``.
+
+    Cells are gathered once for a place, so an anchor is sent once and not once for each cell; a place has one window of them.
+    """
+    rest = [c for c in cells.columns if c not in place]
+    gathered = cells.groupBy(*place).agg(F.collect_list(F.struct(*rest)).alias("__cells"))
+    kept = [c for c in anchors.columns if c not in ("row", "col")]
+    return join_keys(anchors, gathered, place).select(*kept, F.explode("__cells").alias("__cell")).select(*kept, "__cell.*")
+
+
 def _reduced_blocks(anchors: DataFrame, cells: DataFrame, by: Sequence[str], size: int, factor: int,
                     first: dict[str, Column], then: dict[str, Column], extra: Sequence[str] = ()) -> DataFrame:
     """Aggregates of each distinct block any window needs, in two separable steps.
@@ -68,8 +85,10 @@ def extract_windows(anchors: DataFrame, cells: DataFrame, value: str = "value",
     whole = F.sum("__part") / F.sum("__n") if method == "mean" else reduce("__part")
     blocks = _reduced_blocks(anchors, cells.filter(F.col(value).isNotNull()), by, size, factor,
                              {"__part": reduce(value), "__n": F.count(value)}, {value: whole})
-    return (window_frame(anchors, size, factor, flip)
-            .join(blocks, [*by, "block_row", "block_col"], "left").drop("block_row", "block_col"))
+    place = [*by, "row", "col"]
+    cut = (_place_frame(anchors, place, size, factor, flip)
+           .join(blocks, [*by, "block_row", "block_col"], "left").drop("block_row", "block_col"))
+    return _beside(anchors, cut, place)
 
 
 def zone_share_windows(anchors: DataFrame, zones: DataFrame, zone: str = "zone", target: str = "target",
@@ -78,9 +97,11 @@ def zone_share_windows(anchors: DataFrame, zones: DataFrame, zone: str = "zone",
     """Share of each block's cells that belong to the anchor's target zone."""
     counts = _reduced_blocks(anchors.drop(target), zones.withColumnRenamed(zone, target), by, size, factor,
                              {"__n": F.count(F.lit(1))}, {out: F.sum("__n") / F.lit(float(factor * factor))}, [target])
-    return (window_frame(anchors, size, factor, flip)
-            .join(counts, [*by, "block_row", "block_col", target], "left")
-            .withColumn(out, F.coalesce(out, F.lit(0.0))).drop("block_row", "block_col"))
+    place = [*by, "row", "col", target]
+    cut = (_place_frame(anchors, place, size, factor, flip)
+           .join(counts, [*by, "block_row", "block_col", target], "left")
+           .withColumn(out, F.coalesce(out, F.lit(0.0))).drop("block_row", "block_col"))
+    return _beside(anchors, cut, place)
 
 
 def absolute_coordinates(points: DataFrame, offsets: Sequence[float]) -> DataFrame:
