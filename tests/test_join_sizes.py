@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from squallframe import catalog
 from squallframe.catalog import base
 from squallframe.catalog import frames as fr
-from squallframe.operators import external, spatial
+from squallframe.operators import external, keyed, spatial, windows
 
 
 def most_rows(df, *kinds):
@@ -60,3 +60,26 @@ def test_best_flood_is_sought_among_the_longest_of_each_day(spark):
     assert {r.event_key: r.flood_id for r in rows} == {k: best(a, b) for k, _, a, b in events}
     # Five spans of events, four first days with 25 last days each: of a day's floods those matter that outlast all with smaller ids.
     assert most < 5 * 4 * 25 // 3
+
+
+def test_anchors_of_one_place_share_their_window(spark):
+    anchors = spark.range(300).select("id", (F.col("id") % 3 + 20).alias("row"), F.lit(20).cast("long").alias("col"), (F.col("id") % 2).alias("target"))
+    anchors = anchors.unionByName(spark.createDataFrame([(300, None, 20, 1)], anchors.schema))
+    zones = spark.range(40).select(F.col("id").alias("row")).crossJoin(spark.range(40).select(F.col("id").alias("col")))
+    zones = zones.withColumn("zone", F.col("col") % 2).withColumn("value", F.col("row") + 0.0)
+    rows, most = most_rows(windows.zone_share_windows(anchors, zones.select("row", "col", "zone"), size=3, factor=4), "Join")
+    assert len(rows) == 301 * 9 and {r.share for r in rows if r.id < 300} == {0.5} and {r.share for r in rows if r.id == 300} == {0.0}
+    assert most < 301 * 9
+    rows, most = most_rows(windows.extract_windows(anchors.drop("target"), zones.select("row", "col", "value"), method="mean", size=3, factor=4), "Join")
+    assert {(r.id, r.wi, r.wj): r.value for r in rows if r.id < 300} == {
+        (i, w, j): i % 3 + 20 - 6 + 4 * (2 - w) + 1.5 for i in range(300) for w in range(3) for j in range(3)}
+    assert [r.value for r in rows if r.id == 300] == [None] * 9 and most < 301 * 9
+
+
+def test_unmatched_keys_in_one_aggregate(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (4, None)], "k long, l string")
+    right = spark.createDataFrame([(2, "b"), (3, "b"), (3, "b"), (None, "c")], "k long, l string")
+    got = keyed.unmatched_keys(left, right, ["k", "l"])
+    assert sorted((str(r.k), str(r.l), r.only_in) for r in got.collect()) == [
+        ("1", "a", "left"), ("3", "b", "right"), ("4", "None", "left"), ("None", "c", "left"), ("None", "c", "right")]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
