@@ -79,8 +79,9 @@ def _normal_equations(rows: DataFrame, trials: dict[str, np.ndarray]) -> dict[st
     bend = g * (1.0 - g)
     jac = [F.lit(1.0), g, -b * shift * bend, b * c * bend]
     res = F.col("y") - (a + b * g)
-    terms = [F.sum(jac[i] * jac[j]) for i in range(4) for j in range(i, 4)]
-    terms += [F.sum(j * res) for j in jac] + [F.sum(res * res), F.count(F.lit(1))]
+    n = F.col("__n")
+    terms = [F.sum(n * jac[i] * jac[j]) for i in range(4) for j in range(i, 4)]
+    terms += [F.sum(n * j * res) for j in jac] + [F.sum(n * res * res), F.sum(n)]
     sums = rows.join(F.broadcast(table), "scope").groupBy("scope").agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)])
     out = {}
     for row in sums.collect():
@@ -96,17 +97,22 @@ def fit_sigmoid_scopes(sample: DataFrame, by: str | None = None, x: str = "x", y
     """Fits of every group of ``by`` and of all rows: scope, a, b, c, d, n, rmse, mae, r2, gradient.
 
     Projected Levenberg-Marquardt for all scopes at once: each has its own damping and stops by itself, and an iteration is one aggregate
-    over the rows, whatever the number of scopes. A row counts for its group and for ``combined``.
+    over the rows, whatever the number of scopes. A row counts for its group and for ``combined``; equal rows of a group are counted once
+    before, so an iteration reads distinct rows.
     ``gradient`` is the largest free component of the last normal equations, relative to what the residuals allow: near
     zero at a solution. A scope with fewer than ``min_samples`` rows fails the fit. The groups are years or the like:
     their parameters are the driver's.
     """
-    scopes = [F.lit(combined)] if by is None else [F.col(by).cast("string"), F.lit(combined)]
-    rows = (sample.select(F.explode(F.array(*scopes)).alias("scope"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-            .filter("scope is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").persist())
+    scopes = [F.lit(combined)] if by is None else [F.col("__own"), F.lit(combined)]
+    own = F.lit(None).cast("string") if by is None else F.col(by).cast("string")
+    counted = (sample.select(own.alias("__own"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+               .filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+               .groupBy("__own", "x", "y").agg(F.count(F.lit(1)).alias("__n")))
+    rows = (counted.select(F.explode(F.array(*scopes)).alias("scope"), "x", "y", "__n").filter("scope is not null").persist())
     try:
         low, high = np.array(lower), np.array(upper)
-        names = [r[0] for r in rows.select("scope").distinct().collect()] or [combined]
+        means = {r[0]: r[1] for r in rows.groupBy("scope").agg(F.sum(F.col("__n") * F.col("y")) / F.sum("__n")).collect()}
+        names = list(means) or [combined]
         states = {g: _State(np.clip(np.array(start, dtype=float), low, high)) for g in names}
         for _ in range(max_iterations + 1):
             trials = {g: s.trial(low, high) for g, s in states.items() if not s.done}
@@ -121,11 +127,13 @@ def fit_sigmoid_scopes(sample: DataFrame, by: str | None = None, x: str = "x", y
         for g, s in states.items():
             free = ~(((s.params <= low) & (s.jtr < 0)) | ((s.params >= high) & (s.jtr > 0)))
             scale = np.sqrt(np.maximum(np.diag(s.jtj), 1e-300) * max(s.sse, 1e-300))
-            facts.append((g, *map(float, s.params), float(np.max(np.abs(s.jtr / scale)[free], initial=0.0))))
-        table = sample.sparkSession.createDataFrame(facts, "scope string, a double, b double, c double, d double, gradient double")
+            facts.append((g, *map(float, s.params), float(np.max(np.abs(s.jtr / scale)[free], initial=0.0)), means[g]))
+        table = sample.sparkSession.createDataFrame(facts, "scope string, a double, b double, c double, d double, gradient double, __mean double")
         residual = F.col("y") - sigmoid(F.col("x"), *[F.col(c) for c in "abcd"])
+        mean = lambda value: F.sum(F.col("__n") * value) / F.sum("__n")
         told = rows.join(F.broadcast(table), "scope").groupBy("scope", *"abcd", "gradient").agg(
-            F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(residual * residual)).alias("rmse"), F.avg(F.abs(residual)).alias("mae"), F.var_pop("y").alias("__var"))
+            F.sum("__n").alias("n"), F.sqrt(mean(residual * residual)).alias("rmse"), mean(F.abs(residual)).alias("mae"),
+            F.when(F.min("y") < F.max("y"), mean((F.col("y") - F.col("__mean")) * (F.col("y") - F.col("__mean")))).alias("__var"))
         told = told.withColumn("r2", F.when(F.col("__var") > 0, 1.0 - F.col("rmse") * F.col("rmse") / F.col("__var")))
         kept = told.select("scope", *"abcd", "n", "rmse", "mae", "r2", "gradient").collect()  # a row for each scope
         return sample.sparkSession.createDataFrame(kept, "scope string, a double, b double, c double, d double, n long, rmse double, mae double, r2 double, gradient double")

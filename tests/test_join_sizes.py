@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from squallframe import catalog
 from squallframe.catalog import base
 from squallframe.catalog import frames as fr
-from squallframe.operators import external, keyed, spatial, windows
+from squallframe.operators import external, fit, keyed, spatial, windows
 
 
 def most_rows(df, *kinds):
@@ -83,3 +83,16 @@ def test_unmatched_keys_in_one_aggregate(spark):
     assert sorted((str(r.k), str(r.l), r.only_in) for r in got.collect()) == [
         ("1", "a", "left"), ("3", "b", "right"), ("4", "None", "left"), ("None", "c", "left"), ("None", "c", "right")]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fit_iterates_over_distinct_rows(spark, monkeypatch):
+    read = []
+    plain = fit._normal_equations
+    monkeypatch.setattr(fit, "_normal_equations", lambda rows, trials: read.append(rows.count()) or plain(rows, trials))
+    sample = spark.range(6000).select((F.col("id") % 2 + 2012).alias("year"), (F.col("id") % 20 * 1.0).alias("x"))
+    sample = sample.withColumn("y", 4.0 + 50.0 / (1 + F.exp(-0.9 * (F.col("x") - 9.0))))
+    got = {r.scope: r for r in fit.fit_sigmoid_scopes(sample, "year").collect()}
+    assert set(read) == {40} and {k: r.n for k, r in got.items()} == {"2012": 3000, "2013": 3000, "combined": 6000}
+    assert all(abs(r.d - 9.0) < 1e-6 and r.rmse < 1e-6 and r.r2 > 1 - 1e-9 for r in got.values())
+    flat = fit.fit_sigmoid(sample.withColumn("y", F.lit(20.3)))
+    assert flat.n == 6000 and flat.r2 != flat.r2
