@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import giving_back, whole_text
 
 #: Words whose ids a Python worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 450_000, 64
 #: Characters of the texts whose words are looked up and learnt at a time.
-PART = 2_000_000
+PART = 1_500_000
 
 
 def leaves_plain_words(settings: dict) -> bool:
@@ -28,6 +29,22 @@ def leaves_plain_words(settings: dict) -> bool:
             and "[\\p{L}]+" in split[0]["pattern"].get("Regex", "").split("|"))
 
 
+def words_of(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
+class Known(dict):
+    """Ids by word; a word that is not there is noted in ``missed`` and stands for itself."""
+
+    def __init__(self, *held):
+        super().__init__(*held)
+        self.missed: dict[str, None] = {}
+
+    def __missing__(self, word: str) -> str:
+        self.missed[word] = None
+        return word
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, for a tokenizer that drops white space and marks word ends.
 
@@ -42,18 +59,21 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         settings = json.loads(self.tokenizer.to_str())
-        self.plain = self.tokenizer
+        self.plain, self.spelt = self.tokenizer, ""
         if leaves_plain_words(settings):
             # What normalising and splitting would do to lower-case words of letters is nothing: only the merges are left.
+            # The characters that their bytes stand for are put in beforehand.
             self.plain = Tokenizer(self.tokenizer.model)
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            spelt = {b: c for x in map(chr, range(0x80, 0x100)) if x.isalpha() for b, c in zip(x.encode(), as_bytes.pre_tokenize_str(x)[0][0])}
+            self.spelt = "".join(spelt.get(b, chr(b)) for b in range(0x100))
         suffix = settings["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         self.suffix = suffix
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -62,7 +82,10 @@ class WordTokenizer:
     def learn_plain(self, words: list[str]) -> None:
         """Lower-case words of letters, each one pre-token."""
         if self.suffix and words:
-            ids = np.asarray(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            text = " ".join(words)
+            if self.spelt:
+                text = codecs.charmap_decode(text.encode(), "strict", self.spelt)[0]
+            ids = np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words) and cuts[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
@@ -76,7 +99,7 @@ class WordTokenizer:
         known, plain, other, derived = self.known, {}, [], []
         for word in words:
             core, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-            if core.isalpha() and max(core) < "\u0100" and len(core) <= LONGEST:
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100") and len(core) <= LONGEST:
                 low = core.lower()
                 if low not in known:
                     plain[low] = None
@@ -93,18 +116,19 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; what is new in any of them is learnt at once."""
+        if len(self.known) > REMEMBERED:  # common words are among those at hand, so these are kept
+            used = set(chain.from_iterable(map(words_of, texts)))
+            self.known = Known({w: self.known[w] for w in used if w in self.known})
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        found = [list(map(known.__getitem__, words_of(text))) for text in texts]
+        new, known.missed = known.missed, {}
         if new:
-            self.learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+            self.learn(list(new))
+            found = [[known[x] if type(x) is str else x for x in one] for one in found]
         for word in new:
             if len(word) > LONGEST:
                 del known[word]
-        return out
+        return list(map(b"".join, found))
 
 
 def parts(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -138,16 +162,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
-            rows = []
-            for own, ids in zip(batch["doc_id"], (i for held in parts(batch["text"]) for i in tokenizer.ids(held))):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at:at + 4 * capacity]
-                    rows.append((own, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInPandas(
+            owns, texts = batch.column("doc_id"), batch.column("text")
+            whole = (t for at in range(0, len(texts), 64) for t in texts.slice(at, 64).to_pylist())
+            row, places = 0, []
+            for held in parts(whole):
+                for ids in tokenizer.ids(held):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[at:at + 4 * capacity]
+                        places.append((row, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                    row += 1
+            rows, piece, start, length, crc = np.asarray(places, dtype=np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([owns.take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
+                                             names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(
         giving_back(apply), "doc_id long, piece int, start long, length long, ids_crc32 long")

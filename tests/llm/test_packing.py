@@ -111,3 +111,19 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     assert collections.Counter(r.doc_id for r in out) == {1: 1, 2: 1, 3: 3, 4: 2, None: 1}
     assert sorted((r.sequence_id, r.offset) for r in out if r.doc_id == 4) == sorted({(r.sequence_id, r.offset) for r in out if r.doc_id == 4})
     assert packed_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_words_stay_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr("squallframe.llm.token_pieces.REMEMBERED", 50)
+    mine, plain = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    rng, seen = random.Random(5), []
+    for part in range(6):
+        rare = ["".join(rng.choices("abcdeéßñ", k=9)) for _ in range(40)]
+        texts = [f"the Storm, of {w} the" for w in rare]
+        for text, ids in zip(texts, mine.ids(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        seen += rare
+        assert {"the", "Storm,", "of"} <= set(mine.known) and not mine.known.missed
+    texts = ["the of"]
+    mine.ids(texts)
+    assert set(mine.known) == {"the", "of"}  # the memory was full: of what it held, the words at hand are left
