@@ -163,24 +163,29 @@ def coordinate_window(points: DataFrame, grid: DataFrame, lat: str, lon: str, ha
     ``size`` is the packing width the caller counts on; a square with more nodes fails the job.
 
     Axes are (start, step, length) of a regular grid keyed by (lat_idx, lon_idx), so the range
-    condition becomes index arithmetic and the join an equi-join.
+    condition becomes index arithmetic. Nodes meet the squares in tiles at least as large as a square: an
+    equi-join to which a point is sent for the four tiles it touches at most and not for each of its nodes.
     """
-    spans = {}
+    spans, sides = {}, {}
     for name, centre, (start, res, length) in (("lat", lat, lat_axis), ("lon", lon, lon_axis)):
         low, high = axis_span(F.col(centre), half_width, start, res, half_open)
         spans[name] = F.greatest(low, F.lit(0)), F.least(high, F.lit(length - 1))
-    df = points
-    for name, packed in (("lat", "wi"), ("lon", "wj")):
+        sides[name] = int(2 * half_width / abs(res)) + 2
+    df, tiled = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), grid
+    for name in ("lat", "lon"):
         low, high = spans[name]
         if size is not None:
             high = F.when(high - low >= size, F.raise_error(F.lit(f"more than {size} {name} nodes in a window")).cast("long")).otherwise(high)
         df = (df.withColumn(f"__{name}0", low).withColumn(f"__{name}1", high)
               .filter(F.col(f"__{name}0") <= F.col(f"__{name}1")))
-    for name, packed in (("lat", "wi"), ("lon", "wj")):
-        df = _explode_range(df, f"{name}_idx", F.col(f"__{name}0"), F.col(f"__{name}1"))
-        df = df.withColumn(packed, F.col(f"{name}_idx") - F.col(f"__{name}0"))
-    df = df.drop("__lat0", "__lat1", "__lon0", "__lon1")
-    return df.join(grid, [*keys, "lat_idx", "lon_idx"])
+    for name, side in sides.items():
+        df = _explode_range(df, f"__{name}_tile", F.floor(F.col(f"__{name}0") / side), F.floor(F.col(f"__{name}1") / side))
+        tiled = tiled.withColumn(f"__{name}_tile", F.floor(F.col(f"{name}_idx") / side))
+    found = df.join(tiled, [*keys, "__lat_tile", "__lon_tile"])
+    for name in sides:
+        found = found.filter(F.col(f"{name}_idx").between(F.col(f"__{name}0"), F.col(f"__{name}1")))
+    return found.select(*keys, "lat_idx", "lon_idx", *[c for c in points.columns if c not in keys], (F.col("lat_idx") - F.col("__lat0")).alias("wi"),
+                        (F.col("lon_idx") - F.col("__lon0")).alias("wj"), *[c for c in grid.columns if c not in (*keys, "lat_idx", "lon_idx")])
 
 
 def day_offsets(points: DataFrame, day: str, before: int = 7, after: int = 7,
@@ -190,6 +195,24 @@ def day_offsets(points: DataFrame, day: str, before: int = 7, after: int = 7,
     return points.withColumn("day_offset", offset).withColumn(out, F.date_add(F.col(day), F.col("day_offset")))
 
 
+def day_offset_values(points: DataFrame, grid: DataFrame, keys: Sequence[str], day: str, value: str = "value",
+                      before: int = 7, after: int = 7) -> DataFrame:
+    """The grid's value on every day around each point's day, NULL where it has none; a row per ``day_offset``.
+
+    Days meet in blocks of twice the span: a point is sent once and not once for each offset, a grid row for one or two
+    blocks, whose values are gathered (a block has a bounded number of days). More than one grid row a day and place fail the job.
+    """
+    length = 2 * (before + after + 1)
+    when = F.unix_date("day")
+    near = _explode_range(grid.select(*keys, value, when.alias("__day")), "__block", F.floor((F.col("__day") - after) / length),
+                          F.floor((F.col("__day") + before) / length))
+    gathered = near.groupBy(*keys, "__block").agg(F.map_from_entries(F.collect_list(F.struct("__day", value))).alias("__values"))
+    placed = points.withColumn("__day", F.unix_date(day)).withColumn("__block", F.floor(F.col("__day") / length))
+    spread = _explode_range(placed.join(gathered, [*keys, "__block"], "left"), "day_offset", F.lit(-before), F.lit(after))
+    found = F.try_element_at("__values", F.col("__day") + F.col("day_offset"))
+    return spread.select(*points.columns, "day_offset", found.alias(value))
+
+
 def packed_year_slots(points: DataFrame, days: DataFrame, day: str, reach: int = 7) -> DataFrame:
     """Earlier slot rule: source days in [t - reach, t + reach) of the point's own year, left-packed."""
     spread = day_offsets(points, day, reach, reach - 1)

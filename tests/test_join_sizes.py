@@ -1,6 +1,7 @@
 """Rows that joins pass on: they follow the input and not the number of rows that share a value."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,38 @@ def test_fit_iterates_over_distinct_rows(spark, monkeypatch):
     assert all(abs(r.d - 9.0) < 1e-6 and r.rmse < 1e-6 and r.r2 > 1 - 1e-9 for r in got.values())
     flat = fit.fit_sigmoid(sample.withColumn("y", F.lit(20.3)))
     assert flat.n == 6000 and flat.r2 != flat.r2
+
+
+def test_a_point_is_sent_once_for_all_its_days(spark):
+    folder = "/root/testdata/sf0.01"
+    rows, most = most_rows(catalog.queries()["j8_day_offset_join"](spark, folder), "Join")
+    n = fr.points(base.Tables(spark, folder)).count()
+    assert len(rows) == 15 * n and most <= n
+
+
+def test_values_of_the_days_around_a_point(spark):
+    day = lambda i: dt.date(1970, 1, 1) + dt.timedelta(days=i)
+    days = [*range(-65, 66, 3), -1, 1000]
+    grid = spark.createDataFrame([(day(i), k, float(i) if i != 7 else None) for i in days for k in (1, 2)] + [(None, 1, 5.0)], "day date, k int, value double")
+    points = [(i, day(i - 60), i % 4) for i in range(121)] + [(200, None, 1), (201, day(0), None), (202, day(0), 1), (202, day(0), 1)]
+    got = windows.day_offset_values(spark.createDataFrame(points, "id int, at date, k int"), grid, ["k"], "at", before=4, after=2)
+    held = {(day(i), k): float(i) for i in days if i != 7 for k in (1, 2)}
+    want = [(i, str(at), o, held.get((at and at + dt.timedelta(days=o), k))) for i, at, k in points for o in range(-4, 3)]
+    assert sorted(map(str, [(r.id, str(r["at"]), r.day_offset, r.value) for r in got.collect()])) == sorted(map(str, want))
+
+
+def test_a_point_is_sent_once_for_each_tile_of_its_square(spark):
+    points = spark.createDataFrame([(i, i % 2, i * 0.37 % 11 - 0.5, i * 0.91 % 23 - 1.0) for i in range(300)] + [(300, 0, None, 1.0)], "p int, k int, lat double, lon double")
+    nodes = [(k, i, j, i * 100.0 + j) for k in (0, 1) for i in range(20) for j in range(20) if (i + j + k) % 7]
+    grid = spark.createDataFrame([*nodes, (0, 3, 3, -1.0)], "k int, lat_idx long, lon_idx long, v double")
+    got = windows.coordinate_window(points, grid, "lat", "lon", 1.6, (0.0, 0.5, 20), (0.0, 1.0, 20), ["k"])
+    rows, most = most_rows(got, "Generate")
+    assert got.columns == ["k", "lat_idx", "lon_idx", "p", "lat", "lon", "wi", "wj", "v"]
+    want = []
+    for p in points.collect():
+        if p["lat"] is not None:
+            first = [max(math.ceil((c - 1.6) / s), 0) for c, s in ((p["lat"], 0.5), (p["lon"], 1.0))]
+            want += [(p.p, i - first[0], j - first[1], v) for k, i, j, v in [*nodes, (0, 3, 3, -1.0)] if k == p.k
+                     and first[0] <= i <= math.floor((p["lat"] + 1.6) / 0.5) and first[1] <= j <= math.floor((p["lon"] + 1.6) / 1.0)]
+    assert sorted((r.p, r.wi, r.wj, r.v) for r in rows) == sorted(want)
+    assert most <= 4 * 301 < len(want) // 3
