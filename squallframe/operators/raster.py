@@ -37,13 +37,18 @@ def stack_layers(base: DataFrame, others: dict[str, DataFrame], by: Sequence[str
 
 def disaggregate(cells: DataFrame, totals: DataFrame, weight: Column, total: str, zone: str = "zone",
                  by: Sequence[str] = (), out: str = "asset") -> DataFrame:
-    """Spread each zone's total over its cells in proportion to the weight; else zero."""
+    """Spread each zone's total over its cells in proportion to the weight; else zero.
+
+    Sums are taken over all zones and met null-safely, so that no filter reaches the cells of one
+    branch alone and both read the same exchanges; zones that do not count get nothing.
+    """
     keys = [*by, zone]
     weighted = cells.withColumn("__w", weight)
-    sums = zone_sums(weighted, F.col("__w"), zone, by, "__zone_w")
-    share = F.when((F.col("__w") > 0) & (F.col("__zone_w") > 0) & (F.col(total) > 0),
+    sums = weighted.groupBy(*keys).agg(F.sum("__w").alias("__zone_w"))
+    share = F.when((F.col(zone) > 0) & (F.col("__w") > 0) & (F.col("__zone_w") > 0) & (F.col(total) > 0),
                    F.col(total) * F.col("__w") / F.col("__zone_w")).otherwise(F.lit(0.0))
-    return (weighted.join(sums, keys, "left").join(totals, keys, "left")
+    rest = [c for c in weighted.columns if c not in keys]
+    return (join_keys(weighted, sums, keys, "left").select(*keys, *rest, "__zone_w").join(totals, keys, "left")
             .withColumn(out, share).drop("__w", "__zone_w"))
 
 

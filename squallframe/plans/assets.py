@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import nonnegative
 from ..operators.panel import dense_panel, fill_panel, indicator_rows, wide_to_long
-from ..operators.raster import disaggregate, stack_layers, zone_sums
+from ..operators.raster import disaggregate, zone_sums
 from ..operators.stats import conservation
 
 
@@ -24,11 +24,26 @@ def light_population_weight(light: Column, population: Column, m: float = 1.0, n
     return F.pow(nonnegative(light), F.lit(m)) * F.pow(nonnegative(population), F.lit(n))
 
 
+def _stacked_years(light: DataFrame, population: DataFrame, zones: DataFrame) -> DataFrame:
+    """Light (value) with the population of the same cell and year and the zone of the cell, NULL where there is none."""
+    def by_cell(layer: DataFrame, name: str) -> DataFrame:
+        return layer.groupBy("row", "col").agg(F.collect_list(F.struct("year", "value")).alias(name))
+
+    cells = by_cell(light, "__light").join(by_cell(population, "__people"), ["row", "col"], "left").join(zones, ["row", "col"], "left")
+    years = cells.select("row", "col", "zone", "__people", F.explode("__light").alias("__l"))
+    same_year = F.filter("__people", lambda p: p["year"] == F.col("__l.year"))
+    return years.select("row", "col", "zone", "__l.year", "__l.value", F.explode_outer(same_year).alias("__p")).select(
+        "year", "row", "col", "value", F.col("__p.value").alias("population"), "zone")
+
+
 def asset_layer(light: DataFrame, population: DataFrame, zones: DataFrame, totals: DataFrame,
                 row_offset: int = 0, m: float = 1.0, n: float = 1.0) -> DataFrame:
-    """Assets per (year, row, col). Layers hold (year, row, col, value); zones (row, col, value)."""
-    stacked = stack_layers(light, {"population": population}, ["year"], row_offset)
-    stacked = stacked.join(zones.select("row", "col", F.col("value").alias("zone")), ["row", "col"], "left")
+    """Assets per (year, row, col). Layers hold (year, row, col, value); zones (row, col, value).
+
+    The years of a cell travel together: layers and zones meet in one shuffle by cell, and none by year.
+    """
+    stacked = _stacked_years(light.withColumn("row", F.col("row") + row_offset), population,
+                             zones.select("row", "col", F.col("value").alias("zone")))
     weight = light_population_weight(F.col("value"), F.col("population"), m, n)
     known = totals.filter("is_missing = 0").select("year", F.col("country_id").alias("zone"), "gdp")
     return disaggregate(stacked, known, weight, "gdp", "zone", ["year"])

@@ -9,6 +9,7 @@ from squallframe import catalog
 from squallframe.catalog import base
 from squallframe.catalog import frames as fr
 from squallframe.operators import external, fit, keyed, spatial, windows
+from squallframe.plans import assets
 
 
 def most_rows(df, *kinds):
@@ -132,3 +133,31 @@ def test_a_point_is_sent_once_for_each_tile_of_its_square(spark):
                      and first[0] <= i <= math.floor((p["lat"] + 1.6) / 0.5) and first[1] <= j <= math.floor((p["lon"] + 1.6) / 1.0)]
     assert sorted((r.p, r.wi, r.wj, r.v) for r in rows) == sorted(want)
     assert most <= 4 * 301 < len(want) // 3
+
+
+def test_layers_of_all_years_meet_once_by_cell(spark):
+    light = [(y, r, c, float(r + c + (y or 1) % 3)) for y in (2000, 2001, None) for r in range(6) for c in range(5) if (r + c) % 4 or y == 2001] + [(2000, None, 1, 3.0)]
+    people = [(y, r, c, None if r == c else 2.0 * r + 1) for y in (2000, 2001, 2002) for r in range(2, 8) for c in range(4)]
+    zones = [(r, c, (-1, 0, 1, 2, None)[(r + 2 * c) % 5]) for r in range(2, 7) for c in range(5)]
+    totals = [(2000, 1, 100.0, 0), (2000, 2, 50.0, 0), (2001, 1, 70.0, 0), (2001, 2, 9.0, 1), (2000, -1, 5.0, 0), (2000, 0, 5.0, 0)]
+    ddl = "year int, row long, col long, value double"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layer = assets.asset_layer(spark.createDataFrame(light, ddl), spark.createDataFrame(people, ddl), spark.createDataFrame(zones, "row long, col long, value long"),
+                                   spark.createDataFrame(totals, "year int, country_id long, gdp double, is_missing int"), row_offset=1)
+        rows = layer.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    there, zone, paid = {p[:3]: p[3] for p in people}, {z[:2]: z[2] for z in zones}, {t[:2]: t[2] for t in totals if not t[3]}
+    weigh = lambda y, r, c, v: (v or 0.0) * (there.get((y, r, c)) or 0.0)
+    cells = [(y, None if r is None else r + 1, c, v) for y, r, c, v in light]
+    want = []
+    for y, r, c, v in cells:
+        z = zone.get((r, c))
+        whole = sum(weigh(*o) for o in cells if o[0] == y and zone.get(o[1:3]) == z)
+        share = paid.get((y, z), 0.0) * weigh(y, r, c, v) / whole if (z or 0) > 0 and whole else 0.0
+        want.append((y, r, c, z, there.get((y, r, c)), round(share, 9)))
+    assert sorted(map(str, [(r.year, r.row, r["col"], r.zone, r.population, round(r.asset, 9)) for r in rows])) == sorted(map(str, want))
+    plan = layer._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange [row") == 3  # the zone sums read the exchanges of the cells
+    assert "hashpartitioning(year#" not in "".join(x for x in plan.splitlines() if "row#" in x)
