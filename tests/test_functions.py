@@ -105,3 +105,15 @@ def test_statuses(spark):
     gate = df.replace("L2", "L4").agg(st.release_decision(F.col("level"), F.col("status"))).first()
     assert gate[0] == "No Go"
     assert one(spark, st.grade_priority(F.lit(" b ")), st.grade_priority(F.lit("?")))[:] == (1, 4)
+
+
+def test_only_texts_beyond_ascii_go_to_python(spark):
+    def sent(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return sent(node.executedPlan())
+        own = node.metrics().get("pythonDataSent")
+        return (own.get().value() if own.isDefined() else 0) + sum(sent(node.children().apply(i)) for i in range(node.children().size()))
+    rows = [("x" * 5000,)] * 200 + [("é½ﬁ" * 70,)] * 100 + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "n string").select(tx.strip_marks("n").alias("n"))
+    assert [r.n for r in df.collect()] == ["x" * 5000] * 200 + ["e1⁄2fi" * 70] * 100 + [None, ""]
+    assert sent(df._jdf.queryExecution().executedPlan()) < 200_000
