@@ -10,6 +10,7 @@ from ..operators import external, quality, raster, stats, windows
 from ..operators.allocation import diagnose_zero_weight
 from ..operators.keyed import with_scalars
 from ..operators.quantiles import exact_quantiles, exact_quantiles_of
+from ..sources.sinks import save_table
 from . import frames as fr
 from .aggregates import AUDIT, PAID, WINDOW_EVENTS, _rounded, audit, losses, window_events
 from .joins import FLOODS, LINKED, SHIP_EVENTS, floods, ship_events
@@ -417,6 +418,7 @@ def footprints(t):
     """Verdict on storms (their tracks' distance to the outline of their unit) and the footprints known by number and unit."""
     events = QUERIES["j22_track_outline_km"](t.spark, t.folder).select(
         F.col("storm_id").alias("disno"), (F.col("storm_id") % 25).alias("iso"), F.lit(2024).alias("year"), "km")
+    events = save_table(events, scratch_table(t, "footprint_km"))
     prints = t.orders.select(F.col("o_custkey").alias("disno"), (F.col("o_orderkey") % 25).alias("iso"))
     rates = external.footprint_matches(events, prints).filter("year_label = 'ALL'").select("id_rate", "pair_rate")
     hits = external.distance_hits(events, "km", []).select("hit_rate")
@@ -496,10 +498,11 @@ SELECT {R('mcov')} AS min_coverage, {R('mc')} AS median_corr, {R('m10')} AS medi
   fails AS fail_reasons, warns AS warn_reasons, CASE WHEN fails <> '' OR footprint = 'FAIL' THEN 'FAIL' WHEN warns <> '' OR footprint = 'WARN' THEN 'WARN' ELSE 'PASS' END AS overall FROM v""")
 def _(t):
     means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
-    events = external.rain_agreement(means, "event", "day", "ours", "theirs")
+    events = external.rain_agreement(means, "event", "day", "ours", "theirs").select("total_ours", "total_theirs", "peak_lag")
+    events = save_table(events, scratch_table(t, "q14_events"))
     rows = events.agg(stats.safe_corr(F.col("total_ours"), F.col("total_theirs")).alias("event_corr"), F.count(F.lit(1)).alias("n_events"))
     rows = with_scalars(rows, exact_quantiles(events.select(F.abs("peak_lag").alias("lag")), [], "lag", {"median_lag": 0.5}))
-    yearly = external.yearly_sample_metrics(rain_samples(t).filter(F.col("year").isin(*CORE)), "year")
+    yearly = save_table(external.yearly_sample_metrics(rain_samples(t).filter(F.col("year").isin(*CORE)), "year"), scratch_table(t, "q14_yearly"))
     rows = with_scalars(rows, yearly.agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("n_samples")))
     rows = with_scalars(rows, exact_quantiles_of(yearly, [], {f"median_{c}": (c, 0.5) for c in ("corr", "top10", "top20")}))
     rows = with_scalars(rows, core_coverage(t).agg(F.min("coverage").alias("min_coverage"), F.min("readable").alias("min_readable")))

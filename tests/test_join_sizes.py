@@ -161,3 +161,11 @@ def test_layers_of_all_years_meet_once_by_cell(spark):
     plan = layer._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange [row") == 3  # the zone sums read the exchanges of the cells
     assert "hashpartitioning(year#" not in "".join(x for x in plan.splitlines() if "row#" in x)
+
+
+def test_distances_of_a_footprint_verdict_are_found_once(spark):
+    folder = "/root/testdata/sf0.001"
+    got = catalog.queries()["q13_footprint_verdict"](spark, folder)
+    stored = spark.table(base._SCRATCH[spark.sparkContext.applicationId, "footprint_km"])
+    assert stored.count() == base.Tables(spark, folder).events.select("user_id").distinct().count()
+    assert "j22_" not in got._jdf.queryExecution().optimizedPlan().toString()  # no branch finds them again
