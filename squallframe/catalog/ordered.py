@@ -64,7 +64,7 @@ def _(t):
 z AS (SELECT cell, "year", ("value" - avg("value") OVER w) / nullif(stddev_pop("value") OVER w, 0) AS z FROM yearly WINDOW w AS (PARTITION BY cell))
 SELECT cell, CAST("year" AS BIGINT) AS "year", {R('coalesce(z, 0)')} AS z_score, CAST(abs(coalesce(z, 0)) > 1.5 AS BIGINT) AS flagged FROM z""")
 def _(t):
-    got = stats.sigma_flags(fr.yearly(t), ["cell"], "value", 1.5)
+    got = stats.sigma_flags(fr.yearly(t), ["cell"], "value", 1.5, order="year")
     return got.select("cell", big("year").alias("year"), rounded("z_score").alias("z_score"), big("flagged").alias("flagged"))
 
 
@@ -160,7 +160,7 @@ a AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event O
 b AS (SELECT event, "day" FROM d QUALIFY row_number() OVER (PARTITION BY event ORDER BY theirs DESC, "day") = 1)
 SELECT event, a."day" AS peak_ours, b."day" AS peak_theirs, CAST(a."day" - b."day" AS BIGINT) AS peak_lag FROM a JOIN b USING (event)""")
 def _(t):
-    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"], "step")
     got = external.rain_agreement(means, "event", "day", "ours", "theirs")
     return got.select("event", "peak_ours", "peak_theirs", big("peak_lag").alias("peak_lag"))
 

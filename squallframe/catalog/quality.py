@@ -234,7 +234,7 @@ m AS (SELECT event, a >= quantile_cont(a, 0.8) OVER w AS ta, b >= quantile_cont(
 o AS (SELECT event, count(*) FILTER (ta AND tb) / count(*) FILTER (ta OR tb) AS iou, count(*) FILTER (ta AND tb) / count(*) FILTER (ta) AS recall FROM m GROUP BY 1)
 SELECT event, count(*) AS n_days, {R('sum(ours)', 4)} AS total_ours, {R('sum(theirs)', 4)} AS total_theirs, {R('sum(ours) - sum(theirs)', 4)} AS bias, {R('max(iou)')} AS iou, {R('max(recall)')} AS recall FROM d JOIN o USING (event) GROUP BY 1""")
 def _(t):
-    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"], "step")
     got = external.rain_agreement(means, "event", "day", "ours", "theirs", 0.2)
     return got.select("event", "n_days", *[rounded(c, 4).alias(c) for c in ("total_ours", "total_theirs", "bias")], rounded("iou").alias("iou"), rounded("recall").alias("recall"))
 
@@ -262,7 +262,7 @@ f AS (SELECT *, iou < 0.05::DOUBLE AND recall < 0.10::DOUBLE AS f1, coalesce(cor
 
 def cases(t):
     """Metrics of every event's two rain windows."""
-    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"], "step")
     return external.case_metrics(means, "event", "day", "ours", "theirs")
 
 
@@ -497,7 +497,7 @@ v AS (SELECT *, concat_ws(';', CASE WHEN mcov < 0.95 THEN 'imerg_daily_file_cove
 SELECT {R('mcov')} AS min_coverage, {R('mc')} AS median_corr, {R('m10')} AS median_top10, {R('m20')} AS median_top20, {R('ec')} AS event_corr, {R('lag')} AS median_lag, CASE WHEN fails <> '' THEN 'FAIL' WHEN warns <> '' THEN 'WARN' ELSE 'PASS' END AS status,
   fails AS fail_reasons, warns AS warn_reasons, CASE WHEN fails <> '' OR footprint = 'FAIL' THEN 'FAIL' WHEN warns <> '' OR footprint = 'WARN' THEN 'WARN' ELSE 'PASS' END AS overall FROM v""")
 def _(t):
-    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"])
+    means = external.event_day_means(window_events(t), "event", "day", ["ours", "theirs"], "step")
     events = external.rain_agreement(means, "event", "day", "ours", "theirs").select("total_ours", "total_theirs", "peak_lag")
     events = save_table(events, scratch_table(t, "q14_events"))
     rows = events.agg(stats.safe_corr(F.col("total_ours"), F.col("total_theirs")).alias("event_corr"), F.count(F.lit(1)).alias("n_events"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keyed import join_keys, with_group_values, with_window_values
@@ -33,13 +33,36 @@ def safe_corr(x: Column, y: Column, min_pairs: int = 3) -> Column:
     return F.when(enough, F.covar_pop(u, v) / spread)
 
 
+def _series_moments(series: Column) -> tuple[Column, Column]:
+    """Mean and population deviation of an array, value by value in its order."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(seen: Column, x: Column) -> Column:
+        n, off = seen["n"] + 1, x - seen["mean"]
+        mean = seen["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (seen["squares"] + (x - mean) * off).alias("squares"))
+    seen = F.aggregate(series, start, add)
+    total = F.aggregate(series, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(series) > 0, total / F.size(series)), F.when(seen["n"] > 0, F.sqrt(seen["squares"] / seen["n"]))
+
+
 def sigma_flags(df: DataFrame, keys: Sequence[str], value: str, sigmas: float = 3.0,
-                upper_only: bool = False) -> DataFrame:
+                upper_only: bool = False, order: str | None = None) -> DataFrame:
     """Distance of each value from its group's mean in standard deviations, flagged beyond
-    ``sigmas``; a group without spread never flags. Distances are rounded to 12 decimals: the order in which a group was added up
-    shows beyond them."""
-    spread = with_group_values(df, keys, __mean=F.avg(value), __std=F.stddev_pop(value))
-    z = F.when(F.col("__std") > 0, F.round((F.col(value) - F.col("__mean")) / F.col("__std"), 12)).otherwise(F.lit(0.0))
+    ``sigmas``; a group without spread never flags.
+
+    With ``order`` a group, whose size the model bounds (the years of a cell), is added up in that order and its distances are
+    the same in every run. Without it they are rounded to 12 decimals: the order in which a group was added up shows beyond them.
+    """
+    if order is None:
+        spread = with_group_values(df, keys, __mean=F.avg(value), __std=F.stddev_pop(value))
+    else:
+        known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v")))
+        rows = with_window_values(df, keys, __rows=F.collect_list(known))
+        mean, std = _series_moments(F.transform(F.array_sort("__rows"), lambda r: r["v"]))
+        spread = rows.withColumns({"__mean": mean, "__std": std}).drop("__rows")
+    away = (F.col(value) - F.col("__mean")) / F.col("__std")
+    z = F.when(F.col("__std") > 0, F.round(away, 12) if order is None else away).otherwise(F.lit(0.0))
     beyond = z > sigmas if upper_only else F.abs(z) > sigmas
     return (spread.withColumn("z_score", z)
             .withColumn("flagged", F.coalesce(beyond, F.lit(False)).cast("int")).drop("__mean", "__std"))
@@ -73,14 +96,25 @@ def top_share_masks(cells: DataFrame, keys: Sequence[str], a: str, b: str, q: fl
     """Cells at or above each side's (1 - q) quantile inside one window.
 
     ``paired`` takes both thresholds over jointly valid cells only. A window has at most 41 x 41
-    cells, so one exact aggregate per window is enough.
+    cells, so they are ranked in one task. A threshold is the lower of its two neighbours plus its part of the way to the
+    upper one, so it never leaves them, not even by the last bit of values that almost tie.
     """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     use = {c: F.when(both, F.col(c)) if paired else F.col(c) for c in (a, b)}
-    masked = with_window_values(cells, keys, __ta=F.percentile(use[a], F.lit(1.0 - q)),
-                               __tb=F.percentile(use[b], F.lit(1.0 - q)))
-    return (masked.withColumn("top_a", F.coalesce(use[a] >= F.col("__ta"), F.lit(False)))
-            .withColumn("top_b", F.coalesce(use[b] >= F.col("__tb"), F.lit(False))).drop("__ta", "__tb"))
+    group = Window.partitionBy(*keys)
+    sides = (("a", use[a]), ("b", use[b]))
+    masked = cells
+    for s, value in sides:
+        masked = masked.withColumn(f"__r{s}", F.row_number().over(group.orderBy(value.asc_nulls_last())))
+    masked = with_window_values(masked, keys, **{f"__n{s}": F.count(value) for s, value in sides})
+    at = {s: F.lit(1.0 - q) * (F.col(f"__n{s}") - 1) for s, _ in sides}
+    masked = with_window_values(masked, keys, **{
+        f"__{name}{s}": F.max(F.when(F.col(f"__r{s}") == neighbour(at[s]) + 1, value))
+        for s, value in sides for name, neighbour in (("low", F.floor), ("high", F.ceil))})
+    for s, value in sides:
+        low, high = F.col(f"__low{s}"), F.col(f"__high{s}")
+        masked = masked.withColumn(f"top_{s}", F.coalesce(value >= low + (high - low) * (at[s] - F.floor(at[s])), F.lit(False)))
+    return masked.drop(*[f"__{name}{s}" for s, _ in sides for name in ("r", "n", "low", "high")])
 
 
 def mask_overlap(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
